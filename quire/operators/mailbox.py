@@ -94,13 +94,13 @@ def labels_none(ids: Sequence[str], *, labels: str = "labels") -> Column:
     return ~F.arrays_overlap(F.col(labels), F.array(*[F.lit(i) for i in ids]))
 
 
-def effective_limit(max_results: int = 100, newest: int | None = None) -> int:
-    """O1: the number of newest messages kept."""
+def effective_limit(max_results: int | None = 100, newest: int | None = None) -> int | None:
+    """O1: the number of newest messages kept; None keeps all (no list-size cap)."""
     if newest is None:
         return max_results
     if newest < 0:
         raise ValueError("negative newest-N is not supported")
-    return min(max_results, newest)
+    return newest if max_results is None else min(max_results, newest)
 
 
 def newest_n(df: DataFrame, n: int, *, by: str | Sequence[str] = "mailbox_id", date: str = "date",
@@ -119,7 +119,7 @@ def newest_n(df: DataFrame, n: int, *, by: str | Sequence[str] = "mailbox_id", d
 
 def mailbox_query(messages: DataFrame, *, start=None, end=None, archived: int = 0, read: int = 2,
                   include: Sequence[str] = (), exclude: Sequence[str] = (), sender: str | None = None,
-                  max_results: int = 100, newest: int | None = None, by: str = "mailbox_id",
+                  max_results: int | None = 100, newest: int | None = None, by: str = "mailbox_id",
                   registry: DataFrame | None = None, date: str = "date", labels: str = "labels") -> DataFrame:
     """F1..F6 ANDed, then the newest N per mailbox (O1)."""
     cond = date_range(messages, start, end, date=date) & read_state(read, labels=labels) \
@@ -136,7 +136,8 @@ def mailbox_query(messages: DataFrame, *, start=None, end=None, archived: int =
     if exc_custom is not None:  # unknown banned label -> ignored
         out = (out.join(exc_custom.select(by, "_ids"), by, "left")
                   .where(F.col("_ids").isNull() | ~F.arrays_overlap("_ids", labels)).drop("_ids"))
-    return newest_n(out, effective_limit(max_results, newest), by=by, date=date)
+    n = effective_limit(max_results, newest)
+    return out if n is None else newest_n(out, n, by=by, date=date)
 
 
 def message_rank(df: DataFrame, *, by: str = "mailbox_id", date: str = "date", key: str = "message_id",
@@ -246,7 +247,7 @@ def unprocessed(messages: DataFrame, ledger: DataFrame, *,
 
 def label_registry_id(mailbox: Column, name: Column) -> Column:
     """Id of a created custom label: a hash of (mailbox, lower(name)) [our choice]."""
-    return F.concat(F.lit("Label_"), F.substring(F.sha2(F.concat_ws("\u0000", mailbox.cast("string"),
+    return F.concat(F.lit("Label_"), F.substring(F.sha2(F.concat_ws("|", mailbox.cast("string"),
                                                                      F.lower(name)), 256), 1, 16))
 
 

@@ -28,6 +28,8 @@ CASE WHEN event_id % 50 = 0 THEN 'config ' || CAST(event_id AS VARCHAR)
           || ', "days": ' || CASE user_id % 3 WHEN 0 THEN '["Monday","Friday"]'
                                            WHEN 1 THEN '["Wednesday"]' ELSE '[]' END
           || ', "send_now": ' || CASE WHEN event_id % 10 = 0 THEN 'true' ELSE 'false' END
+          || ', "newsletter_email": "' || CASE WHEN user_id % 11 = 0 THEN ''
+                                              ELSE 'news' || CAST(user_id % 4 AS VARCHAR) || '@example.com' END || '"'
           || ', "k": ' || CAST(event_id % 97 AS VARCHAR) || '}' END
 """
 
@@ -56,7 +58,7 @@ FROM routed)"""
 CONFIG_KEYS = "('active','days','release_time_str','seconds_between_checks','whitelisted_senders','newsletter_email','limit_newest')"
 
 FOLDED = f"""cfg AS (
-SELECT * FROM routed2 WHERE route = 'config' AND json_valid(text) AND json_type(text) = 'OBJECT'),
+SELECT * FROM routed2 WHERE route = 'config' AND CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END),
 kv AS (
 SELECT mailbox_id, date, message_id, CAST(date AS DATE) AS poll, text, unnest(json_keys(text)) AS key FROM cfg),
 kv2 AS (
@@ -117,3 +119,238 @@ SQL: dict[str, str] = {}
 
 SQL["issue_messages"] = with_views(*ISSUE_CTES) + """
 SELECT mailbox_id, release_ts, msg_rank, message_id, date, address, route FROM issue_messages"""
+
+SYSTEM = "('INBOX','UNREAD','STARRED','SENT','IMPORTANT','TRASH','SPAM','DRAFT')"
+
+
+def labels_str(x: str = "labels") -> str:
+    return f"array_to_string(list_sort({x}), ',')"
+
+
+SQL["scan_messages"] = with_views(MESSAGES_V) + f"""
+SELECT message_id, mailbox_id, date, sender, title, text, {labels_str()} AS labels_str FROM messages_v"""
+
+SQL["scan_setup"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED, SETUP) + """
+SELECT mailbox_id, active, array_to_string(days, ',') AS days_str, release_time_str, seconds_between_checks,
+       newsletter_email, limit_newest FROM setup"""
+
+HEADERS_V = """headers_v AS (
+SELECT CAST(event_id AS VARCHAR) AS message_id,
+       list_concat([{'name': 'From', 'value': CASE WHEN user_id % 5 = 0 THEN 'user' || CAST(user_id AS VARCHAR) || '@example.com'
+                         ELSE 'User ' || CAST(user_id AS VARCHAR) || ' <user' || CAST(user_id AS VARCHAR) || '@example.com>' END},
+                    {'name': 'Subject', 'value': event_type},
+                    {'name': 'Date', 'value': CASE WHEN event_id % 13 = 0 THEN 'someday'
+                         ELSE strftime(ts, '%a, %-d %b %Y %H:%M:%S')
+                              || CASE user_id % 3 WHEN 0 THEN ' +0000' WHEN 1 THEN ' +0200' ELSE ' GMT' END END}],
+                   CASE WHEN event_id % 7 = 0 THEN [{'name': 'SUBJECT', 'value': 'Re: ' || event_type}]
+                        ELSE [] END) AS headers
+FROM events)"""
+
+
+def header(name: str) -> str:
+    return f"list_filter(headers, lambda h: lower(h.name) = '{name}')[-1].value"
+
+
+SQL["header_map"] = with_views(HEADERS_V) + f"""
+SELECT message_id, {header('from')} AS sender, {header('subject')} AS subject, {header('date')} AS date_header
+FROM headers_v"""
+
+SQL["mail_date"] = with_views(HEADERS_V) + f"""
+SELECT message_id, date_header,
+       coalesce(timezone('UTC', try_strptime(core, '%d %b %Y %H:%M:%S %z')),
+                CAST(try_strptime(regexp_replace(core, ' (GMT|UTC|UT)$', ''), '%d %b %Y %H:%M:%S') AS TIMESTAMP)) AS mail_date
+FROM (SELECT message_id, date_header,
+             regexp_replace({strip('date_header')}, '^[A-Za-z]{{3}},\\s*', '') AS core
+      FROM (SELECT message_id, {header('date')} AS date_header FROM headers_v))"""
+
+PARTS_V = """parts_v AS (
+SELECT CAST(conv_id AS VARCHAR) AS message_id, turn AS path,
+       CASE role WHEN 'user' THEN 'text/plain' WHEN 'assistant' THEN 'text/html' ELSE 'application/pdf' END AS mime_type,
+       text, translate(to_base64(encode(text)), '+/', '-_') AS data
+FROM conversations)"""
+
+
+def b64_decode(x: str) -> str:
+    return f"decode(from_base64(translate({x}, '-_', '+/')))"
+
+
+SQL["body_decode"] = with_views(PARTS_V) + f"""
+SELECT message_id, path, mime_type, {b64_decode('data')} AS text FROM parts_v"""
+
+SQL["body_concat"] = with_views(PARTS_V) + f"""
+SELECT message_id,
+       coalesce(string_agg({b64_decode('data')}, '' ORDER BY path) FILTER (WHERE mime_type = 'text/plain'), '') AS plain,
+       coalesce(string_agg({b64_decode('data')}, '' ORDER BY path) FILTER (WHERE mime_type = 'text/html'), '') AS html
+FROM parts_v GROUP BY message_id"""
+
+SQL["mime_leaves"] = """
+SELECT CAST(conv_id AS VARCHAR) AS message_id,
+       CASE WHEN idx < 2 THEN '0.' || CAST(idx AS VARCHAR) ELSE CAST(idx - 1 AS VARCHAR) END AS path_str,
+       CASE role WHEN 'user' THEN 'text/plain' WHEN 'assistant' THEN 'text/html' ELSE 'application/pdf' END AS mime_type,
+       text
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM conversations)"""
+
+SQL["sender_address"] = with_views(MESSAGES_V) + f"""
+SELECT message_id, sender, {sender_address('sender')} AS address FROM messages_v"""
+
+SQL["preview_words"] = """
+SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:5], ' ') AS preview
+FROM documents"""
+
+SQL["preview_chars"] = "SELECT doc_id, substring(text, 1, 500) AS head FROM documents"
+
+SQL["safe_name"] = f"""
+SELECT page_id, substring({strip("regexp_replace(url, '[\\\\/:*?\"<>|]', '_', 'g')")}, 1, 255) AS name FROM pages"""
+
+SQL["filter_dates"] = with_views(MESSAGES_V) + """
+SELECT message_id, date FROM messages_v
+WHERE date >= TIMESTAMP '2024-01-08 00:00:00' AND date < TIMESTAMP '2024-01-15 00:00:00'"""
+
+SQL["filter_read"] = with_views(MESSAGES_V) + """
+SELECT message_id, 'unread' AS state FROM messages_v WHERE list_contains(labels, 'UNREAD')
+UNION ALL SELECT message_id, 'read' AS state FROM messages_v WHERE NOT list_contains(labels, 'UNREAD')"""
+
+SQL["filter_archived"] = with_views(MESSAGES_V) + """
+SELECT message_id, 'inbox' AS state FROM messages_v WHERE list_contains(labels, 'INBOX')
+UNION ALL SELECT message_id, 'archived' AS state FROM messages_v
+WHERE NOT list_has_any(labels, ['INBOX', 'TRASH', 'SPAM'])"""
+
+SQL["filter_sender"] = with_views(MESSAGES_V) + f"""
+SELECT message_id, sender FROM messages_v WHERE {sender_address('sender')} = 'user10@example.com'"""
+
+SQL["filter_labels_all"] = with_views(MESSAGES_V) + """
+SELECT message_id FROM messages_v WHERE list_contains(labels, 'INBOX') AND list_contains(labels, 'UNREAD')"""
+
+SQL["filter_labels_none"] = with_views(MESSAGES_V) + """
+SELECT message_id FROM messages_v WHERE NOT list_contains(labels, 'ANALYZED') AND NOT list_contains(labels, 'SPAM')"""
+
+SQL["mailbox_query"] = with_views(MESSAGES_V) + """
+SELECT mailbox_id, message_id, date FROM (
+  SELECT *, row_number() OVER (PARTITION BY mailbox_id ORDER BY date DESC, message_id DESC) AS rn FROM messages_v
+  WHERE date >= TIMESTAMP '2024-01-03' AND date < TIMESTAMP '2024-01-21'
+    AND list_contains(labels, 'INBOX') AND NOT list_contains(labels, 'ANALYZED'))
+WHERE rn <= 30"""
+
+SQL["newest_n"] = with_views(MESSAGES_V) + """
+SELECT mailbox_id, message_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY mailbox_id ORDER BY date DESC, message_id DESC) AS rn FROM messages_v)
+WHERE rn <= 25"""
+
+SQL["message_rank"] = with_views(MESSAGES_V) + """
+SELECT mailbox_id, message_id,
+       CAST(row_number() OVER (PARTITION BY mailbox_id ORDER BY date DESC, message_id DESC) - 1 AS BIGINT) AS msg_rank
+FROM messages_v"""
+
+SQL["whitelist_split"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
+SELECT message_id, address, is_whitelisted FROM routed"""
+
+SQL["whitelist_semi"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
+SELECT message_id FROM routed WHERE is_whitelisted"""
+
+SQL["whitelist_anti"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
+SELECT message_id FROM routed WHERE NOT is_whitelisted"""
+
+SQL["route_messages"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + "SELECT message_id, route FROM routed2"
+
+SQL["config_fold"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED) + "SELECT mailbox_id, key, value FROM folded"
+
+SQL["dead_letter"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
+SELECT message_id, 'config text is not a JSON object' AS error FROM routed2
+WHERE route = 'config' AND NOT CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END"""
+
+SQL["mailbox_counts"] = with_views(MESSAGES_V) + """
+SELECT mailbox_id, count(*) AS n_messages,
+       CAST(sum(CAST(list_contains(labels, 'UNREAD') AS INTEGER)) AS BIGINT) AS n_unread,
+       CAST(sum(CAST(list_contains(labels, 'INBOX') AS INTEGER)) AS BIGINT) AS n_inbox,
+       CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM messages_v GROUP BY mailbox_id"""
+
+CHANGES_V = """changes_v AS (
+SELECT CAST(event_id % 4 AS INTEGER) AS mailbox_id, CAST(event_id AS VARCHAR) AS message_id,
+       CASE WHEN user_id % 2 = 0 THEN ['ANALYZED', 'starred'] ELSE ['inbox'] END AS add,
+       CASE WHEN user_id % 3 = 0 THEN ['INBOX', 'ANALYZED'] ELSE ['Spam'] END AS remove,
+       CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS read
+FROM events WHERE event_id % 3 = 0)"""
+
+
+def norm_labels(x: str) -> str:
+    return f"list_transform(coalesce({x}, []), lambda l: CASE WHEN upper(l) IN {SYSTEM} THEN upper(l) ELSE l END)"
+
+
+SQL["label_update"] = with_views(MESSAGES_V, CHANGES_V) + f"""
+SELECT message_id, {labels_str('new_labels')} AS labels_str FROM (
+  SELECT m.message_id,
+         CASE WHEN c.message_id IS NULL THEN m.labels ELSE list_distinct(list_concat(
+              list_filter(m.labels, lambda l: NOT list_contains(
+                  CASE WHEN c.read = true THEN list_concat({norm_labels('c.remove')}, ['UNREAD'])
+                       ELSE {norm_labels('c.remove')} END, l)),
+              CASE WHEN c.read = false THEN list_concat({norm_labels('c.add')}, ['UNREAD'])
+                   ELSE {norm_labels('c.add')} END)) END AS new_labels
+  FROM messages_v m LEFT JOIN changes_v c ON c.mailbox_id = m.mailbox_id AND c.message_id = m.message_id)"""
+
+SQL["archive"] = with_views(MESSAGES_V) + f"""
+SELECT message_id, {labels_str("list_filter(labels, lambda l: l <> 'INBOX')")} AS labels_str FROM messages_v"""
+
+SQL["delete_messages"] = with_views(MESSAGES_V) + """
+SELECT mailbox_id, message_id FROM messages_v WHERE CAST(message_id AS BIGINT) % 5 <> 0"""
+
+REGISTRY = f"""existing AS (
+SELECT DISTINCT mailbox_id, l AS name, l AS label_id FROM (SELECT mailbox_id, unnest(labels) AS l FROM messages_v)
+WHERE upper(l) NOT IN {SYSTEM}),
+wanted AS (
+SELECT mailbox_id, CASE WHEN CAST(message_id AS BIGINT) % 2 = 0 THEN upper(title) ELSE title END AS name FROM messages_v
+UNION ALL SELECT mailbox_id, upper(substring(name, 1, 1)) || lower(substring(name, 2)) FROM existing),
+new_labels AS (
+SELECT mailbox_id, min(name) AS name FROM wanted WHERE upper(name) NOT IN {SYSTEM}
+GROUP BY mailbox_id, lower(name)),
+registry AS (
+SELECT mailbox_id, name, label_id FROM existing
+UNION ALL
+SELECT n.mailbox_id, n.name, 'Label_' || substring(sha256(CAST(n.mailbox_id AS VARCHAR) || '|' || lower(n.name)), 1, 16)
+FROM new_labels n WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.mailbox_id = n.mailbox_id
+                                                                AND lower(e.name) = lower(n.name)))"""
+
+SQL["label_registry"] = with_views(MESSAGES_V, REGISTRY) + "SELECT mailbox_id, name, label_id FROM registry"
+
+SQL["filter_labels_none"] = with_views(MESSAGES_V) + """
+SELECT message_id FROM messages_v WHERE NOT list_contains(labels, 'ANALYZED') AND NOT list_contains(labels, 'SPAM')"""
+
+SQL["label_resolve"] = with_views(MESSAGES_V, REGISTRY) + f"""
+, names AS (
+SELECT DISTINCT mailbox_id, name FROM (
+  SELECT mailbox_id, lower(unnest(labels)) AS name FROM messages_v
+  UNION ALL SELECT mailbox_id, title AS name FROM messages_v))
+SELECT n.mailbox_id, n.name,
+       CASE WHEN upper(n.name) IN {SYSTEM} THEN upper(n.name) ELSE r.label_id END AS label_id
+FROM names n LEFT JOIN registry r ON r.mailbox_id = n.mailbox_id AND lower(r.name) = lower(n.name)"""
+
+SQL["unprocessed"] = with_views(MESSAGES_V) + """
+SELECT mailbox_id, message_id FROM messages_v WHERE NOT list_contains(labels, 'ANALYZED')"""
+
+SQL["assign_issue"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED, SETUP) + f"""
+SELECT mailbox_id, message_id, release_ts FROM (
+  SELECT r.mailbox_id, r.message_id, r.date,
+         {next_release('r.date', 's.days', 's.release_time_str', 's.active')} AS release_ts
+  FROM routed2 r LEFT JOIN setup s ON s.mailbox_id = r.mailbox_id)
+WHERE release_ts IS NOT NULL AND CAST(date AS DATE) >= CAST(release_ts AS DATE) - 7
+  AND CAST(date AS DATE) <= CAST(release_ts AS DATE)"""
+
+SCHEDULE = """schedule AS (
+SELECT message_id, date,
+       list_filter(['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'],
+                   lambda n, i: (uid + i - 1) % 3 = 0 AND (i - 1) < uid % 8) AS days,
+       lpad(CAST(uid % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(uid % 60 AS VARCHAR), 2, '0') || ':00' AS release_time_str,
+       uid % 9 <> 0 AS active
+FROM (SELECT *, CAST(regexp_extract(sender, 'user(\\d+)@', 1) AS INTEGER) AS uid FROM messages_v))"""
+
+SQL["next_release"] = with_views(MESSAGES_V, SCHEDULE) + f"""
+SELECT message_id, {next_release('date', 'days', 'release_time_str', 'active')} AS release_ts FROM schedule"""
+
+SQL["release_delay"] = with_views(MESSAGES_V, SCHEDULE) + f"""
+SELECT message_id, (epoch_us(release_ts) - epoch_us(date)) / 1e6 AS delay_sec FROM (
+  SELECT message_id, date, {next_release('date', 'days', 'release_time_str', 'active')} AS release_ts FROM schedule)
+WHERE release_ts IS NOT NULL"""
+
+SQL["issue_window"] = with_views(*ISSUE_CTES) + """
+SELECT DISTINCT mailbox_id, release_ts, CAST(release_ts AS DATE) - 7 AS first_day, CAST(release_ts AS DATE) AS last_day
+FROM issue_messages"""

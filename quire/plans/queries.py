@@ -51,3 +51,275 @@ def issue_messages(spark: SparkSession, sf: str) -> DataFrame:
 def q_issue_messages(spark, sf):
     return issue_messages(spark, sf).select("mailbox_id", "release_ts", "msg_rank", "message_id", "date",
                                             "address", "route")
+
+
+def _labels_str(c: str = "labels"):
+    return F.array_join(F.array_sort(F.col(c)), ",").alias("labels_str")
+
+
+# ---- 2.1 scans ---------------------------------------------------------------------------
+@register("scan_messages")
+def q_scan_messages(spark, sf):
+    return fx.messages_v(spark, sf).select("message_id", "mailbox_id", "date", "sender", "title", "text",
+                                           _labels_str())
+
+
+@register("scan_setup")
+def q_scan_setup(spark, sf):
+    return setup(spark, sf).select("mailbox_id", "active", F.array_join("days", ",").alias("days_str"),
+                                   "release_time_str", "seconds_between_checks", "newsletter_email",
+                                   "limit_newest")
+
+
+# ---- 2.3 message-side scalar functions ------------------------------------------------------
+@register("header_map")
+def q_header_map(spark, sf):
+    from quire.operators.mime import header_map
+    h = fx.headers_v(spark, sf).withColumn("m", header_map("headers"))
+    return h.select("message_id", F.try_element_at("m", F.lit("from")).alias("sender"),
+                    F.try_element_at("m", F.lit("subject")).alias("subject"),
+                    F.try_element_at("m", F.lit("date")).alias("date_header"))
+
+
+@register("mail_date")
+def q_mail_date(spark, sf):
+    from quire.functions.text import mail_date
+    from quire.operators.mime import header_map
+    h = fx.headers_v(spark, sf).withColumn("date_header", F.try_element_at(header_map("headers"), F.lit("date")))
+    return h.select("message_id", "date_header", mail_date("date_header").cast("timestamp_ntz").alias("mail_date"))
+
+
+@register("body_decode")
+def q_body_decode(spark, sf):
+    from quire.functions.text import body_decode
+    return fx.parts_v(spark, sf).select("message_id", "path", "mime_type", body_decode("data").alias("text"))
+
+
+@register("body_concat")
+def q_body_concat(spark, sf):
+    from quire.operators.mime import bodies, decode_leaves
+    return bodies(decode_leaves(fx.parts_v(spark, sf)))
+
+
+@register("mime_leaves")
+def q_mime_leaves(spark, sf):
+    from quire.operators.mime import decode_leaves, mime_leaves
+    leaves = decode_leaves(mime_leaves(fx.payload_v(spark, sf), max_depth=6))
+    return leaves.select("message_id", F.array_join("path", ".").alias("path_str"), "mime_type", "text")
+
+
+@register("sender_address")
+def q_sender_address(spark, sf):
+    from quire.functions.text import sender_address
+    return fx.messages_v(spark, sf).select("message_id", "sender", sender_address("sender").alias("address"))
+
+
+@register("preview_words")
+def q_preview_words(spark, sf):
+    from quire.functions.text import preview_words
+    from quire.sources.tables import read_table
+    return read_table(spark, sf, "documents").select("doc_id", preview_words("text").alias("preview"))
+
+
+@register("preview_chars")
+def q_preview_chars(spark, sf):
+    from quire.functions.text import preview_chars
+    from quire.sources.tables import read_table
+    return read_table(spark, sf, "documents").select("doc_id", preview_chars("text").alias("head"))
+
+
+@register("safe_name")
+def q_safe_name(spark, sf):
+    from quire.functions.text import safe_name
+    from quire.sources.tables import read_table
+    return read_table(spark, sf, "pages").select("page_id", safe_name("url").alias("name"))
+
+
+# ---- 2.6 filters ---------------------------------------------------------------------------
+@register("filter_dates")
+def q_filter_dates(spark, sf):
+    m = fx.messages_v(spark, sf)
+    return m.where(mb.date_range(m, "2024-01-08", "2024-01-14")).select("message_id", "date")
+
+
+@register("filter_read")
+def q_filter_read(spark, sf):
+    m = fx.messages_v(spark, sf)
+    unread = m.where(mb.read_state(0)).select("message_id", F.lit("unread").alias("state"))
+    read = m.where(mb.read_state(1)).select("message_id", F.lit("read").alias("state"))
+    return unread.unionByName(read)
+
+
+@register("filter_archived")
+def q_filter_archived(spark, sf):
+    m = fx.messages_v(spark, sf)
+    inbox = m.where(mb.archive_state(0)).select("message_id", F.lit("inbox").alias("state"))
+    arch = m.where(mb.archive_state(1)).select("message_id", F.lit("archived").alias("state"))
+    return inbox.unionByName(arch)
+
+
+@register("filter_sender")
+def q_filter_sender(spark, sf):
+    m = fx.messages_v(spark, sf)
+    return m.where(mb.sender_is("user10@example.com")).select("message_id", "sender")
+
+
+@register("filter_labels_all")
+def q_filter_labels_all(spark, sf):
+    m = fx.messages_v(spark, sf)
+    return mb.mailbox_query(m, archived=2, include=["inbox", "Unread"], max_results=None) \
+             .select("message_id")
+
+
+@register("filter_labels_none")
+def q_filter_labels_none(spark, sf):
+    m = fx.messages_v(spark, sf)
+    reg = label_registry(spark, sf)
+    return mb.mailbox_query(m, archived=2, exclude=["Analyzed", "spam", "no_such_label"], registry=reg,
+                            max_results=None).select("message_id")
+
+
+@register("mailbox_query")
+def q_mailbox_query(spark, sf):
+    m = fx.messages_v(spark, sf)
+    return mb.mailbox_query(m, start="2024-01-03", end="2024-01-20", archived=0, read=2, include=["INBOX"],
+                            exclude=["ANALYZED"], newest=30).select("mailbox_id", "message_id", "date")
+
+
+@register("newest_n")
+def q_newest_n(spark, sf):
+    return mb.newest_n(fx.messages_v(spark, sf), 25).select("mailbox_id", "message_id")
+
+
+@register("message_rank")
+def q_message_rank(spark, sf):
+    return mb.message_rank(fx.messages_v(spark, sf).select("mailbox_id", "message_id", "date")) \
+             .select("mailbox_id", "message_id", "msg_rank")
+
+
+# ---- 2.7 joins / routing -----------------------------------------------------------------------
+@register("whitelist_split")
+def q_whitelist_split(spark, sf):
+    return mb.whitelist_split(fx.messages_v(spark, sf), fx.whitelist_v(spark, sf)) \
+             .select("message_id", "address", "is_whitelisted")
+
+
+@register("whitelist_semi")
+def q_whitelist_semi(spark, sf):
+    return mb.whitelist_semi(fx.messages_v(spark, sf), fx.whitelist_v(spark, sf)).select("message_id")
+
+
+@register("whitelist_anti")
+def q_whitelist_anti(spark, sf):
+    return mb.whitelist_semi(fx.messages_v(spark, sf), fx.whitelist_v(spark, sf), anti=True).select("message_id")
+
+
+@register("route_messages")
+def q_route_messages(spark, sf):
+    return routed(spark, sf).select("message_id", "route")
+
+
+@register("config_fold")
+def q_config_fold(spark, sf):
+    return folded_config(spark, sf).select("mailbox_id", "key", "value")
+
+
+@register("dead_letter")
+def q_dead_letter(spark, sf):
+    r = routed(spark, sf).where(F.col("route") == mb.ROUTE_CONFIG)
+    return mb.config_entries(r).where(F.col("error").isNotNull()).select("message_id", "error")
+
+
+@register("mailbox_counts")
+def q_mailbox_counts(spark, sf):
+    return mb.mailbox_counts(fx.messages_v(spark, sf))
+
+
+# ---- 2.11 label state -------------------------------------------------------------------------
+@register("label_update")
+def q_label_update(spark, sf):
+    return mb.update_labels(fx.messages_v(spark, sf), fx.changes_v(spark, sf)).select("message_id", _labels_str())
+
+
+@register("archive")
+def q_archive(spark, sf):
+    return mb.archive(fx.messages_v(spark, sf)).select("message_id", _labels_str())
+
+
+@register("delete_messages")
+def q_delete_messages(spark, sf):
+    m = fx.messages_v(spark, sf)
+    ids = m.where(F.col("message_id").cast("bigint") % 5 == 0).select("mailbox_id", "message_id")
+    return mb.delete_messages(m, ids).select("mailbox_id", "message_id")
+
+
+def label_registry(spark, sf):
+    m = fx.messages_v(spark, sf)
+    existing = (m.select("mailbox_id", F.explode("labels").alias("name"))
+                 .where(~F.upper("name").isin(*mb.SYSTEM_LABELS)).distinct()
+                 .withColumn("label_id", F.col("name")))
+    wanted = m.select("mailbox_id", F.when(F.col("message_id").cast("bigint") % 2 == 0, F.upper("title"))
+                      .otherwise(F.col("title")).alias("name")) \
+              .unionByName(existing.select("mailbox_id", F.concat(F.upper(F.substring("name", 1, 1)),
+                                                                  F.lower(F.substring("name", 2, 1 << 20)))
+                                           .alias("name")))
+    return mb.ensure_labels(existing, wanted)
+
+
+@register("label_registry")
+def q_label_registry(spark, sf):
+    return label_registry(spark, sf).select("mailbox_id", "name", "label_id")
+
+
+@register("label_resolve")
+def q_label_resolve(spark, sf):
+    m = fx.messages_v(spark, sf)
+    names = (m.select("mailbox_id", F.explode("labels").alias("name")).select("mailbox_id", F.lower("name").alias("name"))
+              .unionByName(m.select("mailbox_id", F.col("title").alias("name"))).distinct())
+    return mb.label_resolve(names, label_registry(spark, sf)).select("mailbox_id", "name", "label_id")
+
+
+@register("unprocessed")
+def q_unprocessed(spark, sf):
+    m = fx.messages_v(spark, sf)
+    ledger = m.where(F.array_contains("labels", "ANALYZED")).select("mailbox_id", "message_id")
+    return mb.unprocessed(m, ledger).select("mailbox_id", "message_id")
+
+
+# ---- 2.13 dates ----------------------------------------------------------------------------
+@register("assign_issue")
+def q_assign_issue(spark, sf):
+    r = routed(spark, sf)
+    return iss.assign_issue(r, setup(spark, sf, r)).select("mailbox_id", "message_id", "release_ts")
+
+
+def _schedule(m):
+    """A per-sender schedule for T1/T2: listed days and a release time from the user id."""
+    uid = F.regexp_extract("sender", r"user(\d+)@", 1).cast("int")
+    names = F.array(*[F.lit(n) for n in iss.WEEKDAYS])
+    days = F.filter(names, lambda n, i: ((uid + i) % 3 == 0) & (i < uid % 8))
+    rel = F.concat(F.lpad((uid % 24).cast("string"), 2, "0"), F.lit(":"),
+                   F.lpad((uid % 60).cast("string"), 2, "0"), F.lit(":00"))
+    return m.select("message_id", "date", days.alias("days"), rel.alias("release_time_str"),
+                    (uid % 9 != 0).alias("active"))
+
+
+@register("next_release")
+def q_next_release(spark, sf):
+    s = _schedule(fx.messages_v(spark, sf))
+    return s.select("message_id", iss.next_release("date", "days", "release_time_str", "active").alias("release_ts"))
+
+
+@register("release_delay")
+def q_release_delay(spark, sf):
+    s = _schedule(fx.messages_v(spark, sf))
+    s = s.withColumn("release_ts", iss.next_release("date", "days", "release_time_str", "active"))
+    return s.where(F.col("release_ts").isNotNull()).select(
+        "message_id", iss.release_delay("date", "release_ts").alias("delay_sec"))
+
+
+@register("issue_window")
+def q_issue_window(spark, sf):
+    im = issue_messages(spark, sf)
+    first, last = iss.issue_window(F.col("release_ts"))
+    return im.select("mailbox_id", "release_ts", first.alias("first_day"), last.alias("last_day")).distinct()

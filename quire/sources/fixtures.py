@@ -20,6 +20,8 @@ CASE WHEN event_id % 50 = 0 THEN concat('config ', CAST(event_id AS STRING))
                  ', "days": ', CASE user_id % 3 WHEN 0 THEN '["Monday","Friday"]'
                                               WHEN 1 THEN '["Wednesday"]' ELSE '[]' END,
                  ', "send_now": ', CASE WHEN event_id % 10 = 0 THEN 'true' ELSE 'false' END,
+                 ', "newsletter_email": "', CASE WHEN user_id % 11 = 0 THEN ''
+                                                 ELSE concat('news', CAST(user_id % 4 AS STRING), '@example.com') END, '"',
                  ', "k": ', CAST(event_id % 97 AS STRING), '}}') END
 """
 
@@ -130,3 +132,71 @@ def pages_news_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             '<h1>', '<div>'), '</h1>', '</div>') END AS html
            FROM {pages}""",
         pages=read_table(spark, sf_dir, "pages"))
+
+
+def headers_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw header lists (D4): From, Subject, Date as RFC 2822 text; every 7th message has a
+    second subject header (the last one wins); every 13th has a date that is not a date."""
+    return spark.sql(
+        """SELECT CAST(event_id AS STRING) AS message_id,
+                  concat(array(named_struct('name', 'From', 'value',
+                                  CASE WHEN user_id % 5 = 0 THEN concat('user', CAST(user_id AS STRING), '@example.com')
+                                       ELSE concat('User ', CAST(user_id AS STRING), ' <user', CAST(user_id AS STRING),
+                                                   '@example.com>') END),
+                               named_struct('name', 'Subject', 'value', event_type),
+                               named_struct('name', 'Date', 'value',
+                                  CASE WHEN event_id % 13 = 0 THEN 'someday'
+                                       ELSE concat(date_format(ts, 'EEE, d MMM yyyy HH:mm:ss'),
+                                                   CASE user_id % 3 WHEN 0 THEN ' +0000' WHEN 1 THEN ' +0200'
+                                                                    ELSE ' GMT' END) END)),
+                         CASE WHEN event_id % 7 = 0
+                              THEN array(named_struct('name', 'SUBJECT', 'value', concat('Re: ', event_type)))
+                              ELSE array() END) AS headers
+           FROM {events}""",
+        events=read_table(spark, sf_dir, "events"))
+
+
+def changes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label changes for every third message: add names (some lower-case system names),
+    remove some, and set the read flag for some."""
+    return spark.sql(
+        """SELECT CAST(event_id % 4 AS INT) AS mailbox_id, CAST(event_id AS STRING) AS message_id,
+                  CASE WHEN user_id % 2 = 0 THEN array('ANALYZED', 'starred') ELSE array('inbox') END AS add,
+                  CASE WHEN user_id % 3 = 0 THEN array('INBOX', 'ANALYZED') ELSE array('Spam') END AS remove,
+                  CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS read
+           FROM {events} WHERE event_id % 3 = 0""",
+        events=read_table(spark, sf_dir, "events"))
+
+
+def payload_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw nested MIME payloads (D3) as JSON text, one per conversation: a multipart/mixed
+    root whose first part is a multipart/alternative holding turns 0 and 1, then one
+    leaf per later turn. Every fifth leaf carries an empty ``parts`` list."""
+    from pyspark.sql import functions as F
+    conv = read_table(spark, sf_dir, "conversations")
+    leaf = F.concat(
+        F.lit('{"mimeType":"'),
+        F.expr("CASE role WHEN 'user' THEN 'text/plain' WHEN 'assistant' THEN 'text/html' ELSE 'application/pdf' END"),
+        F.lit('","body":{"data":"'), F.expr("translate(base64(encode(text, 'UTF-8')), '+/', '-_')"), F.lit('"}'),
+        F.when(F.col("turn") % 5 == 4, F.lit(',"parts":[]')).otherwise(F.lit("")), F.lit("}"))
+    per = (conv.select(F.col("conv_id").cast("string").alias("message_id"), "turn", leaf.alias("leaf"))
+               .groupBy("message_id")
+               .agg(F.array_sort(F.collect_list(F.struct("turn", "leaf"))).alias("ls")))
+    alt = F.concat(F.lit('{"mimeType":"multipart/alternative","parts":['),
+                   F.array_join(F.transform(F.slice("ls", 1, 2), lambda x: x["leaf"]), ","), F.lit("]}"))
+    rest = F.transform(F.filter("ls", lambda x, i: i >= 2), lambda x: x["leaf"])
+    payload = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":['),
+                       F.array_join(F.concat(F.array(alt), rest), ","), F.lit("]}"))
+    return per.select("message_id", payload.alias("payload"))
+
+
+def msg_links_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each message: two pages picked by the sender's user id, then one link to a
+    page that does not exist (so the left join meets a missing page)."""
+    return spark.sql(
+        """SELECT CAST(e.event_id AS STRING) AS message_id, CAST(e.pos AS BIGINT) AS link_pos,
+                  coalesce(p.url, concat('https://missing.example.com/', CAST(e.event_id AS STRING))) AS link
+           FROM (SELECT event_id, user_id, explode(array(0, 1, 2)) AS pos FROM {events}) e
+           LEFT JOIN {pages} p ON p.page_id = CASE WHEN e.pos < 2 THEN e.user_id + 7 * e.pos END
+           WHERE e.pos = 2 OR p.page_id IS NOT NULL""",
+        events=read_table(spark, sf_dir, "events"), pages=read_table(spark, sf_dir, "pages").select("page_id", "url"))
