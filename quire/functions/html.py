@@ -147,7 +147,8 @@ def _remove_dots(path: Column) -> Column:
     last = F.element_at(mid, -1)
     out = F.when(last.isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out)
     joined = F.array_join(out, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    # an authority is present, so the path is made to start with '/'
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def url_resolve(base: str | Column, ref: str | Column) -> Column:

@@ -354,3 +354,174 @@ WHERE release_ts IS NOT NULL"""
 SQL["issue_window"] = with_views(*ISSUE_CTES) + """
 SELECT DISTINCT mailbox_id, release_ts, CAST(release_ts AS DATE) - 7 AS first_day, CAST(release_ts AS DATE) AS last_day
 FROM issue_messages"""
+
+# ---- page side ---------------------------------------------------------------------------
+ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
+            ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"),
+            ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&#39;", "'"),
+            ("&apos;", "'"), ("&#34;", '"'), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+SCHEMES = "mailto|tel|sms|callto|skype|javascript"
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def unescape(x: str) -> str:
+    for ent, ch in ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+def blocks(tags) -> str:
+    return "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in tags)
+
+
+def text_nodes(h: str, hidden) -> str:
+    no_c = f"regexp_replace(regexp_replace({h}, '(?s)<!--.*?-->', '', 'g'), '<![^>]*>|<\\?[^>]*>', '', 'g')"
+    no_b = f"regexp_replace({no_c}, {q(blocks(hidden))}, '', 'g')"
+    return (f"list_filter(list_transform(string_split_regex({no_b}, '</?[A-Za-z][^>]*>'), "
+            f"lambda t: {strip(unescape('t'))}), lambda t: t <> '')")
+
+
+def collapse(x: str) -> str:
+    return f"regexp_replace({x}, '\\n\\s*\\n+', {q(chr(10) * 2)}, 'g')"
+
+
+def neutralise(h: str) -> str:
+    anchor = rf"(?is)<a\s[^>]*?href\s*=\s*[\"']?(?:{SCHEMES}):[^>]*>(.*?)</a\s*>"
+    return f"regexp_replace({h}, {q(anchor)}, '<span>\\1</span>', 'g')"
+
+
+def page_text_lines(h: str) -> str:
+    return collapse(f"array_to_string({text_nodes(neutralise(h), ('script', 'style', 'noscript', 'iframe'))}, chr(10))")
+
+
+def page_text_flat(h: str) -> str:
+    body = (f"regexp_replace(CASE WHEN regexp_matches({h}, '(?i)<body\\b') "
+            f"THEN regexp_replace({h}, '(?is)^.*?<body\\b[^>]*>', '') ELSE {h} END, '(?is)</body\\s*>.*$', '')")
+    return f"array_to_string({text_nodes(body, ('script', 'style'))}, ' ')"
+
+
+def clean_scripts(h: str) -> str:
+    return f"regexp_replace(regexp_replace({h}, '(?s)<!--.*?-->', '', 'g'), {q(blocks(('script', 'style')))}, '', 'g')"
+
+
+def attr(t: str, name: str) -> str:
+    pat = rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+    return (f"CASE WHEN regexp_matches({t}, {q(pat)}) THEN "
+            f"{unescape(f'regexp_replace(regexp_extract({t}, {q(pat)}, 1), {q(chr(94) + chr(91) + chr(34) + chr(39) + chr(93) + chr(124) + chr(91) + chr(34) + chr(39) + chr(93) + chr(36))}, {q(chr(0))[:-2]}{chr(39)}, {q(chr(103))})')} END")
+
+
+def tag_values(h: str, tag: str, name: str) -> str:
+    tags = f"regexp_extract_all({clean_scripts(h)}, {q(f'(?i)<{tag}(?:' + chr(92) + 's[^>]*)?/?>')})"
+    return f"list_transform({tags}, lambda t: {attr('t', name)})"
+
+
+def keep_link(x: str) -> str:
+    return (f"(NOT regexp_matches(lower({x}), '^({SCHEMES}):') AND {strip(x)} <> '' AND {strip(x)} <> '#')")
+
+
+def url_resolve(b: str, r: str) -> str:
+    sch = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+    scheme = f"regexp_extract({b}, {q(sch)}, 1)"
+    auth = f"regexp_extract({b}, {q(r'^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)')}, 1)"
+    bpath = f"regexp_extract({b}, {q(r'^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)')}, 1)"
+    bquery = f"regexp_extract({b}, {q(r'^[^?#]*(\?[^#]*)')}, 1)"
+    rpath = f"regexp_extract({r}, '^([^?#]*)', 1)"
+    rrest = f"regexp_extract({r}, '^[^?#]*(.*)$', 1)"
+    bdir = f"regexp_replace({bpath}, '[^/]*$', '')"
+    merged = f"(CASE WHEN starts_with({rpath}, '/') THEN {rpath} ELSE (CASE WHEN {bdir} = '' THEN '/' ELSE {bdir} END) || {rpath} END)"
+    segs = f"string_split({merged}, '/')"
+    mid = f"list_filter({segs}, lambda x, i: i = 1 OR i = len({segs}) OR x <> '')"
+    red = (f"list_reduce({mid}, lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc)-1] WHEN s = '.' THEN acc "
+           f"ELSE list_append(acc, s) END, []::VARCHAR[])")
+    out = f"(CASE WHEN {mid}[-1] IN ('.', '..') THEN list_append({red}, '') ELSE {red} END)"
+    joined = f"array_to_string({out}, '/')"
+    path = f"(CASE WHEN starts_with({joined}, '/') THEN {joined} ELSE '/' || {joined} END)"
+    root = f"({scheme} || '://' || {auth})"
+    return (f"(CASE WHEN {r} IS NULL THEN NULL WHEN {r} = '' THEN {b} WHEN regexp_matches({r}, {q(sch)}) THEN {r} "
+            f"WHEN starts_with({r}, '//') THEN {scheme} || ':' || {r} "
+            f"WHEN starts_with({r}, '?') THEN {root} || {bpath} || {r} "
+            f"WHEN starts_with({r}, '#') THEN {root} || {bpath} || {bquery} || {r} "
+            f"ELSE {root} || {path} || {rrest} END)")
+
+
+PAGES_MIXED_V = """pages_mixed_v AS (
+SELECT page_id, url,
+       CASE WHEN page_id % 4 = 0 THEN replace(html, '<li><a href="/', '<li><a href="tel:')
+            WHEN page_id % 5 = 0 THEN replace(html, '<li><a href="/', '<li><a href="MAILTO:')
+            WHEN page_id % 6 = 0 THEN replace(html, '<li><a href="/', '<li><a href="#')
+            ELSE html END AS html
+FROM pages)"""
+
+PAGES_IMG_V = """pages_img_v AS (
+SELECT page_id, url, replace(html, '<article>',
+       '<article><img src="/img/' || CAST(page_id AS VARCHAR) || '.png"><img alt="x"><img src=""><img src="/pix">') AS html
+FROM pages)"""
+
+
+def long_form(key_cols: str, lst: str, pos: str, name: str, src: str) -> str:
+    return (f"SELECT {key_cols}, CAST(unnest(range(len(l))) AS BIGINT) AS {pos}, unnest(l) AS {name} "
+            f"FROM (SELECT {key_cols}, {lst} AS l FROM {src})")
+
+
+SQL["scan_pages"] = "SELECT page_id, url, CAST(length(html) AS BIGINT) AS n_chars FROM pages"
+
+SQL["extract_links"] = with_views(PAGES_MIXED_V) + long_form(
+    "page_id", f"list_filter({tag_values('html', 'a', 'href')}, lambda v: v IS NOT NULL)", "link_pos", "link",
+    "pages_mixed_v")
+
+SQL["filter_links"] = with_views(PAGES_MIXED_V) + long_form(
+    "page_id", f"list_filter({tag_values('html', 'a', 'href')}, lambda v: v IS NOT NULL AND {keep_link('v')})",
+    "link_pos", "link", "pages_mixed_v")
+
+SQL["extract_images"] = with_views(PAGES_IMG_V) + long_form(
+    "page_id", f"list_filter({tag_values('html', 'img', 'src')}, lambda v: v IS NOT NULL)", "img_pos", "src",
+    "pages_img_v")
+
+SQL["page_text_lines"] = f"SELECT page_id, {page_text_lines('html')} AS text FROM pages"
+
+SQL["neutralise_links"] = with_views(PAGES_MIXED_V) + f"""
+SELECT page_id,
+       CAST(len(regexp_extract_all(html, {q(rf"(?is)<a\s[^>]*?href\s*=\s*[\"']?(?:{SCHEMES}):[^>]*>(.*?)</a\s*>")})) AS BIGINT) AS n_neutralised,
+       {page_text_lines('html')} AS text
+FROM pages_mixed_v"""
+
+SQL["collapse_blank_lines"] = f"SELECT doc_id, {collapse('text')} AS text FROM documents"
+
+SQL["page_text_flat"] = f"SELECT page_id, {page_text_flat('html')} AS content FROM pages"
+
+SQL["page_links_abs"] = with_views(PAGES_IMG_V) + f"""
+SELECT page_id, link_pos, {url_resolve('url', 'ref')} AS link FROM (
+  {long_form("page_id, url", f"list_filter(list_transform(regexp_extract_all({clean_scripts('html')}, '(?i)<(?:a|img)(?:\\s[^>]*)?/?>'), lambda t: CASE WHEN starts_with(lower(t), '<a') THEN {attr('t', 'href')} ELSE {attr('t', 'src')} END), lambda v: v IS NOT NULL)", "link_pos", "ref", "pages_img_v")})"""
+
+SQL["url_resolve"] = f"""
+WITH ls AS ({long_form("page_id, url", f"list_filter({tag_values('html', 'a', 'href')}, lambda v: v IS NOT NULL)", "link_pos", "link", "pages")}),
+v AS (
+SELECT page_id, link_pos, url,
+       CAST(unnest(range(9)) AS BIGINT) AS variant,
+       unnest([link, substring(link, 2), '../' || substring(link, 2), './' || substring(link, 2),
+               '?q=' || substring(link, 2), '#' || substring(link, 2), '//cdn.example.com' || link,
+               'mailto:' || substring(link, 2), '']) AS ref
+FROM ls)
+SELECT page_id, link_pos, variant, ref, {url_resolve('url', 'ref')} AS resolved FROM v"""
+
+
+def safe_name(x: str) -> str:
+    return f"substring({strip(chr(39).join(['regexp_replace(' + x + ', ', r'[\\/:*?\"<>|]', ', ', '_', ', ', 'g', ')']))}, 1, 255)"
+
+
+SQL["image_manifest"] = with_views(PAGES_IMG_V) + f"""
+, imgs AS ({long_form("page_id, url", tag_values('html', 'img', 'src'), "idx", "src", "pages_img_v")}),
+r AS (
+SELECT page_id, url, idx, {url_resolve('url', 'src')} AS img_url FROM imgs WHERE src IS NOT NULL AND src <> ''),
+r2 AS (
+SELECT *, regexp_extract(regexp_extract(img_url, {q(r'^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)')}, 1), '([^/]*)$', 1) AS base
+FROM r)
+SELECT page_id, save_path, arg_max(img_url, idx) AS img_url FROM (
+  SELECT page_id, idx, img_url,
+         'images/newsletter/' || {safe_name('url')} || '/' ||
+         CASE WHEN base = '' OR NOT contains(base, '.') THEN 'image_' || CAST(idx AS VARCHAR) || '.jpg' ELSE base END AS save_path
+  FROM r2)
+GROUP BY page_id, save_path"""

@@ -323,3 +323,88 @@ def q_issue_window(spark, sf):
     im = issue_messages(spark, sf)
     first, last = iss.issue_window(F.col("release_ts"))
     return im.select("mailbox_id", "release_ts", first.alias("first_day"), last.alias("last_day")).distinct()
+
+
+# ---- 2.4 page side -------------------------------------------------------------------------
+def _pages(spark, sf):
+    from quire.sources.tables import read_table
+    return read_table(spark, sf, "pages")
+
+
+@register("scan_pages")
+def q_scan_pages(spark, sf):
+    return _pages(spark, sf).select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
+
+
+@register("extract_links")
+def q_extract_links(spark, sf):
+    from quire.operators.pages import links
+    return links(fx.pages_mixed_v(spark, sf), filtered=False)
+
+
+@register("filter_links")
+def q_filter_links(spark, sf):
+    from quire.operators.pages import links
+    return links(fx.pages_mixed_v(spark, sf), filtered=True)
+
+
+@register("extract_images")
+def q_extract_images(spark, sf):
+    from quire.operators.pages import images
+    return images(fx.pages_img_v(spark, sf))
+
+
+@register("page_text_lines")
+def q_page_text_lines(spark, sf):
+    from quire.functions.html import page_text_lines
+    return _pages(spark, sf).select("page_id", page_text_lines("html").alias("text"))
+
+
+@register("neutralise_links")
+def q_neutralise_links(spark, sf):
+    from quire.functions.html import page_text_lines, problem_link_count
+    p = fx.pages_mixed_v(spark, sf)
+    return p.select("page_id", problem_link_count("html").cast("bigint").alias("n_neutralised"),
+                    page_text_lines("html").alias("text"))
+
+
+@register("collapse_blank_lines")
+def q_collapse_blank_lines(spark, sf):
+    from quire.functions.html import collapse_blank_lines
+    from quire.sources.tables import read_table
+    return read_table(spark, sf, "documents").select("doc_id", collapse_blank_lines("text").alias("text"))
+
+
+@register("page_text_flat")
+def q_page_text_flat(spark, sf):
+    from quire.functions.html import page_text_flat
+    return _pages(spark, sf).select("page_id", page_text_flat("html").alias("content"))
+
+
+@register("page_links_abs")
+def q_page_links_abs(spark, sf):
+    from quire.operators.pages import page_links_abs
+    return page_links_abs(fx.pages_img_v(spark, sf))
+
+
+URL_VARIANTS = ("same", "relative", "parent", "dot", "query", "fragment", "netpath", "scheme", "empty")
+
+
+@register("url_resolve")
+def q_url_resolve(spark, sf):
+    from quire.functions.html import url_resolve
+    from quire.operators.pages import links
+    ls = links(_pages(spark, sf), filtered=False).join(_pages(spark, sf).select("page_id", "url"), "page_id")
+    tail = F.substring("link", 2, 1 << 20)
+    refs = F.array(F.col("link"), tail, F.concat(F.lit("../"), tail), F.concat(F.lit("./"), tail),
+                   F.concat(F.lit("?q="), tail), F.concat(F.lit("#"), tail),
+                   F.concat(F.lit("//cdn.example.com"), F.col("link")), F.concat(F.lit("mailto:"), tail), F.lit(""))
+    v = ls.select("page_id", "link_pos", "url", F.posexplode(refs).alias("variant", "ref"))
+    return v.select("page_id", "link_pos", F.col("variant").cast("bigint"), "ref",
+                    url_resolve(F.col("url"), F.col("ref")).alias("resolved"))
+
+
+@register("image_manifest")
+def q_image_manifest(spark, sf):
+    from quire.operators.pages import image_manifest
+    return image_manifest(fx.pages_img_v(spark, sf))

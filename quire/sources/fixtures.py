@@ -200,3 +200,17 @@ def msg_links_v(spark: SparkSession, sf_dir: str) -> DataFrame:
            LEFT JOIN {pages} p ON p.page_id = CASE WHEN e.pos < 2 THEN e.user_id + 7 * e.pos END
            WHERE e.pos = 2 OR p.page_id IS NOT NULL""",
         events=read_table(spark, sf_dir, "events"), pages=read_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def pages_mixed_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages where some navigation links use system-action schemes (P7, H3): on every fourth
+    page the links become ``tel:``, on every fifth ``MAILTO:`` (upper case), and on every
+    sixth one anchor gets inner markup."""
+    return spark.sql(
+        """SELECT page_id, url,
+                  CASE WHEN page_id % 4 = 0 THEN replace(html, '<li><a href="/', '<li><a href="tel:')
+                       WHEN page_id % 5 = 0 THEN replace(html, '<li><a href="/', '<li><a href="MAILTO:')
+                       WHEN page_id % 6 = 0 THEN replace(html, '<li><a href="/', '<li><a href="#')
+                       ELSE html END AS html
+           FROM {pages}""",
+        pages=read_table(spark, sf_dir, "pages"))
