@@ -8,6 +8,12 @@ the offset of every chunk inside its group, and offset + rank inside the chunk i
 exact position. The counts table has at most ``groups + chunks`` rows; AQE turns the
 join back into a broadcast join when it is small at run time, else it is a balanced
 shuffle join on ``(chunk, g)``.
+
+The chunk tags (partition id, row id) must be the same for the counts and for the rows
+they are joined back to. Two evaluations of a range exchange need not agree (its
+bounds come from a sample), so the tagged rows are written once with a reliable
+``checkpoint()`` to the cluster's checkpoint folder and both branches read that copy;
+a lost executor then re-reads the files instead of re-deriving different tags.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import ensure_checkpoint_dir
+
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -41,6 +49,8 @@ def positions(df: DataFrame, *, by: Sequence[str], order: Sequence[str | Column]
                 .sortWithinPartitions(*_cols(by), *order_cols)
                 .withColumn("_chunk", F.spark_partition_id())
                 .withColumn("_row", F.monotonically_increasing_id()))
+    ensure_checkpoint_dir(spark)
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_chunk", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     keys = [f"_k{i}" for i in range(len(by))]

@@ -525,3 +525,119 @@ SELECT page_id, save_path, arg_max(img_url, idx) AS img_url FROM (
          CASE WHEN base = '' OR NOT contains(base, '.') THEN 'image_' || CAST(idx AS VARCHAR) || '.jpg' ELSE base END AS save_path
   FROM r2)
 GROUP BY page_id, save_path"""
+
+# ---- corpus side ------------------------------------------------------------------------------
+RULE = "'" + "=" * 40 + "'"
+NL = "chr(10)"
+
+LINKS_V = """links_v AS (
+SELECT source AS message_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS link_pos,
+       doc_id, 'https://example.com/' || CAST(doc_id AS VARCHAR) AS link
+FROM documents)"""
+
+CORPUS_LINKS = """corpus_links AS (
+SELECT 'weekly' AS issue_id, l.*, CAST(dense_rank() OVER (ORDER BY message_id) - 1 AS BIGINT) AS msg_rank FROM links_v l)"""
+
+SCRAPED_V = """scraped_v AS (
+SELECT 'https://example.com/' || CAST(doc_id AS VARCHAR) AS link, text AS scraped FROM documents WHERE doc_id % 3 <> 0)"""
+
+NUMBERED = """numbered AS (
+SELECT c.*, CAST(row_number() OVER (PARTITION BY issue_id ORDER BY msg_rank, link_pos) - 1 AS BIGINT) AS article_n,
+       'ARTICLE_' || CAST(row_number() OVER (PARTITION BY issue_id ORDER BY msg_rank, link_pos) - 1 AS VARCHAR) AS article_id
+FROM corpus_links c),
+attached AS (
+SELECT n.*, s.link IS NOT NULL AS scraped_ok, coalesce(s.scraped, '[Failed to scrape this link]') AS scraped
+FROM numbered n LEFT JOIN scraped_v s ON s.link = n.link)"""
+
+CORPUS = (LINKS_V, CORPUS_LINKS, SCRAPED_V, NUMBERED)
+
+SQL["article_ids"] = with_views(*CORPUS) + """
+SELECT issue_id, message_id, link_pos, doc_id, article_n, article_id FROM numbered"""
+
+SQL["link_page_join"] = with_views(*CORPUS) + "SELECT article_id, link, scraped_ok, scraped FROM attached"
+
+SQL["repost_links"] = with_views(LINKS_V, SCRAPED_V) + """
+SELECT l.message_id, l.link_pos, l.link, s.scraped FROM links_v l JOIN scraped_v s ON s.link = l.link"""
+
+
+def email_header(rank: str, msg_id: str, article_id: str | None = None) -> str:
+    head = f"'EMAIL ' || CAST({rank} + 1 AS VARCHAR)"
+    if article_id:
+        head = f"{article_id} || ' - ' || {head}"
+    return f"{NL} || {RULE} || {NL} || {head} || ' (ID: ' || {msg_id} || ')' || {NL} || {RULE} || {NL}"
+
+
+SQL["issue_corpus"] = with_views(*CORPUS) + f"""
+, pieces AS (
+SELECT DISTINCT issue_id, msg_rank, CAST(-1 AS BIGINT) AS link_pos,
+       {email_header('msg_rank', 'message_id')} || 'Text:' || {NL} || 'Digest of ' || message_id || {NL} AS piece
+FROM corpus_links
+UNION ALL
+SELECT issue_id, msg_rank, link_pos,
+       {NL} || '--- ' || article_id || ' - Link ' || CAST(link_pos + 1 AS VARCHAR) || ': ' || link || ' ---' || {NL}
+       || scraped || {NL} AS piece
+FROM attached)
+SELECT issue_id, CAST(row_number() OVER (PARTITION BY issue_id ORDER BY msg_rank, link_pos) - 1 AS BIGINT) AS piece_pos,
+       piece FROM pieces"""
+
+MSG_LINKS_V = """msg_links_v AS (
+SELECT CAST(e.event_id AS VARCHAR) AS message_id, CAST(e.pos AS BIGINT) AS link_pos,
+       coalesce(p.url, 'https://missing.example.com/' || CAST(e.event_id AS VARCHAR)) AS link
+FROM (SELECT event_id, user_id, unnest([0, 1, 2]) AS pos FROM events) e
+LEFT JOIN pages p ON p.page_id = CASE WHEN e.pos < 2 THEN e.user_id + 7 * e.pos END
+WHERE e.pos = 2 OR p.page_id IS NOT NULL)"""
+
+SQL["repost_corpus"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, MSG_LINKS_V) + f"""
+, page_texts AS (SELECT url AS link, {page_text_lines('html')} AS scraped FROM pages),
+firsts AS (SELECT message_id, link, min(link_pos) AS link_pos FROM msg_links_v GROUP BY message_id, link),
+got AS (
+SELECT f.message_id, string_agg(p.scraped, {NL} || {NL} ORDER BY f.link_pos) AS pages_text
+FROM firsts f JOIN page_texts p ON p.link = f.link GROUP BY f.message_id)
+SELECT r.message_id, coalesce(r.title, '') || {NL} || {NL} || coalesce(r.text, '') || {NL} || {NL}
+       || coalesce(g.pages_text, '') AS corpus
+FROM routed2 r LEFT JOIN got g ON g.message_id = r.message_id WHERE r.route = 'repost'"""
+
+EVALUATION_V = """evaluation_v AS (
+SELECT source AS message_id, doc_id, 'ARTICLE_' || CAST(doc_id AS VARCHAR) AS id,
+       CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(n_chars % 101 AS INTEGER) END AS relevancy
+FROM documents)"""
+
+SQL["parse_evaluation"] = with_views(EVALUATION_V) + """
+SELECT message_id, block,
+       CAST(row_number() OVER (PARTITION BY message_id, block ORDER BY doc_id) - 1 AS BIGINT) AS resp_pos,
+       id AS ID, message_id AS source, 'doc ' || CAST(doc_id AS VARCHAR) AS brief_description, relevancy
+FROM (SELECT *, CAST(doc_id // 16 AS BIGINT) AS block FROM evaluation_v)
+WHERE block % 9 <> 0 AND block % 11 <> 0"""
+
+TOP5 = """top5 AS (
+SELECT * FROM (
+  SELECT message_id, id AS ID, relevancy, doc_id,
+         CAST(row_number() OVER (PARTITION BY message_id ORDER BY coalesce(relevancy, 0) DESC, doc_id ASC) - 1 AS BIGINT) AS top_rank
+  FROM evaluation_v)
+WHERE top_rank < 5)"""
+
+SQL["top5"] = with_views(EVALUATION_V, TOP5) + "SELECT message_id, ID, relevancy, top_rank FROM top5"
+
+TOP_ARTICLES = """article_data AS (
+SELECT c.message_id, c.msg_rank, c.link, 'ARTICLE_' || CAST(c.doc_id AS VARCHAR) AS article_id,
+       s.link IS NOT NULL AS scraped_ok, coalesce(s.scraped, '[Failed to scrape this link]') AS scraped
+FROM corpus_links c LEFT JOIN scraped_v s ON s.link = c.link WHERE c.doc_id % 7 <> 0),
+top_articles AS (
+SELECT t.*, a.msg_rank, a.link, a.scraped_ok, a.scraped FROM top5 t
+JOIN article_data a ON a.message_id = t.message_id AND a.article_id = t.ID)"""
+
+SQL["top_articles"] = with_views(EVALUATION_V, TOP5, LINKS_V, CORPUS_LINKS, SCRAPED_V, TOP_ARTICLES) + """
+SELECT message_id, top_rank, ID, relevancy, link, scraped_ok FROM top_articles"""
+
+SQL["top_corpus"] = with_views(EVALUATION_V, TOP5, LINKS_V, CORPUS_LINKS, SCRAPED_V, TOP_ARTICLES) + f"""
+SELECT message_id, string_agg(
+  {email_header('msg_rank', 'message_id', 'ID')} || 'Text:' || {NL} || 'Digest of ' || message_id || {NL}
+  || 'Source: ' || {NL} || 'Brief Description: ' || {NL} || 'Reasoning: ' || {NL}
+  || 'Relevancy: ' || CAST(coalesce(relevancy, 0) AS VARCHAR) || {NL}
+  || {NL} || '--- ' || ID || ' - Link: ' || link || ' ---' || {NL} || scraped || {NL}, '' ORDER BY top_rank) AS corpus
+FROM top_articles GROUP BY message_id"""
+
+SQL["email_header"] = with_views(MESSAGES_V) + f"""
+SELECT message_id, {email_header('msg_rank', 'message_id')} AS header, 'Text:' || {NL} || text || {NL} AS content
+FROM (SELECT *, row_number() OVER (PARTITION BY mailbox_id ORDER BY date DESC, message_id DESC) - 1 AS msg_rank
+      FROM messages_v)"""

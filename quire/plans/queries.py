@@ -408,3 +408,104 @@ def q_url_resolve(spark, sf):
 def q_image_manifest(spark, sf):
     from quire.operators.pages import image_manifest
     return image_manifest(fx.pages_img_v(spark, sf))
+
+
+# ---- 2.7 / 2.9 / 2.12 corpus side -------------------------------------------------------------
+def numbered_articles(spark, sf):
+    from quire.operators.articles import attach_pages, number_articles
+    nl = number_articles(fx.corpus_links(spark, sf))
+    return attach_pages(nl, fx.scraped_v(spark, sf))
+
+
+@register("article_ids")
+def q_article_ids(spark, sf):
+    from quire.operators.articles import number_articles
+    return number_articles(fx.corpus_links(spark, sf)).select("issue_id", "message_id", "link_pos", "doc_id",
+                                                              "article_n", "article_id")
+
+
+@register("link_page_join")
+def q_link_page_join(spark, sf):
+    return numbered_articles(spark, sf).select("article_id", "link", "scraped_ok", "scraped")
+
+
+@register("repost_links")
+def q_repost_links(spark, sf):
+    from quire.operators.articles import attach_pages
+    return attach_pages(fx.links_v(spark, sf), fx.scraped_v(spark, sf), how="inner") \
+        .select("message_id", "link_pos", "link", "scraped")
+
+
+@register("issue_corpus")
+def q_issue_corpus(spark, sf):
+    from quire.operators.articles import issue_corpus
+    arts = numbered_articles(spark, sf)
+    msgs = fx.corpus_links(spark, sf).select("issue_id", "message_id", "msg_rank").distinct() \
+        .withColumn("text", F.concat(F.lit("Digest of "), F.col("message_id")))
+    return issue_corpus(msgs, arts)
+
+
+def page_texts(spark, sf):
+    from quire.functions.html import page_text_lines
+    return _pages(spark, sf).select(F.col("url").alias("link"), page_text_lines("html").alias("scraped"))
+
+
+@register("repost_corpus")
+def q_repost_corpus(spark, sf):
+    from quire.operators.articles import repost_corpus
+    reposts = routed(spark, sf).where(F.col("route") == mb.ROUTE_REPOST)
+    return repost_corpus(reposts, fx.msg_links_v(spark, sf), page_texts(spark, sf))
+
+
+@register("parse_evaluation")
+def q_parse_evaluation(spark, sf):
+    from quire.operators.articles import parse_response
+    items = parse_response(fx.eval_json_v(spark, sf), keep=["message_id", "block"])
+    return items.select("message_id", "block", "resp_pos", "ID", "source",
+                        F.col("`brief description`").alias("brief_description"), "relevancy")
+
+
+def _evals(spark, sf):
+    return fx.evaluation_v(spark, sf).select("message_id", F.col("id").alias("ID"), "relevancy",
+                                             F.col("doc_id").alias("resp_pos"))
+
+
+@register("top5")
+def q_top5(spark, sf):
+    from quire.operators.articles import top_k
+    return top_k(_evals(spark, sf), by="message_id").select("message_id", "ID", "relevancy", "top_rank")
+
+
+def article_data(spark, sf):
+    from quire.operators.articles import attach_pages
+    cl = fx.corpus_links(spark, sf).where(F.col("doc_id") % 7 != 0) \
+        .withColumn("article_id", F.concat(F.lit("ARTICLE_"), F.col("doc_id").cast("string")))
+    return attach_pages(cl, fx.scraped_v(spark, sf))
+
+
+def top_articles(spark, sf):
+    from quire.operators.articles import top_articles as ta
+    arts = article_data(spark, sf).select("message_id", "article_id", "msg_rank", "link", "scraped", "scraped_ok")
+    return ta(_evals(spark, sf), arts, by="message_id")
+
+
+@register("top_articles")
+def q_top_articles(spark, sf):
+    return top_articles(spark, sf).select("message_id", "top_rank", "ID", "relevancy", "link", "scraped_ok")
+
+
+@register("top_corpus")
+def q_top_corpus(spark, sf):
+    from quire.operators.articles import assemble, top_corpus_pieces
+    top = top_articles(spark, sf).withColumn("text", F.concat(F.lit("Digest of "), F.col("message_id"))) \
+        .withColumn("source", F.lit(None).cast("string")).withColumn("brief description", F.lit(None).cast("string")) \
+        .withColumn("reasoning", F.lit(None).cast("string"))
+    return assemble(top_corpus_pieces(top, by="message_id"), by="message_id")
+
+
+@register("email_header")
+def q_email_header(spark, sf):
+    from quire.operators.articles import email_content, email_header
+    m = mb.message_rank(fx.messages_v(spark, sf))
+    return m.select("message_id", email_header(F.col("msg_rank"), F.col("message_id")).alias("header"),
+                    email_content(text=F.col("text")).alias("content"))

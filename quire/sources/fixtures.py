@@ -214,3 +214,31 @@ def pages_mixed_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                        ELSE html END AS html
            FROM {pages}""",
         pages=read_table(spark, sf_dir, "pages"))
+
+
+def eval_json_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses (D9) as JSON text: the evaluation rows of a source in blocks of 16
+    documents, one response per block. Every ninth block is not JSON, every eleventh
+    has no ``news`` key."""
+    from pyspark.sql import functions as F
+    ev = evaluation_v(spark, sf_dir).withColumn("block", (F.col("doc_id") / 16).cast("bigint"))
+    item = F.struct(F.col("id").alias("ID"), F.col("message_id").alias("source"),
+                    F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("brief description"),
+                    F.lit("fits the themes").alias("reasoning"), F.col("relevancy").alias("relevancy"))
+    per = ev.groupBy("message_id", "block").agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", item.alias("it")))).alias("xs"))
+    resp = F.to_json(F.struct(F.transform("xs", lambda x: x["it"]).alias("news")))
+    return per.select("message_id", "block",
+                      F.when(F.col("block") % 9 == 0, F.lit("nope"))
+                       .when(F.col("block") % 11 == 0, F.lit('{"other": 1}'))
+                       .otherwise(resp).alias("response"))
+
+
+def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """links_v in one issue ('weekly'), with the message rank of each source in it."""
+    from quire.operators.ordering import positions
+    from pyspark.sql import functions as F
+    lv = links_v(spark, sf_dir).withColumn("issue_id", F.lit("weekly"))
+    msgs = lv.select("issue_id", "message_id").distinct()
+    ranked = positions(msgs, by=["issue_id"], order=["message_id"], name="msg_rank", skew_safe=False)
+    return lv.join(ranked, ["issue_id", "message_id"])
