@@ -55,4 +55,5 @@ def image_manifest(df: DataFrame, *, html: str = "html", url: str = "url", key:
                    F.concat(F.lit("image_"), F.col("idx").cast("string"), F.lit(".jpg"))).otherwise(base)
     save = F.concat(F.lit(f"images/{folder}/"), safe_name(F.col(url)), F.lit("/"), fname)
     rows = imgs.select(key, img_url.alias("img_url"), save.alias("save_path"), "idx")
-    return rows.groupBy(key, "save_path").agg(F.max_by("img_url", "idx").alias("img_url"))
+    return rows.groupBy(key, "save_path").agg(F.max_by("img_url", "idx").alias("img_url"),
+                                              F.max("idx").cast("bigint").alias("idx"))

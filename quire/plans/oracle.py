@@ -641,3 +641,137 @@ SQL["email_header"] = with_views(MESSAGES_V) + f"""
 SELECT message_id, {email_header('msg_rank', 'message_id')} AS header, 'Text:' || {NL} || text || {NL} AS content
 FROM (SELECT *, row_number() OVER (PARTITION BY mailbox_id ORDER BY date DESC, message_id DESC) - 1 AS msg_rank
       FROM messages_v)"""
+
+# ---- scoring and text ---------------------------------------------------------------------------
+from quire.operators.scoring import CATEGORY_RULES as _RULES  # noqa: E402  (same fixed rule lists)
+from quire.operators.scoring import THEMES as _THEMES  # noqa: E402
+
+
+def theme_count(t: str) -> str:
+    return "(" + " + ".join(f"CAST(coalesce(regexp_matches({t}, {q(p)}), false) AS INTEGER)" for _, p in _THEMES) + ")"
+
+
+def classify(t: str) -> str:
+    return ("CASE " + " ".join(f"WHEN coalesce(regexp_matches({t}, {q(p)}), false) THEN {q(c)}" for c, p in _RULES)
+            + " ELSE 'Other' END")
+
+
+def blocks_re(n: int) -> str:
+    """The block rule as RE2 text; repeats above 1000 are built from 1000-character steps."""
+    k, rest = divmod(n, 1000)
+    if n <= 1000:
+        return rf"(?s).{{1,{n}}}\z|.{{0,{n - 1}}}\.|.{{1,{n}}}"
+    assert rest == 0
+    steps = f"(?:.{{1000}}){{0,{k - 1}}}"
+    return rf"(?s){steps}.{{1,1000}}\z|{steps}.{{0,999}}\.|{steps}.{{1,1000}}"
+
+
+def text_blocks(n: int) -> str:
+    arr = f"CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, {q(blocks_re(n))}) END"
+    return long_form("doc_id", arr, "block_pos", "block", "documents")
+
+
+SQL["text_blocks"] = text_blocks(1000)
+
+
+def text_blocks_recursive(n: int) -> str:
+    """The block rule walked block by block (no repeat limit)."""
+    def cut(start: str) -> str:
+        start = f"({start})"
+        w = f"substring(text, {start}, {n})"
+        dot = f"length(regexp_extract({w}, '(?s)^(.*\\.)', 1))"
+        return (f"CASE WHEN length(text) - {start} + 1 <= {n} THEN length(text) - {start} + 1 "
+                f"WHEN {dot} > 0 THEN {dot} ELSE {n} END")
+    return f"""
+WITH RECURSIVE b(doc_id, text, block_pos, start, len) AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST({cut('1')} AS BIGINT) FROM documents
+  UNION ALL
+  SELECT doc_id, text, block_pos + 1, start + len, CAST({cut('start + len')} AS BIGINT) FROM b
+  WHERE start + len <= length(text))
+SELECT doc_id, block_pos, substring(text, start, len) AS block FROM b"""
+
+
+SQL["text_blocks_udf"] = text_blocks_recursive(5000)
+
+SQL["relevancy_score"] = f"SELECT doc_id, CAST(({theme_count('text')} * 100) // {len(_THEMES)} AS INTEGER) AS relevancy FROM documents"
+
+SQL["theme_filter"] = f"SELECT doc_id FROM documents WHERE {theme_count('text')} > 0"
+
+SQL["classify_category"] = f"SELECT doc_id, {classify('text')} AS category FROM documents"
+
+SQL["future_only"] = with_views(MESSAGES_V) + """
+SELECT message_id, date FROM messages_v WHERE date >= TIMESTAMP '2024-01-20 00:00:00'"""
+
+ARTICLES_V = """articles_v AS (
+SELECT doc_id AS pos, source AS issue_id, substring(text, 1, 40) AS title, source, 'Online' AS location,
+       CASE WHEN doc_id % 4 = 0 THEN 'c' || CAST(doc_id AS VARCHAR) || '@example.com' END AS contact,
+       substring(text, 1, 200) AS description, substring(text, 1, 60) AS summary,
+       'https://example.com/' || CAST(doc_id AS VARCHAR) AS link,
+       CASE doc_id % 8 WHEN 0 THEN 'News' WHEN 1 THEN 'Talks' WHEN 2 THEN 'Events' WHEN 3 THEN 'Workshops'
+                       WHEN 4 THEN 'Opportunity' WHEN 5 THEN 'Other' WHEN 6 THEN 'Podcast' END AS category
+FROM documents)"""
+
+SQL["schema_violations"] = with_views(ARTICLES_V) + """
+SELECT pos, error FROM (
+  SELECT pos, CASE WHEN description IS NULL THEN 'missing description' WHEN title IS NULL THEN 'missing title'
+                   WHEN source IS NULL THEN 'missing source' WHEN location IS NULL THEN 'missing location'
+                   WHEN summary IS NULL THEN 'missing summary' WHEN category IS NULL THEN 'missing category'
+                   WHEN link IS NULL THEN 'missing link'
+                   WHEN category NOT IN ('News','Talks','Events','Workshops','Opportunity','Other') THEN 'unknown category'
+              END AS error
+  FROM articles_v) WHERE error IS NOT NULL"""
+
+
+def normalised(t: str) -> str:
+    return f"lower(regexp_replace({strip(t)}, '\\s+', ' ', 'g'))"
+
+
+EXACT = f"""exact AS (
+SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({normalised('text')})) AS dup_of FROM documents)"""
+
+SQL["dedup_exact"] = with_views(EXACT) + "SELECT doc_id, dup_of, doc_id <> dup_of AS is_copy FROM exact"
+
+SQL["dedup_penalty"] = with_views(EXACT, EVALUATION_V) + """
+SELECT e.doc_id, CAST(CASE WHEN e.doc_id <> e.dup_of THEN coalesce(v.relevancy, 0) // 10
+                           ELSE coalesce(v.relevancy, 0) END AS INTEGER) AS score
+FROM exact e JOIN evaluation_v v ON v.doc_id = e.doc_id"""
+
+SQL["best_image"] = with_views(PAGES_IMG_V) + f"""
+, imgs AS ({long_form("page_id, url", tag_values('html', 'img', 'src'), "idx", "src", "pages_img_v")}),
+r AS (SELECT page_id, url, idx, {url_resolve('url', 'src')} AS img_url FROM imgs WHERE src IS NOT NULL AND src <> ''),
+r2 AS (
+SELECT *, regexp_extract(regexp_extract(img_url, {q(r'^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)')}, 1), '([^/]*)$', 1) AS base
+FROM r),
+m AS (
+SELECT page_id, save_path, arg_max(img_url, idx) AS img_url, max(idx) AS idx FROM (
+  SELECT page_id, idx, img_url,
+         'images/newsletter/' || {safe_name('url')} || '/' ||
+         CASE WHEN base = '' OR NOT contains(base, '.') THEN 'image_' || CAST(idx AS VARCHAR) || '.jpg' ELSE base END AS save_path
+  FROM r2) GROUP BY page_id, save_path)
+SELECT page_id, img_url, save_path FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN ends_with(img_url, '.png') THEN 2 ELSE 1 END DESC,
+                                                         idx ASC) AS rn FROM m)
+WHERE rn = 1"""
+
+SQL["trailing_rate"] = """
+SELECT event_id, user_id, n_in_window, n_in_window > 3 AS over_limit FROM (
+  SELECT event_id, user_id,
+         count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS n_in_window
+  FROM events)"""
+
+SQL["conversation_history"] = """
+SELECT conv_id, count(*) AS n_turns,
+       CAST(to_json(list({'role': CASE WHEN role = 'user' THEN 'user' ELSE 'model' END, 'text': text} ORDER BY turn)) AS VARCHAR) AS history
+FROM conversations GROUP BY conv_id"""
+
+SQL["turn_context"] = """
+SELECT conv_id, turn, n_prior, CASE WHEN prev_role = 'model' THEN prev_text END AS prev_reply FROM (
+  SELECT conv_id, turn, role, CAST(row_number() OVER w - 1 AS BIGINT) AS n_prior,
+         lag(CASE WHEN role = 'user' THEN 'user' ELSE 'model' END) OVER w AS prev_role, lag(text) OVER w AS prev_text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role = 'user'"""
+
+SQL["scored_blocks"] = f"""
+SELECT doc_id, block_pos, CAST(len(regexp_extract_all(block, '\\S+')) AS BIGINT) AS n_words,
+       CAST(length(block) - length(replace(block, '.', '')) AS BIGINT) AS n_stops
+FROM ({text_blocks(1000)})"""

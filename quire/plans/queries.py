@@ -407,7 +407,7 @@ def q_url_resolve(spark, sf):
 @register("image_manifest")
 def q_image_manifest(spark, sf):
     from quire.operators.pages import image_manifest
-    return image_manifest(fx.pages_img_v(spark, sf))
+    return image_manifest(fx.pages_img_v(spark, sf)).select("page_id", "save_path", "img_url")
 
 
 # ---- 2.7 / 2.9 / 2.12 corpus side -------------------------------------------------------------
@@ -509,3 +509,119 @@ def q_email_header(spark, sf):
     m = mb.message_rank(fx.messages_v(spark, sf))
     return m.select("message_id", email_header(F.col("msg_rank"), F.col("message_id")).alias("header"),
                     email_content(text=F.col("text")).alias("content"))
+
+
+# ---- 2.12 / 2.9 scoring and text -------------------------------------------------------------
+def _docs(spark, sf):
+    from quire.sources.tables import read_table
+    return read_table(spark, sf, "documents")
+
+
+@register("text_blocks")
+def q_text_blocks(spark, sf):
+    from quire.operators.text import text_blocks
+    return text_blocks(_docs(spark, sf), max_chars=1000)
+
+
+@register("text_blocks_udf")
+def q_text_blocks_udf(spark, sf):
+    from quire.operators.text import text_blocks
+    return text_blocks(_docs(spark, sf), max_chars=5000)
+
+
+@register("relevancy_score")
+def q_relevancy_score(spark, sf):
+    from quire.operators.scoring import relevancy_score
+    return _docs(spark, sf).select("doc_id", relevancy_score("text").alias("relevancy"))
+
+
+@register("theme_filter")
+def q_theme_filter(spark, sf):
+    from quire.operators.scoring import theme_filter
+    return _docs(spark, sf).where(theme_filter("text")).select("doc_id")
+
+
+@register("classify_category")
+def q_classify_category(spark, sf):
+    from quire.operators.scoring import classify
+    return _docs(spark, sf).select("doc_id", classify("text").alias("category"))
+
+
+@register("future_only")
+def q_future_only(spark, sf):
+    from quire.operators.scoring import future_only
+    return future_only(fx.messages_v(spark, sf), date="date", as_of="2024-01-20").select("message_id", "date")
+
+
+@register("schema_violations")
+def q_schema_violations(spark, sf):
+    from quire.operators.scoring import check_articles
+    _, bad = check_articles(fx.articles_v(spark, sf))
+    return bad.select("pos", "error")
+
+
+@register("dedup_exact")
+def q_dedup_exact(spark, sf):
+    from quire.operators.scoring import exact_copies
+    return exact_copies(_docs(spark, sf).select("doc_id", "text")).select("doc_id", "dup_of", "is_copy")
+
+
+@register("dedup_penalty")
+def q_dedup_penalty(spark, sf):
+    from quire.operators.scoring import exact_copies, penalise_copies
+    d = exact_copies(_docs(spark, sf).select("doc_id", "text"))
+    ev = fx.evaluation_v(spark, sf).select("doc_id", F.col("relevancy").alias("score"))
+    return penalise_copies(d.join(ev, "doc_id")).select("doc_id", "score")
+
+
+@register("dedup_near")
+def q_dedup_near(spark, sf):
+    from quire.operators.scoring import near_copies
+    return near_copies(_docs(spark, sf).select("doc_id", "text"))
+
+
+@register("best_image")
+def q_best_image(spark, sf):
+    from quire.operators.pages import image_manifest
+    from quire.operators.scoring import best_image
+    imgs = image_manifest(fx.pages_img_v(spark, sf)).withColumn(
+        "score", F.when(F.col("img_url").endswith(".png"), F.lit(2)).otherwise(F.lit(1)))
+    return best_image(imgs).select("page_id", "img_url", "save_path")
+
+
+@register("trailing_rate")
+def q_trailing_rate(spark, sf):
+    from quire.operators.scoring import trailing_rate
+    from quire.sources.tables import read_table
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return trailing_rate(ev, window_s=86400, limit=3).select("event_id", "user_id", "n_in_window", "over_limit")
+
+
+@register("conversation_history")
+def q_conversation_history(spark, sf):
+    from quire.operators.text import conversation_history
+    from quire.sources.tables import read_table
+    return conversation_history(read_table(spark, sf, "conversations"))
+
+
+@register("turn_context")
+def q_turn_context(spark, sf):
+    from quire.operators.text import turn_context
+    from quire.sources.tables import read_table
+    return turn_context(read_table(spark, sf, "conversations"))
+
+
+def block_stats(pdf):
+    """A small vectorised scorer for the hook: words and full stops per block."""
+    import pandas as pd
+    return pd.DataFrame({"doc_id": pdf["doc_id"], "block_pos": pdf["block_pos"],
+                         "n_words": pdf["block"].str.count(r"\S+").astype("int64"),
+                         "n_stops": pdf["block"].str.count(r"\.").astype("int64")})
+
+
+@register("scored_blocks")
+def q_scored_blocks(spark, sf):
+    from quire.operators.scoring import score_with
+    from quire.operators.text import text_blocks
+    blocks = text_blocks(_docs(spark, sf), max_chars=1000)
+    return score_with(blocks, block_stats, schema="doc_id long, block_pos long, n_words long, n_stops long")
