@@ -20,7 +20,7 @@ HIDDEN_BLOCKS_LINES = ("script", "style", "noscript", "iframe")
 # Elements whose text is left out of the flat page text (H4).
 HIDDEN_BLOCKS_FLAT = ("script", "style")
 # Named and numeric character references that are unescaped, in this order (&amp; last).
-ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
+ENTITIES = (("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
             ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"),
             ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&#39;", "'"),
             ("&apos;", "'"), ("&#34;", '"'), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))

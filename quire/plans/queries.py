@@ -625,3 +625,62 @@ def q_scored_blocks(spark, sf):
     from quire.operators.text import text_blocks
     blocks = text_blocks(_docs(spark, sf), max_chars=1000)
     return score_with(blocks, block_stats, schema="doc_id long, block_pos long, n_words long, n_stops long")
+
+
+# ---- 2.14 digest ---------------------------------------------------------------------------
+@register("category_color")
+def q_category_color(spark, sf):
+    from quire.operators.digest import category_color
+    return fx.articles_v(spark, sf).select("pos", "category", category_color("category").alias("color"))
+
+
+@register("articles_by_category")
+def q_articles_by_category(spark, sf):
+    from quire.operators.digest import category_of
+    return fx.articles_v(spark, sf).groupBy("issue_id", category_of("category").alias("category")) \
+        .agg(F.count(F.lit(1)).alias("n_articles"))
+
+
+@register("article_html")
+def q_article_html(spark, sf):
+    from quire.operators.digest import article_html
+    a = fx.articles_v(spark, sf)
+    return a.select("pos", article_html(a).alias("html"))
+
+
+def digest_articles(spark, sf):
+    """The kept articles of each issue: top five by relevancy, stable on position."""
+    from quire.operators.articles import top_k
+    a = fx.articles_v(spark, sf)
+    ev = fx.evaluation_v(spark, sf).select(F.col("doc_id").alias("pos"), "relevancy")
+    return top_k(a.join(ev, "pos"), k=5, by="issue_id", pos="pos")
+
+
+@register("category_section")
+def q_category_section(spark, sf):
+    from quire.operators.digest import category_sections
+    return category_sections(digest_articles(spark, sf), by="issue_id", pos="top_rank")
+
+
+@register("newsletter_html")
+def q_newsletter_html(spark, sf):
+    from quire.plans.newsletter import newsletter_issues
+    return newsletter_issues(spark, sf)
+
+
+@register("digest_html")
+def q_digest_html(spark, sf):
+    from quire.operators.digest import newsletter
+    return newsletter(digest_articles(spark, sf), by="issue_id", pos="top_rank")
+
+
+@register("repost_html")
+def q_repost_html(spark, sf):
+    from quire.operators.digest import repost
+    return repost(digest_articles(spark, sf), by="issue_id", pos="top_rank", shared_by=F.col("issue_id"))
+
+
+@register("outbox_rows")
+def q_outbox_rows(spark, sf):
+    from quire.plans.newsletter import newsletter_outbox
+    return newsletter_outbox(spark, sf)
