@@ -877,3 +877,63 @@ SELECT mailbox_id, release_ts, n_sections, html FROM newsletters"""
 SQL["outbox_rows"] = with_views(*ISSUE_CTES, MSG_LINKS_V, KEPT) + """
 SELECT n.mailbox_id, n.release_ts, s.newsletter_email AS "to", 'Newsletter' AS subject, 'me' AS sender, n.html
 FROM newsletters n JOIN setup s ON s.mailbox_id = n.mailbox_id WHERE s.newsletter_email <> ''"""
+
+# ---- news items --------------------------------------------------------------------------------
+PAGES_NEWS_V = """pages_news_v AS (
+SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN html
+       WHEN 1 THEN replace(replace(html, '<article>', '<section>'), '</article>', '</section>')
+       ELSE replace(replace(replace(replace(html, '<article>', '<section>'), '</article>', '</section>'),
+                            '<h1>', '<div>'), '</h1>', '</div>') END AS html
+FROM pages)"""
+
+from quire.operators.news import BLOCK_TAGS as _BLOCKS  # noqa: E402  (fixed tag list)
+
+_blk = "(" + ",".join(q(t) for t in _BLOCKS) + ")"
+
+TOKENS = f"""raw_tokens AS (
+SELECT page_id, url, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS tok FROM (
+  SELECT page_id, url, regexp_extract_all(
+    regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<![^>]*>|<\\?[^>]*>', '', 'g'),
+                   {q(blocks(('script', 'style')))}, '', 'g'),
+    '<[A-Za-z/][^>]*>|[^<]+|<') AS l
+  FROM pages_news_v)),
+tokens AS (
+SELECT *, CASE WHEN starts_with(tok, '</') THEN 'close' WHEN regexp_matches(tok, '^<[A-Za-z]') THEN 'open' ELSE 'text' END AS kind,
+       lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag
+FROM raw_tokens),
+ann AS (
+SELECT *, CASE WHEN kind = 'text' THEN {strip(unescape('tok'))} END AS text,
+       sum(CASE WHEN kind = 'open' AND tag = 'article' THEN 1 WHEN kind = 'close' AND tag = 'article' THEN -1 ELSE 0 END) OVER w AS in_article,
+       sum(CASE WHEN kind = 'open' AND tag = 'article' THEN 1 ELSE 0 END) OVER w AS article_no,
+       sum(CASE WHEN kind = 'open' AND tag = 'h2' THEN 1 WHEN kind = 'close' AND tag = 'h2' THEN -1 ELSE 0 END) OVER w AS in_title,
+       sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 WHEN kind = 'close' AND tag = 'a' THEN -1 ELSE 0 END) OVER w AS in_a,
+       sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 ELSE 0 END) OVER w AS anchor_no,
+       coalesce(last_value(CASE WHEN kind = 'open' AND tag = 'p' THEN 1 WHEN kind = 'close' AND tag = 'p' THEN 0
+                                WHEN kind IN ('open', 'close') AND tag IN {_blk} THEN 0 END IGNORE NULLS) OVER w, 0) = 1 AS in_desc,
+       CASE WHEN kind = 'open' AND tag = 'a' THEN {attr('tok', 'href')} END AS href
+FROM tokens WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+NEWS_TAIL = """'News' AS category, '' AS location, '' AS contact, '' AS requirements, '' AS imageVideosLinks"""
+
+SQL["news_tier1"] = with_views(PAGES_NEWS_V, TOKENS) + f"""
+, g AS (
+SELECT page_id, url, article_no AS item_no,
+       coalesce(string_agg(CASE WHEN in_title > 0 AND kind = 'text' AND text <> '' THEN text END, ' ' ORDER BY pos), '') AS title,
+       coalesce(string_agg(CASE WHEN in_desc AND kind = 'text' AND text <> '' THEN text END, ' ' ORDER BY pos), '') AS description,
+       arg_min(href, CASE WHEN tag = 'a' AND href IS NOT NULL THEN pos END) AS h
+FROM ann WHERE in_article > 0 GROUP BY page_id, url, article_no)
+SELECT page_id, 1 AS tier, CAST(item_no AS BIGINT) AS item_no, title, description,
+       coalesce(CASE WHEN h IS NOT NULL THEN {url_resolve('url', 'h')} END, '') AS link, url AS source, {NEWS_TAIL}
+FROM g WHERE title <> '' OR description <> ''"""
+
+SQL["news_tier3"] = with_views(PAGES_NEWS_V, TOKENS) + f"""
+, g AS (
+SELECT page_id, url, anchor_no AS item_no,
+       coalesce(string_agg(CASE WHEN kind = 'text' AND text <> '' THEN text END, ' ' ORDER BY pos), '') AS title,
+       first(href ORDER BY pos) FILTER (WHERE href IS NOT NULL) AS h
+FROM ann WHERE in_a > 0 GROUP BY page_id, url, anchor_no)
+SELECT page_id, 3 AS tier, CAST(item_no AS BIGINT) AS item_no, title, '' AS description,
+       {url_resolve('url', 'h')} AS link, url AS source, {NEWS_TAIL}
+FROM g WHERE title <> '' AND h IS NOT NULL AND length(title) > 10"""
+
+SQL["html_tokens"] = with_views(PAGES_NEWS_V, TOKENS) + "SELECT page_id, pos, kind, tag, text FROM ann"

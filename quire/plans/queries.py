@@ -684,3 +684,43 @@ def q_repost_html(spark, sf):
 def q_outbox_rows(spark, sf):
     from quire.plans.newsletter import newsletter_outbox
     return newsletter_outbox(spark, sf)
+
+
+# ---- 2.5 news items --------------------------------------------------------------------------
+@register("html_tokens")
+def q_html_tokens(spark, sf):
+    from quire.operators.news import html_tokens
+    return html_tokens(fx.pages_news_v(spark, sf)).select("page_id", "pos", "kind", "tag", "text")
+
+
+def _annotated(spark, sf):
+    from quire.operators.news import annotate, html_tokens
+    return annotate(html_tokens(fx.pages_news_v(spark, sf)))
+
+
+NEWS_COLS = ("page_id", "tier", "item_no", "title", "description", "link", "source", "category", "location",
+             "contact", "requirements", "imageVideosLinks")
+
+
+@register("news_tier1")
+def q_news_tier1(spark, sf):
+    from quire.operators.news import tier1
+    return tier1(_annotated(spark, sf)).select(*NEWS_COLS)
+
+
+@register("news_tier2")
+def q_news_tier2(spark, sf):
+    from quire.operators.news import tier2
+    return tier2(_annotated(spark, sf)).select(*NEWS_COLS)
+
+
+@register("news_tier3")
+def q_news_tier3(spark, sf):
+    from quire.operators.news import tier3
+    return tier3(_annotated(spark, sf)).select(*NEWS_COLS)
+
+
+@register("news_items")
+def q_news_items(spark, sf):
+    from quire.operators.news import news_items
+    return news_items(fx.pages_news_v(spark, sf)).select(*NEWS_COLS)
