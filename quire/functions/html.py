@@ -135,11 +135,12 @@ def page_text_flat(html: str | Column) -> Column:
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 
 
-def _remove_dots(path: Column) -> Column:
-    """Dot segments of a merged path, with the empty middle segments dropped."""
+def _remove_dots(path: Column, relative: Column) -> Column:
+    """Dot segments of a merged path; for a relative reference the empty middle segments
+    are dropped too (a root-relative path keeps them, as urljoin does)."""
     segs = F.split(path, "/")
     n = F.size(segs)
-    mid = F.filter(segs, lambda x, i: (i == 0) | (i == n - 1) | (x != ""))
+    mid = F.filter(segs, lambda x, i: (i == 0) | (i == n - 1) | (x != "") | ~relative)
     out = F.aggregate(mid, F.array().cast("array<string>"),
                       lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
                                       .when(s == ".", acc)
@@ -170,4 +171,4 @@ def url_resolve(base: str | Column, ref: str | Column) -> Column:
              .when(r.startswith("//"), F.concat(scheme, F.lit(":"), r))
              .when(r.startswith("?"), F.concat(root, bpath, r))
              .when(r.startswith("#"), F.concat(root, bpath, bquery, r))
-             .otherwise(F.concat(root, _remove_dots(merged), rrest)))
+             .otherwise(F.concat(root, _remove_dots(merged, ~rpath.startswith("/")), rrest)))

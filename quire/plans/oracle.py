@@ -430,7 +430,7 @@ def url_resolve(b: str, r: str) -> str:
     bdir = f"regexp_replace({bpath}, '[^/]*$', '')"
     merged = f"(CASE WHEN starts_with({rpath}, '/') THEN {rpath} ELSE (CASE WHEN {bdir} = '' THEN '/' ELSE {bdir} END) || {rpath} END)"
     segs = f"string_split({merged}, '/')"
-    mid = f"list_filter({segs}, lambda x, i: i = 1 OR i = len({segs}) OR x <> '')"
+    mid = f"list_filter({segs}, lambda x, i: i = 1 OR i = len({segs}) OR x <> '' OR starts_with({rpath}, '/'))"
     red = (f"list_reduce({mid}, lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc)-1] WHEN s = '.' THEN acc "
            f"ELSE list_append(acc, s) END, []::VARCHAR[])")
     out = f"(CASE WHEN {mid}[-1] IN ('.', '..') THEN list_append({red}, '') ELSE {red} END)"
