@@ -164,13 +164,21 @@ def tier3(ann: DataFrame) -> DataFrame:
     return _items(a.where(keep).withColumn("description", F.lit("")), 3)
 
 
+def annotated_tokens(pages: DataFrame, selectors: dict | None = None) -> DataFrame:
+    """N0 with its flags, written once to the checkpoint folder: the three tiers read it
+    several times, and a re-read is cheaper than tokenising and windowing again."""
+    from quire.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(pages.sparkSession)
+    return annotate(html_tokens(pages), selectors).checkpoint(eager=True)
+
+
 def news_items(pages: DataFrame, *, selectors: dict | None = None, tiers=(1, 2, 3)) -> DataFrame:
     """N4 + N5: per page the items of the first tier that found any."""
-    ann = annotate(html_tokens(pages), selectors)
+    ann = annotated_tokens(pages, selectors)
     parts = {1: lambda: tier1(ann, selectors), 2: lambda: tier2(ann), 3: lambda: tier3(ann)}
     out = None
     for t in tiers:
         part = parts[t]()
         out = part if out is None else out.unionByName(part)
-    best = out.groupBy("page_id").agg(F.min("tier").alias("_best"))
-    return out.join(best, "page_id").where(F.col("tier") == F.col("_best")).drop("_best")
+    best = F.min("tier").over(Window.partitionBy("page_id"))
+    return out.withColumn("_best", best).where(F.col("tier") == F.col("_best")).drop("_best")

@@ -14,27 +14,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---- fixed values ---------------------------------------------------------------------
-# The ten themes news must match; the pattern of each theme is our rule.
+# The ten themes news must match. The keywords of each theme are our rule; a theme
+# matches when one of its keywords occurs in the lower-cased text.
 THEMES = (
-    ("Cyber-Physical Systems", r"(?i)cyber[- ]?physical"),
-    ("Digital-Physical Integration", r"(?i)digital[- ]physical|digital twin"),
-    ("Robotics", r"(?i)robot"),
-    ("Human-Computer Interaction", r"(?i)human[- ]computer|user interface|interaction"),
-    ("Artificial Intelligence", r"(?i)artificial intelligence|machine learning|neural network"),
-    ("Automation", r"(?i)automat"),
-    ("Decentralized Technologies", r"(?i)decentrali[sz]|blockchain|distributed ledger"),
-    ("Ethics in Technology", r"(?i)ethic"),
-    ("Interdisciplinary Research", r"(?i)interdisciplin|research"),
-    ("Innovation and Design", r"(?i)innovat|design"),
+    ("Cyber-Physical Systems", ("cyber-physical", "cyber physical", "cyberphysical")),
+    ("Digital-Physical Integration", ("digital-physical", "digital physical", "digital twin")),
+    ("Robotics", ("robot",)),
+    ("Human-Computer Interaction", ("human-computer", "human computer", "user interface", "interaction")),
+    ("Artificial Intelligence", ("artificial intelligence", "machine learning", "neural network")),
+    ("Automation", ("automat",)),
+    ("Decentralized Technologies", ("decentralis", "decentraliz", "blockchain", "distributed ledger")),
+    ("Ethics in Technology", ("ethic",)),
+    ("Interdisciplinary Research", ("interdisciplin", "research")),
+    ("Innovation and Design", ("innovat", "design")),
 )
-# Digest categories in rule order; the first match wins, else "Other".
-# (Word edges are spelled as "not an ASCII letter" so every regex engine reads them alike.)
+# Digest categories in rule order; the first rule with a keyword as a whole word (an
+# optional plural "s" allowed) wins, else "Other".
 CATEGORY_RULES = (
-    ("Talks", r"(?i)(^|[^a-z])(talk|lecture|seminar|keynote|panel|speaker)s?([^a-z]|$)"),
-    ("Events", r"(?i)(^|[^a-z])(conference|symposium|expo|fair|meetup|summit|congress)(e?s)?([^a-z]|$)"),
-    ("Workshops", r"(?i)(^|[^a-z])(workshop|bootcamp|hands-on|tutorial|course)s?([^a-z]|$)"),
-    ("Opportunity", r"(?i)(^|[^a-z])(job|internship|fellowship|grant|scholarship|competition|hiring)s?([^a-z]|$)|call for papers"),
-    ("News", r"(?i)(^|[^a-z])(announce[sd]?|award|report|partnership|launch(es|ed)?|opens?)([^a-z]|$)"),
+    ("Talks", ("talk", "lecture", "seminar", "keynote", "panel", "speaker")),
+    ("Events", ("conference", "symposium", "expo", "fair", "meetup", "summit", "congress")),
+    ("Workshops", ("workshop", "bootcamp", "hands-on", "tutorial", "course")),
+    ("Opportunity", ("job", "internship", "fellowship", "grant", "scholarship", "competition", "hiring",
+                     "call for papers")),
+    ("News", ("announce", "announced", "award", "report", "partnership", "launch", "launched", "opens", "open")),
 )
 DEFAULT_CATEGORY = "Other"
 DEFAULT_LOCATION = "Online"
@@ -47,29 +49,43 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
-def theme_matches(text: str | Column, themes: Sequence[tuple[str, str]] = THEMES) -> Column:
-    """Number of distinct themes whose pattern occurs in the text."""
-    t = _c(text)
-    return sum((F.coalesce(t.rlike(p), F.lit(False))).cast("int") for _, p in themes)
+def word_rule_regex(words) -> str:
+    """A keyword as a whole word on lower-cased text (edges: not an ASCII letter)."""
+    alts = "|".join(w.replace("-", "\\-") for w in words)
+    return f"(^|[^a-z])({alts})s?([^a-z]|$)"
 
 
-def relevancy_score(text: str | Column, themes: Sequence[tuple[str, str]] = THEMES) -> Column:
+def _any_contains(lt: Column, words) -> Column:
+    cond = F.lit(False)
+    for w in words:
+        cond = cond | lt.contains(w)
+    return cond
+
+
+def theme_matches(text: str | Column, themes=THEMES) -> Column:
+    """Number of distinct themes with a keyword in the text (literal search, no regex)."""
+    lt = F.lower(_c(text))
+    return sum(F.coalesce(_any_contains(lt, kws), F.lit(False)).cast("int") for _, kws in themes)
+
+
+def relevancy_score(text: str | Column, themes=THEMES) -> Column:
     """0-100, the share of themes matched."""
     return ((theme_matches(text, themes) * 100) / len(themes)).cast("int")
 
 
-def theme_filter(text: str | Column, themes: Sequence[tuple[str, str]] = THEMES) -> Column:
+def theme_filter(text: str | Column, themes=THEMES) -> Column:
     """F11 predicate: at least one theme matches."""
     return theme_matches(text, themes) > 0
 
 
-def classify(text: str | Column, rules: Sequence[tuple[str, str]] = CATEGORY_RULES,
-             default: str = DEFAULT_CATEGORY) -> Column:
-    """The category of the first rule that matches."""
-    t = _c(text)
+def classify(text: str | Column, rules=CATEGORY_RULES, default: str = DEFAULT_CATEGORY) -> Column:
+    """The category of the first rule that matches. A literal search on the lower-cased
+    text guards each regex, so the regex only runs where a keyword occurs at all."""
+    lt = F.lower(_c(text))
     out = F.lit(default)
-    for cat, pat in reversed(rules):
-        out = F.when(F.coalesce(t.rlike(pat), F.lit(False)), F.lit(cat)).otherwise(out)
+    for cat, words in reversed(rules):
+        hit = _any_contains(lt, words) & lt.rlike(word_rule_regex(words))
+        out = F.when(F.coalesce(hit, F.lit(False)), F.lit(cat)).otherwise(out)
     return out
 
 
@@ -93,16 +109,20 @@ def check_articles(df: DataFrame, *, categories: Sequence[str] = CATEGORIES,
 
 # ---- copies (X3, W6) -------------------------------------------------------------------------
 def normalised(text: str | Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
+    """Lower case, white-space runs as one space, no space at the ends."""
+    return F.lower(F.trim(F.regexp_replace(_c(text), r"[\s\u00a0]+", " ")))
 
 
 def exact_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """X3 exact: rows with the same normalised text form a group; the smallest key keeps
-    its score, the others are copies. One row per hash is joined back (AQE splits a hot
-    hash on the big side)."""
-    h = df.withColumn("_h", F.sha2(normalised(text), 256))
-    keep = h.groupBy("_h").agg(F.min(key).alias("dup_of"))
-    return h.join(keep, "_h").withColumn("is_copy", F.col(key) != F.col("dup_of")).drop("_h")
+    its score, the others are copies. Returns ``(key, dup_of, is_copy)``. One row per hash
+    is joined back (AQE splits a hot hash on the big side)."""
+    from quire.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # the (key, hash) table is narrow; written once, it feeds both the group and the join
+    hashes = df.select(key, F.sha2(normalised(text), 256).alias("_h")).checkpoint(eager=True)
+    keep = hashes.groupBy("_h").agg(F.min(key).alias("dup_of"))
+    return hashes.join(keep, "_h").select(key, "dup_of", (F.col(key) != F.col("dup_of")).alias("is_copy"))
 
 
 def penalise_copies(df: DataFrame, *, score: str = "score", is_copy: str = "is_copy",
@@ -127,13 +147,16 @@ def near_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     # evaluate it again for every element
     wdf = df.select(key, F.filter(F.split(normalised(text), " "), lambda w: w != "").alias("_w"))
     words = F.col("_w")
-    n = F.size(words)
-    shingles = F.when(n < shingle, F.array(F.array_join(words, " "))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - shingle, F.lit(0))),
-                    lambda i: F.array_join(F.slice(words, i + 1, shingle), " ")))
-    # one row per shingle, one string hash per shingle, then cheap long hashes per seed;
-    # the min per document is a partial aggregate, so only signatures are shuffled
-    sh = wdf.select(key, F.explode(shingles).alias("_s")).withColumn("_h", F.xxhash64("_s"))
+    # words are hashed once; a shingle hash combines the hashes of its words
+    wh = wdf.select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("_wh"))
+    hw = F.col("_wh")
+    n = F.size(hw)
+    shingles = F.when(n < shingle, F.array(F.xxhash64(F.array_join(F.transform(hw, lambda x: x.cast("string")), " "))))\
+        .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - shingle + 1, F.lit(1))),
+                               lambda i: F.xxhash64(*[F.element_at(hw, i + k) for k in range(shingle)])))
+    # one row per shingle, then cheap long hashes per seed; the min per document is a
+    # partial aggregate, so only signatures are shuffled
+    sh = wh.select(key, F.explode(shingles).alias("_h"))
     mins = sh.groupBy(key).agg(*[F.min(F.xxhash64(F.col("_h"), F.lit(j))).alias(f"_m{j}") for j in range(hashes)])
     docs = mins.select(key, F.array(*[F.col(f"_m{j}") for j in range(hashes)]).alias("sig"))
     rows = hashes // bands

@@ -12,14 +12,13 @@ per issue (map-side limited), render per issue (five articles each).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import preview_words
 from quire.operators import digest as dg
 from quire.operators import issues as iss
 from quire.operators.articles import attach_pages, top_k
-from quire.operators.ordering import positions
 from quire.operators.scoring import classify, normalised, relevancy_score
 from quire.sources import fixtures as fx
 
@@ -32,14 +31,16 @@ def scored_articles(spark: SparkSession, sf: str) -> DataFrame:
     r = routed(spark, sf)
     members = iss.issue_messages(r, setup(spark, sf, r), routes=r).select(*ISSUE, "message_id", "msg_rank")
     links = members.join(fx.msg_links_v(spark, sf), "message_id")
-    # an issue holds at most max_results (100) messages, so the plain window is bounded
-    numbered = positions(links, by=ISSUE, order=["msg_rank", "link_pos"], name="article_n", skew_safe=False)
-    arts = attach_pages(numbered, page_texts(spark, sf))
+    # page text only for linked pages, joined on the url before anything is grouped by issue
+    arts = attach_pages(links, page_texts(spark, sf, links))
+    # from here every step is partitioned by the issue (an issue holds at most max_results
+    # messages, so the windows are bounded) and shares one exchange
+    w = Window.partitionBy(*ISSUE).orderBy("msg_rank", "link_pos")
+    arts = arts.withColumn("article_n", (F.row_number().over(w) - 1).cast("bigint"))
     arts = arts.withColumn("relevancy", F.when(F.col("scraped_ok"), relevancy_score("scraped")).otherwise(F.lit(0)))
     # the same page text twice in an issue: later copies keep a tenth of the score
-    h = F.sha2(normalised("scraped"), 256)
-    arts = arts.withColumn("_h", h).join(
-        arts.withColumn("_h", h).groupBy(*ISSUE, "_h").agg(F.min("article_n").alias("_keep")), [*ISSUE, "_h"])
+    keep = F.min("article_n").over(Window.partitionBy(*ISSUE, "_h"))
+    arts = arts.withColumn("_h", F.sha2(normalised("scraped"), 256)).withColumn("_keep", keep)
     arts = arts.withColumn("relevancy", F.when(F.col("article_n") != F.col("_keep"),
                                                (F.col("relevancy") / 10).cast("int")).otherwise(F.col("relevancy")))
     return arts.drop("_h", "_keep")

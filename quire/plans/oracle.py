@@ -644,13 +644,21 @@ from quire.operators.scoring import CATEGORY_RULES as _RULES  # noqa: E402  (sam
 from quire.operators.scoring import THEMES as _THEMES  # noqa: E402
 
 
+def _contains_any(lt: str, words) -> str:
+    return "(" + " OR ".join(f"contains({lt}, {q(w)})" for w in words) + ")"
+
+
 def theme_count(t: str) -> str:
-    return "(" + " + ".join(f"CAST(coalesce(regexp_matches({t}, {q(p)}), false) AS INTEGER)" for _, p in _THEMES) + ")"
+    lt = f"lower({t})"
+    return "(" + " + ".join(f"CAST(coalesce({_contains_any(lt, kws)}, false) AS INTEGER)" for _, kws in _THEMES) + ")"
 
 
 def classify(t: str) -> str:
-    return ("CASE " + " ".join(f"WHEN coalesce(regexp_matches({t}, {q(p)}), false) THEN {q(c)}" for c, p in _RULES)
-            + " ELSE 'Other' END")
+    from quire.operators.scoring import word_rule_regex
+    lt = f"lower({t})"
+    return ("CASE " + " ".join(
+        f"WHEN coalesce({_contains_any(lt, ws)} AND regexp_matches({lt}, {q(word_rule_regex(ws))}), false) THEN {q(c)}"
+        for c, ws in _RULES) + " ELSE 'Other' END")
 
 
 def blocks_re(n: int) -> str:
@@ -720,7 +728,7 @@ SELECT pos, error FROM (
 
 
 def normalised(t: str) -> str:
-    return f"lower(regexp_replace({strip(t)}, '\\s+', ' ', 'g'))"
+    return f"lower(trim(regexp_replace({t}, '[\\s\\x{{00A0}}]+', ' ', 'g')))"
 
 
 EXACT = f"""exact AS (

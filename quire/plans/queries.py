@@ -445,16 +445,23 @@ def q_issue_corpus(spark, sf):
     return issue_corpus(msgs, arts)
 
 
-def page_texts(spark, sf):
+def page_texts(spark, sf, needed: DataFrame | None = None):
+    """H1 text per page url; with ``needed`` (a ``link`` column) only for those pages: the
+    semi join runs first (AQE broadcasts a small link set), so text is extracted only
+    where it is used."""
     from quire.functions.html import page_text_lines
-    return _pages(spark, sf).select(F.col("url").alias("link"), page_text_lines("html").alias("scraped"))
+    p = _pages(spark, sf).select(F.col("url").alias("link"), "html")
+    if needed is not None:
+        p = p.join(needed.select("link"), "link", "left_semi")
+    return p.select("link", page_text_lines("html").alias("scraped"))
 
 
 @register("repost_corpus")
 def q_repost_corpus(spark, sf):
     from quire.operators.articles import repost_corpus
     reposts = routed(spark, sf).where(F.col("route") == mb.ROUTE_REPOST)
-    return repost_corpus(reposts, fx.msg_links_v(spark, sf), page_texts(spark, sf))
+    links = fx.msg_links_v(spark, sf)
+    return repost_corpus(reposts, links, page_texts(spark, sf, links))
 
 
 @register("parse_evaluation")
@@ -569,7 +576,7 @@ def q_dedup_exact(spark, sf):
 @register("dedup_penalty")
 def q_dedup_penalty(spark, sf):
     from quire.operators.scoring import exact_copies, penalise_copies
-    d = exact_copies(_docs(spark, sf).select("doc_id", "text"))
+    d = exact_copies(_docs(spark, sf).select("doc_id", "text"))  # (doc_id, dup_of, is_copy)
     ev = fx.evaluation_v(spark, sf).select("doc_id", F.col("relevancy").alias("score"))
     return penalise_copies(d.join(ev, "doc_id")).select("doc_id", "score")
 
@@ -694,8 +701,8 @@ def q_html_tokens(spark, sf):
 
 
 def _annotated(spark, sf):
-    from quire.operators.news import annotate, html_tokens
-    return annotate(html_tokens(fx.pages_news_v(spark, sf)))
+    from quire.operators.news import annotated_tokens
+    return annotated_tokens(fx.pages_news_v(spark, sf))
 
 
 NEWS_COLS = ("page_id", "tier", "item_no", "title", "description", "link", "source", "category", "location",
