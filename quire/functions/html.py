@@ -107,7 +107,9 @@ def _text_nodes(html: Column, hidden) -> Column:
     no_comments = F.regexp_replace(F.regexp_replace(html, COMMENT_RE, ""), DECL_RE, "")
     no_blocks = F.regexp_replace(no_comments, _blocks_re(hidden), "")
     nodes = F.split(no_blocks, TAG_RE)
-    return F.filter(F.transform(nodes, lambda t: ustrip(unescape(t))), lambda t: t != "")
+    # entity replacement only for nodes that hold an '&'
+    return F.filter(F.transform(nodes, lambda t: ustrip(F.when(t.contains("&"), unescape(t)).otherwise(t))),
+                    lambda t: t != "")
 
 
 def collapse_blank_lines(s: str | Column) -> Column:
