@@ -23,10 +23,11 @@ def sender_address(s: str) -> str:
 CONFIG_TEXT = """
 CASE WHEN event_id % 50 = 0 THEN 'config ' || CAST(event_id AS VARCHAR)
      ELSE '{"limit_newest": ' || CAST(5 + user_id % 40 AS VARCHAR)
-          || ', "active": ' || CASE WHEN user_id % 7 = 0 THEN 'false' ELSE 'true' END
+          || ', "active": ' || CASE WHEN user_id % 23 = 0 THEN 'false' ELSE 'true' END
           || ', "release_time_str": "' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':00:00"'
           || ', "days": ' || CASE user_id % 3 WHEN 0 THEN '["Monday","Friday"]'
-                                           WHEN 1 THEN '["Wednesday"]' ELSE '[]' END
+                                           WHEN 1 THEN '["Wednesday","Saturday"]'
+                                           ELSE '["Tuesday","Thursday","Sunday"]' END
           || ', "send_now": ' || CASE WHEN event_id % 10 = 0 THEN 'true' ELSE 'false' END
           || ', "newsletter_email": "' || CASE WHEN user_id % 11 = 0 THEN ''
                                               ELSE 'news' || CAST(user_id % 4 AS VARCHAR) || '@example.com' END || '"'

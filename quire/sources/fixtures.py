@@ -15,10 +15,11 @@ from quire.sources.tables import read_table
 CONFIG_TEXT_SQL = """
 CASE WHEN event_id % 50 = 0 THEN concat('config ', CAST(event_id AS STRING))
      ELSE concat('{{"limit_newest": ', CAST(5 + user_id % 40 AS STRING),
-                 ', "active": ', CASE WHEN user_id % 7 = 0 THEN 'false' ELSE 'true' END,
+                 ', "active": ', CASE WHEN user_id % 23 = 0 THEN 'false' ELSE 'true' END,
                  ', "release_time_str": "', lpad(CAST(event_id % 24 AS STRING), 2, '0'), ':00:00"',
                  ', "days": ', CASE user_id % 3 WHEN 0 THEN '["Monday","Friday"]'
-                                              WHEN 1 THEN '["Wednesday"]' ELSE '[]' END,
+                                              WHEN 1 THEN '["Wednesday","Saturday"]'
+                                              ELSE '["Tuesday","Thursday","Sunday"]' END,
                  ', "send_now": ', CASE WHEN event_id % 10 = 0 THEN 'true' ELSE 'false' END,
                  ', "newsletter_email": "', CASE WHEN user_id % 11 = 0 THEN ''
                                                  ELSE concat('news', CAST(user_id % 4 AS STRING), '@example.com') END, '"',

@@ -56,3 +56,18 @@ def test_text_and_json_sinks(spark, scratch):
     assert spark.read.text(os.path.join(scratch, "page_text")).count() == pages.count()
     sinks.write_news_json(pages, os.path.join(scratch, "news_json"))
     assert spark.read.json(os.path.join(scratch, "news_json")).count() == pages.count()
+
+
+def test_issue_html_and_setup_rewrites(spark, scratch):
+    docs = spark.createDataFrame([(0, "2024-01-03 12:00:00", "<html>a</html>"), (1, "2024-01-03 12:00:00", "<html>b</html>")],
+                                 "mailbox_id int, release_ts string, html string")
+    path = os.path.join(scratch, "issues_html")
+    sinks.write_issue_html(docs, path)
+    sinks.write_issue_html(docs.where("mailbox_id = 0"), path)   # a replay of one issue rewrites it only
+    assert spark.read.text(path).count() == 2
+    setup = spark.createDataFrame([(0, True, "09:00:00"), (1, False, "")], "mailbox_id int, active boolean, release_time_str string")
+    sp = os.path.join(scratch, "setup_out")
+    sinks.write_setup(setup, sp)
+    sinks.write_setup(setup.where("mailbox_id = 1").withColumn("active", F.lit(True)), sp)
+    got = {r["mailbox_id"]: r["active"] for r in spark.read.json(sp).collect()}
+    assert got == {0: True, 1: True}

@@ -58,3 +58,18 @@ def test_issue_stream_equals_batch(spark, scratch):
     assert len(batch) - len(streamed) <= open_per_mailbox   # only the last issue of a mailbox may stay open
     assert issue_stream is not None
     assert glob.glob(out)
+
+
+def test_late_mail_goes_to_dead_letter(spark, scratch):
+    """Mail dated before an issue that is already written is dead-lettered."""
+    m, src, schema = _split_files(spark, scratch, "late_in")
+    issues = os.path.join(scratch, "late_issues")
+    spark.createDataFrame([(0, "2024-01-10 00:00:00")], "mailbox_id int, release_ts string") \
+        .selectExpr("mailbox_id", "CAST(release_ts AS TIMESTAMP) AS release_ts").write.mode("overwrite").parquet(issues)
+    out = os.path.join(scratch, "late_out")
+    q = run_router(stream_messages(spark, src, schema), fx.whitelist_v(spark, SMALL), out,
+                   checkpoint=os.path.join(scratch, "late_ck"), issues_path=issues)
+    q.awaitTermination()
+    late = spark.read.parquet(f"{out}/dead_letter").where("error = 'issue already released'")
+    want = m.where("mailbox_id = 0 AND date <= TIMESTAMP '2024-01-10 00:00:00'").count()
+    assert late.count() == want > 0
