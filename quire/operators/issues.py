@@ -33,21 +33,42 @@ def release_seconds(release_time: str | Column) -> Column:
     return F.when(ok, secs)
 
 
+def weekday_mask(days: str | Column) -> Column:
+    """Listed weekday names as a 7-bit mask (bit 0 = Monday); unknown names are ignored."""
+    names = F.array(*[F.lit(n) for n in WEEKDAYS])
+    return F.aggregate(_c(days), F.lit(0), lambda acc, x: acc.bitwiseOR(F.when(
+        F.array_position(names, x) > 0, F.element_at(_bits(), F.array_position(names, x).cast("int")))
+        .otherwise(F.lit(0))))
+
+
+def _bits() -> Column:
+    return F.array(*[F.lit(1 << i) for i in range(7)])
+
+
 def next_release(ts: str | Column, days: str | Column, release_time: str | Column,
                  active: str | Column | bool = True) -> Column:
-    """Next release TIMESTAMP_NTZ after ``ts``; NULL when inactive, incomplete or no day listed."""
+    """Next release TIMESTAMP_NTZ after ``ts``; NULL when inactive, incomplete or no day listed.
+
+    Integer form: the listed days are a bit mask; today counts when its bit is set and the
+    time is strictly before the release; else the first set bit among the next 7 days
+    (offset 7 is the same weekday next week)."""
     t = _c(ts).cast("timestamp_ntz")
     d = F.to_date(t)
     secs = release_seconds(release_time)
     day_micros = F.unix_micros(t.cast("timestamp")) - F.unix_micros(d.cast("timestamp"))
     before = day_micros < secs.cast("bigint") * 1_000_000
-    names = F.array(*[F.lit(n) for n in WEEKDAYS])
-    offs = F.filter(F.sequence(F.lit(0), F.lit(7)),
-                    lambda o: F.array_contains(_c(days), F.element_at(names, F.weekday(F.date_add(d, o)) + 1))
-                    & ((o > 0) | before))
-    off = F.array_min(offs)
+    mask = weekday_mask(days)
+    wd = F.weekday(d)
+
+    def listed(offset: int) -> Column:
+        bit = F.element_at(_bits(), (F.pmod(wd + offset, F.lit(7)) + 1).cast("int"))
+        return mask.bitwiseAND(bit) != 0
+
+    off = F.when(listed(0) & before, F.lit(0))
+    for o in range(1, 8):
+        off = off.when(listed(o), F.lit(o))
     act = F.lit(active) if isinstance(active, bool) else F.coalesce(_c(active), F.lit(True))
-    rel = F.to_timestamp_ntz(F.concat(F.date_format(F.date_add(d, off), "yyyy-MM-dd"), F.lit(" "), _c(release_time)))
+    rel = F.date_add(d, off).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
     return F.when(act & secs.isNotNull() & off.isNotNull(), rel)
 
 
