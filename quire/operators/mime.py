@@ -4,7 +4,8 @@ per-type concatenation (P4, P5).
 A payload is a tree; StructType cannot recurse, so the payload is kept as JSON text
 and walked level by level: each level explodes the ``parts`` of the previous one, a
 node without children is a leaf. MIME depth is small, so the loop runs a handful of
-narrow (shuffle-free) steps; the leaves are unioned with their path.
+narrow (shuffle-free) steps over checkpointed frontiers; the leaves are unioned with
+their path.
 """
 
 from __future__ import annotations
@@ -26,21 +27,35 @@ def mime_leaves(messages: DataFrame, *, payload: str = "payload", key: str = "me
                 max_depth: int = 20) -> DataFrame:
     """``(key, path array<int>, mime_type, data)`` for every leaf, depth first by ``path``.
 
-    A node with a non-empty ``parts`` list is not a leaf; an empty list is."""
+    A node with a non-empty ``parts`` list is not a leaf; an empty list is. Each level's
+    frontier (the nodes still to open) is written once with ``checkpoint()``, so level k
+    reads level k-1 instead of re-deriving all earlier levels, and the walk stops at the
+    first empty frontier. Nodes deeper than ``max_depth`` come out as leaves of type NULL."""
+    from quire.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(messages.sparkSession)
     node = messages.select(key, F.array().cast("array<int>").alias("path"), F.col(payload).alias("_node"))
-    leaves = None
-    for _ in range(max_depth):
+    leaves = []
+    for level in range(max_depth + 1):
         parts = F.from_json(F.get_json_object("_node", "$.parts"), "array<string>")
         node = node.withColumn("_parts", parts)
         is_leaf = F.coalesce(F.size("_parts"), F.lit(0)) <= 0
-        leaf = node.where(is_leaf).select(
+        if level == max_depth:
+            leaves.append(node.select(key, "path", F.when(is_leaf, F.get_json_object("_node", "$.mimeType"))
+                                      .alias("mime_type"), F.get_json_object("_node", "$.body.data").alias("data")))
+            break
+        leaves.append(node.where(is_leaf).select(
             key, "path", F.get_json_object("_node", "$.mimeType").alias("mime_type"),
-            F.get_json_object("_node", "$.body.data").alias("data"))
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
+            F.get_json_object("_node", "$.body.data").alias("data")))
         node = (node.where(~is_leaf)
                     .select(key, "path", F.posexplode("_parts").alias("_i", "_node"))
-                    .select(key, F.concat("path", F.array(F.col("_i").cast("int"))).alias("path"), "_node"))
-    return leaves
+                    .select(key, F.concat("path", F.array(F.col("_i").cast("int"))).alias("path"), "_node")
+                    .checkpoint(eager=True))
+        if node.isEmpty():
+            break
+    out = leaves[0]
+    for part in leaves[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def decode_leaves(leaves: DataFrame, *, data: str = "data") -> DataFrame:

@@ -118,7 +118,14 @@ def tier1(ann: DataFrame, selectors: dict | None = None) -> DataFrame:
 
 def tier2(ann: DataFrame) -> DataFrame:
     """Per heading: its text, a link inside it or else under its parent, and the first
-    paragraph after it."""
+    paragraph after it.
+
+    No pairwise joins: the parent of a heading at block depth ``d`` is the last block
+    opened at depth ``d-1`` before it (a window over block opens keyed by depth), it ends
+    at the first block close back at depth ``d-2`` after the heading, and its first link is
+    found by placing a marker row at the parent's start in the page's token order and
+    taking the first link at or after it (``first(..., ignorenulls)`` over the following
+    rows)."""
     heads = ann.where(F.col("in_heading") > 0).groupBy("page_id", "url", F.col("heading_no").alias("item_no")).agg(
         _ordered_text(F.lit(True)).alias("title"),
         F.min_by("href", F.when(F.col("href").isNotNull(), F.col("pos"))).alias("_own"),
@@ -126,30 +133,50 @@ def tier2(ann: DataFrame) -> DataFrame:
     opens = ann.where((F.col("kind") == "open") & F.col("tag").isin(*HEADINGS)) \
                .select("page_id", F.col("heading_no").alias("item_no"), (F.col("depth") - 1).alias("_d"))
     heads = heads.join(opens, ["page_id", "item_no"])
-    # the parent: the last block open before the heading at one level up, until its close
-    blocks = ann.where(F.col("tag").isin(*BLOCK_TAGS) & (F.col("kind") != "text")) \
-                .select("page_id", F.col("pos").alias("_bp"), "kind", "depth")
-    par_open = heads.join(blocks.where(F.col("kind") == "open"), "page_id") \
-        .where((F.col("depth") == F.col("_d")) & (F.col("_bp") < F.col("_start"))) \
-        .groupBy("page_id", "item_no").agg(F.max("_bp").alias("_ps"))
-    par_close = heads.join(blocks.where(F.col("kind") == "close"), "page_id") \
-        .where((F.col("depth") == F.col("_d") - 1) & (F.col("_bp") > F.col("_end"))) \
-        .groupBy("page_id", "item_no").agg(F.min("_bp").alias("_pe"))
-    links = ann.where(F.col("href").isNotNull()).select("page_id", F.col("pos").alias("_lp"), F.col("href").alias("_h"))
-    spans = heads.join(par_open, ["page_id", "item_no"], "left").join(par_close, ["page_id", "item_no"], "left")
-    par_link = spans.join(links, "page_id").where(
-        (F.col("_lp") > F.coalesce("_ps", F.lit(-1))) & (F.col("_lp") < F.coalesce("_pe", F.lit(1 << 62)))) \
-        .groupBy("page_id", "item_no").agg(F.min_by("_h", "_lp").alias("_par"))
-    # the first paragraph that opens after the heading
-    firsts = ann.where((F.col("kind") == "open") & (F.col("tag") == "p")).select("page_id", F.col("p_no").alias("_pn"),
-                                                                                 F.col("pos").alias("_pp"))
-    nxt = heads.join(firsts, "page_id").where(F.col("_pp") > F.col("_end")) \
-               .groupBy("page_id", "item_no").agg(F.min_by("_pn", "_pp").alias("_pn"))
+    blocks = ann.where(F.col("tag").isin(*BLOCK_TAGS) & (F.col("kind") != "text"))
+    # parent start: events keyed by (page, depth): block opens at their depth, heading starts at d-1
+    ev_open = blocks.where(F.col("kind") == "open").select(
+        "page_id", F.col("depth").alias("_k"), F.col("pos").alias("_p"), F.col("pos").alias("_bo"),
+        F.lit(None).cast("bigint").alias("item_no"))
+    ev_head = heads.select("page_id", F.col("_d").alias("_k"), F.col("_start").alias("_p"),
+                           F.lit(None).cast("bigint").alias("_bo"), "item_no")
+    w_back = Window.partitionBy("page_id", "_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    par_s = ev_open.unionByName(ev_head).withColumn("_ps", F.last("_bo", ignorenulls=True).over(w_back)) \
+                   .where(F.col("item_no").isNotNull()).select("page_id", "item_no", "_ps")
+    # parent end: block closes at their depth after closing, heading ends at d-1 - 1
+    ev_close = blocks.where(F.col("kind") == "close").select(
+        "page_id", F.col("depth").alias("_k"), F.col("pos").alias("_p"), F.col("pos").alias("_bc"),
+        F.lit(None).cast("bigint").alias("item_no"))
+    ev_end = heads.select("page_id", (F.col("_d") - 1).alias("_k"), F.col("_end").alias("_p"),
+                          F.lit(None).cast("bigint").alias("_bc"), "item_no")
+    w_fwd = Window.partitionBy("page_id", "_k").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    par_e = ev_close.unionByName(ev_end).withColumn("_pe", F.first("_bc", ignorenulls=True).over(w_fwd)) \
+                    .where(F.col("item_no").isNotNull()).select("page_id", "item_no", "_pe")
+    spans = heads.join(par_s, ["page_id", "item_no"], "left").join(par_e, ["page_id", "item_no"], "left")
+    # first link at or after the parent start, in one ordered pass per page
+    ev_link = ann.where(F.col("href").isNotNull()).select(
+        "page_id", F.col("pos").cast("double").alias("_p"), F.col("pos").alias("_lp"), F.col("href").alias("_h"),
+        F.lit(None).cast("bigint").alias("item_no"))
+    ev_mark = spans.select("page_id", (F.coalesce("_ps", F.lit(-1)) - 0.5).alias("_p"),
+                           F.lit(None).cast("bigint").alias("_lp"), F.lit(None).cast("string").alias("_h"), "item_no")
+    w_page = Window.partitionBy("page_id").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    nxt = F.first(F.when(F.col("_lp").isNotNull(), F.struct("_lp", "_h")), ignorenulls=True).over(w_page)
+    par_link = ev_link.unionByName(ev_mark).withColumn("_nl", F.when(F.col("_lp").isNull(), nxt)) \
+                      .where(F.col("item_no").isNotNull()).select("page_id", "item_no", "_nl")
+    # the first paragraph that opens after the heading: again a marker in token order
+    ev_p = ann.where((F.col("kind") == "open") & (F.col("tag") == "p")).select(
+        "page_id", F.col("pos").cast("double").alias("_p"), F.col("p_no").alias("_pn0"),
+        F.lit(None).cast("bigint").alias("item_no"))
+    ev_he = heads.select("page_id", (F.col("_end") + 0.5).alias("_p"), F.lit(None).cast("bigint").alias("_pn0"),
+                         "item_no")
+    nxt_p = ev_p.unionByName(ev_he).withColumn("_pn", F.first("_pn0", ignorenulls=True).over(w_page)) \
+                .where(F.col("item_no").isNotNull()).select("page_id", "item_no", "_pn")
     ptext = ann.where(F.col("in_desc") & (F.col("kind") == "text") & (F.col("text") != "")) \
                .groupBy("page_id", F.col("p_no").alias("_pn")).agg(_ordered_text(F.lit(True)).alias("description"))
-    out = spans.join(par_link, ["page_id", "item_no"], "left").join(nxt, ["page_id", "item_no"], "left") \
+    out = spans.join(par_link, ["page_id", "item_no"], "left").join(nxt_p, ["page_id", "item_no"], "left") \
                .join(ptext, ["page_id", "_pn"], "left")
-    raw = F.coalesce("_own", "_par")
+    in_parent = F.col("_nl").isNotNull() & (F.col("_nl._lp") < F.coalesce("_pe", F.lit(1 << 62)))
+    raw = F.coalesce(F.col("_own"), F.when(in_parent, F.col("_nl._h")))
     out = out.withColumn("link", F.when(raw.isNotNull(), H.url_resolve(F.col("url"), raw)))
     keep = (F.col("title") != "") & (F.col("link").isNotNull() | (F.coalesce("description", F.lit("")) != ""))
     return _items(out.where(keep), 2)

@@ -917,6 +917,12 @@ SELECT *, CASE WHEN kind = 'text' THEN {strip(unescape('tok'))} END AS text,
        sum(CASE WHEN kind = 'open' AND tag = 'h2' THEN 1 WHEN kind = 'close' AND tag = 'h2' THEN -1 ELSE 0 END) OVER w AS in_title,
        sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 WHEN kind = 'close' AND tag = 'a' THEN -1 ELSE 0 END) OVER w AS in_a,
        sum(CASE WHEN kind = 'open' AND tag = 'a' THEN 1 ELSE 0 END) OVER w AS anchor_no,
+       sum(CASE WHEN kind = 'open' AND tag IN ('h1','h2','h3','h4','h5') THEN 1 ELSE 0 END) OVER w AS heading_no,
+       sum(CASE WHEN kind = 'open' AND tag IN ('h1','h2','h3','h4','h5') THEN 1
+                WHEN kind = 'close' AND tag IN ('h1','h2','h3','h4','h5') THEN -1 ELSE 0 END) OVER w AS in_heading,
+       sum(CASE WHEN kind = 'open' AND tag IN {_blk} AND tag <> 'hr' THEN 1
+                WHEN kind = 'close' AND tag IN {_blk} THEN -1 ELSE 0 END) OVER w AS depth,
+       sum(CASE WHEN kind = 'open' AND tag = 'p' THEN 1 ELSE 0 END) OVER w AS p_no,
        coalesce(last_value(CASE WHEN kind = 'open' AND tag = 'p' THEN 1 WHEN kind = 'close' AND tag = 'p' THEN 0
                                 WHEN kind IN ('open', 'close') AND tag IN {_blk} THEN 0 END IGNORE NULLS) OVER w, 0) = 1 AS in_desc,
        CASE WHEN kind = 'open' AND tag = 'a' THEN {attr('tok', 'href')} END AS href
@@ -924,25 +930,93 @@ FROM tokens WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDE
 
 NEWS_TAIL = """'News' AS category, '' AS location, '' AS contact, '' AS requirements, '' AS imageVideosLinks"""
 
-SQL["news_tier1"] = with_views(PAGES_NEWS_V, TOKENS) + f"""
-, g AS (
+TIER1 = f"""t1g AS (
 SELECT page_id, url, article_no AS item_no,
        coalesce(string_agg(CASE WHEN in_title > 0 AND kind = 'text' AND text <> '' THEN text END, ' ' ORDER BY pos), '') AS title,
        coalesce(string_agg(CASE WHEN in_desc AND kind = 'text' AND text <> '' THEN text END, ' ' ORDER BY pos), '') AS description,
        arg_min(href, CASE WHEN tag = 'a' AND href IS NOT NULL THEN pos END) AS h
-FROM ann WHERE in_article > 0 GROUP BY page_id, url, article_no)
+FROM ann WHERE in_article > 0 GROUP BY page_id, url, article_no),
+tier1 AS (
 SELECT page_id, 1 AS tier, CAST(item_no AS BIGINT) AS item_no, title, description,
        coalesce(CASE WHEN h IS NOT NULL THEN {url_resolve('url', 'h')} END, '') AS link, url AS source, {NEWS_TAIL}
-FROM g WHERE title <> '' OR description <> ''"""
+FROM t1g WHERE title <> '' OR description <> '')"""
 
-SQL["news_tier3"] = with_views(PAGES_NEWS_V, TOKENS) + f"""
-, g AS (
+SQL["news_tier1"] = with_views(PAGES_NEWS_V, TOKENS, TIER1) + "SELECT * FROM tier1"
+
+TIER3 = f"""t3g AS (
 SELECT page_id, url, anchor_no AS item_no,
        coalesce(string_agg(CASE WHEN kind = 'text' AND text <> '' THEN text END, ' ' ORDER BY pos), '') AS title,
        first(href ORDER BY pos) FILTER (WHERE href IS NOT NULL) AS h
-FROM ann WHERE in_a > 0 GROUP BY page_id, url, anchor_no)
+FROM ann WHERE in_a > 0 GROUP BY page_id, url, anchor_no),
+tier3 AS (
 SELECT page_id, 3 AS tier, CAST(item_no AS BIGINT) AS item_no, title, '' AS description,
        {url_resolve('url', 'h')} AS link, url AS source, {NEWS_TAIL}
-FROM g WHERE title <> '' AND h IS NOT NULL AND length(title) > 10"""
+FROM t3g WHERE title <> '' AND h IS NOT NULL AND length(title) > 10)"""
+
+SQL["news_tier3"] = with_views(PAGES_NEWS_V, TOKENS, TIER3) + "SELECT * FROM tier3"
 
 SQL["html_tokens"] = with_views(PAGES_NEWS_V, TOKENS) + "SELECT page_id, pos, kind, tag, text FROM ann"
+
+
+TIER2 = f"""heads AS (
+SELECT page_id, url, heading_no AS item_no,
+       coalesce(string_agg(CASE WHEN kind = 'text' AND text <> '' THEN text END, ' ' ORDER BY pos), '') AS title,
+       arg_min(href, CASE WHEN href IS NOT NULL THEN pos END) AS own, min(pos) AS s, max(pos) AS e
+FROM ann WHERE in_heading > 0 GROUP BY page_id, url, heading_no),
+h AS (
+SELECT heads.*, o.d FROM heads JOIN (
+  SELECT page_id, heading_no AS item_no, depth - 1 AS d FROM ann
+  WHERE kind = 'open' AND tag IN ('h1','h2','h3','h4','h5')) o USING (page_id, item_no)),
+blocks AS (SELECT * FROM ann WHERE tag IN {_blk} AND kind <> 'text'),
+ps AS (
+SELECT page_id, item_no, ps FROM (
+  SELECT *, last_value(bo IGNORE NULLS) OVER (PARTITION BY page_id, k ORDER BY p
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ps
+  FROM (SELECT page_id, depth AS k, pos AS p, pos AS bo, CAST(NULL AS BIGINT) AS item_no FROM blocks WHERE kind = 'open'
+        UNION ALL SELECT page_id, d, s, NULL, item_no FROM h))
+WHERE item_no IS NOT NULL),
+pe AS (
+SELECT page_id, item_no, pe FROM (
+  SELECT *, first_value(bc IGNORE NULLS) OVER (PARTITION BY page_id, k ORDER BY p
+                                               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pe
+  FROM (SELECT page_id, depth AS k, pos AS p, pos AS bc, CAST(NULL AS BIGINT) AS item_no FROM blocks WHERE kind = 'close'
+        UNION ALL SELECT page_id, d - 1, e, NULL, item_no FROM h))
+WHERE item_no IS NOT NULL),
+spans AS (SELECT h.*, ps.ps, pe.pe FROM h LEFT JOIN ps USING (page_id, item_no) LEFT JOIN pe USING (page_id, item_no)),
+pl AS (
+SELECT page_id, item_no, nl FROM (
+  SELECT *, first_value(CASE WHEN lp IS NOT NULL THEN {{'lp': lp, 'h': hr}} END IGNORE NULLS)
+              OVER (PARTITION BY page_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nl
+  FROM (SELECT page_id, CAST(pos AS DOUBLE) AS p, pos AS lp, href AS hr, CAST(NULL AS BIGINT) AS item_no
+        FROM ann WHERE href IS NOT NULL
+        UNION ALL SELECT page_id, coalesce(ps, -1) - 0.5, NULL, NULL, item_no FROM spans))
+WHERE item_no IS NOT NULL),
+np AS (
+SELECT page_id, item_no, pn FROM (
+  SELECT *, first_value(pn0 IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY p
+                                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pn
+  FROM (SELECT page_id, CAST(pos AS DOUBLE) AS p, p_no AS pn0, CAST(NULL AS BIGINT) AS item_no
+        FROM ann WHERE kind = 'open' AND tag = 'p'
+        UNION ALL SELECT page_id, e + 0.5, NULL, item_no FROM h))
+WHERE item_no IS NOT NULL),
+ptext AS (
+SELECT page_id, p_no AS pn, string_agg(text, ' ' ORDER BY pos) AS description
+FROM ann WHERE in_desc AND kind = 'text' AND text <> '' GROUP BY page_id, p_no),
+t2 AS (
+SELECT s.page_id, s.url, s.item_no, s.title, t.description,
+       coalesce(s.own, CASE WHEN l.nl IS NOT NULL AND l.nl.lp < coalesce(s.pe, 4611686018427387904) THEN l.nl.h END) AS raw
+FROM spans s LEFT JOIN pl l USING (page_id, item_no) LEFT JOIN np n USING (page_id, item_no)
+LEFT JOIN ptext t ON t.page_id = s.page_id AND t.pn = n.pn),
+tier2 AS (
+SELECT page_id, 2 AS tier, CAST(item_no AS BIGINT) AS item_no, title, coalesce(description, '') AS description,
+       coalesce(CASE WHEN raw IS NOT NULL THEN {url_resolve('url', 'raw')} END, '') AS link, url AS source, {NEWS_TAIL}
+FROM t2 WHERE title <> '' AND (raw IS NOT NULL OR coalesce(description, '') <> ''))"""
+
+SQL["news_tier2"] = with_views(PAGES_NEWS_V, TOKENS, TIER2) + "SELECT * FROM tier2"
+
+
+SQL["news_items"] = with_views(PAGES_NEWS_V, TOKENS, TIER1, TIER2, TIER3) + """
+SELECT * EXCLUDE (best) FROM (
+  SELECT *, min(tier) OVER (PARTITION BY page_id) AS best FROM (
+    SELECT * FROM tier1 UNION ALL SELECT * FROM tier2 UNION ALL SELECT * FROM tier3))
+WHERE tier = best"""

@@ -12,7 +12,7 @@ ROWS_ONLY = [k for k in KEYS if k not in E.oracle_sql()]
 
 
 def test_every_query_has_sql_or_is_declared_rows_only():
-    assert set(ROWS_ONLY) <= {"dedup_near", "news_tier2", "news_items"}
+    assert set(ROWS_ONLY) <= {"dedup_near"}
 
 
 @pytest.mark.parametrize("key", SQL_KEYS)

@@ -55,3 +55,34 @@ def test_label_update_idempotent(spark):
     once = mb.update_labels(m, ch).select("message_id", F.array_sort("labels").alias("l"))
     twice = mb.update_labels(mb.update_labels(m, ch), ch).select("message_id", F.array_sort("labels").alias("l"))
     assert sorted(once.collect()) == sorted(twice.collect())
+
+
+def test_near_copies_against_brute_force(spark):
+    """MinHash clusters vs exact word-shingle Jaccard over all pairs (small fixture only)."""
+    import re
+    from itertools import combinations
+
+    from quire.operators.scoring import near_copies
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+
+    def shingles(t):
+        w = [x for x in re.sub(r"[\s ]+", " ", t).strip().lower().split(" ") if x]
+        return {tuple(w[i:i + 3]) for i in range(max(len(w) - 2, 1))}
+    sh = {r["doc_id"]: shingles(r["text"]) for r in rows}
+    cl = {r["doc_id"]: r["cluster"] for r in near_copies(docs).collect()}
+    assert set(cl) == set(sh)
+    same, apart = 0, 0
+    for a, b in combinations(sorted(sh), 2):
+        j = len(sh[a] & sh[b]) / max(len(sh[a] | sh[b]), 1)
+        if j >= 0.95:
+            assert cl[a] == cl[b], (a, b, j)
+            same += 1
+        elif j < 0.2 and cl[a] == cl[b]:
+            # only allowed through a chain of close copies, never directly
+            apart += 1
+    assert same > 0
+    assert apart == 0
+    # a cluster is named by its smallest member
+    for d, c in cl.items():
+        assert c <= d
