@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes Unicode white space; Java's \s needs (?U) for that.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters Python's str.strip() removes: every code point whose isspace() is true.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 
 
 def _c(x: str | Column) -> Column:
@@ -17,8 +17,9 @@ def _c(x: str | Column) -> Column:
 
 
 def ustrip(s: str | Column) -> Column:
-    """Strip Unicode white space at both ends."""
-    return F.regexp_replace(_c(s), _EDGE_SPACE, "")
+    """Strip white space at both ends exactly as str.strip() does (a linear trim
+    over a fixed character set, no regex)."""
+    return F.trim(_c(s), F.lit(PY_WHITESPACE))
 
 
 def sender_address(s: str | Column) -> Column:

@@ -58,7 +58,8 @@ def html_tokens(pages: DataFrame, *, key: str = "page_id", html: str = "html", u
     kind = F.when(F.col("tok").startswith("</"), F.lit("close")) \
             .when(F.col("tok").rlike(r"^<[A-Za-z]"), F.lit("open")).otherwise(F.lit("text"))
     return toks.select(key, url, F.col("pos").cast("bigint"), kind.alias("kind"), tag.alias("tag"), "tok",
-                       F.when(kind == "text", H.ustrip(H.unescape(F.col("tok")))).alias("text"))
+                       F.when(kind == "text", H.ustrip(F.when(F.col("tok").contains("&"), H.unescape(F.col("tok")))
+                                                       .otherwise(F.col("tok")))).alias("text"))
 
 
 def _inside(w, cond_open: Column, cond_close: Column) -> Column:
@@ -152,7 +153,10 @@ def tier2(ann: DataFrame) -> DataFrame:
     w_fwd = Window.partitionBy("page_id", "_k").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
     par_e = ev_close.unionByName(ev_end).withColumn("_pe", F.first("_bc", ignorenulls=True).over(w_fwd)) \
                     .where(F.col("item_no").isNotNull()).select("page_id", "item_no", "_pe")
-    spans = heads.join(par_s, ["page_id", "item_no"], "left").join(par_e, ["page_id", "item_no"], "left")
+    # one small row per heading, read by the three lookups below: written once
+    spans = heads.join(par_s, ["page_id", "item_no"], "left").join(par_e, ["page_id", "item_no"], "left") \
+                 .checkpoint(eager=True)
+    heads = spans
     # first link at or after the parent start, in one ordered pass per page
     ev_link = ann.where(F.col("href").isNotNull()).select(
         "page_id", F.col("pos").cast("double").alias("_p"), F.col("pos").alias("_lp"), F.col("href").alias("_h"),

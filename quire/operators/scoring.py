@@ -158,7 +158,8 @@ def near_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     # partial aggregate, so only signatures are shuffled
     sh = wh.select(key, F.explode(shingles).alias("_h"))
     mins = sh.groupBy(key).agg(*[F.min(F.xxhash64(F.col("_h"), F.lit(j))).alias(f"_m{j}") for j in range(hashes)])
-    docs = mins.select(key, F.array(*[F.col(f"_m{j}") for j in range(hashes)]).alias("sig"))
+    # signatures are small (one row of longs per document) and feed three branches: write once
+    docs = mins.select(key, F.array(*[F.col(f"_m{j}") for j in range(hashes)]).alias("sig")).checkpoint(eager=True)
     rows = hashes // bands
     banded = docs.select(key, "sig", F.posexplode(F.array(*[
         F.xxhash64(F.lit(b), *[F.col("sig")[b * rows + r] for r in range(rows)]) for b in range(bands)]))
@@ -174,16 +175,17 @@ def near_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct() \
         .checkpoint(eager=True)
     label = docs.select(F.col(key).alias("a"), F.col(key).alias("label")).checkpoint(eager=True)
+    # labels only ever decrease, so an unchanged sum means no label changed
+    total = label.agg(F.sum("label")).first()[0]
     for _ in range(max_iter):
         nb = und.join(label.withColumnRenamed("a", "b").withColumnRenamed("label", "nl"), "b") \
                 .groupBy("a").agg(F.min("nl").alias("nl"))
         new = label.join(nb, "a", "left").select("a", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        new = new.checkpoint(eager=True)
-        changed = new.join(label.withColumnRenamed("label", "old"), "a").where(F.col("label") != F.col("old")) \
-                     .limit(1).count()
-        label = new
-        if changed == 0:
+        label = new.checkpoint(eager=True)
+        new_total = label.agg(F.sum("label")).first()[0]
+        if new_total == total:
             break
+        total = new_total
     return label.select(F.col("a").alias(key), F.col("label").alias("cluster"),
                         (F.col("a") != F.col("label")).alias("is_copy"))
 
