@@ -19,8 +19,13 @@ REQUIRED_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
-# Settings for scale: AQE re-plans joins and shuffles at run time.
+# Settings for scale: AQE re-plans joins and shuffles at run time. Broadcast joins are
+# chosen only from measured sizes: the planner's estimate-based broadcast is off, and
+# AQE turns a join into a broadcast join once the finished shuffle stage of one side is
+# under the adaptive threshold.
 SCALE_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

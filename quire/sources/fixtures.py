@@ -241,5 +241,5 @@ def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     lv = links_v(spark, sf_dir).withColumn("issue_id", F.lit("weekly"))
     msgs = lv.select("issue_id", "message_id").distinct()
-    ranked = positions(msgs, by=["issue_id"], order=["message_id"], name="msg_rank", skew_safe=False)
+    ranked = positions(msgs, by=["issue_id"], order=["message_id"], name="msg_rank")
     return lv.join(ranked, ["issue_id", "message_id"])
