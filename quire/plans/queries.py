@@ -392,9 +392,10 @@ URL_VARIANTS = ("same", "relative", "parent", "dot", "query", "fragment", "netpa
 
 @register("url_resolve")
 def q_url_resolve(spark, sf):
-    from quire.functions.html import url_resolve
-    from quire.operators.pages import links
-    ls = links(_pages(spark, sf), filtered=False).join(_pages(spark, sf).select("page_id", "url"), "page_id")
+    from quire.functions.html import raw_links, url_resolve
+    # the page url rides along with the extraction: one scan, no join back to pages
+    ls = _pages(spark, sf).select("page_id", "url", F.posexplode(raw_links("html")).alias("link_pos", "link")) \
+        .withColumn("link_pos", F.col("link_pos").cast("bigint"))
     tail = F.substring("link", 2, 1 << 20)
     refs = F.array(F.col("link"), tail, F.concat(F.lit("../"), tail), F.concat(F.lit("./"), tail),
                    F.concat(F.lit("?q="), tail), F.concat(F.lit("#"), tail),
