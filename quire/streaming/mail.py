@@ -42,7 +42,12 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def run_router(stream: DataFrame, whitelist: DataFrame, out_dir: str, *, every: str | None = None,
                delay: str = "1 day", checkpoint: str | None = None, issues_path: str | None = None) -> StreamingQuery:
-    """R2 + R3 + R5 + R6. ``every=None`` processes what is there and stops (tests)."""
+    """R2 + R3 + R5 + R6 + K5. ``every=None`` processes what is there and stops (tests).
+
+    K5: ``config_changes`` is the ledger of all applied config values (one partition per
+    batch). After a batch with config mails, the setup of the mailboxes it touched is
+    folded again from the whole ledger (the newest batch wins, inside a batch the oldest
+    mail) and rewritten under ``out_dir/setup``, one partition per mailbox."""
     spark = stream.sparkSession
     deduped = (stream.withColumn("_event_ts", F.col("date").cast("timestamp"))
                .withWatermark("_event_ts", delay)
@@ -56,7 +61,11 @@ def run_router(stream: DataFrame, whitelist: DataFrame, out_dir: str, *, every:
             bad = cfg.where(F.col("error").isNotNull()).select("mailbox_id", "message_id", "error")
             good = cfg.where(F.col("error").isNull())
             kv = good.select("mailbox_id", "message_id", "date", F.explode("_m").alias("key", "value"))
-            _write_batch(kv.where(F.col("key").isin(*mb.CONFIG_KEYS)), f"{out_dir}/config_changes", batch_id)
+            changes = kv.where(F.col("key").isin(*mb.CONFIG_KEYS))
+            _write_batch(changes, f"{out_dir}/config_changes", batch_id)
+            touched = changes.select("mailbox_id").distinct()
+            if not touched.isEmpty():
+                _upsert_setup(spark, out_dir, touched)
             # A config mail with send_now closes the issue at its own time
             _write_batch(kv.where((F.col("key") == "send_now") & (F.lower("value") == "true"))
                          .select("mailbox_id", F.col("date").alias("as_of"), "message_id"),
@@ -82,6 +91,18 @@ def run_router(stream: DataFrame, whitelist: DataFrame, out_dir: str, *, every:
     return _trigger(w, every).start()
 
 
+def _upsert_setup(spark: SparkSession, out_dir: str, touched: DataFrame) -> None:
+    """K5: refold the ledger for the touched mailboxes and rewrite their setup rows."""
+    from quire.sources.sinks import write_setup
+    ledger = spark.read.parquet(f"{out_dir}/config_changes").join(touched, "mailbox_id", "left_semi")
+    order = F.struct(F.col("batch_id"), (-F.unix_micros(F.col("date").cast("timestamp"))).alias("_d"),
+                     F.col("message_id"))
+    folded = ledger.groupBy("mailbox_id", "key").agg(F.max_by("value", order).alias("value"))
+    setup = iss.setup_from_configs(folded, touched)
+    write_setup(setup.withColumn("days", F.to_json("days"))
+                     .withColumn("whitelisted_senders", F.to_json("whitelisted_senders")), f"{out_dir}/setup")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -73,3 +73,20 @@ def test_late_mail_goes_to_dead_letter(spark, scratch):
     late = spark.read.parquet(f"{out}/dead_letter").where("error = 'issue already released'")
     want = m.where("mailbox_id = 0 AND date <= TIMESTAMP '2024-01-10 00:00:00'").count()
     assert late.count() == want > 0
+
+
+def test_setup_upsert_in_stream(spark, scratch):
+    """K5: the setup written by the router equals the batch fold of the same config mails
+    (one micro-batch here, so the poll is that batch)."""
+    m, src, schema = _split_files(spark, scratch, "setup_in")
+    out = os.path.join(scratch, "setup_out")
+    q = run_router(stream_messages(spark, src, schema), fx.whitelist_v(spark, SMALL), out,
+                   checkpoint=os.path.join(scratch, "setup_ck"))
+    q.awaitTermination()
+    got = {(r["mailbox_id"], r["limit_newest"], r["release_time_str"]) for r in spark.read.json(f"{out}/setup").collect()}
+    r = mb.route_messages(fx.messages_v(spark, SMALL), fx.whitelist_v(spark, SMALL))
+    folded = mb.config_fold(r.where(F.col("route") == mb.ROUTE_CONFIG), poll=F.lit(0))
+    cfg_boxes = folded.select("mailbox_id").distinct()
+    want = {(x["mailbox_id"], x["limit_newest"], x["release_time_str"])
+            for x in iss.setup_from_configs(folded, cfg_boxes).collect()}
+    assert got == want and got
