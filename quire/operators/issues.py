@@ -132,3 +132,27 @@ def issue_messages(messages: DataFrame, setup: DataFrame, *, routes: DataFrame |
     lim = F.when(F.col("limit_newest") > 0, F.least(F.col("limit_newest"), F.lit(max_results))) \
            .when(F.col("limit_newest") == 0, F.lit(0)).otherwise(F.lit(max_results))
     return ranked.where(F.col("msg_rank") < lim).drop("limit_newest")
+
+
+def send_now_issues(messages: DataFrame, requests: DataFrame, setup: DataFrame, *, by: str = "mailbox_id",
+                    date: str = "date", as_of: str = "as_of", max_results: int = 100,
+                    lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+    """A send-now request closes an issue at its own time: the mailbox's messages from
+    ``lookback_days`` before the request day up to the request, in the inbox, not analysed,
+    not taken as config or repost, newest ``limit_newest``.
+
+    Range join by buckets: each request is exploded into its look-back days and joined on
+    (mailbox, day), so a message meets only the requests whose window holds its day."""
+    days = F.sequence(F.date_sub(F.to_date(F.col(as_of)), lookback_days), F.to_date(F.col(as_of)))
+    req = requests.select(by, as_of).distinct() \
+                  .select(by, F.col(as_of).alias("release_ts"), F.explode(days).alias("_day"))
+    m = messages.where(mb.archive_state(0) & mb.labels_none(["ANALYZED"]))
+    if "route" in messages.columns:
+        m = m.where(~F.col("route").isin(mb.ROUTE_CONFIG, mb.ROUTE_REPOST))
+    m = m.withColumn("_day", F.to_date(F.col(date)))
+    hits = m.join(req, [by, "_day"]).where(F.col(date) <= F.col("release_ts")).drop("_day")
+    hits = hits.join(setup.select(by, "limit_newest"), by, "left")
+    ranked = mb.newest_n(hits, max_results, by=[by, "release_ts"], date=date, rank="msg_rank")
+    lim = F.when(F.col("limit_newest") > 0, F.least(F.col("limit_newest"), F.lit(max_results))) \
+           .when(F.col("limit_newest") == 0, F.lit(0)).otherwise(F.lit(max_results))
+    return ranked.where(F.col("msg_rank") < lim).drop("limit_newest")

@@ -1025,3 +1025,19 @@ SELECT * EXCLUDE (best) FROM (
   SELECT *, min(tier) OVER (PARTITION BY page_id) AS best FROM (
     SELECT * FROM tier1 UNION ALL SELECT * FROM tier2 UNION ALL SELECT * FROM tier3))
 WHERE tier = best"""
+
+SQL["send_now_issue"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED, SETUP) + """
+, requests AS (
+SELECT DISTINCT mailbox_id, date AS as_of FROM routed2
+WHERE route = 'config' AND CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END
+  AND lower(json_extract_string(text, '$.send_now')) = 'true'),
+hits AS (
+SELECT r.*, q.as_of AS release_ts, s.limit_newest FROM routed2 r
+JOIN requests q ON q.mailbox_id = r.mailbox_id AND r.date <= q.as_of
+     AND CAST(r.date AS DATE) >= CAST(q.as_of AS DATE) - 7
+LEFT JOIN setup s ON s.mailbox_id = r.mailbox_id
+WHERE list_contains(r.labels, 'INBOX') AND NOT list_contains(r.labels, 'ANALYZED') AND r.route NOT IN ('config', 'repost'))
+SELECT mailbox_id, release_ts, msg_rank, message_id FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY mailbox_id, release_ts ORDER BY date DESC, message_id DESC) - 1 AS BIGINT) AS msg_rank
+  FROM hits)
+WHERE msg_rank < CASE WHEN limit_newest > 0 THEN least(limit_newest, 100) WHEN limit_newest = 0 THEN 0 ELSE 100 END"""

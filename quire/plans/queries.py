@@ -732,3 +732,13 @@ def q_news_tier3(spark, sf):
 def q_news_items(spark, sf):
     from quire.operators.news import news_items
     return news_items(fx.pages_news_v(spark, sf)).select(*NEWS_COLS)
+
+
+@register("send_now_issue")
+def q_send_now_issue(spark, sf):
+    r = routed(spark, sf)
+    cfg = mb.config_entries(r.where(F.col("route") == mb.ROUTE_CONFIG)).where(F.col("error").isNull())
+    requests = cfg.where(F.lower(F.try_element_at("_m", F.lit("send_now"))) == "true") \
+                  .select("mailbox_id", F.col("date").alias("as_of"))
+    out = iss.send_now_issues(r, requests, setup(spark, sf, r))
+    return out.select("mailbox_id", "release_ts", "msg_rank", "message_id")

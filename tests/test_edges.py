@@ -196,3 +196,25 @@ def test_news_tiers(spark):
 def test_preview_words(spark):
     df = spark.createDataFrame([("  a  b\tc\nd e f ",)], "t string")
     assert one(df.select(preview_words("t").alias("p")), "p") == ["a b c d e"]
+
+
+def test_issue_membership_edges(spark):
+    from quire.operators import issues as iss
+    # release every Wednesday 12:00; 2024-01-10 is a Wednesday
+    setup = spark.createDataFrame([(0, True, ["Wednesday"], "12:00:00", 2)],
+                                  "mailbox_id int, active boolean, days array<string>, release_time_str string, limit_newest int")
+    rows = [("a", dt.datetime(2024, 1, 9, 8), ["INBOX"], "not_whitelisted"),    # in: not whitelisted is kept
+            ("b", dt.datetime(2024, 1, 9, 9), ["INBOX"], "repost"),              # out: a whitelisted repost
+            ("c", dt.datetime(2024, 1, 8, 9), [], "not_whitelisted"),            # out: archived
+            ("d", dt.datetime(2024, 1, 9, 10), ["INBOX", "ANALYZED"], "not_whitelisted"),  # out: analysed
+            ("e", dt.datetime(2024, 1, 10, 11), ["INBOX"], "not_whitelisted"),   # in: same day, before the release
+            ("f", dt.datetime(2024, 1, 10, 12), ["INBOX"], "not_whitelisted"),   # next issue: exactly at release time
+            ("g", dt.datetime(2024, 1, 4, 9), ["INBOX"], "not_whitelisted")]     # earlier issue (2024-01-10 window starts 01-03)
+    m = spark.createDataFrame([(0,) + r for r in rows],
+                              "mailbox_id int, message_id string, date timestamp_ntz, labels array<string>, route string")
+    got = {r["message_id"]: r["release_ts"] for r in iss.issue_messages(m, setup, routes=m).collect()}
+    assert got["a"] == got["e"] == dt.datetime(2024, 1, 10, 12)
+    assert got["f"] == dt.datetime(2024, 1, 17, 12)
+    assert "b" not in got and "c" not in got and "d" not in got
+    # newest two per issue: a, e and g fall in the same issue; g is the oldest and drops out
+    assert "g" not in got
