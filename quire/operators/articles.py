@@ -40,12 +40,16 @@ def latest_pages(pages: DataFrame, *, on: str = "link", text: str = "scraped",
 
 
 def attach_pages(links: DataFrame, pages: DataFrame, *, on: str = "link", text: str = "scraped",
-                 how: str = "left", placeholder: str | None = FAILED_SCRAPE) -> DataFrame:
+                 how: str = "left", placeholder: str | None = FAILED_SCRAPE,
+                 fetched: str | None = None) -> DataFrame:
     """J2 (left, failures get the placeholder) and J3 (inner, failures dropped).
 
-    Popular urls make the link side skewed; the sort-merge join is split by AQE's skew
-    handling, the page side holds one row per url."""
-    out = links.join(pages.select(on, text), on, how)
+    The page side is first reduced to one row per url (the latest fetch when ``fetched``
+    is given), so a url fetched twice cannot double the links; that aggregate is on the
+    join key, so the join reuses its partitioning. Popular urls make the link side skewed;
+    the sort-merge join is split by AQE's skew handling."""
+    one = latest_pages(pages.select(on, text, *([fetched] if fetched else [])), on=on, text=text, fetched=fetched)
+    out = links.join(one, on, how)
     if how == "left" and placeholder is not None:
         out = out.withColumn("scraped_ok", F.col(text).isNotNull()) \
                  .withColumn(text, F.coalesce(F.col(text), F.lit(placeholder)))

@@ -218,3 +218,10 @@ def test_issue_membership_edges(spark):
     assert "b" not in got and "c" not in got and "d" not in got
     # newest two per issue: a, e and g fall in the same issue; g is the oldest and drops out
     assert "g" not in got
+
+
+def test_attach_pages_one_row_per_url(spark):
+    links = spark.createDataFrame([("m", 0, "u1"), ("m", 1, "u2")], "message_id string, link_pos long, link string")
+    pages = spark.createDataFrame([("u1", "old", 1), ("u1", "new", 2)], "link string, scraped string, t int")
+    got = {r["link"]: (r["scraped"], r["scraped_ok"]) for r in A.attach_pages(links, pages, fetched="t").collect()}
+    assert got == {"u1": ("new", True), "u2": (A.FAILED_SCRAPE, False)}
