@@ -40,7 +40,8 @@ def test_positions_one_hot_group(spark):
 def test_result_independent_of_partitions(spark):
     import __spark_entry__ as E
     q = E.queries()
-    keys = ("issue_messages", "top_articles", "news_tier1", "dedup_exact")
+    keys = ("issue_messages", "top_articles", "news_tier1", "news_items", "dedup_exact", "dedup_near",
+            "article_ids", "message_rank", "issue_corpus", "trailing_rate", "newsletter_html")
     before = {k: sorted(map(tuple, q[k](spark, SMALL).collect())) for k in keys}
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
