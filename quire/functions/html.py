@@ -49,10 +49,11 @@ def unescape(s: str | Column) -> Column:
 
 
 def _attr_values(tags: Column, attr: str) -> Column:
-    """Value of ``attr`` in each tag of an array; NULL when the tag lacks it."""
+    """Value of ``attr`` in each tag of an array; '' for a bare attribute; NULL when absent."""
     pat = rf"(?is)\s{attr}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+    bare = rf"(?is)\s{attr}([\s/>]|$)"
     return F.transform(tags, lambda t: F.when(t.rlike(pat), unescape(
-        F.regexp_replace(F.regexp_extract(t, pat, 1), r"^[\"']|[\"']$", ""))))
+        F.regexp_replace(F.regexp_extract(t, pat, 1), r"^[\"']|[\"']$", ""))).when(t.rlike(bare), F.lit("")))
 
 
 def _tags(html: Column, name: str) -> Column:

@@ -410,10 +410,16 @@ def clean_scripts(h: str) -> str:
     return f"regexp_replace(regexp_replace({h}, '(?s)<!--.*?-->', '', 'g'), {q(blocks(('script', 'style')))}, '', 'g')"
 
 
+QUOTES_RE = r"^[\"']|[\"']$"
+
+
 def attr(t: str, name: str) -> str:
+    """Value of an attribute in a tag: quoted or bare value unescaped, '' for a bare name."""
     pat = rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
-    return (f"CASE WHEN regexp_matches({t}, {q(pat)}) THEN "
-            f"{unescape(f'regexp_replace(regexp_extract({t}, {q(pat)}, 1), {q(chr(94) + chr(91) + chr(34) + chr(39) + chr(93) + chr(124) + chr(91) + chr(34) + chr(39) + chr(93) + chr(36))}, {q(chr(0))[:-2]}{chr(39)}, {q(chr(103))})')} END")
+    bare = rf"(?is)\s{name}([\s/>]|$)"
+    val = f"regexp_replace(regexp_extract({t}, {q(pat)}, 1), {q(QUOTES_RE)}, '', 'g')"
+    return (f"CASE WHEN regexp_matches({t}, {q(pat)}) THEN {unescape(val)} "
+            f"WHEN regexp_matches({t}, {q(bare)}) THEN '' END")
 
 
 def tag_values(h: str, tag: str, name: str) -> str:
@@ -511,8 +517,12 @@ FROM ls)
 SELECT page_id, link_pos, variant, ref, {url_resolve('url', 'ref')} AS resolved FROM v"""
 
 
+SAFE_RE = r'[\\/:*?"<>|]'
+
+
 def safe_name(x: str) -> str:
-    return f"substring({strip(chr(39).join(['regexp_replace(' + x + ', ', r'[\\/:*?\"<>|]', ', ', '_', ', ', 'g', ')']))}, 1, 255)"
+    replaced = f"regexp_replace({x}, {q(SAFE_RE)}, '_', 'g')"
+    return f"substring({strip(replaced)}, 1, 255)"
 
 
 SQL["image_manifest"] = with_views(PAGES_IMG_V) + f"""

@@ -57,3 +57,13 @@ def write_dead_letter(bad: DataFrame, path: str, *, batch: int | None = None) ->
         out.write.mode("append").parquet(path)
     else:
         _dynamic(out).partitionBy("batch_id").parquet(path)
+
+
+def outbox_from_files(spark, path: str, to: str, subject: str, sender: str | None = None) -> DataFrame:
+    """K6: one outbox row per HTML file in a folder; a missing folder or an empty address
+    gives no rows."""
+    from quire.sources.readers import read_html_files
+    files = read_html_files(spark, path)
+    rows = files.select(F.lit(to).alias("to"), F.lit(subject).alias("subject"), F.col("html"),
+                        F.lit(sender or "me").alias("sender"), "path")
+    return rows.where(F.col("to") != "")

@@ -225,3 +225,9 @@ def test_attach_pages_one_row_per_url(spark):
     pages = spark.createDataFrame([("u1", "old", 1), ("u1", "new", 2)], "link string, scraped string, t int")
     got = {r["link"]: (r["scraped"], r["scraped_ok"]) for r in A.attach_pages(links, pages, fetched="t").collect()}
     assert got == {"u1": ("new", True), "u2": (A.FAILED_SCRAPE, False)}
+
+
+def test_bare_href_counts_as_empty(spark):
+    df = spark.createDataFrame([('<a href>x</a><a name="n">y</a><a href="/z">z</a>',)], "html string")
+    r = df.select(H.raw_links("html").alias("raw"), H.filtered_links("html").alias("kept")).collect()[0]
+    assert list(r["raw"]) == ["", "/z"] and list(r["kept"]) == ["/z"]

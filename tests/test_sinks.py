@@ -71,3 +71,14 @@ def test_issue_html_and_setup_rewrites(spark, scratch):
     sinks.write_setup(setup.where("mailbox_id = 1").withColumn("active", F.lit(True)), sp)
     got = {r["mailbox_id"]: r["active"] for r in spark.read.json(sp).collect()}
     assert got == {0: True, 1: True}
+
+
+def test_outbox_from_files(spark, scratch):
+    d = os.path.join(scratch, "html_out_in")
+    os.makedirs(d, exist_ok=True)
+    with open(os.path.join(d, "n.html"), "w") as f:
+        f.write("<html>n</html>")
+    rows = sinks.outbox_from_files(spark, d, "a@x", "Newsletter").collect()
+    assert len(rows) == 1 and rows[0]["html"] == "<html>n</html>" and rows[0]["sender"] == "me"
+    assert sinks.outbox_from_files(spark, os.path.join(scratch, "none"), "a@x", "N").count() == 0
+    assert sinks.outbox_from_files(spark, d, "", "N").count() == 0
