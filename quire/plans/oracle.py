@@ -20,8 +20,9 @@ def strip(x: str) -> str:
 
 
 def sender_address(s: str) -> str:
+    inner = f"regexp_extract({s}, '<([^>]+)>', 1)"
     return (f"CASE WHEN {s} IS NULL OR {s} = '' THEN '' "
-            f"WHEN regexp_matches({s}, '<[^>]+>') THEN {strip(f'regexp_extract({s}, {chr(39)}<([^>]+)>{chr(39)}, 1)')} "
+            f"WHEN regexp_matches({s}, '<[^>]+>') THEN {strip(inner)} "
             f"ELSE {strip(s)} END")
 
 
@@ -388,7 +389,7 @@ def text_nodes(h: str, hidden) -> str:
 
 
 def collapse(x: str) -> str:
-    return f"regexp_replace({x}, '\\n\\s*\\n+', {q(chr(10) * 2)}, 'g')"
+    return f"regexp_replace({x}, '\\n\\s*\\n+', {q("\n\n")}, 'g')"
 
 
 def neutralise(h: str) -> str:
@@ -423,7 +424,8 @@ def attr(t: str, name: str) -> str:
 
 
 def tag_values(h: str, tag: str, name: str) -> str:
-    tags = f"regexp_extract_all({clean_scripts(h)}, {q(f'(?i)<{tag}(?:' + chr(92) + 's[^>]*)?/?>')})"
+    tag_re = rf"(?i)<{tag}(?:\s[^>]*)?/?>"
+    tags = f"regexp_extract_all({clean_scripts(h)}, {q(tag_re)})"
     return f"list_transform({tags}, lambda t: {attr('t', name)})"
 
 
@@ -860,10 +862,10 @@ SQL["digest_html"] = with_views(ARTICLES_V, EVALUATION_V, DIGEST_ARTICLES) + doc
 _shared = _dg.SHARED_TPL.split("{}")
 SQL["repost_html"] = with_views(ARTICLES_V, EVALUATION_V, DIGEST_ARTICLES) + f"""
 SELECT issue_id,
-       {q(_dg.DOC_OPEN.format("News Repost"))} || {q(_dg.HEADER_TPL.format("News Repost") + chr(10))}
+       {q(_dg.DOC_OPEN.format("News Repost"))} || {q(_dg.HEADER_TPL.format("News Repost") + "\n")}
        || {q(_shared[0])} || issue_id || {q(_shared[1])} || {NL}
        || string_agg({article_html()}, {NL} ORDER BY top_rank)
-       || {q(chr(10) + _dg._footer("Weekly digest", None) + _dg.DOC_CLOSE)} AS html
+       || {q("\n" + _dg._footer("Weekly digest", None) + _dg.DOC_CLOSE)} AS html
 FROM digest_articles GROUP BY issue_id"""
 
 EMAIL_RE = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
