@@ -28,7 +28,6 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5")
 BLOCK_TAGS = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form",
               "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section",
               "table", "ul", "li", "body", "html")
-VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 NEWS_CATEGORY = "News"
 MIN_LINK_TITLE = 10
 # ---------------------------------------------------------------------------------------
