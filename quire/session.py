@@ -40,18 +40,29 @@ SCALE_CONF = {
 
 def get_spark(master: str | None = None, app: str = "quire", shuffle_partitions: int | None = None,
               **extra: str) -> SparkSession:
-    """Return the active session, or build a local one with the settings above."""
+    """Return the active session, or build one with the settings above.
+
+    Under ``spark-submit`` (the JVM gateway already runs) the submitter's master and
+    settings win: only the result-relevant settings are forced, and scale settings fill
+    in what was not given. Otherwise a local session is built (tests, bench)."""
     active = SparkSession.getActiveSession()
     if active is not None:
         apply_required(active)
         return active
-    master = master or os.environ.get("QUIRE_MASTER", "local[*]")
-    b = SparkSession.builder.master(master).appName(app)
-    for k, v in {**REQUIRED_CONF, **SCALE_CONF}.items():
+    from pyspark import SparkConf
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+    given = SparkConf()
+    b = SparkSession.builder.appName(app)
+    if not submitted:
+        b = b.master(master or os.environ.get("QUIRE_MASTER", "local[*]"))
+        b = b.config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
+    for k, v in SCALE_CONF.items():
+        if not (submitted and given.contains(k)):
+            b = b.config(k, v)
+    for k, v in REQUIRED_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
     for k, v in extra.items():
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
