@@ -99,8 +99,11 @@ def issue_corpus(messages: DataFrame, articles: DataFrame, *, by: str = "issue_i
                         F.concat(link_header(F.col("article_id"), F.col("link"), F.col("link_pos")),
                                  F.col(scraped), F.lit("\n")).alias("piece"))
     pieces = m.unionByName(a)
-    return positions(pieces, by=[by], order=["msg_rank", "link_pos"], name="piece_pos") \
-        .select(by, "piece_pos", "piece")
+    # (issue, msg_rank, link_pos) is unique: number the narrow key table, then join the
+    # text back, so the checkpoint never holds page text
+    keys = [by, "msg_rank", "link_pos"]
+    numbered = positions(pieces.select(*keys), by=[by], order=["msg_rank", "link_pos"], name="piece_pos")
+    return pieces.join(numbered, keys).select(by, "piece_pos", "piece")
 
 
 def assemble(pieces: DataFrame, *, by: str | Sequence[str] = "issue_id", pos: str = "piece_pos",

@@ -142,9 +142,11 @@ def mailbox_query(messages: DataFrame, *, start=None, end=None, archived: int =
 
 def message_rank(df: DataFrame, *, by: str = "mailbox_id", date: str = "date", key: str = "message_id",
                  name: str = "msg_rank") -> DataFrame:
-    """0-based index in newest-first order, exact and skew-safe."""
+    """0-based index in newest-first order, exact and skew-safe. Ranks are computed on
+    the narrow (mailbox, date, id) table and joined back on (mailbox, id)."""
     from quire.operators.ordering import positions
-    return positions(df, by=[by], order=[F.col(date).desc(), F.col(key).desc()], name=name)
+    narrow = positions(df.select(by, date, key), by=[by], order=[F.col(date).desc(), F.col(key).desc()], name=name)
+    return df.join(narrow.drop(date), [by, key])
 
 
 # ---- whitelist and routing -------------------------------------------------------------
