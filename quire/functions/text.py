@@ -50,9 +50,11 @@ def safe_name(s: str | Column, max_len: int = 255) -> Column:
 def mail_date(s: str | Column) -> Column:
     """RFC 2822 date header -> UTC TIMESTAMP; NULL when missing or not a date.
 
-    The weekday is optional and ignored; zones as ``+hhmm`` or a name such as ``GMT``.
+    The weekday is optional and ignored; zones as ``+hhmm`` or a name such as ``GMT``; a
+    trailing comment such as ``(UTC)`` is dropped.
     """
     core = F.regexp_replace(ustrip(_c(s)), r"^[A-Za-z]{3},\s*", "")
+    core = F.regexp_replace(core, r"\s*\([^)]*\)$", "")  # a trailing zone comment such as (UTC)
     return F.coalesce(F.try_to_timestamp(core, F.lit("d MMM yyyy HH:mm:ss XX")),
                       F.try_to_timestamp(core, F.lit("d MMM yyyy HH:mm:ss z")),
                       F.try_to_timestamp(core, F.lit("d MMM yyyy HH:mm XX")))

@@ -167,7 +167,8 @@ SELECT message_id, date_header,
        coalesce(timezone('UTC', try_strptime(core, '%d %b %Y %H:%M:%S %z')),
                 CAST(try_strptime(regexp_replace(core, ' (GMT|UTC|UT)$', ''), '%d %b %Y %H:%M:%S') AS TIMESTAMP)) AS mail_date
 FROM (SELECT message_id, date_header,
-             regexp_replace({strip('date_header')}, '^[A-Za-z]{{3}},\\s*', '') AS core
+             regexp_replace(regexp_replace({strip('date_header')}, '^[A-Za-z]{{3}},\\s*', ''),
+                            '\\s*\\([^)]*\\)$', '') AS core
       FROM (SELECT message_id, {header('date')} AS date_header FROM headers_v))"""
 
 PARTS_V = """parts_v AS (

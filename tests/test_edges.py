@@ -22,9 +22,10 @@ def one(df, col):
 
 def test_mail_date(spark):
     df = spark.createDataFrame([("Mon, 1 Jan 2024 10:00:00 +0200",), ("1 Jan 2024 10:00:00 GMT",), (None,),
-                                ("junk",)], "d string")
+                                ("junk",), ("Tue, 2 Jan 2024 09:30:00 +0000 (UTC)",)], "d string")
     got = one(df.select(mail_date("d").cast("timestamp_ntz").alias("t")), "t")
-    assert got == [dt.datetime(2024, 1, 1, 8), dt.datetime(2024, 1, 1, 10), None, None]
+    assert got == [dt.datetime(2024, 1, 1, 8), dt.datetime(2024, 1, 1, 10), None, None,
+                   dt.datetime(2024, 1, 2, 9, 30)]
 
 
 def test_header_last_wins(spark):
