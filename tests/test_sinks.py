@@ -82,3 +82,11 @@ def test_outbox_from_files(spark, scratch):
     assert len(rows) == 1 and rows[0]["html"] == "<html>n</html>" and rows[0]["sender"] == "me"
     assert sinks.outbox_from_files(spark, os.path.join(scratch, "none"), "a@x", "N").count() == 0
     assert sinks.outbox_from_files(spark, d, "", "N").count() == 0
+
+
+def test_query_runner_writes_parquet(spark, scratch):
+    from quire.plans.run import main
+    out = os.path.join(scratch, "runner_out")
+    assert main(["--tables", SMALL, "--out", out, "scan_pages", "safe_name"]) == 0
+    assert spark.read.parquet(os.path.join(out, "scan_pages")).count() == spark.read.parquet(f"{SMALL}/pages.parquet").count()
+    assert spark.read.parquet(os.path.join(out, "safe_name")).columns == ["page_id", "name"]
