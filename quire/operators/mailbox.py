@@ -192,11 +192,13 @@ def config_fold(configs: DataFrame, *, by: str = "mailbox_id", poll: str | Colum
     """A5: per mailbox and known key, the last applied value: the newest poll, and in a
     poll the oldest message (mails are walked newest first). Unknown keys are ignored."""
     p = F.col(poll) if isinstance(poll, str) else poll
-    good = config_entries(configs, text=text).where(F.col("error").isNull())
-    # explode_outer: a plain explode makes Catalyst infer size(from_json(text)) > 0 and push
-    # it below the routing join, parsing every message instead of the config mails only
-    kv = good.select(by, p.alias("_poll"), date, key, F.explode_outer("_m").alias("key", "value")) \
-             .where(F.col("key").isin(*CONFIG_KEYS))
+    # No separate "parsed" filter and explode_outer, not explode: either would give Catalyst
+    # a predicate on from_json(text) to push below the routing join, parsing every message
+    # instead of the config mails only. A text that is not a JSON object yields a NULL key,
+    # which the known-key filter drops.
+    kv = config_entries(configs, text=text) \
+        .select(by, p.alias("_poll"), date, key, F.explode_outer("_m").alias("key", "value")) \
+        .where(F.col("key").isin(*CONFIG_KEYS))
     order = F.struct(F.col("_poll"), (-F.unix_micros(F.col(date).cast("timestamp"))).alias("_d"), F.col(key))
     return kv.groupBy(by, "key").agg(F.max_by("value", order).alias("value"))
 
