@@ -45,3 +45,11 @@ def test_no_cartesian_products(spark):
             continue
         p = plan(fn(spark, SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, k
+
+
+def test_config_json_parsed_after_routing(spark):
+    """No predicate on from_json(text) may reach below the routing join (it would parse
+    every message instead of the config mails)."""
+    from quire.plans import queries as Q
+    p = Q.folded_config(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in p.splitlines() if "Filter" in line and "from_json" in line]
