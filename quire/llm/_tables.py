@@ -10,6 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.session import ensure_checkpoint_dir
 
 
+#: Session settings of a run. Python batches stay small; shuffle files go once their
+#: stage table is written, so the disk holds one stage's shuffles and not all of them.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the checkpoint folder that driver and executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quire-{name}-{uuid.uuid4().hex[:12]}"
@@ -25,12 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def file_bytes(df: DataFrame) -> int:
-    """The optimiser's size of a table in bytes: file sizes, no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    """The optimiser's size of a stored table in bytes: file sizes, no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, mb: float, least: int | None = None) -> int:
-    """Shuffle partitions so that one holds about ``mb`` MB of the input's files."""
+    """Shuffle partitions so that one holds about ``mb`` MB of a stored table."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(base if least is None else least, -(-file_bytes(df) // int(mb * 1e6)))
 

@@ -6,24 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm._tables import prepared
 from quire.sources.tables import read_table
 
-#: Rows of an Arrow batch; texts are cut into slices of a few MB anyway.
-ARROW_ROWS = "512"
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(prepared(spark), sf_dir, "documents")
 
-def _prepared(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    return spark
+
+def op7_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op07_fixed_blocks import remove_repeats
+    return remove_repeats(_docs(spark, sf_dir))
 
 
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op10_prefix_tree_join import classes_and_components
-    return classes_and_components(read_table(_prepared(spark), sf_dir, "documents"))
+    return classes_and_components(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_prefix_tree_join": op10_prefix_tree_join,
+    f.__name__: f for f in (op7_fixed_block_dedup, op10_prefix_tree_join)
 }
 
 SQL: dict[str, str] = {}
