@@ -14,6 +14,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(prepared(spark), sf_dir, "documents")
 
 
+def op3_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op03_containment import contaminated
+    return contaminated(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op07_fixed_blocks import remove_repeats
     return remove_repeats(_docs(spark, sf_dir))
@@ -25,7 +30,7 @@ def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_fixed_block_dedup, op10_prefix_tree_join)
+    f.__name__: f for f in (op3_containment_search, op7_fixed_block_dedup, op10_prefix_tree_join)
 }
 
 SQL: dict[str, str] = {}
