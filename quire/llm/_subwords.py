@@ -23,8 +23,10 @@ def lowered(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return T.raw(pc.utf8_lower(rows.column(rows.schema.get_field_index("text"))))
 
 
-def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(flat feature ids, offsets) of words given by their bytes."""
+def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, grams: tuple[int, int],
+                  affixes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(flat feature ids, offsets) of words given by their bytes: byte n-grams with word edges,
+    prefixes and suffixes of up to ``affixes`` bytes, and the word itself."""
     n = end - start
     size = n + 2                                                 # an edge mark on both sides
     at = np.cumsum(size) - size
@@ -36,12 +38,14 @@ def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     left = np.repeat(size, size) - (np.arange(total) - np.repeat(at, size))   # bytes from here to the end
     ids, own = [], []
     h = b.copy()
-    for k in range(2, 5):                                        # n-grams over edges and bytes
+    for k in range(2, grams[1] + 1):                             # n-grams over edges and bytes
         h = h[:-1] * T.STEP + b[k - 1:]
+        if k < grams[0]:
+            continue
         ok = np.flatnonzero(left[: len(h)] >= k)
         ids.append(T.mix(h[ok] ^ np.uint64(k)) % np.uint64(BUCKETS))
         own.append(owner[ok])
-    for k in range(1, 5):                                        # affixes
+    for k in range(1, affixes + 1):
         has = np.flatnonzero(n >= k)
         p = np.zeros(len(has), np.uint64)
         s = np.zeros(len(has), np.uint64)
@@ -66,11 +70,11 @@ class Vocabulary(NamedTuple):
     lettered: np.ndarray    # whether a distinct word holds anything but digits
 
 
-def vocabulary(buf: np.ndarray, offs: np.ndarray) -> Vocabulary:
+def vocabulary(buf: np.ndarray, offs: np.ndarray, grams: tuple[int, int] = (2, 4), affixes: int = 4) -> Vocabulary:
     start, end, row = T.words(buf, offs, T.PUNCT)
     h = T.word_hash(buf, start, end)
     _, pick, back = np.unique(h, return_index=True, return_inverse=True)
-    flat, at = word_features(buf, start[pick], end[pick])
+    flat, at = word_features(buf, start[pick], end[pick], grams, affixes)
     n = end[pick] - start[pick]
     inside = np.repeat(start[pick], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     digit = (buf[inside] >= 48) & (buf[inside] <= 57)

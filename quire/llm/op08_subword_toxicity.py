@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word's vector is the mean of the vectors of its character n-grams, affixes and itself
-(hashed), so a misspelling or ending never seen shares most of its vectors with the words
+A word's vector is the mean of the vectors of its character n-grams (3 to 5 bytes with
+word edges) and of itself (hashed), so a misspelling or ending never seen shares most of its vectors with the words
 learned. The vectors of a segment of ``SEGMENT`` words are averaged and go into a linear softmax
 of two classes. A text's log odds are the log-sum-exp of its segments': one insult in a long
 text is not averaged away. Embeddings and softmax are trained together in numpy on that document score.
@@ -31,6 +31,9 @@ from quire.llm._subwords import BUCKETS, fold, lowered, vocabulary
 
 SEGMENT = 24
 DIM = 8
+#: Averages are multiplied by this before the softmax, so that weights of about 1 suffice.
+SCALE = 240.0
+GRAMS = (3, 5)
 
 
 def segments(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +64,7 @@ class Bag:
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         rows = len(offs) - 1
-        v = vocabulary(buf, offs)
+        v = vocabulary(buf, offs, GRAMS, 0)
         start, seg = segments(v.row, rows)
         if not len(start):
             return sigmoid(np.full(rows, self.bias))
@@ -76,17 +79,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 60, rate: float = 0.1, seed: int = 11) -> Bag:
-    """Joint training of embeddings and softmax, full batch with adaptive steps."""
+def fit(texts: list[str], y: np.ndarray, rounds: int = 80, rate: float = 2.0, seed: int = 11, least: int = 5) -> Bag:
+    """Joint training of embeddings and softmax by gradient descent with momentum, full batch: a
+    subword moves with the number of texts that ask for it, so shared subwords are learned before
+    chance ones. Subwords of fewer than ``least`` texts keep the zero vector; the round with the
+    best held-back loss is kept."""
     buf, offs = T.raw(pc.utf8_lower(pa.array(texts, pa.large_string())))
-    v = vocabulary(buf, offs)
+    v = vocabulary(buf, offs, GRAMS, 0)
     start, seg = segments(v.row, len(texts))
     rng = np.random.default_rng(seed)
-    used, flat = np.unique(v.flat, return_inverse=True)          # only subwords that occur are trained
-    emb = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
-    soft = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    if not len(start):
+        return Bag(np.zeros(BUCKETS, np.float32), -1000.0)
+    n = np.diff(np.append(v.starts, len(v.flat)))
+    texts_of = np.bincount(np.unique(v.row * np.int64(len(n)) + v.back) % len(n), minlength=len(n))
+    df = np.bincount(v.flat, np.repeat(texts_of, n), BUCKETS)    # texts a subword occurs in, by its words
+    known = df[v.flat] >= least
+    owner = np.repeat(np.arange(len(n)), n)[known]               # word of every trained subword
+    used, flat = np.unique(v.flat[known], return_inverse=True)
+    has, word_at = np.unique(owner, return_index=True)           # words with a trained subword
+    emb = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
+    soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.array([2.0, -2.0], np.float32)
-    n = np.diff(np.append(v.starts, len(flat))).astype(np.float32)
     size = np.diff(np.append(start, len(v.row))).astype(np.float32)
     first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
     count = np.diff(np.append(first, len(seg)))
@@ -95,32 +108,41 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 60, rate: float = 0.1, se
     word_cut = np.searchsorted(v.back[by_word], np.arange(len(n)))
     by_sub = np.argsort(flat, kind="stable")
     sub_cut = np.searchsorted(flat[by_sub], np.arange(len(used)))
-    owner = np.repeat(np.arange(len(n)), n.astype(int))[by_sub]
-    seg_of = of_seg[by_word]
+    sub_owner, seg_of = owner[by_sub], of_seg[by_word]
     rows = seg[first]
     target = y[rows].astype(np.float64)
+    held = rng.random(len(rows)) < 0.15
+    share = n.astype(np.float32)[:, None]
     params = [emb, soft, bias]
-    m1, m2 = [np.zeros(p.shape, np.float32) for p in params], [np.zeros(p.shape, np.float32) for p in params]
+    speed = [np.zeros(p.shape, np.float32) for p in params]
+    best, kept = np.inf, None
     for r in range(1, rounds + 1):
-        word = np.add.reduceat(emb[flat], v.starts, axis=0) / n[:, None]
-        mean = np.add.reduceat(word[v.back], start, axis=0) / size[:, None]
+        word = np.zeros((len(n), DIM), np.float32)
+        word[has] = np.add.reduceat(emb[flat], word_at, axis=0)
+        word /= share
+        mean = SCALE * np.add.reduceat(word[v.back], start, axis=0) / size[:, None]
         z = mean @ soft + bias
         logit = (z[:, 1] - z[:, 0]).astype(np.float64)
         top = np.maximum.reduceat(logit, first)
         e = np.exp(logit - np.repeat(top, count))
         total = np.add.reduceat(e, first)
         p = sigmoid(top + np.log(total))
-        g = np.repeat((p - target) / total, count) * e / len(rows)
+        loss = -np.log(np.clip(np.where(target == 1, p, 1 - p), 1e-12, 1))
+        if held.any() and loss[held].mean() < best or kept is None:
+            best = loss[held].mean() if held.any() else best
+            kept = (emb.copy(), soft.copy(), bias.copy())
+        g = np.repeat(np.where(held, 0, (p - target) / total), count) * e / len(rows)
         gz = np.stack((-g, g), 1).astype(np.float32)
-        gmean = (gz @ soft.T) / size[:, None]
-        gword = np.add.reduceat(gmean[seg_of], word_cut, axis=0) / n[:, None]
-        gemb = np.add.reduceat(gword[owner], sub_cut, axis=0)
-        for q, a, b, d in zip(params, m1, m2, (gemb, mean.T @ gz, gz.sum(0))):
-            a += 0.1 * (d - a)
-            b += 0.01 * (d * d - b)
-            q -= rate * (a / (1 - 0.9 ** r)) / (np.sqrt(b / (1 - 0.99 ** r)) + 1e-8)
+        gmean = SCALE * (gz @ soft.T) / size[:, None]
+        gword = np.add.reduceat(gmean[seg_of], word_cut, axis=0) / share
+        gemb = np.add.reduceat(gword[sub_owner], sub_cut, axis=0)
+        for q, m, d in zip(params, speed, (gemb, mean.T @ gz, gz.sum(0) * 0.05)):
+            m *= 0.9
+            m -= rate * d
+            q += m
+    emb, soft, bias = kept
     odds = np.zeros(BUCKETS, np.float32)
-    odds[used] = emb @ (soft[:, 1] - soft[:, 0])
+    odds[used] = SCALE * (emb @ (soft[:, 1] - soft[:, 0]))
     return Bag(odds, float(bias[1] - bias[0]))
 
 

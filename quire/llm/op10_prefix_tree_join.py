@@ -16,11 +16,14 @@ How it runs:
    the front of each list is indexed (linked lists must meet there). Very common lines and passages
    stand at the back of every list, so they rarely make a bucket.
 4. Buckets are first joined as stars around one member, and linked classes become
-   components. After that only pairs of *different* components are compared, so a group
-   of n near copies costs n comparisons, not n * n. No bucket, partner or round is capped.
-5. Candidates are verified exactly: the candidate sets of one probe are stored in a
-   prefix tree (shared shingles first, so that branches share long paths), which the probe
-   walks once: the overlap of a shared path is counted once, and a subtree ends as soon as the
+   components: a group of n near copies that all resemble one of them costs n comparisons. After
+   that only pairs of *different* components are compared: in buckets of up to ``few``
+   classes pair by pair, in larger ones block against block inside a task. That last step is
+   quadratic in the classes of a group that resemble each other too little to link. No
+   bucket, partner or round is capped.
+5. Candidates are verified exactly: the candidate sets of a probe, or of a block of probes, are stored in
+   a prefix tree (shared shingles first, so that branches share long paths), which is walked
+   once: the overlap of a shared path is counted once, and a subtree ends as soon as the
    shingles left in it cannot reach the overlap needed.
 
 Cases: null or empty text, or text without words: no shingle, linked with nothing, component_id is the
@@ -88,67 +91,89 @@ def _full_sets(k: int):
     return run
 
 
-def tree_overlaps(probe: np.ndarray, members: list[np.ndarray], percent: int) -> list[int]:
-    """Indexes of the members that link with the probe, by one walk of their prefix tree.
+def tree_links(probes: list[np.ndarray], members: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(probe, member) of all pairs that link, by one walk of the members' prefix tree for all probes.
 
-    The tree is kept as the members' lists sorted as words of a dictionary, each with the
-    length of the path it shares with the list before it."""
-    every = np.concatenate(members)
-    values, back, count = np.unique(every, return_inverse=True, return_counts=True)
+    The tree is kept as the members' lists sorted as words of a dictionary, each with the length of
+    the path it shares with the list before it. Along the path the walk keeps every probe's overlap so far."""
+    values, back, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)                       # one order for the whole tree, common first
     rank[np.lexsort((values, -count))] = np.arange(len(values))
-    hit = np.zeros(len(values), np.int64)
-    hit[rank] = np.isin(values, probe, assume_unique=True)
+    size = np.array([len(p) for p in probes])
+    owner, every = np.repeat(np.arange(len(probes)), size), np.concatenate(probes)
+    place = np.minimum(np.searchsorted(values, every), len(values) - 1)
+    met = values[place] == every                                 # shingles that some member has
+    met_ranks, column = np.unique(rank[place[met]], return_inverse=True)
+    hit = np.zeros((len(met_ranks) + 1, len(probes)), np.int32)  # the last row: shingles of no probe
+    hit[column, owner[met]] = 1
+    row_of = np.full(len(values), len(met_ranks))
+    row_of[met_ranks] = np.arange(len(met_ranks))
     cuts = np.cumsum([0] + [len(m) for m in members])
     ranked = rank[back]
     lists = [np.sort(ranked[cuts[i]: cuts[i + 1]]) for i in range(len(members))]
     order = sorted(range(len(lists)), key=lambda i: lists[i].astype(">i8").tobytes())
-    out, last, upto, dead = [], None, None, -1
-    p, longest = len(probe), max(len(m) for m in members)
+    longest = max(len(m) for m in members)
+    found, last, upto, dead = [], None, None, -1
     for i in order:
         path = lists[i]
-        m = len(path)
-        if last is None:
-            shared = 0
-        else:
+        m, shared = len(path), 0
+        if last is not None:
             w = min(m, len(last))
             diff = np.flatnonzero(path[:w] != last[:w])
             shared = int(diff[0]) if len(diff) else w
         if 0 <= dead < shared:                                   # below a node that was given up
             continue
         dead = -1
-        # overlap along the path; the shared part is the sibling's
-        seen = np.empty(m, np.int64)
+        seen = np.empty((m, len(probes)), np.int32)              # overlap along the path; the shared part is known
         seen[:shared] = upto[:shared] if shared else 0
-        seen[shared:] = (int(seen[shared - 1]) if shared else 0) + np.cumsum(hit[path[shared:]])
-        total = int(seen[-1]) if m else 0
-        if 100 * total >= percent * (p + m - total):
-            out.append(i)
+        np.cumsum(hit[row_of[path[shared:]]], axis=0, out=seen[shared:])
+        if shared:
+            seen[shared:] += seen[shared - 1]
+        total = seen[-1]
+        linked = np.flatnonzero(100 * total >= percent * (size + m - total))
+        if len(linked):
+            found.append((linked, np.full(len(linked), i)))
         else:
             # a set below this node has at most the overlap so far and what is left of the probe or
             # of the longest path, and at least the path's shingles that the probe misses besides the probe
-            depth = np.arange(1, m + 1)
-            most = np.minimum(p, seen + longest - depth)
-            over = np.flatnonzero(100 * most < percent * (p + depth - seen))
+            depth = np.arange(1, m + 1)[:, None]
+            most = np.minimum(size, seen + (longest - depth))
+            over = np.flatnonzero((100 * most < percent * (size + depth - seen)).all(1))
             if len(over):
                 dead = int(over[0])
         last, upto = path, seen
-    return out
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
 def _verify(percent: int):
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         probe = group["c"] == key[0]
         members = group[~probe]
-        links = []
+        links = np.zeros(0, np.int64)
         if probe.any() and len(members):
-            links = tree_overlaps(np.asarray(group["shingles"][probe].iloc[0]),
-                                  [np.asarray(s) for s in members["shingles"]], percent)
+            links = tree_links([np.asarray(group["shingles"][probe].iloc[0])],
+                               [np.asarray(s) for s in members["shingles"]], percent)[1]
         return pd.DataFrame({"a": np.full(len(links), key[0], np.int64),
                              "b": members["c"].to_numpy(np.int64)[links]})
     return run
 
 
+def _verify_blocks(percent: int):
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["blk"] == key[1]], group[group["blk"] == key[2]]
+        x = y = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            x, y = tree_links([np.asarray(s) for s in left["shingles"]], [np.asarray(s) for s in right["shingles"]], percent)
+        apart = left["k"].to_numpy()[x] != right["k"].to_numpy()[y]
+        a, b = left["c"].to_numpy(np.int64)[x[apart]], right["c"].to_numpy(np.int64)[y[apart]]
+        # one link for each pair of components is all that a merge needs
+        pair = pd.DataFrame({"a": a, "b": b, "ka": left["k"].to_numpy()[x[apart]], "kb": right["k"].to_numpy()[y[apart]]})
+        return pair.drop_duplicates(["ka", "kb"])[["a", "b"]]
+    return run
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Of candidate pairs (a probe, b member), those that link. Members of one probe are dealt
     to blocks of about ``block`` sets, each with its own tree."""
@@ -162,7 +187,23 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
             .applyInPandas(_verify(percent), "a long, b long"))
 
 
-def classes_and_components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 256) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between components inside large buckets (h, c, k). Buckets with common members overlap
+    almost wholly, so their classes are gathered once per cluster of buckets, dealt into blocks, and
+    every two blocks meet in one task: rows and bytes moved are a ``block``-th of the pairs, which only the tree walk sees."""
+    edges = rows.select(F.col("c").alias("a"), F.min("c").over(Window.partitionBy("h")).alias("b"))
+    cluster = connected_components(edges)
+    members = rows.select("c", "k").distinct().join(cluster.withColumnRenamed("node", "c"), "c")
+    size = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    dealt = (members.join(size, "component")
+             .withColumn("blk", F.pmod(F.xxhash64("c"), F.col("nb").cast("long")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+             .withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")))
+    return (dealt.select("component", "lo", "hi", "c", "k", "blk").join(sets, "c").groupBy("component", "lo", "hi")
+            .applyInPandas(_verify_blocks(percent), "a long, b long"))
+
+
+def classes_and_components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 256, few: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
     rows = stored(docs.select("doc_id", "text").mapInArrow(_sets(k, percent), SETS), "sets")
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -204,12 +245,15 @@ def classes_and_components(docs: DataFrame, k: int = 4, percent: int = 85, block
     # buckets that still hold different components: all pairs across them
     tagged = (front.join(comp.withColumnRenamed("node", "c"), "c", "left")
               .withColumn("k", F.coalesce("component", "c")).select("h", "c", "n", "k"))
-    mixed = (tagged.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("h"))
-    open_ = stored(tagged.join(mixed, "h", "left_semi"), "open")
-    right = open_.select("h", F.col("c").alias("b"), F.col("n").alias("pn"), F.col("k").alias("kb"))
-    pairs = (open_.withColumnRenamed("c", "a").join(right, "h")
+    mixed = (tagged.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("size"))
+             .where("lo <> hi").select("h", "size"))
+    open_ = stored(tagged.join(mixed, "h"), "open")
+    small = open_.where(F.col("size") <= few)
+    right = small.select("h", F.col("c").alias("b"), F.col("n").alias("pn"), F.col("k").alias("kb"))
+    pairs = (small.withColumnRenamed("c", "a").join(right, "h")
              .where((F.col("a") < F.col("b")) & (F.col("k") != F.col("kb")) & fits).select("a", "b").distinct())
-    more = stored(_links(pairs, sets, percent, block), "links")
+    more = stored(_links(pairs, sets, percent, block).unionByName(
+        _across(open_.where(F.col("size") > few), sets, percent, block)), "links")
     comp = connected_components(found.unionByName(more))
 
     # component of a class, named by the smallest doc_id in it

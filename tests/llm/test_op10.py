@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.op10_prefix_tree_join import classes_and_components, tree_overlaps
+from quire.llm.op10_prefix_tree_join import classes_and_components, tree_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -95,14 +95,29 @@ def test_whole_small_table(spark):
 def test_tree_walk_equals_set_arithmetic():
     import numpy as np
     r = random.Random(3)
-    for _ in range(50):
-        probe = set(r.sample(range(200), r.randint(5, 80)))
-        members = []
-        for _ in range(30):
-            m = set(probe)
+    for _ in range(40):
+        base = set(r.sample(range(200), r.randint(5, 80)))
+
+        def variant():
+            m = set(base)
             for x in r.sample(sorted(m), min(len(m) - 1, r.choice([0, 1, 3, 20]))):
                 m.discard(x)
-            members.append(m | set(r.sample(range(200, 400), r.choice([0, 1, 4, 30]))))
-        want = [i for i, m in enumerate(members) if 100 * len(m & probe) >= 85 * len(m | probe)]
-        got = tree_overlaps(np.array(sorted(probe)), [np.array(sorted(m)) for m in members], 85)
-        assert sorted(got) == want
+            return m | set(r.sample(range(200, 400), r.choice([0, 1, 4, 30])))
+        probes, members = [variant() for _ in range(r.choice([1, 7]))], [variant() for _ in range(30)]
+        want = [(p, i) for p, x in enumerate(probes) for i, m in enumerate(members) if 100 * len(m & x) >= 85 * len(m | x)]
+        got = tree_links([np.array(sorted(x)) for x in probes], [np.array(sorted(m)) for m in members], 85)
+        assert sorted(zip(*(x.tolist() for x in got))) == want
+
+
+def test_large_buckets_in_blocks(spark):
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(r.choice([0, 1, 3, 4, 6, 9])):
+            t[r.randrange(len(t))] = f"n{r.randint(0, 40)}"
+        rows.append((1000 - i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in classes_and_components(df, block=7, few=3).collect()), key=str)
+    assert got == brute(rows)
