@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import _text as T
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 
 
 def fold(modulus: int):

@@ -13,7 +13,7 @@ number per subword; all whole texts are scored in one pass without a shuffle. La
 source and id are no input of a score.
 
 Cases: null or empty texts and texts without words get the score of an empty segment. No
-labelled rows: every score is 0. Null ids are never trained on (held_out false) and scored like
+labelled rows: every score is 0 (below 1e-200). Null ids are never trained on (held_out false) and scored like
 others; repeated rows each get their score; a label row that repeats counts once.
 """
 
@@ -79,11 +79,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 80, rate: float = 2.0, seed: int = 11, least: int = 5) -> Bag:
+def fit(texts: list[str], y: np.ndarray, rounds: int = 90, rate: float = 0.3, seed: int = 11, least: int = 5,
+        rare: float = 0.01, common: float = 0.3, shrink: float = 1e-2) -> Bag:
     """Joint training of embeddings and softmax by gradient descent with momentum, full batch: a
     subword moves with the number of texts that ask for it, so shared subwords are learned before
     chance ones. Subwords of fewer than ``least`` texts keep the zero vector; the round with the
-    best held-back loss is kept."""
+    best held-back loss is kept. Subwords of common words (``common`` of the texts) stay at zero too."""
     buf, offs = T.raw(pc.utf8_lower(pa.array(texts, pa.large_string())))
     v = vocabulary(buf, offs, GRAMS, 0)
     start, seg = segments(v.row, len(texts))
@@ -92,12 +93,15 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 80, rate: float = 2.0, se
         return Bag(np.zeros(BUCKETS, np.float32), -1000.0)
     n = np.diff(np.append(v.starts, len(v.flat)))
     texts_of = np.bincount(np.unique(v.row * np.int64(len(n)) + v.back) % len(n), minlength=len(n))
-    df = np.bincount(v.flat, np.repeat(texts_of, n), BUCKETS)    # texts a subword occurs in, by its words
-    known = df[v.flat] >= least
+    most = np.bincount(v.flat, np.repeat(texts_of, n), BUCKETS)  # texts a subword may be in, and is in at least
+    sure = np.zeros(BUCKETS, np.int64)
+    np.maximum.at(sure, v.flat, np.repeat(texts_of, n))
+    least = max(least, round(rare * len(texts)))
+    known = (most[v.flat] >= least) & (sure[v.flat] <= max(least, common * len(texts)))
     owner = np.repeat(np.arange(len(n)), n)[known]               # word of every trained subword
     used, flat = np.unique(v.flat[known], return_inverse=True)
     has, word_at = np.unique(owner, return_index=True)           # words with a trained subword
-    emb = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
+    emb = np.zeros((len(used), DIM), np.float32)                  # the softmax's random start breaks the tie
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.array([2.0, -2.0], np.float32)
     size = np.diff(np.append(start, len(v.row))).astype(np.float32)
@@ -115,7 +119,7 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 80, rate: float = 2.0, se
     share = n.astype(np.float32)[:, None]
     params = [emb, soft, bias]
     speed = [np.zeros(p.shape, np.float32) for p in params]
-    best, kept = np.inf, None
+    best, kept, low, turn = np.inf, None, np.inf, None
     for r in range(1, rounds + 1):
         word = np.zeros((len(n), DIM), np.float32)
         word[has] = np.add.reduceat(emb[flat], word_at, axis=0)
@@ -128,18 +132,31 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 80, rate: float = 2.0, se
         total = np.add.reduceat(e, first)
         p = sigmoid(top + np.log(total))
         loss = -np.log(np.clip(np.where(target == 1, p, 1 - p), 1e-12, 1))
-        if held.any() and loss[held].mean() < best or kept is None:
+        now = loss[~held].mean()
+        if now > 1.1 * low:                                      # stepped over the valley: back, with half the step
+            for q, m, x in zip(params, speed, turn):
+                q[...] = x
+                m[...] = 0
+            rate /= 2
+            low *= 1.02
+            continue
+        if now < low:
+            low, turn = now, [q.copy() for q in params]
+        if kept is None or held.any() and loss[held].mean() < best:
             best = loss[held].mean() if held.any() else best
-            kept = (emb.copy(), soft.copy(), bias.copy())
+            kept = [q.copy() for q in params]
         g = np.repeat(np.where(held, 0, (p - target) / total), count) * e / len(rows)
         gz = np.stack((-g, g), 1).astype(np.float32)
         gmean = SCALE * (gz @ soft.T) / size[:, None]
         gword = np.add.reduceat(gmean[seg_of], word_cut, axis=0) / share
         gemb = np.add.reduceat(gword[sub_owner], sub_cut, axis=0)
-        for q, m, d in zip(params, speed, (gemb, mean.T @ gz, gz.sum(0) * 0.05)):
+        for q, m, d in zip(params, speed, (gemb, mean.T @ gz, 0.3 * gz.sum(0))):
             m *= 0.9
             m -= rate * d
             q += m
+        # group lasso: a subword whose texts do not pull together falls back to zero
+        norm = np.sqrt((emb * emb).sum(1, keepdims=True))
+        emb *= np.maximum(0, 1 - rate * shrink / np.maximum(norm, 1e-12))
     emb, soft, bias = kept
     odds = np.zeros(BUCKETS, np.float32)
     odds[used] = SCALE * (emb @ (soft[:, 1] - soft[:, 0]))

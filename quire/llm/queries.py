@@ -14,23 +14,39 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(prepared(spark), sf_dir, "documents")
 
 
+def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op02_hilbert_packing import pack
+    return pack(_docs(spark, sf_dir))
+
+
 def op3_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op03_containment import contaminated
     return contaminated(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op06_language_crf import language_of
+    return language_of(_docs(spark, sf_dir))
+
+
 def op7_fixed_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op07_fixed_blocks import remove_repeats
     return remove_repeats(_docs(spark, sf_dir))
 
 
+def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op08_subword_toxicity import toxicity
+    return toxicity(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op10_prefix_tree_join import classes_and_components
     return classes_and_components(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_containment_search, op7_fixed_block_dedup, op10_prefix_tree_join)
+    f.__name__: f for f in (op2_hilbert_packing, op3_containment_search, op6_language_crf, op7_fixed_block_dedup,
+                            op8_subword_toxicity, op10_prefix_tree_join)
 }
 
 SQL: dict[str, str] = {}
