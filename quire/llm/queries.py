@@ -14,6 +14,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(prepared(spark), sf_dir, "documents")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op01_surrogates import surrogate_texts
+    return surrogate_texts(_docs(spark, sf_dir))
+
+
 def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op02_hilbert_packing import pack
     return pack(_docs(spark, sf_dir))
@@ -39,14 +44,19 @@ def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_docs(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op9_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op09_mcd_quality import quality
+    return quality(_docs(spark, sf_dir))
+
+
 def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op10_prefix_tree_join import classes_and_components
     return classes_and_components(_docs(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hilbert_packing, op3_containment_search, op6_language_crf, op7_fixed_block_dedup,
-                            op8_subword_toxicity, op10_prefix_tree_join)
+    f.__name__: f for f in (op1_pii_surrogates, op2_hilbert_packing, op3_containment_search, op6_language_crf, op7_fixed_block_dedup,
+                            op8_subword_toxicity, op9_mcd_quality, op10_prefix_tree_join)
 }
 
 SQL: dict[str, str] = {}
