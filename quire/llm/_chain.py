@@ -92,37 +92,56 @@ def viterbi(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.nd
         return np.zeros(0, np.int8)
     e, f, n = _chunks(emit, first)
     c, _, k = e.shape
-    d = np.where(np.eye(k, dtype=bool), 0.0, -1e30)[None].repeat(c, 0)
+    # states lead, so that every step works on whole rows of chunks
+    e = np.ascontiguousarray(e.transpose(1, 2, 0))
+    f = np.ascontiguousarray(f.T)
+    d = np.full((k, k, c), -1e30)
+    d[np.arange(k), np.arange(k)] = 0
     for t in range(CHUNK):
-        step = np.where(f[:, t, None, None], start[None, None, :], trans[None])
-        d = (d[:, :, :, None] + step[:, None]).max(2) + e[:, t, None, :]
+        step = [[np.where(f[t], start[j], trans[i, j]) for j in range(k)] for i in range(k)]
+        new = np.empty_like(d)
+        for j in range(k):
+            best = d[:, 0] + step[0][j]
+            for i in range(1, k):
+                np.maximum(best, d[:, i] + step[i][j], out=best)
+            new[:, j] = best + e[t, j]
+        d = new
+    d = d.transpose(2, 0, 1)
     into = np.empty((c, k))
     v = np.zeros(k)
     for i in range(c):
         into[i] = v
         v = (v[:, None] + d[i]).max(0)
         v = v - v.max()
-    back = np.empty((c, CHUNK, k), np.int8)
-    x = into
+    back = np.empty((CHUNK, k, c), np.int8)
+    x = into.T.copy()
     for t in range(CHUNK):
-        step = np.where(f[:, t, None, None], start[None, None, :], trans[None])
-        s = x[:, :, None] + step
-        back[:, t] = s.argmax(1)
-        x = s.max(1) + e[:, t]
+        new = np.empty_like(x)
+        for j in range(k):
+            best = x[0] + np.where(f[t], start[j], trans[0, j])
+            came = np.zeros(c, np.int8)
+            for i in range(1, k):
+                s = x[i] + np.where(f[t], start[j], trans[i, j])
+                came[s > best] = i
+                np.maximum(best, s, out=best)
+            back[t, j] = came
+            new[j] = best + e[t, j]
+        x = new
     # where each end state of a chunk came from, then the chunk ends in order
-    came = np.tile(np.arange(k), (c, 1))
+    came = np.tile(np.arange(k, dtype=np.int8)[:, None], (1, c))
+    at = np.arange(c)
     for t in range(CHUNK - 1, -1, -1):
-        came = np.take_along_axis(back[:, t].astype(np.int64), came, 1)
+        came = back[t][came, at]
     end = np.empty(c, np.int64)
-    state = int(x[-1].argmax())
+    state = int(x[:, -1].argmax())
     for i in range(c - 1, -1, -1):
         end[i] = state
-        state = int(came[i, state])
+        state = int(came[state, i])
     out = np.empty((c, CHUNK), np.int8)
     here = end
     for t in range(CHUNK - 1, -1, -1):
         out[:, t] = here
-        here = back[np.arange(c), t, here].astype(np.int64)
+        here = back[t][here, at].astype(np.int64)
     return out.reshape(-1)[:n]
 
 

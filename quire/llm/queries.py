@@ -29,6 +29,11 @@ def op3_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op04_secret_crf import secrets
+    return secrets(_docs(spark, sf_dir))
+
+
 def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op06_language_crf import language_of
     return language_of(_docs(spark, sf_dir))
@@ -55,7 +60,7 @@ def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_hilbert_packing, op3_containment_search, op6_language_crf, op7_fixed_block_dedup,
+    f.__name__: f for f in (op1_pii_surrogates, op2_hilbert_packing, op3_containment_search, op4_secret_crf, op6_language_crf, op7_fixed_block_dedup,
                             op8_subword_toxicity, op9_mcd_quality, op10_prefix_tree_join)
 }
 
