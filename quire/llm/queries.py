@@ -34,6 +34,11 @@ def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_docs(spark, sf_dir))
 
 
+def op5_html_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op05_html_trees import main_texts
+    return main_texts(read_table(prepared(spark), sf_dir, "pages"))
+
+
 def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.op06_language_crf import language_of
     return language_of(_docs(spark, sf_dir))
@@ -60,7 +65,7 @@ def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_hilbert_packing, op3_containment_search, op4_secret_crf, op6_language_crf, op7_fixed_block_dedup,
+    f.__name__: f for f in (op1_pii_surrogates, op2_hilbert_packing, op3_containment_search, op4_secret_crf, op5_html_trees, op6_language_crf, op7_fixed_block_dedup,
                             op8_subword_toxicity, op9_mcd_quality, op10_prefix_tree_join)
 }
 
