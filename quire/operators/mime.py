@@ -23,26 +23,20 @@ def header_map(headers: str | Column) -> Column:
     return F.map_from_entries(F.transform(h, lambda x: F.struct(F.lower(x["name"]), x["value"])))
 
 
-def mime_leaves(messages: DataFrame, *, payload: str = "payload", key: str = "message_id",
-                max_depth: int = 20) -> DataFrame:
+def mime_leaves(messages: DataFrame, *, payload: str = "payload", key: str = "message_id") -> DataFrame:
     """``(key, path array<int>, mime_type, data)`` for every leaf, depth first by ``path``.
 
     A node with a non-empty ``parts`` list is not a leaf; an empty list is. Each level's
     frontier (the nodes still to open) is written once with ``checkpoint()``, so level k
     reads level k-1 instead of re-deriving all earlier levels, and the walk stops at the
-    first empty frontier. Nodes deeper than ``max_depth`` come out as leaves of type NULL."""
+    first empty frontier, however deep the tree."""
     from quire.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(messages.sparkSession)
     node = messages.select(key, F.array().cast("array<int>").alias("path"), F.col(payload).alias("_node"))
     leaves = []
-    for level in range(max_depth + 1):
-        parts = F.from_json(F.get_json_object("_node", "$.parts"), "array<string>")
-        node = node.withColumn("_parts", parts)
+    while True:
+        node = node.withColumn("_parts", F.from_json(F.get_json_object("_node", "$.parts"), "array<string>"))
         is_leaf = F.coalesce(F.size("_parts"), F.lit(0)) <= 0
-        if level == max_depth:
-            leaves.append(node.select(key, "path", F.when(is_leaf, F.get_json_object("_node", "$.mimeType"))
-                                      .alias("mime_type"), F.get_json_object("_node", "$.body.data").alias("data")))
-            break
         leaves.append(node.where(is_leaf).select(
             key, "path", F.get_json_object("_node", "$.mimeType").alias("mime_type"),
             F.get_json_object("_node", "$.body.data").alias("data")))

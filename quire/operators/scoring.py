@@ -132,62 +132,63 @@ def penalise_copies(df: DataFrame, *, score: str = "score", is_copy: str = "is_c
     return df.withColumn(score, F.when(F.col(is_copy), (s / factor).cast("int")).otherwise(s.cast("int")))
 
 
-def near_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3,
-                hashes: int = 20, bands: int = 5, threshold: float = 0.8, max_iter: int = 20) -> DataFrame:
-    """X3 near: MinHash over word shingles, banded. Each band bucket links its members to
-    the bucket's smallest key (a star, never all pairs), links are kept when the signature
-    agreement with that key reaches ``threshold``, and the groups are the connected
-    components (iterated min-label propagation, checkpointed each round).
-
-    Returns ``(key, cluster, is_copy)``; ``cluster`` is the smallest key of the component."""
+def near_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5,
+                percent: int = 80) -> DataFrame:
+    """X3 near: documents whose sets of ``shingle``-word shingles have a Jaccard similarity of
+    at least ``percent`` / 100 are linked; a cluster is a connected component of links.
+
+    Equal sets are one class from the start. Of every other set only the rarest shingles, as many as
+    two linked sets must share one of, are indexed. A bucket links its members to its smallest one first
+    (verified on the whole sets); after that only pairs of different components are compared.
+    No link is lost and no group is cut. Keys are only compared, so any orderable type works.
+
+    Returns ``(key, cluster, is_copy)``; ``cluster`` is the smallest key of the component. A text without
+    words is its own cluster; a null key has a null cluster."""
+    from quire.operators.components import connected_components
     from quire.session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # the word array is a column of its own: a lambda that names an outer expression would
-    # evaluate it again for every element
-    wdf = df.select(key, F.filter(F.split(normalised(text), " "), lambda w: w != "").alias("_w"))
-    words = F.col("_w")
-    # words are hashed once; a shingle hash combines the hashes of its words
-    wh = wdf.select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("_wh"))
-    hw = F.col("_wh")
-    n = F.size(hw)
-    shingles = F.when(n < shingle, F.array(F.xxhash64(F.array_join(F.transform(hw, lambda x: x.cast("string")), " "))))\
-        .otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - shingle + 1, F.lit(1))),
-                               lambda i: F.xxhash64(*[F.element_at(hw, i + k) for k in range(shingle)])))
-    # one row per shingle, then cheap long hashes per seed; the min per document is a
-    # partial aggregate, so only signatures are shuffled
-    sh = wh.select(key, F.explode(shingles).alias("_h"))
-    mins = sh.groupBy(key).agg(*[F.min(F.xxhash64(F.col("_h"), F.lit(j))).alias(f"_m{j}") for j in range(hashes)])
-    # signatures are small (one row of longs per document) and feed three branches: write once
-    docs = mins.select(key, F.array(*[F.col(f"_m{j}") for j in range(hashes)]).alias("sig")).checkpoint(eager=True)
-    rows = hashes // bands
-    banded = docs.select(key, "sig", F.posexplode(F.array(*[
-        F.xxhash64(F.lit(b), *[F.col("sig")[b * rows + r] for r in range(rows)]) for b in range(bands)]))
-        .alias("band", "bucket"))
-    reps = banded.groupBy("band", "bucket").agg(F.min(key).alias("rep"))
-    edges = (banded.join(reps, ["band", "bucket"]).where(F.col(key) != F.col("rep"))
-             .select(key, "rep").distinct())
-    rep_sig = docs.select(F.col(key).alias("rep"), F.col("sig").alias("rep_sig"))
-    agree = F.aggregate(F.zip_with("sig", "rep_sig", lambda a, b: (a == b).cast("int")), F.lit(0),
-                        lambda acc, x: acc + x) / F.lit(hashes)
-    edges = (edges.join(docs, key).join(rep_sig, "rep").where(agree >= threshold)
-             .select(F.col(key).alias("a"), F.col("rep").alias("b")))
-    und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct() \
-        .checkpoint(eager=True)
-    label = docs.select(F.col(key).alias("a"), F.col(key).alias("label")).checkpoint(eager=True)
-    # labels only ever decrease, so an unchanged sum means no label changed
-    total = label.agg(F.sum("label")).first()[0]
-    for _ in range(max_iter):
-        nb = und.join(label.withColumnRenamed("a", "b").withColumnRenamed("label", "nl"), "b") \
-                .groupBy("a").agg(F.min("nl").alias("nl"))
-        new = label.join(nb, "a", "left").select("a", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        label = new.checkpoint(eager=True)
-        new_total = label.agg(F.sum("label")).first()[0]
-        if new_total == total:
-            break
-        total = new_total
-    return label.select(F.col("a").alias(key), F.col("label").alias("cluster"),
-                        (F.col("a") != F.col("label")).alias("is_copy"))
+    ensure_checkpoint_dir(df.sparkSession)
+    words = df.select(key, F.array_remove(F.split(normalised(text), " "), "").alias("_w"))
+    size = F.size("_w")
+    runs = F.arrays_zip(*[F.slice("_w", i + 1, F.greatest(size - shingle + 1, F.lit(0))).alias(f"w{i}") for i in range(shingle)])
+    sets = words.select(key, F.when(F.coalesce(size, F.lit(0)) <= 0, F.array().cast("array<bigint>"))
+                        .when(size < shingle, F.array(F.xxhash64(F.lit("short"), F.array_join("_w", " "))))
+                        .otherwise(F.array_sort(F.array_distinct(F.transform(
+                            runs, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(shingle)]))))).alias("_s"))
+    sets = sets.withColumn("_f", F.when((F.size("_s") > 0) & F.col(key).isNotNull(), F.xxhash64("_s"))).checkpoint()
+    classes = sets.where("_f is not null").groupBy("_f").agg(F.min(key).alias("_rep"))
+    one = (sets.where("_f is not null").withColumnRenamed(key, "_rep").join(classes, ["_f", "_rep"], "left_semi")
+           .dropDuplicates(["_f"]).select(F.col("_rep").alias("c"), "_s", F.size("_s").alias("n")).checkpoint())
+
+    by_h, by_c = Window.partitionBy("h"), Window.partitionBy("c")
+    need = F.ceil(F.col("n") * percent / 100)
+    front = (one.select("c", "n", F.explode("_s").alias("h")).withColumn("_df", F.count(F.lit(1)).over(by_h)).where("_df > 1")
+             .withColumn("_m", F.count(F.lit(1)).over(by_c)).where(F.col("_m") >= need)
+             .withColumn("_r", F.row_number().over(by_c.orderBy("_df", "h")))
+             .where(F.col("_r") <= F.col("_m") - need + 1).select("h", "c", "n").checkpoint())
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        a = one.select(F.col("c").alias("a"), F.col("_s").alias("_sa"))
+        b = one.select(F.col("c").alias("b"), F.col("_s").alias("_sb"))
+        both = F.size(F.array_intersect("_sa", "_sb"))
+        return (pairs.join(a, "a").join(b, "b")
+                .where(100 * both >= percent * (F.size("_sa") + F.size("_sb") - both)).select("a", "b").checkpoint())
+
+    like = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    star = (front.withColumn("_p", F.min(F.struct("c", "n")).over(by_h))
+            .select("c", "n", F.col("_p.c").alias("a"), F.col("_p.n").alias("pn"))
+            .where((F.col("a") != F.col("c")) & like).select("a", F.col("c").alias("b")).distinct())
+    links = linked(star)
+    part = connected_components(links).select(F.col("node").alias("c"), F.col("component").alias("k"))
+    left = front.join(part, "c", "left").withColumn("k", F.coalesce("k", "c")).checkpoint()
+    mixed = left.groupBy("h").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select("h")
+    left = left.join(mixed, "h", "left_semi")
+    other = left.select("h", F.col("c").alias("b"), F.col("n").alias("pn"), F.col("k").alias("kb"))
+    more = linked(left.withColumnRenamed("c", "a").join(other, "h")
+                  .where((F.col("a") < F.col("b")) & (F.col("k") != F.col("kb")) & like).select("a", "b").distinct())
+    part = connected_components(links.unionByName(more)).select(F.col("node").alias("_rep"), F.col("component").alias("_k"))
+    named = classes.join(part, "_rep", "left").select("_f", F.coalesce("_k", "_rep").alias("cluster"))
+    return (sets.select(key, "_f").join(named, "_f", "left").withColumn("cluster", F.coalesce("cluster", F.col(key)))
+            .select(key, "cluster", (F.col(key) != F.col("cluster")).alias("is_copy")))
 
 
 # ---- best image (W5), trailing rate (W4) -------------------------------------------------------

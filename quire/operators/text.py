@@ -1,19 +1,15 @@
 """Text operators: block split (X1, V2), conversation history (A7), turn context (V3).
 
-Block split: blocks of at most N characters, each cut after the last '.' inside its
-window, else a hard cut; a rest of at most N characters is one block; '' is one empty
-block. For N up to 1000 this is one native regex; above that (the JVM regex recursion
-is not safe for long repeats) an Arrow-batched pandas UDF applies the same rule.
+Block split: blocks of at most N characters, each ending at the last full stop that fits,
+or after N characters where none does; a rest of at most N characters is one block, and
+'' is one empty block.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-REGEX_MAX = 1000
 DEFAULT_BLOCK = 2_000_000
 
 
@@ -21,53 +17,43 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
-def blocks_regex(text: str | Column, n: int) -> Column:
-    """X1 for n <= 1000, as one regular expression."""
-    if not 1 <= n <= REGEX_MAX:
-        raise ValueError("regex block split supports 1..1000 characters")
-    t = _c(text)
-    pat = rf"(?s).{{1,{n}}}\z|.{{0,{n - 1}}}\.|.{{1,{n}}}"
-    return F.when(t == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(t, F.lit(pat), 0))
+def block_ends(text: str | Column, n: int) -> Column:
+    """Where the blocks of a text end (characters from its start), in order.
 
+    A text is a run of stretches that end in a full stop. Walking over the stretches' lengths
+    alone, a stretch that no longer fits ends the block before it; one longer than N is
+    cut every N characters. One path for any N and any character."""
+    if n < 1:
+        raise ValueError("a block holds at least one character")
+    stretch = F.transform(F.regexp_extract_all(_c(text), F.lit(r"[^.]*+\.|[^.]++"), 0), lambda s: F.length(s))
+    nothing = F.array().cast("array<int>")
 
-def split_blocks(text: str, n: int) -> list[str]:
-    """The block rule for one text (used inside the pandas UDF)."""
-    if len(text) <= n:
-        return [text]
-    out, start, size = [], 0, len(text)
-    while start < size:
-        end = min(start + n, size)
-        if end < size:
-            dot = text.rfind(".", start, end)
-            if dot != -1:
-                end = dot + 1
-        out.append(text[start:end])
-        start = end
-    return out
+    def step(acc, size):
+        """acc: ends so far, where the open block begins, where the text read so far ends."""
+        begin, at = acc["begin"], acc["at"]
+        fits = at + size - begin <= n
+        shut = F.when(fits | (at == begin), nothing).otherwise(F.array(at))
+        start = F.when(fits, begin).otherwise(at)
+        whole = F.floor((at + size - start - 1) / n).cast("int")
+        hard = F.when(whole > 0, F.transform(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), lambda i: start + i * n)) \
+                .otherwise(nothing)
+        return F.struct(F.concat(acc["ends"], shut, hard).alias("ends"), (start + F.greatest(whole, F.lit(0)) * n).alias("begin"),
+                        (at + size).alias("at"))
 
-
-def blocks_udf(n: int):
-    """V2: pandas UDF ``string -> array<string>`` for any n."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _blocks(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else split_blocks(x, n))
-    return _blocks
+    first = F.struct(nothing.alias("ends"), F.lit(0).alias("begin"), F.lit(0).alias("at"))
+    return F.aggregate(stretch, first, step, lambda acc: F.concat(acc["ends"], F.array(acc["at"])))
 
 
 def text_blocks(df: DataFrame, *, col: str = "text", max_chars: int = DEFAULT_BLOCK,
                 by: str | list[str] = "doc_id") -> DataFrame:
-    """``(by, block_pos, block)``. Regex for n <= 1000 on text without astral
-    characters; the pandas UDF otherwise (only those rows go through Python)."""
+    """``(by, block_pos, block)`` in array functions of the row; a null text has no block."""
     keys = [by] if isinstance(by, str) else list(by)
-    if max_chars > REGEX_MAX:
-        arr = df.select(*keys, blocks_udf(max_chars)(F.col(col)).alias("_b"))
-    else:
-        astral = F.col(col).rlike(r"[\x{10000}-\x{10FFFF}]")
-        native = df.where(~astral).select(*keys, blocks_regex(col, max_chars).alias("_b"))
-        slow = df.where(astral).select(*keys, blocks_udf(max_chars)(F.col(col)).alias("_b"))
-        arr = native.unionByName(slow)
-    return arr.select(*keys, F.posexplode("_b").alias("block_pos", "block")) \
-              .withColumn("block_pos", F.col("block_pos").cast("bigint"))
+    ends = df.select(*keys, F.col(col).alias("_t"), block_ends(col, max_chars).alias("_e"))
+    cuts = F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("_e", 1, F.size("_e") - 1)).alias("a"), F.col("_e").alias("z"))
+    return (ends.where(F.col("_t").isNotNull())
+            .select(*keys, "_t", F.posexplode(cuts).alias("block_pos", "_c"))
+            .select(*keys, F.col("block_pos").cast("bigint").alias("block_pos"),
+                    F.substring(F.col("_t"), F.col("_c.a") + 1, F.col("_c.z") - F.col("_c.a")).alias("block")))
 
 
 def model_role(role: str | Column) -> Column:

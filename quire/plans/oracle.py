@@ -755,6 +755,19 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256({normalised('text')})) AS d
 
 SQL["dedup_exact"] = with_views(EXACT) + "SELECT doc_id, dup_of, doc_id <> dup_of AS is_copy FROM exact"
 
+# All pairs that share a shingle, exact Jaccard, then the smallest document reachable.
+SQL["dedup_near"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split(lower(regexp_replace(text, '[\s\x{00a0}]+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.c)
+SELECT doc_id, min(c) AS cluster, doc_id <> min(c) AS is_copy FROM r GROUP BY doc_id"""
+
 SQL["dedup_penalty"] = with_views(EXACT, EVALUATION_V) + """
 SELECT e.doc_id, CAST(CASE WHEN e.doc_id <> e.dup_of THEN coalesce(v.relevancy, 0) // 10
                            ELSE coalesce(v.relevancy, 0) END AS INTEGER) AS score
@@ -801,42 +814,47 @@ SELECT doc_id, block_pos, CAST(len(regexp_extract_all(block, '\\S+')) AS BIGINT)
 FROM ({text_blocks(1000)})"""
 
 # ---- digest ----------------------------------------------------------------------------------
-from quire.operators import digest as _dg  # noqa: E402  (fixed colours and markup strings)
+# Fixed values and layout of the digest, stated here again and not taken from the operators.
+COLORS = {"News": "#007BFF", "Talks": "#28A745", "Events": "#DC3545", "Workshops": "#17A2B8", "Opportunity": "#FFC107",
+          "Other": "#6c757d"}
+DIGEST_STYLE = ("body{font:16px/1.5 Georgia,serif;max-width:44rem;margin:auto}h2{border-left:.5rem solid;padding-left:.5rem}"
+                ".card{margin:1rem 0}.facts{font-size:.8rem}.facts dt{float:left;padding-right:.3rem}")
+DIGEST_FOOT = "<footer>Weekly digest. Compiled without an editor.</footer>\n</body></html>"
+
+
+def digest_head(title: str) -> str:
+    return (f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>{DIGEST_STYLE}</style></head>'
+            f"<body>\n<h1>{title}</h1>")
 
 
 def color(cat: str) -> str:
-    cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in _dg.CATEGORY_COLORS.items())
-    return f"coalesce(CASE coalesce({cat}, 'Other') {cases} END, {q(_dg.CATEGORY_COLORS['Other'])})"
+    cases = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in COLORS.items())
+    return f"coalesce(CASE coalesce({cat}, 'Other') {cases} END, {q(COLORS['Other'])})"
 
 
 def article_html() -> str:
-    c = color("category")
-    return (f"{q(_dg.ARTICLE_OPEN)} || {c} || '; border-radius: 8px; padding: 12px;\">' "
-            f"|| '<div style=\"font-size: 20px; font-weight: bold;\">' || title || '</div>' "
-            f"|| '<div style=\"font-size: 14px; color: #777777;\"><div>Source: ' || source "
-            f"|| '</div><div>Location: ' || location || '</div>' "
-            f"|| CASE WHEN contact IS NOT NULL THEN '<div>Contact: ' || contact || '</div>' ELSE '' END "
-            f"|| '<div>Category: ' || coalesce(category, 'Other') || '</div></div>' "
-            f"|| '<div class=\"article-desc\">' || description || '<div class=\"summary\">Summary: ' || summary "
-            f"|| '</div></div>' || '<div><a href=\"' || link || '\" style=\"color: ' || {c} || ';\">Read more</a></div>' "
-            f"|| '</div></td></tr>'")
+    """The card as one format string; missing values print as nothing."""
+    card = ('<article class="card" style="border-top:3px solid {}"><h3><a href="{}">{}</a></h3><p><strong>{}</strong></p><p>{}</p>'
+            '<dl class="facts"><dt>Topic</dt><dd>{}</dd><dt>Published by</dt><dd>{}</dd><dt>Place</dt><dd>{}</dd>{}</dl></article>')
+    got = [color("category")] + [f"coalesce({c}, '')" for c in ("link", "title", "summary", "description")]
+    got += ["coalesce(category, 'Other')", "coalesce(source, '')", "coalesce(location, '')",
+            "CASE WHEN contact IS NULL THEN '' ELSE format('<dt>Ask</dt><dd>{}</dd>', contact) END"]
+    return f"format({q(card)}, {', '.join(got)})"
 
 
 def sections_sql(src: str, keys: str, pos: str) -> str:
     return f"""
 SELECT {keys}, cat AS category,
-       '<tr><td style="background-color: ' || {color('cat')} || '; color: #ffffff; text-align: center; padding: 10px;">'
-       || cat || '</td></tr>' || {NL} || string_agg(art, {NL} ORDER BY {pos}) AS html
+       format('<section><h2 style="border-color:{{}}">{{}}</h2>', {color('cat')}, cat) || {NL}
+       || string_agg(art, {NL} ORDER BY {pos}) || {NL} || '</section>' AS html
 FROM (SELECT *, coalesce(category, 'Other') AS cat, {article_html()} AS art FROM {src})
 GROUP BY {keys}, cat"""
 
 
 def document_sql(sections: str, keys: str, title: str = "Weekly News") -> str:
-    head = q(_dg.DOC_OPEN.format(title)) + " || " + q(_dg.HEADER_TPL.format(title))
-    foot = q("\n" + _dg._footer("Weekly digest", None) + _dg.DOC_CLOSE)
     return f"""
 SELECT {keys}, count(*) AS n_sections,
-       {head} || {NL} || string_agg(html, {NL} ORDER BY category) || {foot} AS html
+       {q(digest_head(title))} || {NL} || string_agg(html, {NL} ORDER BY category) || {NL} || {q(DIGEST_FOOT)} AS html
 FROM ({sections}) GROUP BY {keys}"""
 
 
@@ -860,13 +878,10 @@ SQL["category_section"] = with_views(ARTICLES_V, EVALUATION_V, DIGEST_ARTICLES)
 SQL["digest_html"] = with_views(ARTICLES_V, EVALUATION_V, DIGEST_ARTICLES) + document_sql(
     sections_sql("digest_articles", "issue_id", "top_rank"), "issue_id")
 
-_shared = _dg.SHARED_TPL.split("{}")
 SQL["repost_html"] = with_views(ARTICLES_V, EVALUATION_V, DIGEST_ARTICLES) + f"""
 SELECT issue_id,
-       {q(_dg.DOC_OPEN.format("News Repost"))} || {q(_dg.HEADER_TPL.format("News Repost") + "\n")}
-       || {q(_shared[0])} || issue_id || {q(_shared[1])} || {NL}
-       || string_agg({article_html()}, {NL} ORDER BY top_rank)
-       || {q("\n" + _dg._footer("Weekly digest", None) + _dg.DOC_CLOSE)} AS html
+       {q(digest_head("News Repost"))} || {NL} || format('<p class="from">From {{}}</p>', issue_id) || {NL}
+       || string_agg({article_html()}, {NL} ORDER BY top_rank) || {NL} || {q(DIGEST_FOOT)} AS html
 FROM digest_articles GROUP BY issue_id"""
 
 EMAIL_RE = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"

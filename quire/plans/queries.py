@@ -104,7 +104,7 @@ def q_body_concat(spark, sf):
 @register("mime_leaves")
 def q_mime_leaves(spark, sf):
     from quire.operators.mime import decode_leaves, mime_leaves
-    leaves = decode_leaves(mime_leaves(fx.payload_v(spark, sf), max_depth=6))
+    leaves = decode_leaves(mime_leaves(fx.payload_v(spark, sf)))
     return leaves.select("message_id", F.array_join("path", ".").alias("path_str"), "mime_type", "text")
 
 

@@ -52,6 +52,14 @@ def test_mime_leaves_nested(spark):
     assert b["n"] == ("ac", "b")
 
 
+def test_mime_depth_has_no_limit(spark):
+    node = '{"mimeType":"text/plain","body":{"data":"YQ"}}'
+    for _ in range(30):
+        node = '{"mimeType":"multipart/mixed","parts":[%s]}' % node
+    df = spark.createDataFrame([("d", node)], "message_id string, payload string")
+    assert mime.bodies(mime.decode_leaves(mime.mime_leaves(df))).first()["plain"] == "a"
+
+
 def test_link_filter(spark):
     html = ('<a href="MAILTO:x">1</a><a href="javascript:void(0)">2</a><a href="#">3</a><a href=" ">4</a>'
             '<a href="">5</a><a href="#top">6</a><a href=" mailto:x">7</a><a href="/d">8</a><a href="/d">9</a>')
@@ -178,9 +186,15 @@ def test_article_html_rules(spark):
     df = df.select("*", *[F.lit(x).alias(x) for x in ("title", "source", "location", "description", "summary",
                                                       "link")])
     html = one(df.select(D.article_html(df).alias("h")), "h")[0]
-    assert D.CATEGORY_COLORS["Other"] in html and "Contact:" not in html and "<img" not in html
+    assert D.CATEGORY_COLORS["Other"] in html and "<dt>Ask</dt>" not in html and "<img" not in html
     html2 = one(df.select(D.article_html(df, skip_images=False).alias("h")), "h")[0]
-    assert '<img src="http://i"' in html2
+    assert 'src="http://i"' in html2
+
+
+def test_article_with_missing_fields_keeps_its_card(spark):
+    df = spark.createDataFrame([("T", None, None)], "title string, link string, summary string")
+    html = one(df.select(D.article_html(df).alias("h")), "h")[0]
+    assert html is not None and "T" in html
 
 
 def test_news_tiers(spark):

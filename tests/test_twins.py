@@ -10,7 +10,7 @@ from conftest import SMALL
 from quire.functions import html as H
 from quire.functions.text import sender_address
 from quire.operators.issues import WEEKDAYS, next_release
-from quire.operators.text import blocks_regex, split_blocks
+from quire.operators.text import text_blocks
 
 
 class _Text(HTMLParser):
@@ -69,20 +69,35 @@ def test_page_text_and_links_equal_stdlib_parser(spark):
         assert list(r["l"]) == links
 
 
-def test_block_split_regex_equals_rule(spark):
+def test_blocks_hold_what_defines_them(spark):
+    """No block is too long, together they are the text, and each ends where the rule says."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for n in (200, 1000):
-        rows = docs.select("text", blocks_regex("text", n).alias("b")).collect()
-        for r in rows:
-            assert list(r["b"]) == split_blocks(r["text"], n)
-            assert "".join(r["b"]) == r["text"]
-
-
-def test_block_split_edges():
-    assert split_blocks("", 5) == [""]
-    assert split_blocks("abcdefgh", 3) == ["abc", "def", "gh"]
-    assert split_blocks("ab.cd.efgh", 4) == ["ab.", "cd.", "efgh"]
-    assert split_blocks("a😀b.c", 3) == ["a😀b", ".c"]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for n in (7, 200, 1000, 5000):
+        got = {}
+        for r in text_blocks(docs, max_chars=n).collect():
+            got.setdefault(r["doc_id"], {})[r["block_pos"]] = r["block"]
+        assert set(got) == set(texts)
+        for d, by_pos in got.items():
+            blocks = [by_pos[i] for i in range(len(by_pos))]
+            assert "".join(blocks) == texts[d]
+            assert all(0 < len(b) <= n for b in blocks)
+            rest = texts[d]
+            for b in blocks[:-1]:
+                assert len(rest) > n                          # a rest that fits is never cut
+                window = rest[:n]
+                assert window.count(".", len(b)) == 0         # no later stop would have fitted
+                assert b.endswith(".") or (len(b) == n and "." not in b)
+                rest = rest[len(b):]
+
+
+def test_block_split_table(spark):
+    want = [("", 5, [""]), ("abcdefgh", 3, ["abc", "def", "gh"]), ("ab.cd.efgh", 4, ["ab.", "cd.", "efgh"]), ("a😀b.c", 3, ["a😀b", ".c"]),
+            ("...", 2, ["..", "."]), ("abcdef.", 3, ["abc", "def", "."]), ("a.b.c", 5, ["a.b.c"]), ("a\nb.\nc", 4, ["a\nb.", "\nc"]),
+            ("😀" * 3000 + "a" * 3000, 2999, ["😀" * 2999, "😀" + "a" * 2998, "aa"])]
+    for text, n, blocks in want:
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert [r["block"] for r in text_blocks(df, max_chars=n).orderBy("block_pos").collect()] == blocks
 
 
 def test_url_resolve_equals_urljoin(spark):
@@ -96,43 +111,26 @@ def test_url_resolve_equals_urljoin(spark):
         assert row["u"] == urljoin(row["b"], row["r"]), (row["b"], row["r"])
 
 
-def _addr(s):
-    import re
-    if not s:
-        return ""
-    if "<" in s and ">" in s:
-        m = re.search(r"<([^>]+)>", s)
-        if m:
-            return m.group(1).strip()
-    return s.strip()
-
-
-def test_sender_address_rule(spark):
-    cases = ["A B <a@b.c>", " a@b.c ", "<>", "> <", None, "", "x <y> <z>", "<  q@r.s >"]
-    df = spark.createDataFrame([(c,) for c in cases], "s string")
-    for r in df.select("s", sender_address("s").alias("a")).collect():
-        assert r["a"] == _addr(r["s"]), r
-
-
-def _next_release(now, days, rel):
-    import datetime as dt
-    if not rel or not days:
-        return None
-    t = dt.datetime.strptime(rel, "%H:%M:%S").time()
-    if WEEKDAYS[now.weekday()] in days and now.time() < t:
-        return dt.datetime.combine(now.date(), t)
-    for off in range(1, 8):
-        if WEEKDAYS[(now.weekday() + off) % 7] in days:
-            return dt.datetime.combine((now + dt.timedelta(days=off)).date(), t)
-    return None
-
-
-def test_next_release_rule(spark):
-    ev = spark.read.parquet(f"{SMALL}/events.parquet")
-    schedules = [(["Monday", "Friday"], "12:00:00"), (["Sunday"], "00:00:01"), ([], "10:00:00"),
-                 (list(WEEKDAYS), "23:59:59"), (["Wednesday"], "")]
-    for days, rel in schedules:
+def test_sender_address_table(spark):
+    want = {"A B <a@b.c>": "a@b.c", " a@b.c ": "a@b.c", "<>": "<>", "> <": "> <", None: "", "": "", "x <y> <z>": "y", "<  q@r.s >": "q@r.s"}
+    df = spark.createDataFrame([(c,) for c in want], "s string")
+    assert {r["s"]: r["a"] for r in df.select("s", sender_address("s").alias("a")).collect()} == want
+
+
+def test_next_release_table(spark):
+    """2024-01-03 is a Wednesday."""
+    every = list(WEEKDAYS)
+    want = [("2024-01-03 09:00:00", ["Wednesday"], "12:00:00", "2024-01-03 12:00:00"),
+            ("2024-01-03 12:00:00", ["Wednesday"], "12:00:00", "2024-01-10 12:00:00"),
+            ("2024-01-03 12:00:01", ["Monday", "Friday"], "12:00:00", "2024-01-05 12:00:00"),
+            ("2024-01-06 00:00:00", ["Monday", "Friday"], "08:30:00", "2024-01-08 08:30:00"),
+            ("2024-01-07 00:00:00", ["Sunday"], "00:00:01", "2024-01-07 00:00:01"),
+            ("2024-01-07 00:00:02", ["Sunday"], "00:00:01", "2024-01-14 00:00:01"),
+            ("2024-02-28 23:59:59", every, "23:59:59", "2024-02-29 23:59:59"),
+            ("2023-12-31 23:00:00", every, "22:00:00", "2024-01-01 22:00:00"),
+            ("2024-01-03 09:00:00", [], "10:00:00", None), ("2024-01-03 09:00:00", ["Wednesday"], "", None)]
+    for now, days, at, expected in want:
+        df = spark.createDataFrame([(now,)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
         arr = F.array(*[F.lit(d) for d in days]).cast("array<string>")
-        rows = ev.select("ts", next_release(F.col("ts"), arr, F.lit(rel)).alias("r")).collect()
-        for r in rows:
-            assert r["r"] == _next_release(r["ts"], days, rel), (r, days, rel)
+        got = df.select(next_release(F.col("t"), arr, F.lit(at)).cast("string").alias("r")).first()["r"]
+        assert got == expected, (now, days, at)
