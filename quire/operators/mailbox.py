@@ -150,10 +150,24 @@ def message_rank(df: DataFrame, *, by: str = "mailbox_id", date: str = "date", k
 
 
 # ---- whitelist and routing -------------------------------------------------------------
-def _whitelist_flag(messages: DataFrame, whitelist: DataFrame, sender: str, addr: str) -> DataFrame:
-    wl = whitelist.select(F.col(addr).alias("_addr")).distinct().withColumn("_wl", F.lit(True))
+def mail_check_scope(*, labels: str = "labels", date: str | None = None, since: Column | None = None) -> Column:
+    """What a mail check looks at: mail of the inbox that is neither marked as not
+    whitelisted nor analysed yet, and with ``since`` only mail from that time on."""
+    cond = labels_all(["INBOX"], labels=labels) & labels_none(["NOT_WHITELISTED", "ANALYZED"], labels=labels)
+    return cond if since is None else cond & (F.col(date or "date") >= since)
+
+
+def setup_whitelist(setup: DataFrame, *, by: str = "mailbox_id", senders: str = "whitelisted_senders") -> DataFrame:
+    """The senders each mailbox trusts, ``(by, addr)``, from its folded setup."""
+    return setup.select(by, F.explode(senders).alias("addr")).where(F.col("addr").isNotNull()).distinct()
+
+
+def _whitelist_flag(messages: DataFrame, whitelist: DataFrame, sender: str, addr: str, by: str = "mailbox_id") -> DataFrame:
+    """A whitelist with a mailbox column holds for its mailboxes only, one without for all."""
+    own = [by] if by in whitelist.columns and by in messages.columns else []
+    wl = whitelist.select(*own, F.col(addr).alias("_addr")).distinct().withColumn("_wl", F.lit(True))
     m = messages.withColumn("_addr", sender_address(sender))
-    return m.join(wl, "_addr", "left").withColumn("is_whitelisted", F.coalesce("_wl", F.lit(False))) \
+    return m.join(wl, [*own, "_addr"], "left").withColumn("is_whitelisted", F.coalesce("_wl", F.lit(False))) \
             .drop("_wl")
 
 
@@ -165,10 +179,11 @@ def whitelist_split(messages: DataFrame, whitelist: DataFrame, *, sender: str =
 
 def whitelist_semi(messages: DataFrame, whitelist: DataFrame, *, sender: str = "sender",
                    addr: str = "addr", anti: bool = False) -> DataFrame:
-    """J1 as a semi or anti join."""
-    wl = whitelist.select(F.col(addr).alias("_addr"))
+    """J1 as a semi or anti join; per mailbox where the whitelist names the mailbox."""
+    own = [c for c in ("mailbox_id",) if c in whitelist.columns and c in messages.columns]
+    wl = whitelist.select(*own, F.col(addr).alias("_addr"))
     m = messages.withColumn("_addr", sender_address(sender))
-    return m.join(wl, "_addr", "left_anti" if anti else "left_semi").drop("_addr")
+    return m.join(wl, [*own, "_addr"], "left_anti" if anti else "left_semi").drop("_addr")
 
 
 def route_messages(messages: DataFrame, whitelist: DataFrame, *, sender: str = "sender",

@@ -60,12 +60,15 @@ FROM messages_v m, LATERAL (SELECT {sender_address('m.sender')} AS address) a),
 routed2 AS (
 SELECT *, CASE WHEN NOT is_whitelisted THEN 'not_whitelisted'
                WHEN coalesce(lower(title) = 'config', false) THEN 'config' ELSE 'repost' END AS route
-FROM routed)"""
+FROM routed),
+checked AS (
+SELECT * FROM routed2
+WHERE list_contains(labels, 'INBOX') AND len(list_intersect(labels, ['NOT_WHITELISTED', 'ANALYZED'])) = 0)"""
 
 CONFIG_KEYS = "('active','days','release_time_str','seconds_between_checks','whitelisted_senders','newsletter_email','limit_newest')"
 
 FOLDED = f"""cfg AS (
-SELECT * FROM routed2 WHERE route = 'config' AND CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END),
+SELECT * FROM checked WHERE route = 'config' AND CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END),
 kv AS (
 SELECT mailbox_id, date, message_id, CAST(date AS DATE) AS poll, text, unnest(json_keys(text)) AS key FROM cfg),
 kv2 AS (
@@ -258,12 +261,12 @@ SELECT message_id FROM routed WHERE is_whitelisted"""
 SQL["whitelist_anti"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
 SELECT message_id FROM routed WHERE NOT is_whitelisted"""
 
-SQL["route_messages"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + "SELECT message_id, route FROM routed2"
+SQL["route_messages"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + "SELECT message_id, route FROM checked"
 
 SQL["config_fold"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED) + "SELECT mailbox_id, key, value FROM folded"
 
 SQL["dead_letter"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
-SELECT message_id, 'config text is not a JSON object' AS error FROM routed2
+SELECT message_id, 'config text is not a JSON object' AS error FROM checked
 WHERE route = 'config' AND NOT CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END"""
 
 SQL["mailbox_counts"] = with_views(MESSAGES_V) + """
@@ -611,7 +614,7 @@ SELECT f.message_id, string_agg(p.scraped, {NL} || {NL} ORDER BY f.link_pos) AS
 FROM firsts f JOIN page_texts p ON p.link = f.link GROUP BY f.message_id)
 SELECT r.message_id, coalesce(r.title, '') || {NL} || {NL} || coalesce(r.text, '') || {NL} || {NL}
        || coalesce(g.pages_text, '') AS corpus
-FROM routed2 r LEFT JOIN got g ON g.message_id = r.message_id WHERE r.route = 'repost'"""
+FROM checked r LEFT JOIN got g ON g.message_id = r.message_id WHERE r.route = 'repost'"""
 
 EVALUATION_V = """evaluation_v AS (
 SELECT source AS message_id, doc_id, 'ARTICLE_' || CAST(doc_id AS VARCHAR) AS id,
@@ -1056,7 +1059,7 @@ WHERE tier = best"""
 
 SQL["send_now_issue"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED, SETUP) + """
 , requests AS (
-SELECT DISTINCT mailbox_id, date AS as_of FROM routed2
+SELECT DISTINCT mailbox_id, date AS as_of FROM checked
 WHERE route = 'config' AND CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END
   AND lower(json_extract_string(text, '$.send_now')) = 'true'),
 hits AS (

@@ -31,8 +31,13 @@ def routed(spark: SparkSession, sf: str) -> DataFrame:
     return mb.route_messages(fx.messages_v(spark, sf), fx.whitelist_v(spark, sf))
 
 
+def checked(r: DataFrame) -> DataFrame:
+    """The routed mail that a mail check acts on."""
+    return r.where(mb.mail_check_scope())
+
+
 def folded_config(spark: SparkSession, sf: str, r: DataFrame | None = None) -> DataFrame:
-    r = r if r is not None else routed(spark, sf)
+    r = checked(r if r is not None else routed(spark, sf))
     return mb.config_fold(r.where(F.col("route") == mb.ROUTE_CONFIG), poll=F.to_date("date"))
 
 
@@ -216,7 +221,7 @@ def q_whitelist_anti(spark, sf):
 
 @register("route_messages")
 def q_route_messages(spark, sf):
-    return routed(spark, sf).select("message_id", "route")
+    return checked(routed(spark, sf)).select("message_id", "route")
 
 
 @register("config_fold")
@@ -226,7 +231,7 @@ def q_config_fold(spark, sf):
 
 @register("dead_letter")
 def q_dead_letter(spark, sf):
-    r = routed(spark, sf).where(F.col("route") == mb.ROUTE_CONFIG)
+    r = checked(routed(spark, sf)).where(F.col("route") == mb.ROUTE_CONFIG)
     return mb.config_entries(r).where(F.col("error").isNotNull()).select("message_id", "error")
 
 
@@ -460,7 +465,7 @@ def page_texts(spark, sf, needed: DataFrame | None = None):
 @register("repost_corpus")
 def q_repost_corpus(spark, sf):
     from quire.operators.articles import repost_corpus
-    reposts = routed(spark, sf).where(F.col("route") == mb.ROUTE_REPOST)
+    reposts = checked(routed(spark, sf)).where(F.col("route") == mb.ROUTE_REPOST)
     links = fx.msg_links_v(spark, sf)
     return repost_corpus(reposts, links, page_texts(spark, sf, links))
 
@@ -737,7 +742,7 @@ def q_news_items(spark, sf):
 @register("send_now_issue")
 def q_send_now_issue(spark, sf):
     r = routed(spark, sf)
-    cfg = mb.config_entries(r.where(F.col("route") == mb.ROUTE_CONFIG)).where(F.col("error").isNull())
+    cfg = mb.config_entries(checked(r).where(F.col("route") == mb.ROUTE_CONFIG)).where(F.col("error").isNull())
     requests = cfg.where(F.lower(F.try_element_at("_m", F.lit("send_now"))) == "true") \
                   .select("mailbox_id", F.col("date").alias("as_of"))
     out = iss.send_now_issues(r, requests, setup(spark, sf, r))

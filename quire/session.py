@@ -96,9 +96,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder for stage tables, under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"

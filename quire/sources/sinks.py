@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 
 def _dynamic(df: DataFrame):
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    return df.write.mode("overwrite")
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
 def write_news_json(items: DataFrame, path: str) -> None:
@@ -20,9 +19,11 @@ def write_news_json(items: DataFrame, path: str) -> None:
 
 def write_page_text(pages: DataFrame, path: str, *, text: str = "content", key: str = "page_id",
                     buckets: int = 64) -> None:
-    """K2: page texts as text files, partitioned by a hash bucket of the page key."""
-    out = pages.select(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket"), F.col(text).alias("value"))
-    _dynamic(out).partitionBy("bucket").text(path)
+    """K2: page texts with their page key and url, one JSON line a page (a text may hold line
+    ends), in a bounded number of directories by a hash of the key."""
+    url = [F.col("url")] if "url" in pages.columns else []
+    out = pages.select(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket"), F.col(key), *url, F.col(text).alias("content"))
+    _dynamic(out).partitionBy("bucket").json(path)
 
 
 def write_issue_html(docs: DataFrame, path: str, *, keys=("mailbox_id", "release_ts"), html: str = "html") -> None:

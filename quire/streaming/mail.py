@@ -2,11 +2,12 @@
 processing-time trigger; routing runs per micro-batch; issues close by watermark.
 
 * R1 ``stream_messages``: ``readStream`` with a declared schema.
-* R2/R3/R5/R6 ``run_router``: once-only by ``dropDuplicatesWithinWatermark`` on the
-  message key, then per batch: route, fold config mails, record send-now requests,
-  reposts and not-whitelisted labels, and dead-letter rows (bad config text, mail for
-  an issue already written). Each output is partitioned by ``batch_id`` and written with
-  dynamic partition overwrite, so a replayed batch rewrites instead of duplicating.
+* R2/R3/R5/R6 ``run_router``: per batch the mail in scope is routed once, config mails are
+  folded, send-now requests, reposts and not-whitelisted labels recorded, and rows that cannot be
+  applied (bad config text, mail for an issue already written) go to the dead letter. Once-only is
+  a ledger of routed keys, not a watermark: a message that comes late, however late, is routed like any
+  other, and one that comes again is not. Each output is partitioned by ``batch_id``
+  and written with dynamic partition overwrite, so a replayed batch rewrites instead of duplicating.
 * R4 ``run_issues``: the release of each message by the closed form (no calendar join),
   the watermark on ``release_ts`` itself, one row per (mailbox, release) in append mode.
 """
@@ -19,7 +20,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators import issues as iss
 from quire.operators import mailbox as mb
-from quire.session import scratch_dir
 
 
 def stream_messages(spark: SparkSession, path: str, schema, *, fmt: str = "parquet",
@@ -36,31 +36,57 @@ def _trigger(w, every: str | None):
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").parquet(path)
+    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
 
 
-def run_router(stream: DataFrame, whitelist: DataFrame, out_dir: str, *, every: str | None = None,
-               delay: str = "1 day", checkpoint: str | None = None, issues_path: str | None = None) -> StreamingQuery:
+KEY = ["mailbox_id", "message_id"]
+
+
+def _first_seen(df: DataFrame, ledger: str, batch_id: int) -> DataFrame:
+    """Messages of a batch that no other batch has routed, one row a key. Of the ledger only the
+    batch's span of dates is read."""
+    new = df.dropDuplicates(KEY)
+    if not _exists(df.sparkSession, ledger):
+        return new
+    span = df.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    if span["lo"] is None:
+        return new
+    done = (df.sparkSession.read.parquet(ledger).where(F.col("batch_id") != batch_id)
+            .where(F.col("date").between(F.lit(span["lo"]), F.lit(span["hi"]))).select(*KEY))
+    return new.join(done, KEY, "left_anti")
+
+
+def _of_released_issue(mail: DataFrame, issues: DataFrame, lookback_days: int) -> DataFrame:
+    """Mail whose own issue is out: the next release after it, within the look-back, is written.
+    Days are equi-joined, so a mail meets the releases of a few days and not of all time."""
+    out = issues.select("mailbox_id", F.col("release_ts")).distinct().withColumn("_day", F.to_date("release_ts"))
+    days = F.explode(F.sequence(F.to_date("date"), F.date_add(F.to_date("date"), lookback_days))).alias("_day")
+    return (mail.select(*KEY, "date", days).join(out, ["mailbox_id", "_day"])
+            .where(F.col("date").cast("timestamp") <= F.col("release_ts")).select(*KEY).distinct())
+
+
+def run_router(stream: DataFrame, whitelist: DataFrame, out_dir: str, *, checkpoint: str, every: str | None = None,
+               issues_path: str | None = None, lookback_days: int = iss.LOOKBACK_DAYS) -> StreamingQuery:
     """R2 + R3 + R5 + R6 + K5. ``every=None`` processes what is there and stops (tests).
+    ``checkpoint`` is the stream's own folder on shared storage. A whitelist with a
+    ``mailbox_id`` holds for its mailboxes only.
 
     K5: ``config_changes`` is the ledger of all applied config values (one partition per
     batch). After a batch with config mails, the setup of the mailboxes it touched is
     folded again from the whole ledger (the newest batch wins, inside a batch the oldest
     mail) and rewritten under ``out_dir/setup``, one partition per mailbox."""
     spark = stream.sparkSession
-    deduped = (stream.withColumn("_event_ts", F.col("date").cast("timestamp"))
-               .withWatermark("_event_ts", delay)
-               .dropDuplicatesWithinWatermark(["mailbox_id", "message_id"]))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        routed = mb.route_messages(df.drop("_event_ts"), whitelist).persist()
+        fresh = _first_seen(df.where(mb.mail_check_scope()), f"{out_dir}/routes", batch_id)
+        routed = mb.route_messages(fresh, whitelist).persist()
         try:
-            _write_batch(routed.select("mailbox_id", "message_id", "route"), f"{out_dir}/routes", batch_id)
+            _write_batch(routed.select(*KEY, "date", "route"), f"{out_dir}/routes", batch_id)
             cfg = mb.config_entries(routed.where(F.col("route") == mb.ROUTE_CONFIG))
-            bad = cfg.where(F.col("error").isNotNull()).select("mailbox_id", "message_id", "error")
+            bad = cfg.where(F.col("error").isNotNull()).select(*KEY, "error")
             good = cfg.where(F.col("error").isNull())
-            kv = good.select("mailbox_id", "message_id", "date", F.explode("_m").alias("key", "value"))
+            kv = good.select(*KEY, "date", F.explode("_m").alias("key", "value"))
             changes = kv.where(F.col("key").isin(*mb.CONFIG_KEYS))
             _write_batch(changes, f"{out_dir}/config_changes", batch_id)
             touched = changes.select("mailbox_id").distinct()
@@ -70,25 +96,19 @@ def run_router(stream: DataFrame, whitelist: DataFrame, out_dir: str, *, every:
             _write_batch(kv.where((F.col("key") == "send_now") & (F.lower("value") == "true"))
                          .select("mailbox_id", F.col("date").alias("as_of"), "message_id"),
                          f"{out_dir}/send_now", batch_id)
-            _write_batch(routed.where(F.col("route") == mb.ROUTE_REPOST).select("mailbox_id", "message_id"),
-                         f"{out_dir}/reposts", batch_id)
+            _write_batch(routed.where(F.col("route") == mb.ROUTE_REPOST).select(*KEY), f"{out_dir}/reposts", batch_id)
             _write_batch(routed.where(F.col("route") == mb.ROUTE_OTHER)
-                         .select("mailbox_id", "message_id", F.array(F.lit("NOT_WHITELISTED")).alias("add")),
+                         .select(*KEY, F.array(F.lit("NOT_WHITELISTED")).alias("add")),
                          f"{out_dir}/label_changes", batch_id)
             if issues_path is not None and _exists(spark, issues_path):
-                # Mail for an issue that is already out goes to the dead letter
-                done = spark.read.parquet(issues_path).select("mailbox_id", "release_ts")
-                late = routed.join(done, ["mailbox_id"]).where(
-                    F.col("date").cast("timestamp") <= F.col("release_ts")).select(
-                    "mailbox_id", "message_id", F.lit("issue already released").alias("error"))
-                bad = bad.unionByName(late)
+                # Mail of an issue that is already out
+                late = _of_released_issue(routed, spark.read.parquet(issues_path), lookback_days)
+                bad = bad.unionByName(late.withColumn("error", F.lit("issue already released")))
             _write_batch(bad, f"{out_dir}/dead_letter", batch_id)
         finally:
             routed.unpersist()
 
-    ck = checkpoint or scratch_dir(spark, "router-checkpoint")
-    w = deduped.writeStream.foreachBatch(batch).option("checkpointLocation", ck)
-    return _trigger(w, every).start()
+    return _trigger(stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), every).start()
 
 
 def _upsert_setup(spark: SparkSession, out_dir: str, touched: DataFrame) -> None:
@@ -109,11 +129,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def issue_stream(stream: DataFrame, setup: DataFrame, *, delay: str = "1 second",
-                 lookback_days: int = iss.LOOKBACK_DAYS) -> DataFrame:
+def issue_stream(stream: DataFrame, setup: DataFrame, *, whitelist: DataFrame | None = None, delay: str = "1 second") -> DataFrame:
     """R4 as a DataFrame: ``(mailbox_id, release_ts, n_messages, first_date, last_date)``
-    per issue, emitted once the watermark on ``release_ts`` passes it."""
+    per issue, emitted once the watermark on ``release_ts`` passes it. With a whitelist,
+    config mails and reposts are no part of an issue, as in batch."""
     s = stream.where(mb.archive_state(0) & mb.labels_none(["ANALYZED"]))
+    if whitelist is not None:
+        s = mb.route_messages(s, whitelist).where(~F.col("route").isin(mb.ROUTE_CONFIG, mb.ROUTE_REPOST))
     s = s.join(setup.select("mailbox_id", "active", "days", "release_time_str"), "mailbox_id")
     rel = iss.next_release(F.col("date"), F.col("days"), F.col("release_time_str"), F.col("active"))
     s = s.withColumn("release_ts", rel.cast("timestamp")).where(F.col("release_ts").isNotNull())
@@ -122,11 +144,9 @@ def issue_stream(stream: DataFrame, setup: DataFrame, *, delay: str = "1 second"
         F.count(F.lit(1)).alias("n_messages"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def run_issues(stream: DataFrame, setup: DataFrame, out_path: str, *, every: str | None = None,
-               delay: str = "1 second", checkpoint: str | None = None) -> StreamingQuery:
-    """Closed issues appended to ``out_path`` (parquet)."""
-    spark = stream.sparkSession
-    ck = checkpoint or scratch_dir(spark, "issues-checkpoint")
-    w = (issue_stream(stream, setup, delay=delay).writeStream.outputMode("append").format("parquet")
-         .option("path", out_path).option("checkpointLocation", ck))
+def run_issues(stream: DataFrame, setup: DataFrame, out_path: str, *, checkpoint: str, whitelist: DataFrame | None = None,
+               every: str | None = None, delay: str = "1 second") -> StreamingQuery:
+    """Closed issues appended to ``out_path`` (parquet); ``checkpoint`` is the stream's own shared folder."""
+    w = (issue_stream(stream, setup, whitelist=whitelist, delay=delay).writeStream.outputMode("append").format("parquet")
+         .option("path", out_path).option("checkpointLocation", checkpoint))
     return _trigger(w, every).start()
