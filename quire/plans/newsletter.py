@@ -32,7 +32,7 @@ def scored_articles(spark: SparkSession, sf: str) -> DataFrame:
     members = iss.issue_messages(r, setup(spark, sf, r), routes=r).select(*ISSUE, "message_id", "msg_rank")
     links = members.join(fx.msg_links_v(spark, sf), "message_id")
     # page text only for linked pages, joined on the url before anything is grouped by issue
-    arts = attach_pages(links, page_texts(spark, sf, links))
+    arts = attach_pages(links, page_texts(spark, sf, links, topical=True))
     # from here every step is partitioned by the issue (an issue holds at most max_results
     # messages, so the windows are bounded) and shares one exchange
     w = Window.partitionBy(*ISSUE).orderBy("msg_rank", "link_pos")
@@ -52,11 +52,11 @@ def kept_articles(spark: SparkSession, sf: str) -> DataFrame:
     contact = F.regexp_extract("scraped", EMAIL_RE, 1)
     return top.select(
         *ISSUE, "top_rank", "link",
-        F.substring(first_line, 1, 80).alias("title"),
+        first_line.alias("title"),
         F.regexp_extract("link", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1).alias("source"),
         F.lit("Online").alias("location"),
         F.when(contact != "", contact).alias("contact"),
-        F.substring("scraped", 1, 300).alias("description"),
+        F.col("scraped").alias("description"),
         preview_words("scraped", 12).alias("summary"),
         classify("scraped").alias("category"))
 

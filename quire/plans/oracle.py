@@ -662,8 +662,39 @@ FROM (SELECT *, row_number() OVER (PARTITION BY mailbox_id ORDER BY date DESC, m
       FROM messages_v)"""
 
 # ---- scoring and text ---------------------------------------------------------------------------
-from quire.operators.scoring import CATEGORY_RULES as _RULES  # noqa: E402  (same fixed rule lists)
-from quire.operators.scoring import THEMES as _THEMES  # noqa: E402
+# The fixed rule lists, stated here again and not taken from the operators.
+_THEMES = (
+    ("Cyber-Physical Systems", ("cyber-physical", "cyber physical", "cyberphysical")),
+    ("Digital-Physical Integration", ("digital-physical", "digital physical", "digital twin")),
+    ("Robotics", ("robot",)),
+    ("Human-Computer Interaction", ("human-computer", "human computer", "user interface", "interaction")),
+    ("Artificial Intelligence", ("artificial intelligence", "machine learning", "neural network")),
+    ("Automation", ("automat",)),
+    ("Decentralized Technologies", ("decentralis", "decentraliz", "blockchain", "distributed ledger")),
+    ("Ethics in Technology", ("ethic",)),
+    ("Interdisciplinary Research", ("interdisciplin", "research")),
+    ("Innovation and Design", ("innovat", "design")),
+)
+_RULES = (
+    ("Talks", ("talk", "lecture", "seminar", "keynote", "panel", "speaker")),
+    ("Events", ("conference", "symposium", "expo", "fair", "meetup", "summit", "congress")),
+    ("Workshops", ("workshop", "bootcamp", "hands-on", "tutorial", "course")),
+    ("Opportunity", ("job", "internship", "fellowship", "grant", "scholarship", "competition", "hiring",
+                     "call for papers")),
+    ("News", ("announce", "announced", "award", "report", "partnership", "launch", "launched", "opens", "open")),
+)
+TOPICS = ["robot", "Cyber-physical", "digital twin", "user interface", "machine learning", "automated", "blockchain", "ethics",
+          "research", "innovation", "talks", "Seminar", "conference", "fairs", "workshop", "hands-on", "job", "grants", "announced",
+          "award", "talking", "reopened", "jobless", "cybernetic", "panelled", "ethnic", "call for papers", "fairly"]
+
+
+def topics(k: str) -> str:
+    """The same words by id, looked up in a list (beyond its end: nothing)."""
+    words = "[" + ", ".join(q(w + ". ") for w in TOPICS) + "]"
+    return " || ".join(f"coalesce({words}[{n} % 41 + 1], '')" for n in (k, f"({k} // 41)", f"({k} // 3)", f"({k} // 5)", f"({k} // 7)"))
+
+
+TOPICAL_V = f"topical_v AS (SELECT doc_id, {topics('doc_id')} || text AS text FROM documents)"
 
 
 def _contains_any(lt: str, words) -> str:
@@ -676,10 +707,12 @@ def theme_count(t: str) -> str:
 
 
 def classify(t: str) -> str:
-    from quire.operators.scoring import word_rule_regex
     lt = f"lower({t})"
+
+    def whole_word(ws):
+        return r"(?:\A|[^a-z])(?:" + "|".join(ws) + r")s?(?:[^a-z]|\z)"
     return ("CASE " + " ".join(
-        f"WHEN coalesce({_contains_any(lt, ws)} AND regexp_matches({lt}, {q(word_rule_regex(ws))}), false) THEN {q(c)}"
+        f"WHEN coalesce({_contains_any(lt, ws)} AND regexp_matches({lt}, {q(whole_word(ws))}), false) THEN {q(c)}"
         for c, ws in _RULES) + " ELSE 'Other' END")
 
 
@@ -720,19 +753,19 @@ SELECT doc_id, block_pos, substring(text, start, len) AS block FROM b"""
 
 SQL["text_blocks_udf"] = text_blocks_recursive(5000)
 
-SQL["relevancy_score"] = f"SELECT doc_id, CAST(({theme_count('text')} * 100) // {len(_THEMES)} AS INTEGER) AS relevancy FROM documents"
+SQL["relevancy_score"] = with_views(TOPICAL_V) + f"SELECT doc_id, CAST(({theme_count('text')} * 100) // {len(_THEMES)} AS INTEGER) AS relevancy FROM topical_v"
 
-SQL["theme_filter"] = f"SELECT doc_id FROM documents WHERE {theme_count('text')} > 0"
+SQL["theme_filter"] = with_views(TOPICAL_V) + f"SELECT doc_id FROM topical_v WHERE {theme_count('text')} > 0"
 
-SQL["classify_category"] = f"SELECT doc_id, {classify('text')} AS category FROM documents"
+SQL["classify_category"] = with_views(TOPICAL_V) + f"SELECT doc_id, {classify('text')} AS category FROM topical_v"
 
 SQL["future_only"] = with_views(MESSAGES_V) + """
 SELECT message_id, date FROM messages_v WHERE date >= TIMESTAMP '2024-01-20 00:00:00'"""
 
 ARTICLES_V = """articles_v AS (
-SELECT doc_id AS pos, source AS issue_id, substring(text, 1, 40) AS title, source, 'Online' AS location,
+SELECT doc_id AS pos, source AS issue_id, split_part(text, chr(10), 1) AS title, source, 'Online' AS location,
        CASE WHEN doc_id % 4 = 0 THEN 'c' || CAST(doc_id AS VARCHAR) || '@example.com' END AS contact,
-       substring(text, 1, 200) AS description, substring(text, 1, 60) AS summary,
+       text AS description, 'A text of ' || CAST(n_chars AS VARCHAR) || ' characters' AS summary,
        'https://example.com/' || CAST(doc_id AS VARCHAR) AS link,
        CASE doc_id % 8 WHEN 0 THEN 'News' WHEN 1 THEN 'Talks' WHEN 2 THEN 'Events' WHEN 3 THEN 'Workshops'
                        WHEN 4 THEN 'Opportunity' WHEN 5 THEN 'Other' WHEN 6 THEN 'Podcast' END AS category
@@ -889,7 +922,7 @@ FROM digest_articles GROUP BY issue_id"""
 
 EMAIL_RE = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 
-KEPT = f"""page_texts AS (SELECT url AS link, {page_text_lines('html')} AS scraped FROM pages),
+KEPT = f"""page_texts AS (SELECT url AS link, {topics('page_id')} || {page_text_lines('html')} AS scraped FROM pages),
 members AS (SELECT mailbox_id, release_ts, message_id, msg_rank FROM issue_messages),
 ilinks AS (SELECT m.*, l.link_pos, l.link FROM members m JOIN msg_links_v l ON l.message_id = m.message_id),
 numbered_i AS (
@@ -908,9 +941,9 @@ SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY mailbox_id, release_ts ORDER BY coalesce(relevancy, 0) DESC, article_n ASC) - 1 AS BIGINT) AS top_rank
   FROM arts3) WHERE top_rank < 5),
 kept AS (
-SELECT mailbox_id, release_ts, top_rank, link, substring(split_part(scraped, chr(10), 1), 1, 80) AS title,
+SELECT mailbox_id, release_ts, top_rank, link, split_part(scraped, chr(10), 1) AS title,
        regexp_extract(link, {q(r'^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)')}, 1) AS source, 'Online' AS location,
-       nullif(regexp_extract(scraped, {q(EMAIL_RE)}, 1), '') AS contact, substring(scraped, 1, 300) AS description,
+       nullif(regexp_extract(scraped, {q(EMAIL_RE)}, 1), '') AS contact, scraped AS description,
        array_to_string(list_filter(string_split_regex(scraped, '\\s+'), lambda w: w <> '')[1:12], ' ') AS summary,
        {classify('scraped')} AS category
 FROM top_i),

@@ -451,15 +451,18 @@ def q_issue_corpus(spark, sf):
     return issue_corpus(msgs, arts)
 
 
-def page_texts(spark, sf, needed: DataFrame | None = None):
+def page_texts(spark, sf, needed: DataFrame | None = None, topical: bool = False):
     """H1 text per page url; with ``needed`` (a ``link`` column) only for those pages: the
     semi join runs first (AQE broadcasts a small link set), so text is extracted only
-    where it is used."""
+    where it is used. ``topical`` texts name themes and categories (the digest's fixture)."""
     from quire.functions.html import page_text_lines
-    p = _pages(spark, sf).select(F.col("url").alias("link"), "html")
+    p = _pages(spark, sf).select("page_id", F.col("url").alias("link"), "html")
     if needed is not None:
         p = p.join(needed.select("link"), "link", "left_semi")
-    return p.select("link", page_text_lines("html").alias("scraped"))
+    text = page_text_lines("html")
+    if topical:
+        text = F.concat(F.expr(fx.topics("page_id")), text)
+    return p.select("link", text.alias("scraped"))
 
 
 @register("repost_corpus")
@@ -545,19 +548,19 @@ def q_text_blocks_udf(spark, sf):
 @register("relevancy_score")
 def q_relevancy_score(spark, sf):
     from quire.operators.scoring import relevancy_score
-    return _docs(spark, sf).select("doc_id", relevancy_score("text").alias("relevancy"))
+    return fx.topical_v(spark, sf).select("doc_id", relevancy_score("text").alias("relevancy"))
 
 
 @register("theme_filter")
 def q_theme_filter(spark, sf):
     from quire.operators.scoring import theme_filter
-    return _docs(spark, sf).where(theme_filter("text")).select("doc_id")
+    return fx.topical_v(spark, sf).where(theme_filter("text")).select("doc_id")
 
 
 @register("classify_category")
 def q_classify_category(spark, sf):
     from quire.operators.scoring import classify
-    return _docs(spark, sf).select("doc_id", classify("text").alias("category"))
+    return fx.topical_v(spark, sf).select("doc_id", classify("text").alias("category"))
 
 
 @register("future_only")

@@ -98,10 +98,10 @@ def evaluation_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents=read_table(spark, sf_dir, "documents"))
 
 
-ARTICLES_SQL = """
-SELECT doc_id AS pos, source AS issue_id, substring(text, 1, 40) AS title, source, 'Online' AS location,
+ARTICLES_SQL = r"""
+SELECT doc_id AS pos, source AS issue_id, split_part(text, '\n', 1) AS title, source, 'Online' AS location,
        CASE WHEN doc_id % 4 = 0 THEN concat('c', CAST(doc_id AS STRING), '@example.com') END AS contact,
-       substring(text, 1, 200) AS description, substring(text, 1, 60) AS summary,
+       text AS description, concat('A text of ', CAST(n_chars AS STRING), ' characters') AS summary,
        concat('https://example.com/', CAST(doc_id AS STRING)) AS link,
        CASE doc_id % 8 WHEN 0 THEN 'News' WHEN 1 THEN 'Talks' WHEN 2 THEN 'Events' WHEN 3 THEN 'Workshops'
                        WHEN 4 THEN 'Opportunity' WHEN 5 THEN 'Other' WHEN 6 THEN 'Podcast' END AS category
@@ -109,6 +109,25 @@ FROM {documents}
 """
 
 
+#: Words that some texts get by their id: theme and category words, plurals, and near misses.
+TOPICS = ("robot", "Cyber-physical", "digital twin", "user interface", "machine learning", "automated", "blockchain", "ethics",
+          "research", "innovation", "talks", "Seminar", "conference", "fairs", "workshop", "hands-on", "job", "grants", "announced",
+          "award", "talking", "reopened", "jobless", "cybernetic", "panelled", "ethnic", "call for papers", "fairly")
+
+
+def topics(k: str) -> str:
+    """SQL text of the words a row with the id ``k`` gets in front of its text."""
+    words = "array(" + ", ".join(f"'{w}. '" for w in TOPICS) + ")"
+    pick = lambda n: f"coalesce(get({words}, CAST({n} % 41 AS INT)), '')"
+    return f"concat({pick(k)}, " + ", ".join(pick(f"({k} DIV {d})") for d in (41, 3, 5, 7)) + ")"
+
+
+def topical_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose texts name themes and categories."""
+    return spark.sql(f"SELECT doc_id, concat({topics('doc_id')}, text) AS text FROM {{documents}}",
+                     documents=read_table(spark, sf_dir, "documents"))
+
+
 def articles_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D10 digest articles; one unknown category and one NULL category on purpose."""
     return spark.sql(ARTICLES_SQL, documents=read_table(spark, sf_dir, "documents"))

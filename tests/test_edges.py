@@ -246,3 +246,22 @@ def test_bare_href_counts_as_empty(spark):
     df = spark.createDataFrame([('<a href>x</a><a name="n">y</a><a href="/z">z</a>',)], "html string")
     r = df.select(H.raw_links("html").alias("raw"), H.filtered_links("html").alias("kept")).collect()[0]
     assert list(r["raw"]) == ["", "/z"] and list(r["kept"]) == ["/z"]
+
+
+def test_scoring_fixture_means_something(spark):
+    """Every theme and category occurs, scores differ, and the kept articles are not the first ones."""
+    from conftest import MID, SMALL
+    from quire.operators.scoring import CATEGORIES, THEMES, _any_contains, classify, relevancy_score
+    from quire.plans.newsletter import ISSUE, kept_articles, scored_articles
+    from quire.sources import fixtures as fx
+    v = fx.topical_v(spark, MID)
+    low = F.lower("text")
+    seen = v.select(*[F.max(_any_contains(low, kws)).alias(f"t{i}") for i, (_, kws) in enumerate(THEMES)]).first()
+    assert all(seen)
+    rows = v.select(relevancy_score("text").alias("s"), classify("text").alias("c")).collect()
+    assert {r["c"] for r in rows} == set(CATEGORIES) and len({r["s"] for r in rows}) > 4
+    near = spark.createDataFrame([("the talking panelled reopened fairly jobless",)], "text string").select(classify("text").alias("c"))
+    assert near.first()["c"] == "Other"
+    kept = {(r[0], r[1], r["link"]) for r in kept_articles(spark, SMALL).select(*ISSUE, "link").collect()}
+    first = {(r[0], r[1], r["link"]) for r in scored_articles(spark, SMALL).where("article_n < 5").select(*ISSUE, "link").collect()}
+    assert kept != first
