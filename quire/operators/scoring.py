@@ -116,12 +116,13 @@ def normalised(text: str | Column) -> Column:
 def exact_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """X3 exact: rows with the same normalised text form a group; the smallest key keeps
     its score, the others are copies. Returns ``(key, dup_of, is_copy)``. One row per hash
-    is joined back (AQE splits a hot hash on the big side)."""
+    is joined back; it is written first, since AQE only splits a hot hash where both sides of
+    the join come straight from an exchange, with no aggregate between."""
     from quire.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     # the (key, hash) table is narrow; written once, it feeds both the group and the join
     hashes = df.select(key, F.sha2(normalised(text), 256).alias("_h")).checkpoint(eager=True)
-    keep = hashes.groupBy("_h").agg(F.min(key).alias("dup_of"))
+    keep = hashes.groupBy("_h").agg(F.min(key).alias("dup_of")).checkpoint(eager=True)
     return hashes.join(keep, "_h").select(key, "dup_of", (F.col(key) != F.col("dup_of")).alias("is_copy"))
 
 
