@@ -115,15 +115,12 @@ class Tokens:
         table = lambda ids: (ids.ravel(), np.arange(len(ids)) * ids.shape[1])
         at = np.arange(n)
         before, after = at - 1, at + 1
-        before[self.first] = -1
-        ends = np.append(self.first[1:], True)
-        after[ends] = -1
-        two = np.where((before > 0) & (before >= 0), before - 1, -1)
-        two[np.where(before >= 0, self.first[before], True)] = -1
+        before[self.first] = -1                                  # no neighbour beyond the text
+        after[np.append(self.first[1:], True)] = -1
+        two = np.where((before < 0) | self.first[before], -1, before - 1)
         hop = lambda i: np.where(i < 0, -1, back[i])
         gap = np.where(before < 0, 0, self._gap(buf, self.end[before], self.start))
         gap_after = np.where(after < 0, 0, self._gap(buf, self.end, self.start[np.minimum(after, n - 1)]))
-        rows = len(offs) - 1
         # the file: shares of digits and of other ASCII marks in the text, in steps
         size = np.maximum(np.diff(offs), 1)
         csum = lambda mask: np.concatenate(([0], np.cumsum(mask)))
@@ -134,7 +131,6 @@ class Tokens:
         self.groups = [Group(*table(own), back), Group(*table(2000 + near), hop(before)), Group(*table(2200 + near), hop(two)),
                        Group(*table(2400 + near), hop(after)), Group(*one(np.arange(3000, 3064)), gap),
                        Group(*one(np.arange(3100, 3164)), gap_after), Group(*one(file), self.row)]
-        del rows
 
     @staticmethod
     def _gap(buf: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:

@@ -104,7 +104,7 @@ def tree_links(probes: list[np.ndarray], members: list[np.ndarray], percent: int
     place = np.minimum(np.searchsorted(values, every), len(values) - 1)
     met = values[place] == every                                 # shingles that some member has
     met_ranks, column = np.unique(rank[place[met]], return_inverse=True)
-    hit = np.zeros((len(met_ranks) + 1, len(probes)), np.int32)  # the last row: shingles of no probe
+    hit = np.zeros((len(met_ranks) + 1, len(probes)), np.int8)   # the last row: shingles of no probe
     hit[column, owner[met]] = 1
     row_of = np.full(len(values), len(met_ranks))
     row_of[met_ranks] = np.arange(len(met_ranks))
@@ -126,7 +126,7 @@ def tree_links(probes: list[np.ndarray], members: list[np.ndarray], percent: int
         dead = -1
         seen = np.empty((m, len(probes)), np.int32)              # overlap along the path; the shared part is known
         seen[:shared] = upto[:shared] if shared else 0
-        np.cumsum(hit[row_of[path[shared:]]], axis=0, out=seen[shared:])
+        np.cumsum(hit[row_of[path[shared:]]], axis=0, dtype=np.int32, out=seen[shared:])
         if shared:
             seen[shared:] += seen[shared - 1]
         total = seen[-1]
