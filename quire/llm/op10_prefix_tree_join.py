@@ -58,7 +58,8 @@ def quota(n: int, percent: int) -> int:
 
 
 def sketch_size(n: int, percent: int) -> int:
-    return n - need(n, percent) + quota(n, percent)
+    """None if not even a set of one shingle more links; a set of one less asks for more."""
+    return n - need(n, percent) + quota(n, percent) if 100 * n >= percent * (n + 1) else 0
 
 
 def _shingled(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -76,8 +77,7 @@ def _shingled(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _sets(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, sets, n, f1, f2 in _shingled(k, batches):
-            # a set with no room for a different partner needs no sketch
-            sk = [s[: sketch_size(len(s), percent)] if need(len(s), percent) < len(s) else s[:0] for s in sets]
+            sk = [s[: sketch_size(len(s), percent)] for s in sets]
             yield pa.RecordBatch.from_arrays([key, pa.array(n), f1, f2, T.lists(sk)],
                                              ["doc_id", "n", "f1", "f2", "sketch"])
     return run
