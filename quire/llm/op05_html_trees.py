@@ -17,7 +17,9 @@ their texts are laid out again by fixed rules in other page designs (divisions w
 notices, reader comments, forms, tables), where every block's tag is known.
 
 Cases: null or empty html, or no main block: empty text. Null ids, null urls and repeated rows are kept.
-Broken mark-up (unclosed elements, stray ends, cut references) is read as it stands. Empty table: no rows.
+Broken mark-up (unclosed elements, stray ends, cut references) is read as it stands; a head without an end tag ends
+where HTML ends it, and a hidden element (svg, object, button, option, audio and the like) without an end tag of its
+own hides only what comes before the next block. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from quire.llm._boost import Trees
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe object svg math head title select button textarea option canvas audio video map".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var img br wbr input".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -77,16 +80,42 @@ def _text(runs: list[str]) -> str:
 
 def parse(page: str | None) -> list[Block]:
     """Blocks in page order, the root first. ``parts`` holds a block's text runs and children in order."""
+    blocks, open_ = _read(page or "", frozenset())
+    return _read(page or "", open_)[0] if open_ else blocks
+
+
+def _read(page: str, loose: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """Blocks, and the places of the hidden elements (but head) that no end tag of their own closes. Those at the
+    places ``loose`` end before the first block that starts in them, or at once if self-closed."""
     root = Block("html", None)
     blocks, here = [root], root
-    stack: list[tuple[str, Block | None]] = []                   # open elements; None: inline
+    stack: list[tuple[str, Block | None, int]] = []              # open elements with their places; None: inline
     link = 0
-    at, size = 0, len(page or "")
-    page = page or ""
+    at, size = 0, len(page)
     hidden = 0
+    open_: set[int] = set()
+    head, ends_early = -1, []                                    # where in the stack: the open head, the loose ones
+
+    def close(depth: int, own: bool = False) -> None:
+        """Close the open elements from ``depth`` up; ``own``: the first by its end tag."""
+        nonlocal link, hidden, here, head
+        for i, (n, b, place) in enumerate(stack[depth:]):
+            link -= n == "a"
+            hidden -= n in HIDDEN
+            if n in HIDDEN and n != "head" and (i or not own):
+                open_.add(place)
+            if b is not None:
+                here = b.parent
+        del stack[depth:]
+        head = head if head < depth else -1
+        while ends_early and ends_early[-1] >= depth:
+            ends_early.pop()
+
     while at < size:
         m = TAG.search(page, at)
         end = m.start() if m else size
+        if 0 <= head == len(stack) - 1 and page[at:end].strip():  # text ends a head without an end tag
+            close(head)
         if end > at and not hidden:
             run = page[at:end]
             here.parts.append(run)
@@ -101,30 +130,27 @@ def parse(page: str | None) -> list[Block]:
         name = name.lower()
         if m[1]:                                                 # an end tag closes the nearest open element of its name
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if depth < 0 or stack[depth][1] is None and any(b is not None for _, b in stack[depth + 1:]):
+            if depth < 0 or stack[depth][1] is None and any(b is not None for _, b, _ in stack[depth + 1:]):
                 continue
-            for n, b in stack[depth:]:
-                link -= n == "a"
-                hidden -= n in HIDDEN
-                if b is not None:
-                    here = b.parent
-            del stack[depth:]
+            close(depth, own=True)
             continue
+        if head >= 0 and name == "head":
+            continue
+        if head >= 0 and (name == "body" or name not in HEAD and head == len(stack) - 1):
+            close(head)                                          # and so does a start tag that a head cannot hold
+        depth = next((i for i in ends_early if name in KIND or name == stack[i][0]), -1)
+        if depth >= 0:
+            close(depth)
         closes = CLOSES.get(name)
         if closes or name not in INLINE:
             for i in range(len(stack) - 1, -1, -1):
-                n, b = stack[i]
+                n, b, _ = stack[i]
                 if b is None:
                     continue
                 if closes and n in SCOPE[name] or not closes and n != "p":
                     break
                 if closes and n in closes or n == "p":           # any block start ends an open paragraph
-                    for x, y in stack[i:]:
-                        link -= x == "a"
-                        hidden -= x in HIDDEN
-                        if y is not None:
-                            here = y.parent
-                    del stack[i:]
+                    close(i)
                     if not closes:
                         break
         if name == "br":
@@ -132,24 +158,31 @@ def parse(page: str | None) -> list[Block]:
             continue
         if name in VOID:
             continue
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+        empty = m[3].rstrip().endswith("/")
+        if name in RAW and not empty:
+            stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = stop.end() if stop else size
             continue
         if name in INLINE:
             here.inline += 1
             link += name == "a"
-            stack.append((name, None))
+            stack.append((name, None, end))
             continue
         block = Block(name, here, m[3])
-        if name in HIDDEN:
-            hidden += 1
         here.kids.append(block)
         here.parts.append(block)
         blocks.append(block)
-        stack.append((name, block))
+        if empty and (name in ("svg", "math") or end in loose):
+            continue
+        hidden += name in HIDDEN
+        if name == "head":
+            head = len(stack)
+        elif end in loose:
+            ends_early.append(len(stack))
+        stack.append((name, block, end))
         here = block
-    return blocks
+    close(0)
+    return blocks, frozenset(open_)
 
 
 FEATURES = 34
