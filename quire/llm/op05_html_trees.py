@@ -11,12 +11,13 @@ under the hierarchy: *outside* may hold anything, *main* may hold main or boiler
 Text: the own text of main blocks in page order, character references decoded, white space inside a
 block one space, trimmed, blocks joined by one newline; nothing else dropped or cut.
 
-Training: a bounded sample of ``sample`` pages by hash of the id (up to ``longest`` characters). Their
-blocks are tagged by HTML5 semantics (article or main against nav, footer, aside, adverts, forms), and
+Training: a bounded sample of ``sample`` pages by hash of the id; pages of more than ``longest`` characters
+are drawn last, and the sample reads ``longest`` characters of them. Their blocks are tagged by HTML5 semantics (article or main against nav, footer, aside, adverts, forms), and
 their texts are laid out again by fixed rules in other page designs (divisions with class names, side bars,
 notices, reader comments, forms, tables), where every block's tag is known.
 
-Cases: null or empty html, or no main block: empty text. Null ids, null urls and repeated rows are kept.
+Cases: null or empty html, or no main block: empty text. No trees can be fitted (no text in the drawn pages): the
+semantic tags alone decide, and on a page without article or main all that is not nav, footer, advert and the like is text. Null ids, null urls and repeated rows are kept.
 Broken mark-up (unclosed elements, stray ends, cut references) is read as it stands; a head without an end tag ends
 where HTML ends it, and a hidden element (svg, object, button, option, audio and the like) without an end tag of its
 own hides only what comes before the next block. Empty table: no rows.
@@ -332,11 +333,11 @@ def _designs(paragraphs: list[str], title: str, side: list[str], rng: np.random.
 SEMANTIC_MAIN, SEMANTIC_OUT = {"article", "main"}, {"nav", "footer", "aside", "form", "header", "menu"}
 
 
-def _semantic(blocks: list[Block]) -> list[bool]:
+def _semantic(blocks: list[Block], root: bool = False) -> list[bool]:
     index = {id(b): i for i, b in enumerate(blocks)}
     out: list[bool] = []
     for b in blocks:
-        above = out[index[id(b.parent)]] if b.parent else False
+        above = out[index[id(b.parent)]] if b.parent else root
         out.append((above or b.tag in SEMANTIC_MAIN) and b.tag not in SEMANTIC_OUT and not b.bad)
     return out
 
@@ -372,17 +373,19 @@ def fit(pages: list[str], designs: int = 3, seed: int = 8) -> Trees | None:
 
 
 def train(pages: DataFrame, sample: int = 250, longest: int = 60_000) -> Trees | None:
-    ok = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull() & (F.length("html") <= longest))
-    h = F.xxhash64("page_id")
-    ids = ok.select("page_id").distinct().orderBy(h, "page_id").limit(sample)
-    rows = ok.join(F.broadcast(ids), "page_id", "left_semi").select("page_id", "html").distinct().orderBy("page_id", "html").limit(sample).collect()
+    ok = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    long, h = F.length("html") > longest, F.xxhash64("page_id")
+    ids = ok.select("page_id", long.alias("long")).distinct().orderBy("long", h, "page_id").limit(sample)
+    rows = (ok.withColumn("long", long).join(F.broadcast(ids), ["page_id", "long"], "left_semi")
+            .select("page_id", F.substring("html", 1, longest).alias("html")).distinct().orderBy("page_id", "html").limit(sample).collect())
     return fit([r["html"] for r in rows]) if rows else None
 
 
 def extract(model: Trees | None, pages: list) -> list[str]:
-    if model is None:
-        return ["" for _ in pages]
     trees = [parse(p) for p in pages]
+    if model is None:
+        tags = [_semantic(b) for b in trees]
+        return [main_text(b, np.array(t if any(t) else _semantic(b, True))) for b, t in zip(trees, tags)]
     x = [features(b) for b in trees]
     odds = model.margin(np.concatenate(x)) if x else np.zeros(0)
     cut = np.cumsum([0] + [len(b) for b in trees])
