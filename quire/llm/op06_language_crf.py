@@ -8,7 +8,7 @@ Features of a word (lower-cased run of letters and digits): prefixes and suffixe
 bytes, byte n-grams of 2 to 4 with word edges, and the word itself (lexicon), hashed.
 
 Training sees only rows the caller allows, with a non-null language: of each language at
-most ``per_lang`` documents (smallest hash of the id), of each a run of ``words`` words from a
+most ``per_lang`` distinct ids (smallest hash), of each a run of ``words`` words from a
 hashed place. The runs are cut and dealt into sequences that keep or change language, from
 which transitions are learned. This bounded sample trains on the driver; prediction runs over
 all whole texts in one pass without a shuffle. Languages, ids and sources are no input of it.
@@ -72,14 +72,14 @@ def train(docs: DataFrame, allowed, per_lang: int = 300, words: int = 120, seed:
     """Fit on a bounded sample of the allowed rows of (doc_id, text, lang)."""
     pool = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (pool.select("doc_id", "lang").withColumn("r", F.row_number().over(w))
-              .where(F.col("r") <= per_lang).select("doc_id"))
+    picked = (pool.select("lang", "doc_id").distinct().withColumn("r", F.row_number().over(w))
+              .where(F.col("r") <= per_lang).select("lang", "doc_id"))
     token = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     run = F.slice(token, (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(seed)),
                                             F.greatest(F.size(token) - words, F.lit(1)).cast("long"))).cast("int"), words)
-    rows = (pool.where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id", "left_semi")
-            .select("doc_id", "lang", F.array_join(run, " ").alias("text")).orderBy("lang", "doc_id", "text").collect())
-    rows = rows[: 4 * per_lang * max(1, len({r["lang"] for r in rows}))]
+    rows = (pool.where(F.col("text").isNotNull()).join(F.broadcast(picked), ["lang", "doc_id"], "left_semi")
+            .groupBy("lang", "doc_id").agg(F.min(F.array_join(run, " ")).alias("text"))     # copies of an id are one
+            .orderBy("lang", "doc_id").collect())
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return Model([], None)
