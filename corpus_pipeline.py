@@ -4,6 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the next stage's docs. All but the last return the columns of ``documents``:
 
 1. language: rows whose language cannot be told go (no letter, or no language with two fifths of the words).
+   Where nothing can be learned (no lang in the folds to learn from) only null texts and texts without a letter go.
 2. near_duplicates: of each group linked by n-gram Jaccard (5 words, 0.8) the row with the smallest
    doc_id stays, with all rows of that id; rows without words link with nothing and stay, as do rows without an id.
 3. decontaminate: rows that hold a test item of ``benchmark`` go.
@@ -22,7 +23,7 @@ from quire.llm._tables import prepared, stored
 from quire.llm.op02_hilbert_packing import pack
 from quire.llm.op03_containment import drop_contaminated
 from quire.llm.op04_secret_crf import masked
-from quire.llm.op06_language_crf import predict, train
+from quire.llm.op06_language_crf import predict, train, with_letters
 from quire.llm.op10_prefix_tree_join import classes_and_components
 
 #: Learned models and hash sketches are outside SQL; tests compare the stages with brute force.
@@ -33,7 +34,10 @@ WORDS, PERCENT = 5, 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    scored = predict(docs, train(docs, fold(3) != 1))
+    model = train(docs, fold(3) != 1)
+    if not model.langs:                                          # no model, so none that rejects a row
+        return with_letters(docs)
+    scored = predict(docs, model)
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 

@@ -138,6 +138,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(_predict(shared), schema)
 
 
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, buf, offs in T.slices(batches):
+        yield rows.filter(pa.array(has_letter(rows.column(rows.schema.get_field_index("text")), buf, offs)))
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds a letter."""
+    return docs.mapInArrow(_lettered, docs.schema)
+
+
 def language_of(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the rows whose fold of 3 is not 1."""
     model = train(docs, fold(3) != 1)
