@@ -118,6 +118,13 @@ def assign_issue(messages: DataFrame, setup: DataFrame, *, by: str = "mailbox_id
               .drop("active", "days", "release_time_str")
 
 
+def newest_limit(max_results: int):
+    """Messages an issue keeps; a negative ``limit_newest`` is an error, as in ``mailbox_query``."""
+    n = F.col("limit_newest")
+    bad = F.raise_error(F.concat(F.lit("negative limit_newest: "), n.cast("string"))).cast("int")
+    return F.when(n < 0, bad).when(n >= 0, F.least(n, F.lit(max_results))).otherwise(F.lit(max_results))
+
+
 def issue_messages(messages: DataFrame, setup: DataFrame, *, routes: DataFrame | None = None,
                    by: str = "mailbox_id", date: str = "date", max_results: int = 100,
                    lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -129,9 +136,7 @@ def issue_messages(messages: DataFrame, setup: DataFrame, *, routes: DataFrame |
     a = assign_issue(m, setup, by=by, date=date, lookback_days=lookback_days)
     # the literal bound lets every map task keep at most max_results rows per issue
     ranked = mb.newest_n(a, max_results, by=[by, "release_ts"], date=date, rank="msg_rank")
-    lim = F.when(F.col("limit_newest") > 0, F.least(F.col("limit_newest"), F.lit(max_results))) \
-           .when(F.col("limit_newest") == 0, F.lit(0)).otherwise(F.lit(max_results))
-    return ranked.where(F.col("msg_rank") < lim).drop("limit_newest")
+    return ranked.where(F.col("msg_rank") < newest_limit(max_results)).drop("limit_newest")
 
 
 def send_now_issues(messages: DataFrame, requests: DataFrame, setup: DataFrame, *, by: str = "mailbox_id",
@@ -153,6 +158,4 @@ def send_now_issues(messages: DataFrame, requests: DataFrame, setup: DataFrame,
     hits = m.join(req, [by, "_day"]).where(F.col(date) <= F.col("release_ts")).drop("_day")
     hits = hits.join(setup.select(by, "limit_newest"), by, "left")
     ranked = mb.newest_n(hits, max_results, by=[by, "release_ts"], date=date, rank="msg_rank")
-    lim = F.when(F.col("limit_newest") > 0, F.least(F.col("limit_newest"), F.lit(max_results))) \
-           .when(F.col("limit_newest") == 0, F.lit(0)).otherwise(F.lit(max_results))
-    return ranked.where(F.col("msg_rank") < lim).drop("limit_newest")
+    return ranked.where(F.col("msg_rank") < newest_limit(max_results)).drop("limit_newest")
