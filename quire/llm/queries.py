@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm._tables import prepared
+from quire.llm.oracle import SQL  # noqa: F401
 from quire.sources.tables import read_table
 
 
@@ -64,9 +65,23 @@ def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes_and_components(_docs(spark, sf_dir))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op11_source_mixing import mix
+    return mix(_docs(spark, sf_dir))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op12_importance_resampling import resample
+    return resample(_docs(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_multi_index_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.op13_multi_index_negatives import hard_negatives
+    return hard_negatives(read_table(prepared(spark), sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_surrogates, op2_hilbert_packing, op3_containment_search, op4_secret_crf, op5_html_trees, op6_language_crf, op7_fixed_block_dedup,
-                            op8_subword_toxicity, op9_mcd_quality, op10_prefix_tree_join)
+    f.__name__: f for f in (op1_pii_surrogates, op2_hilbert_packing, op3_containment_search, op4_secret_crf, op5_html_trees,
+                            op6_language_crf, op7_fixed_block_dedup, op8_subword_toxicity, op9_mcd_quality, op10_prefix_tree_join,
+                            op11_source_mixing, op12_importance_resampling, op13_multi_index_negatives)
 }
-
-SQL: dict[str, str] = {}
