@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +56,10 @@ BAD = frozenset("ad ads advert advertisement adverts aside author banner bio bre
                 "copyright disclaimer disqus dialog feedback foot footer form gdpr head header login masthead menu meta modal nav navbar "
                 "navigation newsletter note notice notification overlay pagination pager popup promo promotion recommended related reply replies "
                 "respond search share sharing shop sidebar signup skip social sponsor sponsored subscribe tags toolbar top widget".split())
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z))", re.S)
-ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: An attribute by the rules of HTML: a quote opens a value only right after "="; elsewhere it is a plain character.
+_ATTR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+TAG = re.compile(rf"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTR})*+)(?:>|\Z))", re.S)
+ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -70,6 +73,8 @@ class Block:
         self.label = "data-main" in attrs   # the mark of laid-out training pages; no feature
         if attrs:
             for m in ATTR.finditer(attrs):
+                if m[1].lower() not in ("class", "id", "role"):
+                    continue
                 for t in SPLIT.split((m[2] or m[3] or m[4] or "").lower()):
                     self.good += t in GOOD
                     self.bad += t in BAD
@@ -95,18 +100,23 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Block], frozenset[int]
     at, size = 0, len(page)
     hidden = 0
     open_: set[int] = set()
+    where: dict[str, list[int]] = {}                             # open elements of a name, by their place in the stack
+    depths: list[int] = []                                       # open blocks, likewise
     head, ends_early = -1, []                                    # where in the stack: the open head, the loose ones
 
     def close(depth: int, own: bool = False) -> None:
         """Close the open elements from ``depth`` up; ``own``: the first by its end tag."""
         nonlocal link, hidden, here, head
         for i, (n, b, place) in enumerate(stack[depth:]):
+            where[n].pop()
             link -= n == "a"
             hidden -= n in HIDDEN
             if n in HIDDEN and n != "head" and (i or not own):
                 open_.add(place)
-            if b is not None:
-                here = b.parent
+        blocks_closed = bisect_left(depths, depth)
+        if blocks_closed < len(depths):
+            here = stack[depths[blocks_closed]][1].parent
+            del depths[blocks_closed:]
         del stack[depth:]
         head = head if head < depth else -1
         while ends_early and ends_early[-1] >= depth:
@@ -130,8 +140,8 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Block], frozenset[int]
             continue
         name = name.lower()
         if m[1]:                                                 # an end tag closes the nearest open element of its name
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if depth < 0 or stack[depth][1] is None and any(b is not None for _, b, _ in stack[depth + 1:]):
+            depth = where[name][-1] if where.get(name) else -1
+            if depth < 0 or stack[depth][1] is None and depths and depths[-1] > depth:
                 continue
             close(depth, own=True)
             continue
@@ -143,17 +153,13 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Block], frozenset[int]
         if depth >= 0:
             close(depth)
         closes = CLOSES.get(name)
-        if closes or name not in INLINE:
-            for i in range(len(stack) - 1, -1, -1):
-                n, b, _ = stack[i]
-                if b is None:
-                    continue
-                if closes and n in SCOPE[name] or not closes and n != "p":
-                    break
-                if closes and n in closes or n == "p":           # any block start ends an open paragraph
-                    close(i)
-                    if not closes:
-                        break
+        if closes:                                               # from the nearest scope up, what it closes and paragraphs
+            scope = max((where[n][-1] for n in SCOPE[name] if where.get(n)), default=-1)
+            ends = [spots[k] for n in (*closes, "p") if (spots := where.get(n)) and (k := bisect_left(spots, scope)) < len(spots)]
+            if ends:
+                close(min(ends))
+        elif name not in INLINE and depths and stack[depths[-1]][0] == "p":
+            close(depths[-1])                                    # any block start ends an open paragraph
         if name == "br":
             here.parts.append(" ")
             continue
@@ -167,6 +173,7 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Block], frozenset[int]
         if name in INLINE:
             here.inline += 1
             link += name == "a"
+            where.setdefault(name, []).append(len(stack))
             stack.append((name, None, end))
             continue
         block = Block(name, here, m[3])
@@ -180,6 +187,8 @@ def _read(page: str, loose: frozenset[int]) -> tuple[list[Block], frozenset[int]
             head = len(stack)
         elif end in loose:
             ends_early.append(len(stack))
+        where.setdefault(name, []).append(len(stack))
+        depths.append(len(stack))
         stack.append((name, block, end))
         here = block
     close(0)

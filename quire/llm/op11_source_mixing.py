@@ -128,10 +128,14 @@ def chosen(shards: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame
     hashed = F.when(F.col("blocks") > 0, F.transform(F.sequence(first, first + F.col("blocks") - 1), name)).otherwise(F.array().cast("array<string>"))
     rounds = F.expr("case when blocks > 0 then quota div blocks else 0 end")
     rest = F.expr("cast(case when blocks > 0 then quota % blocks else 0 end as int)")
-    last = F.when(rest > 0, F.element_at(F.array_sort("hashes"), F.when(rest > 0, rest).otherwise(1))).otherwise(F.lit(""))
-    return (shards.withColumn("hashes", hashed).withColumn("rounds", rounds).withColumn("last", last)
-            .withColumn("times", F.transform("hashes", lambda h: (F.col("rounds") + F.when(h <= F.col("last"), 1).otherwise(0)).cast("tinyint")))
-            .select("source", "shard", "times", "source_size", "target"))
+
+    def times(hashes: Column) -> Column:
+        last = F.when(rest > 0, F.element_at(F.sort_array(hashes), F.greatest(rest, F.lit(1)))).otherwise(F.lit(""))
+        return F.transform(F.array(last), lambda most: F.transform(
+            hashes, lambda h: (rounds + F.when(h <= most, 1).otherwise(0)).cast("tinyint")))[0]
+
+    # one-element arrays bind the hashes and the last chosen one: each is worked out once a shard
+    return shards.select("source", "shard", F.transform(F.array(hashed), times)[0].alias("times"), "source_size", "target")
 
 
 def lines(sized: DataFrame, cells: DataFrame, slots: int) -> DataFrame:

@@ -39,8 +39,8 @@ from quire.llm._tables import stored
 SAMPLE = 16_384          # vectors the codebooks are fitted on
 CODES = 256              # most codes of a half
 CELL = 64                # rows a cell aims at, until CODES is reached
-BUCKET = 8_192           # rows of a bucket
-BLOCK_BUCKETS = 8        # buckets whose anchors form a block
+BUCKET = 2_048           # rows of a bucket
+BLOCK_BUCKETS = 32       # buckets whose anchors form a block
 FIRST = 16_384           # rows an anchor visits in the first round
 GROWTH = 8
 PARTNERS = 5
