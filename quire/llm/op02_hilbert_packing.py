@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import _text as T
 from quire.llm._subwords import lowered
-from quire.llm._tables import parts_for, stored, tokenizer_path
+from quire.llm._tables import parts_for, stored, tidied, tokenizer_path
 
 DIMS, BITS = 4, 11
 SIZE, END = 2048, 1
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, size: int = SIZE, folder: str | None = None) -> DataFr
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     rows = stored(docs.select("doc_id", "text").mapInArrow(
-        _encode(folder), "doc_id long, n long, crc long, place array<double>, ids binary"), "tokens")
+        tidied(_encode(folder)), "doc_id long, n long, crc long, place array<double>, ids binary"), "tokens")
     stats = rows.agg(F.count("*").alias("rows"), *[f(F.col("place")[i]).alias(f"{g}{i}") for i in range(DIMS)
                                                     for f, g in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
     if not stats["rows"]:
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, size: int = SIZE, folder: str | None = None) -> DataFr
     spread = np.maximum([stats[f"s{i}"] for i in range(DIMS)], 1e-9)
     tie = F.pmod(F.xxhash64("doc_id", "crc", "n"), F.lit(1 << 16)).alias("tie")
     narrow = stored(rows.select("doc_id", "n", "crc", "place", tie).mapInArrow(
-        _keys(mean, spread), "doc_id long, n long, crc long, key long").select("n", "key"), "keys")
+        tidied(_keys(mean, spread)), "doc_id long, n long, crc long, key long").select("n", "key"), "keys")
     ranges = parts_for(rows, 8)
     marks = narrow.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5],
                                            max(10_000, 20 * ranges)).alias("q")).first()["q"]
@@ -185,14 +185,16 @@ def pack(docs: DataFrame, size: int = SIZE, folder: str | None = None) -> DataFr
         for b in batches:
             part = np.searchsorted(bounds.value, np.asarray(b.column(b.schema.get_field_index("key"))), "left")
             yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(part.astype(np.int64))], b.schema.names + ["part"])
-    sums = narrow.mapInArrow(ranged, "n long, key long, part long").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+
+    place = _keys(mean, spread)
+    sums = narrow.mapInArrow(tidied(ranged), "n long, key long, part long").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     before, total = {}, 0
     for r in sums:                                               # one number per range
         before[r["part"]] = total
         total += r["n"]
-    keyed = rows.select("doc_id", "n", "crc", "ids", "place", tie).mapInArrow(
-        _keys(mean, spread), "doc_id long, n long, crc long, ids binary, key long")
-    line = (keyed.mapInArrow(ranged, "doc_id long, n long, crc long, ids binary, key long, part long")
+    keyed = rows.select("doc_id", "n", "crc", "ids", "place", tie)
+    line = (keyed.mapInArrow(tidied(lambda batches: ranged(place(batches))),      # one worker for both steps
+                             "doc_id long, n long, crc long, ids binary, key long, part long")
             .repartition(ranges, "part").sortWithinPartitions("part", "key", F.col("doc_id").asc_nulls_last(), "crc", "n", "ids")
             .select("part", "doc_id", "n", "ids"))
-    return line.mapInArrow(_cut(before, size), PIECES)
+    return line.mapInArrow(tidied(_cut(before, size)), PIECES)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import _text as T
-from quire.llm._tables import stored
+from quire.llm._tables import stored, tidied
 
 WORDS = 5
 PERCENT = 80
@@ -197,5 +197,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT,
                       block: int = 2_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, without those that hold a test item."""
     for index in item_blocks(items, block, miss, percent):
-        docs = docs.mapInArrow(_clean(index), docs.schema)
+        docs = docs.mapInArrow(tidied(_clean(index)), docs.schema)
     return docs

@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import _text as T
 from quire.llm._chain import Crf, Group, viterbi
+from quire.llm._tables import tidied
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The contract's patterns (fixed values) and the least length of what must be long.
@@ -244,38 +247,50 @@ def fit(texts: list[str], seed: int = 3, rounds: int = 50) -> Model:
     return Model(Crf(FEATURES, 3).fit(t.groups, t.first, y, rounds=rounds, rate=0.3))
 
 
-def train(docs: DataFrame, sample: int = 1500, words: int = 80, seed: int = 3) -> Model:
-    """Fit on at most ``sample`` documents of the smallest id hashes, ``words`` words of each."""
+def train(docs: DataFrame, sample: int = 1500, words: int = 80, chars: int = 4000, seed: int = 3) -> Model:
+    """Fit on at most ``sample`` documents of the smallest id hashes, ``words`` words and ``chars`` characters of each."""
     h = F.xxhash64("doc_id", F.lit(seed))
     ids = docs.where("doc_id is not null and text is not null").select("doc_id").distinct().orderBy(h, "doc_id").limit(sample)
     token = F.split("text", " ")
     run = F.slice(token, (F.lit(1) + F.pmod(h, F.greatest(F.size(token) - words, F.lit(1)).cast("long"))).cast("int"), words)
     rows = (docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi")
-            .select("doc_id", F.array_join(run, " ").alias("t")).distinct().orderBy("doc_id", "t").limit(sample).collect())
+            .select("doc_id", F.substring(F.array_join(run, " "), 1, chars).alias("t")).distinct().orderBy("doc_id", "t").limit(sample).collect())
     return fit([r["t"] for r in rows], seed) if rows else Model(None)
 
 
 def found(model: Model, texts: list, buf: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """All spans of each text in code points: base spans, and the field's where they meet none."""
     out = [base_spans(t) if t else [] for t in texts]
-    extra: dict[int, list] = {}
+    fields: dict[int, list[tuple[int, int]]] = {}
     for r, a, z in zip(*model.spans(buf, offs)):
-        raw = buf[offs[r]: offs[r + 1]].tobytes()
-        a, z = int(a - offs[r]), int(z - offs[r])
-        a, z = (x if texts[r].isascii() else len(raw[:x].decode()) for x in (a, z))
-        extra.setdefault(int(r), []).append((a, 3, z))
-    for r, spans in extra.items():
-        base = out[r]
-        out[r] = sorted(base + [s for s in spans if not any(b[0] < s[2] and s[0] < b[2] for b in base)])
+        fields.setdefault(int(r), []).append((int(a - offs[r]), int(z - offs[r])))
+    for r, spans in fields.items():
+        spans.sort()
+        if not texts[r].isascii():                               # bytes to code points, in one run over the text
+            raw, at, seen, place = buf[offs[r]: offs[r + 1]].tobytes(), 0, 0, {}
+            for x in sorted({x for s in spans for x in s}):
+                seen += len(raw[at:x].decode())
+                place[x], at = seen, x
+            spans = [(place[a], place[z]) for a, z in spans]
+        base = sorted(out[r])
+        starts, ends = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+        free = []                                                # spans that no base span meets
+        for a, z in spans:
+            k = bisect_left(starts, z)
+            if not k or ends[k - 1] <= a:
+                free.append((a, 3, z))
+        out[r] = sorted(base + free)
     return out
 
 
+#: Bytes of text tagged at a time.
+SLICE = 768 << 10
 DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string"
 
 
 def _scan(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in T.slices(batches):
+        for rows, buf, offs in T.slices(batches, size=SLICE):
             every = found(model.value, rows.column(1).to_pylist(), buf, offs)
             count = [pa.array([sum(k == j for _, k, _ in s) for s in every], pa.int64()) for j in range(4)]
             sha = [hashlib.sha256(line([x for x in s if x[1] < 3]).encode()).hexdigest() for s in every]
@@ -287,7 +302,7 @@ def _scan(model):
 def secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_crf, base_sha256, spans), one row per input row."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
-    return docs.select("doc_id", "text").mapInArrow(_scan(model), DIGEST)
+    return docs.select("doc_id", "text").mapInArrow(tidied(_scan(model)), DIGEST)
 
 
 MASK = "[SECRET]"
@@ -295,7 +310,7 @@ MASK = "[SECRET]"
 
 def _mask(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in T.slices(batches):
+        for rows, buf, offs in T.slices(batches, size=SLICE):
             i = rows.schema.get_field_index("text")
             texts = rows.column(i).to_pylist()
             for r, spans in enumerate(found(model.value, texts, buf, offs)):
@@ -316,4 +331,4 @@ def _mask(model):
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by MASK; rows and other columns stay as they are."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
-    return docs.mapInArrow(_mask(model), docs.schema)
+    return docs.mapInArrow(tidied(_mask(model)), docs.schema)

@@ -30,6 +30,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quire.llm import _text as T
 from quire.llm._chain import Crf, Group, marginals
 from quire.llm._subwords import BUCKETS, fold, lowered, vocabulary
+from quire.llm._tables import tidied
+
+#: Bytes of text labelled at a time.
+SLICE = 512 << 10
 
 LETTER = re.compile(r"[^\W\d_]")
 ASCII_LETTER = np.zeros(256, bool)
@@ -68,8 +72,10 @@ def has_letter(col: pa.Array, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, allowed, per_lang: int = 300, words: int = 120, seed: int = 5, rounds: int = 40) -> Model:
-    """Fit on a bounded sample of the allowed rows of (doc_id, text, lang)."""
+def train(docs: DataFrame, allowed, per_lang: int = 300, words: int = 120, chars: int = 4000,
+          seed: int = 5, rounds: int = 40) -> Model:
+    """Fit on a bounded sample of the allowed rows of (doc_id, text, lang): per language ``per_lang`` runs of
+    up to ``words`` words and ``chars`` characters (an unspaced script's word may be a whole text)."""
     pool = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = (pool.select("lang", "doc_id").distinct().withColumn("r", F.row_number().over(w))
@@ -78,7 +84,7 @@ def train(docs: DataFrame, allowed, per_lang: int = 300, words: int = 120, seed:
     run = F.slice(token, (F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(seed)),
                                             F.greatest(F.size(token) - words, F.lit(1)).cast("long"))).cast("int"), words)
     rows = (pool.where(F.col("text").isNotNull()).join(F.broadcast(picked), ["lang", "doc_id"], "left_semi")
-            .groupBy("lang", "doc_id").agg(F.min(F.array_join(run, " ")).alias("text"))     # copies of an id are one
+            .groupBy("lang", "doc_id").agg(F.min(F.substring(F.array_join(run, " "), 1, chars)).alias("text"))     # copies of an id are one
             .orderBy("lang", "doc_id").collect())
     langs = sorted({r["lang"] for r in rows})
     if not langs:
@@ -116,7 +122,7 @@ def train(docs: DataFrame, allowed, per_lang: int = 300, words: int = 120, seed:
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for rows, buf, offs in T.slices(batches):
+        for rows, buf, offs in T.slices(batches, size=SLICE):
             col = rows.column(rows.schema.get_field_index("text"))
             share = m.shares(*lowered(rows))
             ok = has_letter(col, buf, offs) & (share.sum(1) > 0 if len(m.langs) else False)
@@ -135,7 +141,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(_predict(shared), schema)
+    return docs.mapInArrow(tidied(_predict(shared)), schema)
 
 
 def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +151,7 @@ def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_letters(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds a letter."""
-    return docs.mapInArrow(_lettered, docs.schema)
+    return docs.mapInArrow(tidied(_lettered), docs.schema)
 
 
 def language_of(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word's vector is the mean of the vectors of its character n-grams (3 to 5 bytes with
-word edges) and of itself (hashed), so a misspelling or ending never seen shares most of its vectors with the words
-learned. The vectors of a segment of ``SEGMENT`` words are averaged and go into a linear softmax
-of two classes. A text's log odds are the log-sum-exp of its segments': one insult in a long
-text is not averaged away. Embeddings and softmax are trained together in numpy on that document score.
+A word's vector is the mean of the vectors of its character n-grams (3 to 6 bytes with word edges) and of
+itself (hashed), so a misspelling or ending never seen shares most of its vectors with the words learned.
+The vectors of all words of a text are averaged and go into a linear softmax of two classes: a score
+depends on the shares of words, not on the length of a text, and clean texts joined stay clean.
+Embeddings and softmax are trained together in numpy.
 
 Training reads labelled rows the caller allows: at most ``toxic`` and ``clean`` of each
 label by hash of the id, of texts up to ``longest`` characters (a bounded sample, trained on the
@@ -12,7 +12,7 @@ driver). At prediction the softmax of an average is an average of scalars, so th
 number per subword; all whole texts are scored in one pass without a shuffle. Labels, language,
 source and id are no input of a score.
 
-Cases: null or empty texts and texts without words get the score of an empty segment. No
+Cases: null or empty texts and texts without words get the score of an empty average. No
 labelled rows: every score is 0 (below 1e-200). Null ids are never trained on (held_out false) and scored like
 others; repeated rows each get their score; a label row that repeats counts once.
 """
@@ -24,40 +24,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import _text as T
 from quire.llm._subwords import BUCKETS, fold, lowered, vocabulary
 
-SEGMENT = 24
 DIM = 8
 #: Averages are multiplied by this before the softmax, so that weights of about 1 suffice.
 SCALE = 240.0
-GRAMS = (3, 5)
+GRAMS = (3, 6)
 
 
-def segments(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, row) of every run of up to SEGMENT words of a row."""
-    if not len(row):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    local = np.arange(len(row)) - np.searchsorted(row, row)
-    start = np.flatnonzero(local % SEGMENT == 0)
-    return start, row[start]
-
-
-def pooled(logit: np.ndarray, row: np.ndarray, rows: int, empty: float) -> np.ndarray:
-    """Log-sum-exp of the segment log odds of each row."""
-    out = np.full(rows, empty)
-    if len(logit):
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        top = np.maximum.reduceat(logit, first)
-        n = np.diff(np.append(first, len(row)))
-        out[row[first]] = top + np.log(np.add.reduceat(np.exp(logit - np.repeat(top, n)), first))
-    return out
+def averages(logit: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The mean of the words' numbers of each row; 0 for a row without words."""
+    n = np.bincount(row, minlength=rows)
+    return np.bincount(row, logit, rows) / np.maximum(n, 1)
 
 
 class Bag:
-    """The trained model for scoring: log odds of a subword, and of an empty segment."""
+    """The trained model for scoring: log odds of a subword, and of an empty text. The softmax of an
+    average of vectors is an average of scalars, so one number a subword is the whole model."""
 
     def __init__(self, odds: np.ndarray, bias: float):
         self.odds, self.bias = odds, bias
@@ -65,98 +51,101 @@ class Bag:
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         rows = len(offs) - 1
         v = vocabulary(buf, offs, GRAMS, 0)
-        start, seg = segments(v.row, rows)
-        if not len(start):
+        if not len(v.row):
             return sigmoid(np.full(rows, self.bias))
         n = np.diff(np.append(v.starts, len(v.flat)))
         word = np.add.reduceat(self.odds[v.flat].astype(np.float64), v.starts) / n
-        size = np.diff(np.append(start, len(v.row)))
-        logit = np.add.reduceat(word[v.back], start) / size + self.bias
-        return sigmoid(pooled(logit, seg, rows, self.bias))
+        return sigmoid(averages(word[v.back], v.row, rows) + self.bias)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 90, rate: float = 0.3, seed: int = 11, least: int = 5,
-        rare: float = 0.01, common: float = 0.3, shrink: float = 1e-2) -> Bag:
-    """Joint training of embeddings and softmax by gradient descent with momentum, full batch: a
-    subword moves with the number of texts that ask for it, so shared subwords are learned before
-    chance ones. Subwords of fewer than ``least`` texts keep the zero vector; the round with the
-    best held-back loss is kept. Subwords of common words (``common`` of the texts) stay at zero too."""
+def fit(texts: list[str], y: np.ndarray, epochs: int = 16, batch: int = 256, rate: float = 0.1, seed: int = 11, least: int = 5,
+        rare: float = 0.01, common: float = 0.3, heavier: float = 4.0,
+        shrink: float = 0.3) -> Bag:
+    """Joint training of embeddings and softmax by Adam on mini-batches; the epoch with the best held-back
+    loss is kept. Subwords of fewer than ``least`` texts keep the zero vector, as do those of common words
+    (``common`` of the texts). A toxic text weighs up to ``heavier`` times a clean one, where they are fewer."""
     buf, offs = T.raw(pc.utf8_lower(pa.array(texts, pa.large_string())))
     v = vocabulary(buf, offs, GRAMS, 0)
-    start, seg = segments(v.row, len(texts))
     rng = np.random.default_rng(seed)
-    if not len(start):
+    if not len(v.row):
         return Bag(np.zeros(BUCKETS, np.float32), -1000.0)
     n = np.diff(np.append(v.starts, len(v.flat)))
-    texts_of = np.bincount(np.unique(v.row * np.int64(len(n)) + v.back) % len(n), minlength=len(n))
+    pair, times = np.unique(v.row * np.int64(len(n)) + v.back, return_counts=True)
+    pair_row, pair_word = pair // len(n), pair % len(n)
+    texts_of = np.bincount(pair_word, minlength=len(n))
     most = np.bincount(v.flat, np.repeat(texts_of, n), BUCKETS)  # texts a subword may be in, and is in at least
     sure = np.zeros(BUCKETS, np.int64)
     np.maximum.at(sure, v.flat, np.repeat(texts_of, n))
     least = max(least, round(rare * len(texts)))
     known = (most[v.flat] >= least) & (sure[v.flat] <= max(least, common * len(texts)))
-    owner = np.repeat(np.arange(len(n)), n)[known]               # word of every trained subword
-    used, flat = np.unique(v.flat[known], return_inverse=True)
-    has, word_at = np.unique(owner, return_index=True)           # words with a trained subword
+    used, sub = np.unique(v.flat[known], return_inverse=True)
+    if not len(used):
+        return Bag(np.zeros(BUCKETS, np.float32), -1000.0)
+    cut = np.concatenate(([0], np.cumsum(known)))                # the trained subwords of each word, one after another
+    lo, hi = cut[v.starts], cut[np.append(v.starts[1:], len(v.flat))]
+    size = hi - lo
+    # the averages are linear: a text is its share of every subword, laid out once as (row, subword, share)
+    deal = np.repeat(np.arange(len(pair)), size[pair_word])
+    inside = np.arange(len(deal)) - np.repeat(np.cumsum(size[pair_word]) - size[pair_word], size[pair_word])
+    words = np.bincount(v.row, minlength=len(texts))
+    share = (times / words[pair_row] / n[pair_word])[deal]
+    key, at = np.unique(pair_row[deal] * np.int64(len(used)) + sub[lo[pair_word[deal]] + inside], return_inverse=True)
+    value = (SCALE * np.bincount(at, share, len(key))).astype(np.float32)
+    row, col = key // len(used), key % len(used)
+    row_cut = np.searchsorted(row, np.arange(len(texts) + 1))
+
     emb = np.zeros((len(used), DIM), np.float32)                  # the softmax's random start breaks the tie
     soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
-    bias = np.array([2.0, -2.0], np.float32)
-    size = np.diff(np.append(start, len(v.row))).astype(np.float32)
-    first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-    count = np.diff(np.append(first, len(seg)))
-    of_seg = np.repeat(np.arange(len(start)), size.astype(int))
-    by_word = np.argsort(v.back, kind="stable")                  # the two transposes, once
-    word_cut = np.searchsorted(v.back[by_word], np.arange(len(n)))
-    by_sub = np.argsort(flat, kind="stable")
-    sub_cut = np.searchsorted(flat[by_sub], np.arange(len(used)))
-    sub_owner, seg_of = owner[by_sub], of_seg[by_word]
-    rows = seg[first]
-    target = y[rows].astype(np.float64)
-    held = rng.random(len(rows)) < 0.15
-    share = n.astype(np.float32)[:, None]
+    bias = np.array([1.0, -1.0], np.float32)
     params = [emb, soft, bias]
-    speed = [np.zeros(p.shape, np.float32) for p in params]
-    best, kept, low, turn = np.inf, None, np.inf, None
-    for r in range(1, rounds + 1):
-        word = np.zeros((len(n), DIM), np.float32)
-        word[has] = np.add.reduceat(emb[flat], word_at, axis=0)
-        word /= share
-        mean = SCALE * np.add.reduceat(word[v.back], start, axis=0) / size[:, None]
+    first, second = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params]
+    weight = np.where(y == 1, min(heavier, max(1.0, (len(y) - y.sum()) / max(y.sum(), 1))), 1.0)
+    held = rng.random(len(texts)) < 0.15
+    train = np.flatnonzero(~held)
+
+    def mean_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = row_cut[rows + 1] - row_cut[rows]
+        owner = np.repeat(np.arange(len(rows)), size)
+        pick = np.repeat(row_cut[rows] - (np.cumsum(size) - size), size) + np.arange(len(owner))
+        mean = np.zeros((len(rows), DIM), np.float32)
+        full = size > 0
+        if full.any():
+            mean[full] = np.add.reduceat(emb[col[pick]] * value[pick, None], (np.cumsum(size) - size)[full], axis=0)
+        return mean, owner, pick
+
+    def odds_of(mean: np.ndarray) -> np.ndarray:
         z = mean @ soft + bias
-        logit = (z[:, 1] - z[:, 0]).astype(np.float64)
-        top = np.maximum.reduceat(logit, first)
-        e = np.exp(logit - np.repeat(top, count))
-        total = np.add.reduceat(e, first)
-        p = sigmoid(top + np.log(total))
-        loss = -np.log(np.clip(np.where(target == 1, p, 1 - p), 1e-12, 1))
-        now = loss[~held].mean()
-        if now > 1.1 * low:                                      # stepped over the valley: back, with half the step
-            for q, m, x in zip(params, speed, turn):
-                q[...] = x
-                m[...] = 0
-            rate /= 2
-            low *= 1.02
-            continue
-        if now < low:
-            low, turn = now, [q.copy() for q in params]
-        if kept is None or held.any() and loss[held].mean() < best:
-            best = loss[held].mean() if held.any() else best
-            kept = [q.copy() for q in params]
-        g = np.repeat(np.where(held, 0, (p - target) / total), count) * e / len(rows)
-        gz = np.stack((-g, g), 1).astype(np.float32)
-        gmean = SCALE * (gz @ soft.T) / size[:, None]
-        gword = np.add.reduceat(gmean[seg_of], word_cut, axis=0) / share
-        gemb = np.add.reduceat(gword[sub_owner], sub_cut, axis=0)
-        for q, m, d in zip(params, speed, (gemb, mean.T @ gz, 0.3 * gz.sum(0))):
-            m *= 0.9
-            m -= rate * d
-            q += m
-        # group lasso: a subword whose texts do not pull together falls back to zero
-        norm = np.sqrt((emb * emb).sum(1, keepdims=True))
-        emb *= np.maximum(0, 1 - rate * shrink / np.maximum(norm, 1e-12))
+        return (z[:, 1] - z[:, 0]).astype(np.float64)
+
+    best, kept, step = np.inf, [q.copy() for q in params], 0
+    for _ in range(epochs):
+        rng.shuffle(train)
+        for at in range(0, len(train), batch):
+            rows = train[at: at + batch]
+            mean, owner, pick = mean_of(rows)
+            g = weight[rows] * (sigmoid(odds_of(mean)) - y[rows]) / len(rows)
+            gz = np.stack((-g, g), 1).astype(np.float32)
+            pull = (gz @ soft.T)[owner] * value[pick, None]
+            gemb = np.stack([np.bincount(col[pick], pull[:, k], len(used)) for k in range(DIM)], 1)
+            step += 1
+            for q, m, s, d in zip(params, first, second, (gemb, mean.T @ gz, gz.sum(0))):
+                m += 0.1 * (d - m)
+                s += 0.001 * (d * d - s)
+                q -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.999 ** step)) + 1e-7)
+            # group lasso: a subword whose texts do not pull together falls back to zero
+            emb *= np.maximum(0, 1 - rate * shrink / np.maximum(np.sqrt((emb * emb).sum(1, keepdims=True)), 1e-12))
+        if held.any():
+            rows = np.flatnonzero(held)
+            p = sigmoid(odds_of(mean_of(rows)[0]))
+            loss = (weight[rows] * -np.log(np.clip(np.where(y[rows] == 1, p, 1 - p), 1e-12, 1))).sum() / weight[rows].sum()
+            if loss >= best:
+                continue
+            best = loss
+        kept = [q.copy() for q in params]
     emb, soft, bias = kept
     odds = np.zeros(BUCKETS, np.float32)
     odds[used] = SCALE * (emb @ (soft[:, 1] - soft[:, 0]))
@@ -170,10 +159,9 @@ def sample(docs: DataFrame, labels: DataFrame, allowed, toxic: int = 1500, clean
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     ids = (docs.where(F.col("doc_id").isNotNull() & (F.length("text") <= longest)).select("doc_id").distinct()
            .join(marked, "doc_id"))
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("toxic") == 1, toxic).otherwise(clean)
-    picked = (ids.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(toxic, clean))
-              .where(F.col("r") <= most).select("doc_id", "toxic"))
+    ranked = [ids.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic")
+              for label, most in ((1, toxic), (0, clean))]       # each task keeps its first ones, so no label is one task
+    picked = ranked[0].unionByName(ranked[1])
     return (docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
             .orderBy("doc_id").select("text", "toxic").collect())

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.llm import _text as T
-from quire.llm._tables import stored
+from quire.llm._tables import stored, tidied
 from quire.operators.components import connected_components
 
 SETS = "doc_id long, n long, f1 long, f2 long, sketch array<long>"
@@ -205,7 +205,7 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int, block: int) -> DataF
 
 def classes_and_components(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 256, few: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_sets(k, percent), SETS), "sets")
+    rows = stored(docs.select("doc_id", "text").mapInArrow(tidied(_sets(k, percent)), SETS), "sets")
     named = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = stored(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
@@ -271,5 +271,5 @@ def classes_and_components(docs: DataFrame, k: int = 4, percent: int = 85, block
 def _sets_of(left: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(c, shingles) of the classes in ``left`` (c, doc_id). Rows of another class under the same doc_id drop out."""
     texts = docs.select("doc_id", "text").join(left, "doc_id").select("c", "text")
-    sets = texts.mapInArrow(_full_sets(k), "c long, f1 long, f2 long, n long, shingles array<long>")
+    sets = texts.mapInArrow(tidied(_full_sets(k)), "c long, f1 long, f2 long, n long, shingles array<long>")
     return sets.where(F.col("c") == F.xxhash64("f1", "f2", "n")).select("c", "shingles").dropDuplicates(["c"])

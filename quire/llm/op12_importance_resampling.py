@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from quire.llm._tables import stored
+from quire.llm._tables import stored, tidied
 from quire.operators.ordering import positions
 
 BUCKETS = 10_000
@@ -85,7 +85,7 @@ def features(texts: DataFrame, keep: list[str]) -> DataFrame:
                        pa.array([b.astype("<u2").tobytes() for _, b in found], pa.binary())],
                     names=[*keep, "n_words", "n_features", "buckets"])
 
-    return texts.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return texts.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), schema)
 
 
 def bucket_counts(feats: DataFrame, n_buckets: int = BUCKETS) -> np.ndarray:
@@ -99,7 +99,7 @@ def bucket_counts(feats: DataFrame, n_buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["bucket", "n"])
 
     out = np.zeros(n_buckets, np.int64)
-    sums = feats.select("buckets").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = feats.select("buckets").mapInArrow(tidied(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     for r in sums.collect():                                   # at most n_buckets rows
         out[r.bucket] = r.n
     return out
@@ -127,7 +127,7 @@ def weighted(feats: DataFrame, gains: np.ndarray, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(cols))] + [pa.array(sums, pa.int64())],
                                              names=[*cols, "weight"])
 
-    return feats.select(*cols, "buckets").mapInArrow(run, schema)
+    return feats.select(*cols, "buckets").mapInArrow(tidied(run), schema)
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:

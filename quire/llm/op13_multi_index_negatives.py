@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.llm._tables import stored
+from quire.llm._tables import stored, tidied
 
 SAMPLE = 16_384          # vectors the codebooks are fitted on
 CODES = 256              # most codes of a half
@@ -129,7 +129,7 @@ def coded(pts: DataFrame, dims: int, centres: tuple[np.ndarray, np.ndarray]) ->
                  pa.array((codes[0] * len(held.value[1]) + codes[1]).astype(np.int32)), pa.array(far[0]), pa.array(far[1])],
                 names=["vec_id", "label", "vec", "cell", "far1", "far2"])
 
-    return pts.select("vec_id", "label", "q").mapInArrow(run, "vec_id long, label long, vec binary, cell int, far1 double, far2 double")
+    return pts.select("vec_id", "label", "q").mapInArrow(tidied(run), "vec_id long, label long, vec binary, cell int, far1 double, far2 double")
 
 
 def directory(rows: DataFrame, dims: int, centres: tuple[np.ndarray, np.ndarray]) -> Index:
@@ -165,7 +165,7 @@ def in_buckets(rows: DataFrame, index: Index) -> DataFrame:
                                              names=["vec_id", "label", "vec", "cell", "bucket"])
 
     return (rows.select("vec_id", "label", "vec", "cell", F.expr("xxhash64(vec_id) & 9223372036854775807L").alias("salt"))
-            .mapInArrow(run, "vec_id long, label long, vec binary, cell int, bucket long"))
+            .mapInArrow(tidied(run), "vec_id long, label long, vec binary, cell int, bucket long"))
 
 
 def visits(q: np.ndarray, index: Index, skip: int, rows: int, need: float) -> tuple[list[int], int, float]:
@@ -221,7 +221,7 @@ def planned(open_anchors: DataFrame, index: Index, rows: int) -> DataFrame:
                     ("vec_id", pa.int64()), ("label", pa.int64()), ("vec", pa.binary()), ("wants", pa.list_(pa.int64())), ("block", pa.int64()),
                     ("seen", pa.int32()), ("need", pa.float64()), ("bucket", pa.int64()), ("cells", pa.list_(pa.int32())), ("bound", pa.float64())]))
 
-    return open_anchors.select(*cols).mapInArrow(run, PROBE)
+    return open_anchors.select(*cols).mapInArrow(tidied(run), PROBE)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -99,3 +99,23 @@ def test_masking_keeps_rows_and_columns(spark):
     got = masked(df)
     assert got.schema == df.schema
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, f"x {MASK} y", "en"), rows[1], rows[2]], key=str)
+
+
+def test_fields_of_a_long_text_keep_their_places():
+    """Many field spans in one long non-ASCII text: code points, and none that meets a base span."""
+    class Fixed:
+        def __init__(self, spans):
+            self.of = spans
+
+        def spans(self, buf, offs):
+            return np.zeros(len(self.of), np.int64), np.array([a for a, _ in self.of]), np.array([z for _, z in self.of])
+
+    word = "é漢x "
+    text = "password=abcdefghijkl1 " + word * 50_000
+    raw = text.encode()
+    head, step = len("password=abcdefghijkl1 "), len(word.encode())
+    spans = [(head + i * step, head + i * step + step - 1) for i in range(0, 50_000, 2)] + [(9, 22)]
+    buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    got = found(Fixed(spans), [text], buf, offs)[0]
+    assert [s for s in got if s[1] < 3] == [(0, 0, 22)]
+    assert [s for s in got if s[1] == 3] == [(head + 4 * i, 3, head + 4 * i + 3) for i in range(0, 50_000, 2)]

@@ -1,12 +1,15 @@
 """Subword toxicity: held-out quality, unseen endings, edge cases."""
 
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from quire.llm import _text as T
-from quire.llm.op08_subword_toxicity import fit, pooled, segments, toxicity
+from quire.llm._subwords import word_features
+from quire.llm.op08_subword_toxicity import GRAMS, fit, toxicity
 
 
 def corpus(seed, n, endings):
@@ -29,17 +32,39 @@ def test_unseen_endings_are_found():
     texts, y = corpus(1, 600, ["a", "en", "ito", "ous"])
     model = fit(texts, y)
     texts, y = corpus(2, 300, ["ier", "xx", "ando", "0"])
-    import pyarrow as pa
     score = model.scores(*T.raw(pa.array(texts, pa.large_string())))
     assert ((score >= 0.5) == y).mean() > 0.93
 
 
-def test_pooling_and_segments():
-    row = np.array([0] * 30 + [2] * 5)
-    start, seg = segments(row, 3)
-    assert start.tolist() == [0, 24, 30] and seg.tolist() == [0, 0, 2]
-    got = pooled(np.array([1.0, 2.0, -1.0]), seg, 3, -9.0)
-    assert np.allclose(got, [np.log(np.exp(1) + np.exp(2)), -9, -1])
+def test_score_is_the_softmax_of_the_plain_average():
+    texts, y = corpus(4, 200, ["a", "en"])
+    model = fit(texts, y, epochs=3)
+    buf, offs = T.raw(pa.array([t.lower() for t in texts[:40]] + ["", "?!"], pa.large_string()))
+    got = model.scores(buf, offs)
+    for i, t in enumerate(texts[:40]):
+        odds = []
+        for w in re.findall("[a-z0-9]+", t.lower()):
+            b = np.frombuffer(w.encode(), np.uint8)
+            ids, _ = word_features(b, np.array([0]), np.array([len(b)]), GRAMS, 0)
+            odds.append(np.mean([float(model.odds[k]) for k in ids]))
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(np.mean(odds) + model.bias))), rtol=1e-6)
+    assert np.allclose(got[40:], 1 / (1 + np.exp(-model.bias)))
+
+
+def test_length_does_not_change_a_verdict():
+    texts, y = corpus(5, 500, ["a", "en", "ous"])
+    model = fit(texts, y)
+    clean = [t for t, v in zip(*corpus(6, 300, ["a"])) if not v]
+    r = random.Random(7)
+    joined = []
+    while len(joined) < 100:
+        words = []
+        while len(words) < 50_000 // (10 if len(joined) % 10 else 1):
+            words += r.choice(clean).split()
+        joined.append(" ".join(words))
+    score = lambda xs: model.scores(*T.raw(pa.array(xs, pa.large_string())))
+    assert (score(joined) < 0.5).mean() >= 0.99
+    assert np.allclose(score([" ".join([t] * 30) for t in clean[:20]]), score(clean[:20]))
 
 
 def test_query_shape_and_edge_cases(spark):
