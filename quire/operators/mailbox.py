@@ -197,9 +197,23 @@ def route_messages(messages: DataFrame, whitelist: DataFrame, *, sender: str = "
 
 
 def config_entries(configs: DataFrame, *, text: str = "text") -> DataFrame:
-    """Config mails -> ``(…, key, value)`` rows; texts that are not JSON objects get ``error``."""
+    """Config mails with their values (``_m``) and ``error``: a text that is not a JSON object, or a bad value
+    (a negative ``limit_newest``). A bad value is no value; the others of its mail hold."""
     parsed = configs.withColumn("_m", F.from_json(F.col(text), "map<string,string>"))
-    return parsed.withColumn("error", F.when(F.col("_m").isNull(), F.lit("config text is not a JSON object")))
+    return parsed.withColumn("error", F.when(F.col("_m").isNull(), F.lit("config text is not a JSON object"))
+                             .when(bad_value(F.lit("limit_newest"), F.try_element_at("_m", F.lit("limit_newest"))),
+                                   F.lit("limit_newest is negative")))
+
+
+def bad_value(key: Column, value: Column) -> Column:
+    """A config value that cannot hold."""
+    return (key == "limit_newest") & (F.coalesce(value.try_cast("int"), F.lit(0)) < 0)
+
+
+def config_values(configs: DataFrame, *, by: str = "mailbox_id", date: str = "date", key: str = "message_id", text: str = "text") -> DataFrame:
+    """``(by, date, message_id, key, value)`` of every known key of every config mail; bad values are left out."""
+    return (config_entries(configs, text=text).select(by, date, key, F.explode_outer("_m").alias("key", "value"))
+            .where(F.col("key").isin(*CONFIG_KEYS) & ~bad_value(F.col("key"), F.col("value"))))
 
 
 def config_fold(configs: DataFrame, *, by: str = "mailbox_id", poll: str | Column = "poll",
@@ -213,7 +227,7 @@ def config_fold(configs: DataFrame, *, by: str = "mailbox_id", poll: str | Colum
     # which the known-key filter drops.
     kv = config_entries(configs, text=text) \
         .select(by, p.alias("_poll"), date, key, F.explode_outer("_m").alias("key", "value")) \
-        .where(F.col("key").isin(*CONFIG_KEYS))
+        .where(F.col("key").isin(*CONFIG_KEYS) & ~bad_value(F.col("key"), F.col("value")))
     order = F.struct(F.col("_poll"), (-F.unix_micros(F.col(date).cast("timestamp"))).alias("_d"), F.col(key))
     return kv.groupBy(by, "key").agg(F.max_by("value", order).alias("value"))
 
@@ -230,19 +244,25 @@ def mailbox_counts(messages: DataFrame, *, by: str = "mailbox_id", labels: str =
 
 # ---- label state (U1-U4, J6, J7) -------------------------------------------------------
 def update_labels(messages: DataFrame, changes: DataFrame, *, key: Sequence[str] = ("mailbox_id", "message_id"),
-                  labels: str = "labels") -> DataFrame:
-    """``changes(key, add, remove, read)``; the read flag removes / adds ``UNREAD``;
-    system names upper-cased; a label in both lists ends up present (add wins)."""
+                  labels: str = "labels", order: str = "seq") -> DataFrame:
+    """``changes(key, add, remove, read)``; the read flag removes / adds ``UNREAD``; system names upper-cased; a
+    label in both lists of a change ends up present (add wins). Several changes of a message act in the order of
+    ``order`` (a column of ``changes``; without it they count as one): the last mention of a label decides.
+
+    Changes are folded per (message, label) first, so a message meets one row and stays one row."""
     def norm(c):
         return F.transform(F.coalesce(c, F.array().cast("array<string>")),
                            lambda x: F.when(F.upper(x).isin(*SYSTEM_LABELS), F.upper(x)).otherwise(x))
-    ch = changes.select(*key, norm(F.col("add")).alias("_add"), norm(F.col("remove")).alias("_rm"),
-                        F.col("read").alias("_read"))
-    ch = ch.select(*key,
-                   F.when(F.col("_read") == F.lit(False), F.array_union("_add", F.array(F.lit("UNREAD"))))
-                    .otherwise(F.col("_add")).alias("_add"),
-                   F.when(F.col("_read") == F.lit(True), F.array_union("_rm", F.array(F.lit("UNREAD"))))
-                    .otherwise(F.col("_rm")).alias("_rm"))
+    unread = F.array(F.lit("UNREAD"))
+    add = F.when(F.col("read") == F.lit(False), F.array_union(norm(F.col("add")), unread)).otherwise(norm(F.col("add")))
+    rm = F.when(F.col("read") == F.lit(True), F.array_union(norm(F.col("remove")), unread)).otherwise(norm(F.col("remove")))
+    said = F.concat(F.transform(add, lambda x: F.struct(x.alias("l"), F.lit(True).alias("present"))),
+                    F.transform(rm, lambda x: F.struct(x.alias("l"), F.lit(False).alias("present"))))
+    seq = F.col(order) if order in changes.columns else F.lit(0)
+    last = (changes.select(*key, seq.alias("_seq"), F.explode(said).alias("_s"))
+            .groupBy(*key, F.col("_s.l").alias("_l")).agg(F.max_by("_s.present", F.struct("_seq", "_s.present")).alias("_p")))
+    ch = last.groupBy(*key).agg(F.collect_list(F.when(F.col("_p"), F.col("_l"))).alias("_add"),
+                                F.collect_list(F.when(~F.col("_p"), F.col("_l"))).alias("_rm"))
     out = messages.join(ch, list(key), "left")
     new = F.array_union(F.array_except(F.col(labels), F.col("_rm")), F.col("_add"))
     return out.withColumn(labels, F.when(F.col("_add").isNull(), F.col(labels)).otherwise(new)) \

@@ -28,7 +28,7 @@ def sender_address(s: str) -> str:
 
 CONFIG_TEXT = """
 CASE WHEN event_id % 50 = 0 THEN 'config ' || CAST(event_id AS VARCHAR)
-     ELSE '{"limit_newest": ' || CAST(5 + user_id % 40 AS VARCHAR)
+     ELSE '{"limit_newest": ' || CAST(CASE WHEN event_id % 17 = 0 THEN -1 ELSE 5 + user_id % 40 END AS VARCHAR)
           || ', "active": ' || CASE WHEN user_id % 23 = 0 THEN 'false' ELSE 'true' END
           || ', "release_time_str": "' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':00:00"'
           || ', "days": ' || CASE user_id % 3 WHEN 0 THEN '["Monday","Friday"]'
@@ -73,7 +73,7 @@ kv AS (
 SELECT mailbox_id, date, message_id, CAST(date AS DATE) AS poll, text, unnest(json_keys(text)) AS key FROM cfg),
 kv2 AS (
 SELECT mailbox_id, date, message_id, poll, key, json_extract_string(text, '$."' || key || '"') AS value
-FROM kv WHERE key IN {CONFIG_KEYS}),
+FROM kv WHERE key IN {CONFIG_KEYS} AND NOT (key = 'limit_newest' AND coalesce(TRY_CAST(json_extract_string(text, '$.limit_newest') AS INTEGER), 0) < 0)),
 folded AS (
 SELECT mailbox_id, key, value FROM (
   SELECT *, row_number() OVER (PARTITION BY mailbox_id, key ORDER BY poll DESC, date ASC, message_id DESC) AS rn
@@ -116,7 +116,7 @@ issue_messages AS (
 SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY mailbox_id, release_ts ORDER BY date DESC, message_id DESC) - 1 AS BIGINT) AS msg_rank
   FROM in_window)
-WHERE msg_rank < CASE WHEN limit_newest > 0 THEN least(limit_newest, 100) WHEN limit_newest = 0 THEN 0 ELSE 100 END)"""
+WHERE msg_rank < least(limit_newest, 100))"""
 
 
 def with_views(*ctes: str) -> str:
@@ -265,9 +265,10 @@ SQL["route_messages"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + "SELECT me
 
 SQL["config_fold"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED) + "SELECT mailbox_id, key, value FROM folded"
 
-SQL["dead_letter"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
-SELECT message_id, 'config text is not a JSON object' AS error FROM checked
-WHERE route = 'config' AND NOT CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END"""
+SQL["dead_letter"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """, cfg AS (
+SELECT *, CASE WHEN json_valid(text) THEN json_type(text) = 'OBJECT' ELSE false END AS ok FROM checked WHERE route = 'config')
+SELECT mailbox_id, message_id, CASE WHEN ok THEN 'limit_newest is negative' ELSE 'config text is not a JSON object' END AS error
+FROM cfg WHERE NOT ok OR CAST(json_extract_string(CASE WHEN ok THEN text END, '$.limit_newest') AS INTEGER) < 0"""
 
 SQL["mailbox_counts"] = with_views(MESSAGES_V) + """
 SELECT mailbox_id, count(*) AS n_messages,
@@ -281,23 +282,30 @@ SELECT CAST(event_id % 4 AS INTEGER) AS mailbox_id, CAST(event_id AS VARCHAR) AS
        CASE WHEN user_id % 2 = 0 THEN ['ANALYZED', 'starred'] ELSE ['inbox'] END AS add,
        CASE WHEN user_id % 3 = 0 THEN ['INBOX', 'ANALYZED'] ELSE ['Spam'] END AS remove,
        CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS read
-FROM events WHERE event_id % 3 = 0)"""
+FROM events WHERE event_id % 3 = 0),
+changes2_v AS (
+SELECT CAST(event_id % 4 AS INTEGER) AS mailbox_id, CAST(event_id AS VARCHAR) AS message_id, ['Inbox', 'later'] AS add,
+       ['STARRED', 'ANALYZED'] AS remove, user_id % 2 = 1 AS read
+FROM events WHERE event_id % 6 = 0)"""
 
 
 def norm_labels(x: str) -> str:
     return f"list_transform(coalesce({x}, []), lambda l: CASE WHEN upper(l) IN {SYSTEM} THEN upper(l) ELSE l END)"
 
 
+def changed(labels: str, c: str) -> str:
+    """Labels after one change."""
+    gone = f"CASE WHEN {c}.read = true THEN list_concat({norm_labels(c + '.remove')}, ['UNREAD']) ELSE {norm_labels(c + '.remove')} END"
+    new = f"CASE WHEN {c}.read = false THEN list_concat({norm_labels(c + '.add')}, ['UNREAD']) ELSE {norm_labels(c + '.add')} END"
+    return (f"CASE WHEN {c}.message_id IS NULL THEN {labels} ELSE list_distinct(list_concat("
+            f"list_filter({labels}, lambda l: NOT list_contains({gone}, l)), {new})) END")
+
+
 SQL["label_update"] = with_views(MESSAGES_V, CHANGES_V) + f"""
-SELECT message_id, {labels_str('new_labels')} AS labels_str FROM (
-  SELECT m.message_id,
-         CASE WHEN c.message_id IS NULL THEN m.labels ELSE list_distinct(list_concat(
-              list_filter(m.labels, lambda l: NOT list_contains(
-                  CASE WHEN c.read = true THEN list_concat({norm_labels('c.remove')}, ['UNREAD'])
-                       ELSE {norm_labels('c.remove')} END, l)),
-              CASE WHEN c.read = false THEN list_concat({norm_labels('c.add')}, ['UNREAD'])
-                   ELSE {norm_labels('c.add')} END)) END AS new_labels
-  FROM messages_v m LEFT JOIN changes_v c ON c.mailbox_id = m.mailbox_id AND c.message_id = m.message_id)"""
+SELECT message_id, {labels_str(changed('one', 'd'))} AS labels_str FROM (
+  SELECT m.message_id, m.mailbox_id, {changed('m.labels', 'c')} AS one
+  FROM messages_v m LEFT JOIN changes_v c ON c.mailbox_id = m.mailbox_id AND c.message_id = m.message_id) s
+LEFT JOIN changes2_v d USING (mailbox_id, message_id)"""
 
 SQL["archive"] = with_views(MESSAGES_V) + f"""
 SELECT message_id, {labels_str("list_filter(labels, lambda l: l <> 'INBOX')")} AS labels_str FROM messages_v"""
@@ -1104,4 +1112,48 @@ WHERE list_contains(r.labels, 'INBOX') AND NOT list_contains(r.labels, 'ANALYZED
 SELECT mailbox_id, release_ts, msg_rank, message_id FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY mailbox_id, release_ts ORDER BY date DESC, message_id DESC) - 1 AS BIGINT) AS msg_rank
   FROM hits)
-WHERE msg_rank < CASE WHEN limit_newest > 0 THEN least(limit_newest, 100) WHEN limit_newest = 0 THEN 0 ELSE 100 END"""
+WHERE msg_rank < least(limit_newest, 100)"""
+
+
+# -- mail over the limit waits for a later issue: the pending mail of a mailbox is a list, each release takes its newest -----
+SQL["issue_carry_over"] = (with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED, SETUP) + f""", m AS (
+SELECT r.*, {next_release('r.date', 's.days', 's.release_time_str', 's.active')} AS seg FROM routed2 r JOIN setup s ON s.mailbox_id = r.mailbox_id
+WHERE list_contains(r.labels, 'INBOX') AND NOT list_contains(r.labels, 'ANALYZED') AND r.route NOT IN ('config', 'repost')),
+came AS MATERIALIZED (SELECT mailbox_id, seg, list({{'d': date, 'id': message_id, 'seg': seg}}) AS xs FROM m WHERE seg IS NOT NULL GROUP BY 1, 2),
+span AS (SELECT mailbox_id, min(CAST(date AS DATE)) AS a, max(CAST(seg AS DATE)) + 7 AS z FROM m WHERE seg IS NOT NULL GROUP BY 1),
+cal AS MATERIALIZED (
+SELECT mailbox_id, r, least(limit_newest, 100) AS n, row_number() OVER (PARTITION BY mailbox_id ORDER BY r) AS k FROM (
+  SELECT span.mailbox_id, limit_newest, CAST(strftime(a + CAST(o AS INTEGER), '%Y-%m-%d') || ' ' || release_time_str AS TIMESTAMP) AS r
+  FROM (SELECT *, unnest(range(0, z - a + 1)) AS o FROM span) span JOIN setup USING (mailbox_id)
+  WHERE list_contains(days, dayname(a + CAST(o AS INTEGER))))),
+step(mailbox_id, k, taken, waiting) AS (
+SELECT mailbox_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(d TIMESTAMP, id VARCHAR, seg TIMESTAMP)[]),
+       CAST([] AS STRUCT(d TIMESTAMP, id VARCHAR, seg TIMESTAMP)[]) FROM span
+UNION ALL
+SELECT mailbox_id, k, xs[1:n], xs[n + 1:] FROM (
+  SELECT c.mailbox_id, c.k, c.n, list_reverse_sort(list_concat(
+         list_filter(s.waiting, lambda x: CAST(x.d AS DATE) >= CAST(c.r AS DATE) - 7), coalesce(came.xs, []))) AS xs
+  FROM step s JOIN cal c ON c.mailbox_id = s.mailbox_id AND c.k = s.k + 1
+  LEFT JOIN came ON came.mailbox_id = c.mailbox_id AND came.seg = c.r))
+SELECT mailbox_id, r AS release_ts, CAST(i - 1 AS BIGINT) AS msg_rank, taken[i].id AS message_id, r > taken[i].seg AS carried FROM (
+  SELECT s.mailbox_id, r, taken, unnest(range(1, len(taken) + 1)) AS i FROM step s JOIN cal c ON c.mailbox_id = s.mailbox_id AND c.k = s.k)"""
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+_AS_OF = ("active", "days", "release_time_str", "newsletter_email", "limit_newest")
+AS_OF = "dated AS (\nSELECT mailbox_id, date, key, arg_max(value, message_id) AS value FROM kv2 GROUP BY 1, 2, 3),\n" + "valid AS (\nSELECT m.*, " + ", ".join(
+    f"v_{k}.value AS v_{k}" for k in _AS_OF) + " FROM routed2 m\n" + "\n".join(
+    f"ASOF LEFT JOIN (SELECT * FROM dated WHERE key = '{k}') v_{k} ON v_{k}.mailbox_id = m.mailbox_id AND m.date >= v_{k}.date" for k in _AS_OF) + """),
+as_of AS (
+SELECT * EXCLUDE (v_active, v_days, v_release_time_str, v_newsletter_email, v_limit_newest),
+       coalesce(TRY_CAST(v_active AS BOOLEAN), true) AS active,
+       coalesce(TRY_CAST(json_transform(v_days, '["VARCHAR"]') AS VARCHAR[]), CAST([] AS VARCHAR[])) AS days,
+       coalesce(v_release_time_str, '') AS release_time_str, coalesce(v_newsletter_email, '') AS newsletter_email,
+       coalesce(TRY_CAST(v_limit_newest AS INTEGER), 10) AS limit_newest FROM valid)"""
+
+SQL["setup_as_of"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED, AS_OF) + """
+SELECT mailbox_id, message_id, active, array_to_string(days, ',') AS days_str, release_time_str, newsletter_email, limit_newest FROM as_of"""
+
+SQL["assign_issue_as_of"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED, AS_OF) + f"""
+SELECT mailbox_id, message_id, release_ts FROM (
+  SELECT *, {next_release('date', 'days', 'release_time_str', 'active')} AS release_ts FROM as_of)
+WHERE release_ts IS NOT NULL AND CAST(date AS DATE) >= CAST(release_ts AS DATE) - 7 AND CAST(date AS DATE) <= CAST(release_ts AS DATE)"""

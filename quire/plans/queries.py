@@ -232,7 +232,7 @@ def q_config_fold(spark, sf):
 @register("dead_letter")
 def q_dead_letter(spark, sf):
     r = checked(routed(spark, sf)).where(F.col("route") == mb.ROUTE_CONFIG)
-    return mb.config_entries(r).where(F.col("error").isNotNull()).select("message_id", "error")
+    return mb.config_entries(r).where(F.col("error").isNotNull()).select("mailbox_id", "message_id", "error")
 
 
 @register("mailbox_counts")
@@ -745,8 +745,32 @@ def q_news_items(spark, sf):
 @register("send_now_issue")
 def q_send_now_issue(spark, sf):
     r = routed(spark, sf)
-    cfg = mb.config_entries(checked(r).where(F.col("route") == mb.ROUTE_CONFIG)).where(F.col("error").isNull())
+    cfg = mb.config_entries(checked(r).where(F.col("route") == mb.ROUTE_CONFIG)).where(F.col("_m").isNotNull())
     requests = cfg.where(F.lower(F.try_element_at("_m", F.lit("send_now"))) == "true") \
                   .select("mailbox_id", F.col("date").alias("as_of"))
     out = iss.send_now_issues(r, requests, setup(spark, sf, r))
     return out.select("mailbox_id", "release_ts", "msg_rank", "message_id")
+
+
+@register("issue_carry_over")
+def q_issue_carry_over(spark, sf):
+    r = routed(spark, sf)
+    out = iss.issue_carry_over(r, setup(spark, sf, r))
+    return out.select("mailbox_id", "release_ts", "msg_rank", "message_id", "carried")
+
+
+def _config_values(r: DataFrame) -> DataFrame:
+    return mb.config_values(checked(r).where(F.col("route") == mb.ROUTE_CONFIG))
+
+
+@register("setup_as_of")
+def q_setup_as_of(spark, sf):
+    r = routed(spark, sf)
+    return iss.setup_as_of(r, _config_values(r)).select(
+        "mailbox_id", "message_id", "active", F.array_join("days", ",").alias("days_str"), "release_time_str", "newsletter_email", "limit_newest")
+
+
+@register("assign_issue_as_of")
+def q_assign_issue_as_of(spark, sf):
+    r = routed(spark, sf)
+    return iss.assign_issue_as_of(r, _config_values(r)).select("mailbox_id", "message_id", "release_ts")

@@ -14,7 +14,7 @@ from quire.sources.tables import read_table
 # (Braces are doubled: the text goes through spark.sql's {name} formatting.)
 CONFIG_TEXT_SQL = """
 CASE WHEN event_id % 50 = 0 THEN concat('config ', CAST(event_id AS STRING))
-     ELSE concat('{{"limit_newest": ', CAST(5 + user_id % 40 AS STRING),
+     ELSE concat('{{"limit_newest": ', CAST(CASE WHEN event_id % 17 = 0 THEN -1 ELSE 5 + user_id % 40 END AS STRING),
                  ', "active": ', CASE WHEN user_id % 23 = 0 THEN 'false' ELSE 'true' END,
                  ', "release_time_str": "', lpad(CAST(event_id % 24 AS STRING), 2, '0'), ':00:00"',
                  ', "days": ', CASE user_id % 3 WHEN 0 THEN '["Monday","Friday"]'
@@ -178,13 +178,17 @@ def headers_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changes_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label changes for every third message: add names (some lower-case system names),
-    remove some, and set the read flag for some."""
+    remove some, and set the read flag for some. Every sixth message has a second change after it."""
     return spark.sql(
         """SELECT CAST(event_id % 4 AS INT) AS mailbox_id, CAST(event_id AS STRING) AS message_id,
                   CASE WHEN user_id % 2 = 0 THEN array('ANALYZED', 'starred') ELSE array('inbox') END AS add,
                   CASE WHEN user_id % 3 = 0 THEN array('INBOX', 'ANALYZED') ELSE array('Spam') END AS remove,
-                  CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS read
-           FROM {events} WHERE event_id % 3 = 0""",
+                  CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS read, 0 AS seq
+           FROM {events} WHERE event_id % 3 = 0
+           UNION ALL
+           SELECT CAST(event_id % 4 AS INT), CAST(event_id AS STRING), array('Inbox', 'later'), array('STARRED', 'ANALYZED'),
+                  user_id % 2 = 1, 1
+           FROM {events} WHERE event_id % 6 = 0""",
         events=read_table(spark, sf_dir, "events"))
 
 
