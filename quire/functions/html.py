@@ -1,12 +1,16 @@
 """HTML functions (P6-P8, H1-H6) as native regex / higher-order Column expressions.
 
-No HTML library runs per row: tags are found with regular expressions and text nodes
-are the pieces between tags. Limits (stated in the README): a ``>`` inside a quoted
-attribute value ends the tag; only the named entities listed below are unescaped.
+No HTML library runs per row: tags are found with regular expressions and text nodes are the pieces between
+tags. A quote opens an attribute value only after ``=``, so a ``>`` inside it ends no tag. Character references
+are resolved as HTML5 does: every named one (the standard library's table), the old ones without ``;`` by longest
+prefix (in attribute values only as whole names), and numeric ones.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,16 +23,19 @@ PROBLEM_SCHEMES = ("mailto", "tel", "sms", "callto", "skype", "javascript")
 HIDDEN_BLOCKS_LINES = ("script", "style", "noscript", "iframe")
 # Elements whose text is left out of the flat page text (H4).
 HIDDEN_BLOCKS_FLAT = ("script", "style")
-# Named and numeric character references that are unescaped, in this order (&amp; last).
-ENTITIES = (("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-            ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"),
-            ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&#39;", "'"),
-            ("&apos;", "'"), ("&#34;", '"'), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+# Code points that a numeric reference to 128-159 means (windows-1252; the five free places mean themselves).
+CP1252 = tuple(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
 # -------------------------------------------------------------------------------------
 
 COMMENT_RE = r"(?s)<!--.*?-->"
 DECL_RE = r"<![^>]*>|<\?[^>]*>"
-TAG_RE = r"</?[A-Za-z][^>]*>"
+#: What may stand in a tag after its name: anything but ``>``; a quoted run counts only as a value.
+ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"
+TAG_RE = rf"</?[A-Za-z]{ATTRS}>"
+ATTR_RE = r"[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
+#: Names of character references: all (written with ";"), and those that also stand without it, longest first.
+NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
 _SCHEMES = "|".join(PROBLEM_SCHEMES)
 
 
@@ -36,29 +43,67 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def tag_re(name: str) -> str:
+    """A start tag of that name."""
+    return rf"<{name}(?:[\s/]{ATTRS})?+>"
+
+
 def _blocks_re(tags) -> str:
-    return "|".join(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>" if i == 0 else rf"<{t}\b[^>]*>.*?</{t}\s*>"
-                    for i, t in enumerate(tags))
+    return "(?is)" + "|".join(rf"{tag_re(t)}.*?</{t}\s*+>" for t in tags)
+
+
+def without_scripts(html: str | Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(_c(html), COMMENT_RE, ""), _blocks_re(("script", "style")), "")
+
+
+def _code_point(digits: Column) -> Column:
+    """The character of a numeric reference: '65' or 'x41'."""
+    short = F.regexp_replace(F.regexp_replace(digits, "^[xX]", ""), "^0+", "")
+    n = (F.when(F.length(short) > 7, F.lit(1 << 30)).when(short == "", F.lit(0))
+         .when(digits.rlike("^[xX]"), F.conv(short, 16, 10).cast("int")).otherwise(short.try_cast("int")))
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("�"))
+            .when(n.between(128, 159), F.element_at(F.array(*[F.lit(c) for c in CP1252]), n - 127))
+            .when(n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
+                  | (n.bitwiseAND(0xFFFE) == 0xFFFE), F.lit(""))
+            .otherwise(plain))
+
+
+def unescape(s: str | Column, attribute: bool = False) -> Column:
+    """Character references resolved. In an attribute value a name without ``;`` counts only whole and not before ``=``."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")      # folded to a literal
+    numeric = r"^#([0-9]++|[xX][0-9a-fA-F]++);?"
+    bare = "^(" + "|".join(BARE) + ")" + ("(?![A-Za-z0-9=])" if attribute else "")
+
+    def resolved(p: Column) -> Column:
+        digits = F.regexp_extract(p, numeric, 1)
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*+);", 1)
+        old = F.regexp_extract(p, bare, 1)
+        rest = lambda n: F.substring(p, n, F.length(p))
+        return (F.when(digits != "", F.concat(_code_point(digits), F.regexp_replace(p, numeric, "")))
+                .when((name != "") & F.element_at(names, name).isNotNull(), F.concat(F.element_at(names, name), rest(F.length(name) + 2)))
+                .when(old != "", F.concat(F.element_at(names, old), rest(F.length(old) + 1)))
+                .otherwise(F.concat(F.lit("&"), p)))
 
+    text = _c(s)
+    parts = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(resolved(p)))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
-def unescape(s: str | Column) -> Column:
-    out = _c(s)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+
+def _value(tag: Column, attr: str) -> Column:
+    """Value of ``attr`` in a tag (the last one, if given twice); '' for a bare attribute; NULL when absent."""
+    given = F.filter(F.regexp_extract_all(tag, F.lit(ATTR_RE), 0), lambda a: a.rlike(rf"(?i)^{attr}\s*+(=|$)"))
+    last = F.try_element_at(given, F.lit(-1))
+    return unescape(F.regexp_replace(F.regexp_replace(last, r"^[^=]*+=?\s*+", ""), r"(?s)^\"(.*)\"$|^'(.*)'$", "$1$2"), attribute=True)
 
 
 def _attr_values(tags: Column, attr: str) -> Column:
-    """Value of ``attr`` in each tag of an array; '' for a bare attribute; NULL when absent."""
-    pat = rf"(?is)\s{attr}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
-    bare = rf"(?is)\s{attr}([\s/>]|$)"
-    return F.transform(tags, lambda t: F.when(t.rlike(pat), unescape(
-        F.regexp_replace(F.regexp_extract(t, pat, 1), r"^[\"']|[\"']$", ""))).when(t.rlike(bare), F.lit("")))
+    """Value of ``attr`` in each tag of an array."""
+    return F.transform(tags, lambda t: _value(t, attr))
 
 
 def _tags(html: Column, name: str) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(html, COMMENT_RE, ""), _blocks_re(("script", "style")), "")
-    return F.regexp_extract_all(clean, F.lit(rf"(?i)<{name}(?:\s[^>]*)?/?>"), 0)
+    return F.regexp_extract_all(without_scripts(html), F.lit("(?i)" + tag_re(name)), 0)
 
 
 def raw_links(html: str | Column) -> Column:
@@ -87,29 +132,44 @@ def all_img_sources(html: str | Column) -> Column:
     return _attr_values(_tags(_c(html), "img"), "src")
 
 
+_ANCHOR = rf"(?is)({tag_re('a')})(.*?)</a\s*+>"
+
+
+def _anchors(html: str | Column) -> Column:
+    """Pieces of the page without comments and scripts, cut before every anchor that is closed; each but the
+    first is a tag, U+0002, the content, U+0003, and what follows."""
+    return F.split(F.regexp_replace(without_scripts(html), _ANCHOR, "\u0001$1\u0002$2\u0003"), "\u0001")
+
+
+def _is_problem(piece: Column) -> Column:
+    href = _value(F.substring_index(piece, "\u0002", 1), "href")
+    return piece.contains("\u0002") & F.coalesce(F.lower(href).rlike(f"^({_SCHEMES}):"), F.lit(False))
+
+
 def neutralise_links(html: str | Column) -> Column:
-    """H3: an anchor with a problem scheme becomes a span holding only its text."""
-    anchor = rf"(?is)<a\s[^>]*?href\s*=\s*[\"']?(?:{_SCHEMES}):[^>]*>(.*?)</a\s*>"
-    marked = F.regexp_replace(_c(html), anchor, "\u0001$1\u0002")
-    pieces = F.split(marked, "\u0001")
-    # inside a marked anchor all inner tags go, so its text is one node
-    fixed = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(
-        F.lit("<span>"), F.regexp_replace(F.substring_index(p, "\u0002", 1), TAG_RE, ""), F.lit("</span>"),
-        F.substring(p, F.length(F.substring_index(p, "\u0002", 1)) + 2, 1 << 30))))
-    return F.array_join(fixed, "")
+    """H3: an anchor with a problem scheme becomes a span holding only its text. Anchors in comments and
+    scripts are none (both are left out of the result)."""
+    def fixed(p: Column) -> Column:
+        inner = F.substring_index(F.substring_index(p, "\u0003", 1), "\u0002", -1)
+        after = F.substring(p, F.length(F.substring_index(p, "\u0003", 1)) + 2, F.length(p))
+        plain = F.concat(F.lit("<span>"), F.regexp_replace(inner, TAG_RE, ""), F.lit("</span>"), after)
+        return F.when(_is_problem(p), plain).otherwise(F.replace(F.replace(p, F.lit("\u0002"), F.lit("")), F.lit("\u0003"), F.lit("</a>")))
+    h = _c(html)
+    pieces = F.transform(_anchors(h), lambda p, i: F.when(i == 0, p).otherwise(fixed(p)))
+    return F.when(h.rlike(f"(?i)({_SCHEMES}):"), F.array_join(pieces, "")).otherwise(h)
 
 
 def problem_link_count(html: str | Column) -> Column:
-    anchor = rf"(?is)<a\s[^>]*?href\s*=\s*[\"']?(?:{_SCHEMES}):[^>]*>(.*?)</a\s*>"
-    return F.regexp_count(_c(html), F.lit(anchor))
+    h = _c(html)
+    return F.when(h.rlike(f"(?i)({_SCHEMES}):"), F.size(F.filter(_anchors(h), _is_problem))).otherwise(
+        F.when(h.isNotNull(), F.lit(0)))
 
 
 def _text_nodes(html: Column, hidden) -> Column:
     no_comments = F.regexp_replace(F.regexp_replace(html, COMMENT_RE, ""), DECL_RE, "")
     no_blocks = F.regexp_replace(no_comments, _blocks_re(hidden), "")
     nodes = F.split(no_blocks, TAG_RE)
-    # entity replacement only for nodes that hold an '&'
-    return F.filter(F.transform(nodes, lambda t: ustrip(F.when(t.contains("&"), unescape(t)).otherwise(t))),
+    return F.filter(F.transform(nodes, lambda t: ustrip(unescape(t))),
                     lambda t: t != "")
 
 
@@ -129,7 +189,7 @@ def page_text_lines(html: str | Column, neutralise: bool = True) -> Column:
 def page_text_flat(html: str | Column) -> Column:
     """H4: text below ``<body>`` (script/style left out), nodes joined by one space."""
     h = _c(html)
-    body = F.when(h.rlike(r"(?i)<body\b"), F.regexp_replace(h, r"(?is)^.*?<body\b[^>]*>", "")).otherwise(h)
+    body = F.when(h.rlike("(?i)" + tag_re("body")), F.regexp_replace(h, rf"(?is)^.*?{tag_re('body')}", "")).otherwise(h)
     body = F.regexp_replace(body, r"(?is)</body\s*>.*$", "")
     return F.array_join(_text_nodes(body, HIDDEN_BLOCKS_FLAT), " ")
 

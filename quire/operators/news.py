@@ -32,7 +32,7 @@ NEWS_CATEGORY = "News"
 MIN_LINK_TITLE = 10
 # ---------------------------------------------------------------------------------------
 
-TOKEN_RE = r"<[A-Za-z/][^>]*>|[^<]+|<"
+TOKEN_RE = rf"{H.TAG_RE}|[^<]+|<"
 
 
 def _sel(selector: str) -> tuple[str | None, str | None]:
@@ -57,8 +57,7 @@ def html_tokens(pages: DataFrame, *, key: str = "page_id", html: str = "html", u
     kind = F.when(F.col("tok").startswith("</"), F.lit("close")) \
             .when(F.col("tok").rlike(r"^<[A-Za-z]"), F.lit("open")).otherwise(F.lit("text"))
     return toks.select(key, url, F.col("pos").cast("bigint"), kind.alias("kind"), tag.alias("tag"), "tok",
-                       F.when(kind == "text", H.ustrip(F.when(F.col("tok").contains("&"), H.unescape(F.col("tok")))
-                                                       .otherwise(F.col("tok")))).alias("text"))
+                       F.when(kind == "text", H.ustrip(H.unescape("tok"))).alias("text"))
 
 
 def _inside(w, cond_open: Column, cond_close: Column) -> Column:
@@ -86,7 +85,7 @@ def annotate(tokens: DataFrame, selectors: dict | None = None, *, key: str = "pa
                .when((opn | cls) & t.isin(*BLOCK_TAGS), F.lit(0))
     out = out.withColumn("in_desc", F.coalesce(F.last(p_event, ignorenulls=True).over(w), F.lit(0)) == 1)
     out = out.withColumn("p_no", F.sum(F.when(opn & (t == desc_tag), 1).otherwise(0)).over(w))
-    href = H._attr_values(F.array(tok), "href")[0]
+    href = H._value(tok, "href")
     return out.withColumn("href", F.when(opn & (t == "a"), href))
 
 

@@ -32,12 +32,8 @@ def images(df: DataFrame, *, html: str = "html", key: str = "page_id") -> DataFr
 
 def page_links_abs(df: DataFrame, *, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """H5: every ``a@href`` and ``img@src`` in document order, made absolute, unfiltered."""
-    clean = F.regexp_replace(F.regexp_replace(F.col(html), H.COMMENT_RE, ""),
-                             H._blocks_re(("script", "style")), "")
-    tags = F.regexp_extract_all(clean, F.lit(r"(?i)<(?:a|img)(?:\s[^>]*)?/?>"), 0)
-    vals = F.transform(tags, lambda t: F.when(F.lower(t).startswith("<a"),
-                                              H._attr_values(F.array(t), "href")[0])
-                                        .otherwise(H._attr_values(F.array(t), "src")[0]))
+    tags = F.regexp_extract_all(H.without_scripts(html), F.lit("(?i)" + H.tag_re("(?:a|img)")), 0)
+    vals = F.transform(tags, lambda t: F.when(F.lower(t).startswith("<a"), H._value(t, "href")).otherwise(H._value(t, "src")))
     out = df.select(key, url, F.posexplode(F.filter(vals, lambda v: v.isNotNull())).alias("link_pos", "ref"))
     return out.select(key, F.col("link_pos").cast("bigint"), H.url_resolve(F.col(url), F.col("ref")).alias("link"))
 

@@ -375,7 +375,7 @@ SELECT DISTINCT mailbox_id, release_ts, CAST(release_ts AS DATE) - 7 AS first_da
 FROM issue_messages"""
 
 # ---- page side ---------------------------------------------------------------------------
-from quire.functions.html import ENTITIES  # noqa: E402  (the same fixed entity list)
+from html.entities import html5  # noqa: E402  (the named character references of HTML5)
 SCHEMES = "mailto|tel|sms|callto|skype|javascript"
 
 
@@ -383,20 +383,45 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def unescape(x: str) -> str:
-    for ent, ch in ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+#: What may follow a tag's name; quotes count after "=" only.
+IN_TAG = r"""(?:[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))*"""
+ONE_ATTR = r"""[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?"""
+REFERENCES = "MAP([" + ",".join(q(k) for k in html5) + "],[" + ",".join(q(v) for v in html5.values()) + "])"
+OLD_NAMES = "|".join(sorted((k for k in html5 if k[-1] != ";"), key=len, reverse=True))
+WINDOWS = "[" + ",".join(q(bytes([n]).decode("cp1252", "ignore") or chr(n)) for n in range(128, 160)) + "]"
+
+
+def unescape(x: str, attribute: bool = False) -> str:
+    """References as HTML5 reads them, piece by piece behind every '&'."""
+    n = ("CASE WHEN p[2] IN ('x', 'X') THEN TRY_CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1) AS BIGINT) "
+         "ELSE TRY_CAST(regexp_extract(p, '^#([0-9]+)', 1) AS BIGINT) END")
+    char = (f"list_transform([{n}], lambda n: CASE WHEN n IS NULL OR n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN '�' "
+            f"WHEN n BETWEEN 128 AND 159 THEN {WINDOWS}[n - 127] "
+            "WHEN n < 9 OR n IN (11, 127) OR n BETWEEN 14 AND 31 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' "
+            "ELSE chr(CAST(n AS INTEGER)) END)[1]")
+    named = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')"
+    old = f"regexp_extract(p, '^({OLD_NAMES})')"
+    if attribute:
+        run = "regexp_extract(p, '^[A-Za-z0-9]*')"
+        old = f"CASE WHEN {old} = {run} AND NOT starts_with(substr(p, len({run}) + 1), '=') THEN {run} ELSE '' END"
+    return (f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"WHEN regexp_matches(p, '^#([0-9]|[xX][0-9a-fA-F])') THEN {char} || regexp_replace(p, '^#([0-9]+|[xX][0-9a-fA-F]+);?', '') "
+            f"WHEN {named} <> '' AND {REFERENCES}[{named}] IS NOT NULL THEN {REFERENCES}[{named}] || substr(p, len({named}) + 1) "
+            f"WHEN {old} <> '' THEN {REFERENCES}[{old}] || substr(p, len({old}) + 1) ELSE '&' || p END), '') ELSE {x} END")
+
+
+def start_tag(name: str) -> str:
+    return rf"<{name}(?:[\s/]{IN_TAG})?>"
 
 
 def blocks(tags) -> str:
-    return "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in tags)
+    return "(?is)" + "|".join(rf"{start_tag(t)}.*?</{t}\s*>" for t in tags)
 
 
 def text_nodes(h: str, hidden) -> str:
     no_c = f"regexp_replace(regexp_replace({h}, '(?s)<!--.*?-->', '', 'g'), '<![^>]*>|<\\?[^>]*>', '', 'g')"
     no_b = f"regexp_replace({no_c}, {q(blocks(hidden))}, '', 'g')"
-    return (f"list_filter(list_transform(string_split_regex({no_b}, '</?[A-Za-z][^>]*>'), "
+    return (f"list_filter(list_transform(string_split_regex({no_b}, {q('</?[A-Za-z]' + IN_TAG + '>')}), "
             f"lambda t: {strip(unescape('t'))}), lambda t: t <> '')")
 
 
@@ -404,9 +429,23 @@ def collapse(x: str) -> str:
     return f"regexp_replace({x}, '\\n\\s*\\n+', {q("\n\n")}, 'g')"
 
 
+def anchors(h: str) -> str:
+    """[tag, content and what follows] of the page cut before every closed anchor."""
+    whole = "(?is)(" + start_tag("a") + r")(.*?)</a\s*>"
+    marked = f"regexp_replace({clean_scripts(h)}, {q(whole)}, chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g')"
+    return f"string_split({marked}, chr(1))"
+
+
+def problem(p: str) -> str:
+    href = attr(f"string_split({p}, chr(2))[1]", "href")
+    return f"(contains({p}, chr(2)) AND coalesce(regexp_matches(lower({href}), '^({SCHEMES}):'), false))"
+
+
 def neutralise(h: str) -> str:
-    anchor = rf"(?is)<a\s[^>]*?href\s*=\s*[\"']?(?:{SCHEMES}):[^>]*>(.*?)</a\s*>"
-    return f"regexp_replace({h}, {q(anchor)}, '<span>\\1</span>', 'g')"
+    inner = "string_split(string_split(p, chr(2))[2], chr(3))[1]"
+    span = f"'<span>' || regexp_replace({inner}, {q('</?[A-Za-z]' + IN_TAG + '>')}, '', 'g') || '</span>' || split_part(p, chr(3), 2)"
+    return (f"array_to_string(list_transform({anchors(h)}, lambda p: CASE WHEN {problem('p')} THEN {span} "
+            f"ELSE replace(replace(p, chr(2), ''), chr(3), '</a>') END), '')")
 
 
 def page_text_lines(h: str) -> str:
@@ -414,8 +453,8 @@ def page_text_lines(h: str) -> str:
 
 
 def page_text_flat(h: str) -> str:
-    body = (f"regexp_replace(CASE WHEN regexp_matches({h}, '(?i)<body\\b') "
-            f"THEN regexp_replace({h}, '(?is)^.*?<body\\b[^>]*>', '') ELSE {h} END, '(?is)</body\\s*>.*$', '')")
+    body = (f"regexp_replace(CASE WHEN regexp_matches({h}, {q('(?i)' + start_tag('body'))}) "
+            f"THEN regexp_replace({h}, {q('(?is)^.*?' + start_tag('body'))}, '') ELSE {h} END, '(?is)</body\\s*>.*$', '')")
     return f"array_to_string({text_nodes(body, ('script', 'style'))}, ' ')"
 
 
@@ -423,21 +462,16 @@ def clean_scripts(h: str) -> str:
     return f"regexp_replace(regexp_replace({h}, '(?s)<!--.*?-->', '', 'g'), {q(blocks(('script', 'style')))}, '', 'g')"
 
 
-QUOTES_RE = r"^[\"']|[\"']$"
-
-
 def attr(t: str, name: str) -> str:
-    """Value of an attribute in a tag: quoted or bare value unescaped, '' for a bare name."""
-    pat = rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
-    bare = rf"(?is)\s{name}([\s/>]|$)"
-    val = f"regexp_replace(regexp_extract({t}, {q(pat)}, 1), {q(QUOTES_RE)}, '', 'g')"
-    return (f"CASE WHEN regexp_matches({t}, {q(pat)}) THEN {unescape(val)} "
-            f"WHEN regexp_matches({t}, {q(bare)}) THEN '' END")
+    """Value of an attribute in a tag, the last one if it is given twice; '' for a bare name."""
+    given = f"list_filter(regexp_extract_all({t}, {q(ONE_ATTR)}), lambda a: regexp_matches(a, '(?i)^{name}\\s*(=|$)'))[-1]"
+    bare = f"regexp_replace({given}, '^[^=]*=?\\s*', '')"
+    value = f"CASE WHEN len({bare}) > 1 AND {bare}[1] IN (chr(34), chr(39)) AND {bare}[1] = {bare}[-1] THEN {bare}[2:-2] ELSE {bare} END"
+    return f"list_transform([{value}], lambda v: {unescape('v', True)})[1]"
 
 
 def tag_values(h: str, tag: str, name: str) -> str:
-    tag_re = rf"(?i)<{tag}(?:\s[^>]*)?/?>"
-    tags = f"regexp_extract_all({clean_scripts(h)}, {q(tag_re)})"
+    tags = f"regexp_extract_all({clean_scripts(h)}, {q('(?i)' + start_tag(tag))})"
     return f"list_transform({tags}, lambda t: {attr('t', name)})"
 
 
@@ -470,17 +504,20 @@ def url_resolve(b: str, r: str) -> str:
             f"ELSE {root} || {path} || {rrest} END)")
 
 
-PAGES_MIXED_V = """pages_mixed_v AS (
+QUOTED = """<article><a title="x>y" href="/q?a=1&amp;b=2&copy=3">quoted &gt; title</a> <!-- <a href="tel:1">no</a> --> <p data-x='">'>&#8217;&eacute;&#x41;&euro;&notit; &copy2024 &#128; &#x1F600; &bogus; &#xD800;|AT&T</p> <img alt="a>b" src="/i.png"><a href='TEL:5' title='>'>call <b>us</b></a>"""
+
+PAGES_MIXED_V = f"""pages_mixed_v AS (
+SELECT page_id, url, CASE WHEN page_id % 7 = 3 THEN replace(html, '<article>', {q(QUOTED)}) ELSE html END AS html FROM (
 SELECT page_id, url,
        CASE WHEN page_id % 4 = 0 THEN replace(html, '<li><a href="/', '<li><a href="tel:')
             WHEN page_id % 5 = 0 THEN replace(html, '<li><a href="/', '<li><a href="MAILTO:')
             WHEN page_id % 6 = 0 THEN replace(html, '<li><a href="/', '<li><a href="#')
             ELSE html END AS html
-FROM pages)"""
+FROM pages))"""
 
 PAGES_IMG_V = """pages_img_v AS (
 SELECT page_id, url, replace(html, '<article>',
-       '<article><img src="/img/' || CAST(page_id AS VARCHAR) || '.png"><img alt="x"><img src=""><img src="/pix">') AS html
+       '<article><img src="/img/' || CAST(page_id AS VARCHAR) || '.png"><img alt="x"><img src=""><img src="/pix"><img alt="a>b" src="/p?a=1&amp;b=2">') AS html
 FROM pages)"""
 
 
@@ -507,7 +544,7 @@ SQL["page_text_lines"] = f"SELECT page_id, {page_text_lines('html')} AS text FRO
 
 SQL["neutralise_links"] = with_views(PAGES_MIXED_V) + f"""
 SELECT page_id,
-       CAST(len(regexp_extract_all(html, {q(rf"(?is)<a\s[^>]*?href\s*=\s*[\"']?(?:{SCHEMES}):[^>]*>(.*?)</a\s*>")})) AS BIGINT) AS n_neutralised,
+       CAST(len(list_filter({anchors('html')}, lambda p: {problem('p')})) AS BIGINT) AS n_neutralised,
        {page_text_lines('html')} AS text
 FROM pages_mixed_v"""
 
@@ -517,7 +554,7 @@ SQL["page_text_flat"] = f"SELECT page_id, {page_text_flat('html')} AS content FR
 
 SQL["page_links_abs"] = with_views(PAGES_IMG_V) + f"""
 SELECT page_id, link_pos, {url_resolve('url', 'ref')} AS link FROM (
-  {long_form("page_id, url", f"list_filter(list_transform(regexp_extract_all({clean_scripts('html')}, '(?i)<(?:a|img)(?:\\s[^>]*)?/?>'), lambda t: CASE WHEN starts_with(lower(t), '<a') THEN {attr('t', 'href')} ELSE {attr('t', 'src')} END), lambda v: v IS NOT NULL)", "link_pos", "ref", "pages_img_v")})"""
+  {long_form("page_id, url", f"list_filter(list_transform(regexp_extract_all({clean_scripts('html')}, {q('(?i)' + start_tag('(?:a|img)'))}), lambda t: CASE WHEN starts_with(lower(t), '<a') THEN {attr('t', 'href')} ELSE {attr('t', 'src')} END), lambda v: v IS NOT NULL)", "link_pos", "ref", "pages_img_v")})"""
 
 SQL["url_resolve"] = f"""
 WITH ls AS ({long_form("page_id, url", f"list_filter({tag_values('html', 'a', 'href')}, lambda v: v IS NOT NULL)", "link_pos", "link", "pages")}),
@@ -981,7 +1018,7 @@ SELECT page_id, url, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS
   SELECT page_id, url, regexp_extract_all(
     regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<![^>]*>|<\\?[^>]*>', '', 'g'),
                    {q(blocks(('script', 'style')))}, '', 'g'),
-    '<[A-Za-z/][^>]*>|[^<]+|<') AS l
+    {q('</?[A-Za-z]' + IN_TAG + '>|[^<]+|<')}) AS l
   FROM pages_news_v)),
 tokens AS (
 SELECT *, CASE WHEN starts_with(tok, '</') THEN 'close' WHEN regexp_matches(tok, '^<[A-Za-z]') THEN 'open' ELSE 'text' END AS kind,

@@ -137,7 +137,7 @@ def pages_img_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         """SELECT page_id, url, replace(html, '<article>',
                   concat('<article><img src="/img/', CAST(page_id AS STRING),
-                         '.png"><img alt="x"><img src=""><img src="/pix">')) AS html
+                         '.png"><img alt="x"><img src=""><img src="/pix"><img alt="a>b" src="/p?a=1&amp;b=2">')) AS html
            FROM {pages}""",
         pages=read_table(spark, sf_dir, "pages"))
 
@@ -226,17 +226,25 @@ def msg_links_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         events=read_table(spark, sf_dir, "events"), pages=read_table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+#: Markup that a reader blind to quotes or to character references gets wrong.
+QUOTED = """<article><a title="x>y" href="/q?a=1&amp;b=2&copy=3">quoted &gt; title</a> <!-- <a href="tel:1">no</a> --> <p data-x='">'>&#8217;&eacute;&#x41;&euro;&notit; &copy2024 &#128; &#x1F600; &bogus; &#xD800;|AT&T</p> <img alt="a>b" src="/i.png"><a href='TEL:5' title='>'>call <b>us</b></a>"""
+QUOTED_SQL = "'" + QUOTED.replace("'", "\\'") + "'"
+
+
 def pages_mixed_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages where some navigation links use system-action schemes (P7, H3): on every fourth
     page the links become ``tel:``, on every fifth ``MAILTO:`` (upper case), and on every
-    sixth one anchor gets inner markup."""
+    sixth one anchor gets inner markup. Every seventh page gets tags with quoted ``>`` and character references."""
     return spark.sql(
-        """SELECT page_id, url,
+        f"""SELECT page_id, url,
+                  CASE WHEN page_id % 7 = 3 THEN replace(html, '<article>', {QUOTED_SQL})
+                       ELSE html END AS html FROM (
+            SELECT page_id, url,
                   CASE WHEN page_id % 4 = 0 THEN replace(html, '<li><a href="/', '<li><a href="tel:')
                        WHEN page_id % 5 = 0 THEN replace(html, '<li><a href="/', '<li><a href="MAILTO:')
                        WHEN page_id % 6 = 0 THEN replace(html, '<li><a href="/', '<li><a href="#')
                        ELSE html END AS html
-           FROM {pages}""",
+           FROM {{pages}})""",
         pages=read_table(spark, sf_dir, "pages"))
 
 
