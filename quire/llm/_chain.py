@@ -190,16 +190,22 @@ class Crf:
         pair = np.zeros((k, k))
         np.add.at(pair, (y[:-1][inner], y[1:][inner]), 1)
         begin = np.bincount(y[first], minlength=k).astype(float)
-        params = [self.w, self.trans, self.start]
+        # only the features that occur are trained; the others stay at zero either way
+        used = np.unique(np.concatenate([g.flat for g in groups])) if groups else np.zeros(0, np.int64)
+        small = Crf(len(used), k)
+        small.w[:], small.trans, small.start = self.w[used], self.trans, self.start
+        groups = [Group(np.searchsorted(used, g.flat), g.starts, g.at) for g in groups]
+        params = [small.w, small.trans, small.start]
         m1, m2 = [np.zeros(p.shape) for p in params], [np.zeros(p.shape) for p in params]
         for r in range(1, rounds + 1):
-            post, pairs, _ = marginals(self.emissions(groups, n), first, self.trans, self.start, True)
-            gw = np.zeros(self.w.shape)
+            post, pairs, _ = marginals(small.emissions(groups, n), first, small.trans, small.start, True)
+            gw = np.zeros(small.w.shape)
             for g in groups:
                 g.add_to(gw, gold - post)
-            grads = [gw / n - decay * self.w, (pair - pairs) / n, (begin - post[first].sum(0)) / n]
+            grads = [gw / n - decay * small.w, (pair - pairs) / n, (begin - post[first].sum(0)) / n]
             for p, a, b, g in zip(params, m1, m2, grads):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p += (rate * (a / (1 - 0.9 ** r)) / (np.sqrt(b / (1 - 0.99 ** r)) + 1e-8)).astype(p.dtype)
+        self.w[used], self.trans, self.start = small.w, small.trans, small.start
         return self

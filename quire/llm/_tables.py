@@ -61,17 +61,22 @@ def tokenizer_path(name: str, path: str | None = None) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):                            # a C library without it
+        pass
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run`` for mapInArrow, giving freed memory back to the system at the end of a partition: workers are
-    kept for later stages, and what one stage needed at its peak would otherwise stay with each of them."""
+    """``run`` for mapInArrow, giving freed memory back at the end of a partition: workers are kept for later
+    stages, and what one stage needed at its peak would otherwise stay with each of them."""
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):                    # a C library without it
-                pass
+            release()
     return inner

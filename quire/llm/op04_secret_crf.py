@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import _text as T
 from quire.llm._chain import Crf, Group, viterbi
-from quire.llm._tables import tidied
+from quire.llm._tables import release, tidied
 
 KINDS = ("assign", "access", "hex", "crf")
 #: The contract's patterns (fixed values) and the least length of what must be long.
@@ -302,6 +302,7 @@ def _scan(model):
 def secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_crf, base_sha256, spans), one row per input row."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    release()
     return docs.select("doc_id", "text").mapInArrow(tidied(_scan(model)), DIGEST)
 
 
@@ -331,4 +332,5 @@ def _mask(model):
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by MASK; rows and other columns stay as they are."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    release()
     return docs.mapInArrow(tidied(_mask(model)), docs.schema)

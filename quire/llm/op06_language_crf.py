@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quire.llm import _text as T
 from quire.llm._chain import Crf, Group, marginals
 from quire.llm._subwords import BUCKETS, fold, lowered, vocabulary
-from quire.llm._tables import tidied
+from quire.llm._tables import release, tidied
 
 #: Bytes of text labelled at a time.
 SLICE = 512 << 10
@@ -139,6 +139,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (replacing columns of these names); of the others only text is read."""
     from pyspark.sql.types import DoubleType, StringType, StructType
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    release()                                                    # what the training needed on the driver
     docs = docs.drop("lang_pred", "score")
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.mapInArrow(tidied(_predict(shared)), schema)

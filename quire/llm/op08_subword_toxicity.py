@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import _text as T
 from quire.llm._subwords import BUCKETS, fold, lowered, vocabulary
+from quire.llm._tables import release, tidied
 
 DIM = 8
 #: Averages are multiplied by this before the softmax, so that weights of about 1 suffice.
@@ -89,13 +90,19 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 16, batch: int = 256, rat
     lo, hi = cut[v.starts], cut[np.append(v.starts[1:], len(v.flat))]
     size = hi - lo
     # the averages are linear: a text is its share of every subword, laid out once as (row, subword, share)
-    deal = np.repeat(np.arange(len(pair)), size[pair_word])
-    inside = np.arange(len(deal)) - np.repeat(np.cumsum(size[pair_word]) - size[pair_word], size[pair_word])
     words = np.bincount(v.row, minlength=len(texts))
-    share = (times / words[pair_row] / n[pair_word])[deal]
-    key, at = np.unique(pair_row[deal] * np.int64(len(used)) + sub[lo[pair_word[deal]] + inside], return_inverse=True)
-    value = (SCALE * np.bincount(at, share, len(key))).astype(np.float32)
-    row, col = key // len(used), key % len(used)
+    value_of, col_of, row_of = [], [], []
+    first_pair = np.searchsorted(pair_row, np.arange(0, len(texts) + 64, 64))
+    for a, z in zip(first_pair[:-1], first_pair[1:]):            # 64 texts at a time: no step holds all occurrences
+        w, r = pair_word[a:z], pair_row[a:z]
+        deal = np.repeat(np.arange(a, z), size[w])
+        inside = np.arange(len(deal)) - np.repeat(np.cumsum(size[w]) - size[w], size[w])
+        share = (times[a:z] / words[r] / n[w])[deal - a]
+        key, at = np.unique(pair_row[deal] * np.int64(len(used)) + sub[lo[pair_word[deal]] + inside], return_inverse=True)
+        value_of.append((SCALE * np.bincount(at, share, len(key))).astype(np.float32))
+        col_of.append((key % len(used)).astype(np.int32))
+        row_of.append((key // len(used)).astype(np.int32))
+    value, col, row = np.concatenate(value_of), np.concatenate(col_of), np.concatenate(row_of)
     row_cut = np.searchsorted(row, np.arange(len(texts) + 1))
 
     emb = np.zeros((len(used), DIM), np.float32)                  # the softmax's random start breaks the tie
@@ -153,7 +160,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 16, batch: int = 256, rat
 
 
 def sample(docs: DataFrame, labels: DataFrame, allowed, toxic: int = 1500, clean: int = 2500,
-           longest: int = 20_000) -> list:
+           longest: int = 10_000) -> list:
     """Labelled texts for training: bounded, the smallest hashes of each label."""
     marked = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed)
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -186,6 +193,7 @@ def _score(model):
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): learned from the labels whose fold of 5 is not 0."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, fold(5) != 0))
-    scored = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    release()
+    scored = docs.select("doc_id", "text").mapInArrow(tidied(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
