@@ -85,9 +85,9 @@ def run_router(stream: DataFrame, whitelist: DataFrame, out_dir: str, *, checkpo
             _write_batch(routed.select(*KEY, "date", "route"), f"{out_dir}/routes", batch_id)
             cfg = mb.config_entries(routed.where(F.col("route") == mb.ROUTE_CONFIG))
             bad = cfg.where(F.col("error").isNotNull()).select(*KEY, "error")
-            good = cfg.where(F.col("error").isNull())
+            good = cfg.where(F.col("_m").isNotNull())          # a bad value is left out, the others of its mail hold
             kv = good.select(*KEY, "date", F.explode("_m").alias("key", "value"))
-            changes = kv.where(F.col("key").isin(*mb.CONFIG_KEYS))
+            changes = kv.where(F.col("key").isin(*mb.CONFIG_KEYS) & ~mb.bad_value(F.col("key"), F.col("value")))
             _write_batch(changes, f"{out_dir}/config_changes", batch_id)
             touched = changes.select("mailbox_id").distinct()
             if not touched.isEmpty():
