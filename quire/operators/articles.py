@@ -31,25 +31,41 @@ def number_articles(links: DataFrame, *, by: Sequence[str] = ("issue_id",),
     return out.withColumn("article_id", F.concat(F.lit("ARTICLE_"), F.col(name).cast("string")))
 
 
-def latest_pages(pages: DataFrame, *, on: str = "link", text: str = "scraped",
-                 fetched: str | None = None) -> DataFrame:
-    """One page text per url: the latest fetch when a fetch time is given, else any one."""
-    if fetched is None:
-        return pages.groupBy(on).agg(F.max(text).alias(text))
-    return pages.groupBy(on).agg(F.max_by(text, fetched).alias(text))
+def heavy_keys(rows: DataFrame, on: str) -> DataFrame:
+    """``(on, _copies)`` of the keys that hold more than an even task's share of the rows, and over how many tasks such
+    a key is to be spread. Counted exactly (a partial count per map task comes before the shuffle); at most as many rows
+    as there are shuffle partitions, since every one holds more than its part of the total."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))                 # one row
+    return (counts.join(F.broadcast(total), F.col("_n") * tasks > F.col("_all"))
+            .select(on, F.ceil(F.col("_n") * tasks / F.col("_all")).cast("int").alias("_copies")))
 
 
 def attach_pages(links: DataFrame, pages: DataFrame, *, on: str = "link", text: str = "scraped",
                  how: str = "left", placeholder: str | None = FAILED_SCRAPE,
-                 fetched: str | None = None) -> DataFrame:
+                 fetched: str | None = None, split_heavy: bool = True) -> DataFrame:
     """J2 (left, failures get the placeholder) and J3 (inner, failures dropped).
 
     The page side is first reduced to one row per url (the latest fetch when ``fetched``
     is given), so a url fetched twice cannot double the links; that aggregate is on the
-    join key, so the join reuses its partitioning. Popular urls make the link side skewed;
-    the sort-merge join is split by AQE's skew handling."""
-    one = latest_pages(pages.select(on, text, *([fetched] if fetched else [])), on=on, text=text, fetched=fetched)
-    out = links.join(one, on, how)
+    join key, so the join reuses its partitioning.
+
+    ``split_heavy``: a url that holds more than a task's share of the links is spread over tasks in that proportion.
+    Its links are dealt by a hash of the row (the same on every attempt) and its page rows are copied to each part; the
+    heavy urls are at most one a shuffle partition, so they are broadcast. All other urls have one part. The links are
+    read twice for it; without it a heavy url is one task."""
+    keys, cols = [on], [on, text, *([fetched] if fetched else [])]
+    pages = pages.select(*cols)
+    if split_heavy:
+        heavy = F.broadcast(heavy_keys(links, on))
+        hashed = [F.col(f.name) for f in links.schema if "map<" not in f.dataType.simpleString()]
+        copies = F.coalesce("_copies", F.lit(1))
+        links = links.join(heavy, on, "left").withColumn("_part", F.pmod(F.xxhash64(*hashed), copies).cast("int")).drop("_copies")
+        pages = pages.join(heavy, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+        keys = [on, "_part"]
+    value = F.max(text) if fetched is None else F.max_by(text, fetched)
+    out = links.join(pages.groupBy(*keys).agg(value.alias(text)), keys, how).drop("_part")
     if how == "left" and placeholder is not None:
         out = out.withColumn("scraped_ok", F.col(text).isNotNull()) \
                  .withColumn(text, F.coalesce(F.col(text), F.lit(placeholder)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators import mailbox as mb
+from quire.operators.ordering import running_count
 from quire.session import ensure_checkpoint_dir
 
 # ---- fixed values ---------------------------------------------------------------------
@@ -266,23 +267,29 @@ def issue_messages(messages: DataFrame, setup: DataFrame, *, routes: DataFrame |
     return ranked.where(F.col("msg_rank") < newest_limit(max_results)).drop("limit_newest")
 
 
-def send_now_issues(messages: DataFrame, requests: DataFrame, setup: DataFrame, *, by: str = "mailbox_id",
-                    date: str = "date", as_of: str = "as_of", max_results: int = 100,
-                    lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+def send_now_issues(messages: DataFrame, requests: DataFrame, setup: DataFrame, *, by: str = "mailbox_id", date: str = "date",
+                    as_of: str = "as_of", key: str = "message_id", max_results: int = 100, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """A send-now request closes an issue at its own time: the mailbox's messages from
     ``lookback_days`` before the request day up to the request, in the inbox, not analysed,
     not taken as config or repost, newest ``limit_newest``.
 
-    Range join by buckets: each request is exploded into its look-back days and joined on
-    (mailbox, day), so a message meets only the requests whose window holds its day."""
-    days = F.sequence(F.date_sub(F.to_date(F.col(as_of)), lookback_days), F.to_date(F.col(as_of)))
-    req = requests.select(by, as_of).distinct() \
-                  .select(by, F.col(as_of).alias("release_ts"), F.explode(days).alias("_day"))
-    m = messages.where(mb.archive_state(0) & mb.labels_none(["ANALYZED"]))
-    if "route" in messages.columns:
-        m = m.where(~F.col("route").isin(mb.ROUTE_CONFIG, mb.ROUTE_REPOST))
-    m = m.withColumn("_day", F.to_date(F.col(date)))
-    hits = m.join(req, [by, "_day"]).where(F.col(date) <= F.col("release_ts")).drop("_day")
-    hits = hits.join(setup.select(by, "limit_newest"), by, "left")
-    ranked = mb.newest_n(hits, max_results, by=[by, "release_ts"], date=date, rank="msg_rank")
-    return ranked.where(F.col("msg_rank") < newest_limit(max_results)).drop("limit_newest")
+    As-of positions: mail and requests stand in one line per mailbox, each mail has its number and each request the
+    number of mail up to its time (``running_count``, so a hot mailbox is many chunks). A request then meets the numbers
+    ``n, n-1, ...`` only, at most its limit, by an equi-join; no request meets the mail of its days.
+
+    Result: ``by, release_ts, msg_rank, key, date``; ``key`` is unique in a mailbox. A null date is in no issue."""
+    mail = in_scope(messages).where(F.col(date).isNotNull()).select(
+        by, F.col(date).alias("_at"), F.lit(0).alias("_kind"), F.col(key).alias("_key"))
+    asked = requests.where(F.col(as_of).isNotNull()).select(
+        by, F.col(as_of).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(messages.schema[key].dataType).alias("_key")).distinct()
+    line = running_count(mail.unionByName(asked), by=[by], order=["_at", "_kind", "_key"], of=F.when(F.col("_kind") == 0, 1).otherwise(0), name="_n")
+    limit = F.coalesce(newest_limit(max_results), F.lit(max_results))
+    wanted = (line.where(F.col("_kind") == 1).join(setup.select(by, "limit_newest"), by, "left").withColumn("_limit", limit)
+              .where(F.col("_limit") > 0)
+              .select(by, F.col("_at").alias("release_ts"), F.col("_n").alias("_upto"),
+                      F.explode(F.sequence(F.lit(0), F.col("_limit") - 1)).alias("msg_rank"))
+              .select(by, "release_ts", F.col("msg_rank").cast("bigint").alias("msg_rank"), (F.col("_upto") - F.col("msg_rank")).alias("_n"))
+              .where(F.col("_n") > 0))
+    met = line.where(F.col("_kind") == 0).join(wanted, [by, "_n"])
+    return (met.where(F.to_date("_at") >= F.date_sub(F.to_date("release_ts"), lookback_days))
+            .select(by, "release_ts", "msg_rank", F.col("_key").alias(key), F.col("_at").alias(date)))

@@ -61,3 +61,30 @@ def positions(df: DataFrame, *, by: Sequence[str], order: Sequence[str | Column]
     out = tagged.join(offsets, on=cond, how="inner")
     return (out.withColumn(name, (F.col("_offset") + F.col("_row") - F.col("_first") + start).cast("bigint"))
                .drop("_chunk", "_row", "_first", "_offset", "_kc", *keys))
+
+
+def running_count(df: DataFrame, *, by: Sequence[str], order: Sequence[str | Column], of: Column, name: str = "n",
+                  chunks: int | None = None) -> DataFrame:
+    """Add ``name`` = the sum of ``of`` over a row's ``by`` group up to and with the row, in ``order`` (a total order).
+
+    Prefix counts with boundary carry: the rows are range-partitioned on ``(by, order)``, each chunk sums its own part,
+    and a group's earlier chunks are added from the small table of chunk sums. A hot group is many chunks, and a count
+    over any stretch of a group is the difference of two such numbers."""
+    by, order_cols = list(by), _cols(order)
+    spark = df.sparkSession
+    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    tagged = (df.withColumn("_of", of.cast("bigint")).repartitionByRange(n, *_cols(by), *order_cols)
+                .sortWithinPartitions(*_cols(by), *order_cols)
+                .withColumn("_chunk", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+                .checkpoint(eager=True))                     # one copy for both branches, as above
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [f"_k{i}" for i in range(len(by))]
+    sums = (tagged.groupBy("_chunk", *by).agg(F.sum("_of").alias("_s"))
+            .select(F.col("_chunk").alias("_kc"), *[F.col(b).alias(k) for b, k in zip(by, keys)],
+                    F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carry")))
+    inside = Window.partitionBy("_chunk", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    cond = [tagged["_chunk"] == sums["_kc"]] + [tagged[b].eqNullSafe(sums[k]) for b, k in zip(by, keys)]
+    out = tagged.withColumn("_in", F.sum("_of").over(inside)).join(sums, cond)
+    return (out.withColumn(name, F.col("_carry") + F.col("_in"))
+               .drop("_chunk", "_row", "_of", "_in", "_kc", "_carry", *keys))

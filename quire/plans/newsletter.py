@@ -32,7 +32,7 @@ def scored_articles(spark: SparkSession, sf: str) -> DataFrame:
     members = iss.issue_messages(r, setup(spark, sf, r), routes=r).select(*ISSUE, "message_id", "msg_rank")
     links = members.join(fx.msg_links_v(spark, sf), "message_id")
     # page text only for linked pages, joined on the url before anything is grouped by issue
-    arts = attach_pages(links, page_texts(spark, sf, links, topical=True))
+    arts = attach_pages(links, page_texts(spark, sf, links, topical=True), split_heavy=False)
     # from here every step is partitioned by the issue (an issue holds at most max_results
     # messages, so the windows are bounded) and shares one exchange
     w = Window.partitionBy(*ISSUE).orderBy("msg_rank", "link_pos")
