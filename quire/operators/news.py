@@ -11,12 +11,14 @@ one regex) and derives element membership with running sums over the page's toke
 
 Tier 1 groups by the article element, tier 2 by heading, tier 3 by anchor. Tier 2 is
 used for a page only when tier 1 found nothing there, tier 3 only when both did not.
-Limits (README): selectors are tag names with an optional class (``tag.cls`` /
-``.cls``); nested elements of the same selector count as one.
+Bare tag selectors take the flags above, where nested elements of the same tag count as one; with classes, ids or
+descendant steps tier 1 is ``selected_items``, where every matched element is an item.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5")
 BLOCK_TAGS = ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form",
               "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section",
               "table", "ul", "li", "body", "html")
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 NEWS_CATEGORY = "News"
 MIN_LINK_TITLE = 10
 # ---------------------------------------------------------------------------------------
@@ -35,19 +38,6 @@ MIN_LINK_TITLE = 10
 TOKEN_RE = rf"{H.TAG_RE}|[^<]+|<"
 
 
-def _sel(selector: str) -> tuple[str | None, str | None]:
-    tag, _, cls = selector.partition(".")
-    return (tag.lower() or None), (cls or None)
-
-
-def _is(tag_col: Column, tok: Column, selector: str) -> Column:
-    tag, cls = _sel(selector)
-    cond = F.lit(True) if tag is None else (tag_col == tag)
-    if cls:
-        cond = cond & tok.rlike(rf"(?i)\sclass\s*=\s*[\"']?[^\"'>]*\b{cls}\b")
-    return cond
-
-
 def html_tokens(pages: DataFrame, *, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """One row per tag or text run, in document order."""
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(html), H.COMMENT_RE, ""), H.DECL_RE, ""),
@@ -67,20 +57,20 @@ def _inside(w, cond_open: Column, cond_close: Column) -> Column:
 
 def annotate(tokens: DataFrame, selectors: dict | None = None, *, key: str = "page_id") -> DataFrame:
     """Element membership flags for every token."""
-    s = {**DEFAULT_SELECTORS, **(selectors or {})}
+    given = {k: v.lower() for k, v in (selectors or {}).items() if re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", v)}
+    s = {**DEFAULT_SELECTORS, **given}
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t, tok, kind = F.col("tag"), F.col("tok"), F.col("kind")
     opn, cls = kind == "open", kind == "close"
-    art_tag, _ = _sel(s["article"])
-    out = tokens.withColumn("in_article", _inside(w, opn & _is(t, tok, s["article"]), cls & (t == (art_tag or t)))) \
-        .withColumn("article_no", F.sum(F.when(opn & _is(t, tok, s["article"]), 1).otherwise(0)).over(w)) \
-        .withColumn("in_title", _inside(w, opn & _is(t, tok, s["title"]), cls & (t == _sel(s["title"])[0]))) \
+    out = tokens.withColumn("in_article", _inside(w, opn & (t == s["article"]), cls & (t == s["article"]))) \
+        .withColumn("article_no", F.sum(F.when(opn & (t == s["article"]), 1).otherwise(0)).over(w)) \
+        .withColumn("in_title", _inside(w, opn & (t == s["title"]), cls & (t == s["title"]))) \
         .withColumn("in_a", _inside(w, opn & (t == "a"), cls & (t == "a"))) \
         .withColumn("heading_no", F.sum(F.when(opn & t.isin(*HEADINGS), 1).otherwise(0)).over(w)) \
         .withColumn("in_heading", _inside(w, opn & t.isin(*HEADINGS), cls & t.isin(*HEADINGS))) \
         .withColumn("anchor_no", F.sum(F.when(opn & (t == "a"), 1).otherwise(0)).over(w)) \
         .withColumn("depth", _inside(w, opn & t.isin(*BLOCK_TAGS) & (t != "hr"), cls & t.isin(*BLOCK_TAGS)))
-    desc_tag = _sel(s["description"])[0] or "p"
+    desc_tag = s["description"]
     p_event = F.when(opn & (t == desc_tag), F.lit(1)).when(cls & (t == desc_tag), F.lit(0)) \
                .when((opn | cls) & t.isin(*BLOCK_TAGS), F.lit(0))
     out = out.withColumn("in_desc", F.coalesce(F.last(p_event, ignorenulls=True).over(w), F.lit(0)) == 1)
@@ -104,8 +94,7 @@ def _ordered_text(cond: Column) -> Column:
 
 def tier1(ann: DataFrame, selectors: dict | None = None) -> DataFrame:
     """Per article element: title under the title tag, first link, paragraph texts."""
-    s = {**DEFAULT_SELECTORS, **(selectors or {})}
-    link_tag = _sel(s["link"])[0] or "a"
+    link_tag = {**DEFAULT_SELECTORS, **(selectors or {})}["link"].lower()
     a = ann.where(F.col("in_article") > 0)
     g = a.groupBy("page_id", "url", F.col("article_no").alias("item_no")).agg(
         _ordered_text(F.col("in_title") > 0).alias("title"),
@@ -115,6 +104,105 @@ def tier1(ann: DataFrame, selectors: dict | None = None) -> DataFrame:
     return _items(g.where((F.col("title") != "") | (F.col("description") != "")), 1)
 
 
+def chain(selector: str) -> list[tuple[str | None, tuple[str, ...], str | None]]:
+    """A selector as its steps from the outside in: ``(tag, classes, id)``, each a descendant of the one before.
+    Tag, ``.class`` (several) and ``#id`` are known; other combinators and pseudo-classes are an error."""
+    steps = []
+    for part in selector.split():
+        m = re.fullmatch(r"([A-Za-z][A-Za-z0-9-]*|\*)?((?:[.#][A-Za-z_][\w-]*)*)", part)
+        if not m:
+            raise ValueError(f"selector step {part!r} is not tag, .class or #id")
+        marks = re.findall(r"([.#])([\w-]+)", m[2])
+        ids = [v for k, v in marks if k == "#"]
+        tag = (m[1] or "").lower()
+        steps.append((tag if tag not in ("", "*") else None, tuple(v for k, v in marks if k == "."), ids[0] if ids else None))
+    if not steps:
+        raise ValueError("empty selector")
+    return steps
+
+
+def _matches(step: tuple) -> Column:
+    tag, classes, ident = step
+    cond = (F.col("kind") == "open") & ~F.col("tag").isin(*VOID_TAGS)
+    if tag is not None:
+        cond &= F.col("tag") == tag
+    own = F.split(F.coalesce(H._value(F.col("tok"), "class"), F.lit("")), r"[ \t\n\f\r]+")
+    for c in classes:
+        cond &= F.array_contains(own, c)
+    return cond if ident is None else cond & (F.coalesce(H._value(F.col("tok"), "id"), F.lit("")) == ident)
+
+
+def _paragraph_event() -> Column:
+    """A row that ends an open paragraph: its end tag, the next one, or a block tag."""
+    t = F.col("tag")
+    return (F.col("kind") != "text") & ((t == "p") | t.isin(*BLOCK_TAGS))
+
+
+def _select(tokens: DataFrame, selector: str, name: str) -> DataFrame:
+    """Follow a chain of steps through the tokens. Adds ``name``: where the outermost matched step of the innermost match
+    around a token opens (null: the token is in no match), and ``name_own``: the same for the open tag of a match itself."""
+    page = Window.partitionBy("page_id").orderBy("pos")
+    so_far = page.rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy("page_id", "tag", "_lvl").orderBy("pos")
+    is_p = F.col("tag") == "p"
+    opened, out = F.col("pos"), tokens
+    for step in chain(selector):
+        out = out.withColumn("_own", F.when(_matches(step), opened))
+        # the open paragraph, of which there is one at most: each paragraph event ends it
+        out = out.withColumn("_par", F.last(F.when(_paragraph_event(), F.struct(F.when(is_p, F.col("_own")).alias("own"))), ignorenulls=True)
+                             .over(so_far)["own"])
+        # any other match ends at the end tag whose partner, the event before it of the same tag and level, it is;
+        # rows of one nesting count lie in the match that last opened at that count
+        other = F.when(~is_p, F.col("_own"))
+        shut = (F.col("kind") == "close") & ~is_p & F.lag("_own").over(same).isNotNull()
+        out = out.withColumn("_shut", shut).withColumn("_in", F.sum(F.when(other.isNotNull(), 1).when(F.col("_shut"), -1).otherwise(0)).over(so_far))
+        level = Window.partitionBy("page_id", "_in").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("_box", F.when(F.col("_in") > 0, F.last(other, ignorenulls=True).over(level)))
+        # strictly inside: the match that a tag itself opens does not count, nor a paragraph that it ends
+        opened = F.greatest(F.lag("_box").over(page), F.when(~is_p, F.col("_par")))
+    return (out.withColumn(name, F.greatest("_box", "_par")).withColumnRenamed("_own", f"{name}_own").drop("_par", "_shut", "_in", "_box"))
+
+
+def selected_items(pages: DataFrame, selectors: dict | None = None) -> DataFrame:
+    """N1 for any chain of descendant steps (``.post``, ``h2.entry-title a``, ``.entry-content p``): one item per element
+    that the article selector matches, nested ones included, with the texts and the first link that the other selectors
+    match inside it (or at it). Rows: the news columns, ``tier`` 1, ``item_no`` from 1 in page order.
+
+    Pages are dealt by ``page_id`` before they are cut into tokens, so every window below runs where the page is; tokens
+    are not shuffled. An element spans from its tag to the end tag of the same name and level (to the page's end where
+    there is none), a paragraph to the next paragraph or block tag. Items are made in arrays of the page's row, which hold
+    the matched texts only. A null page has no items."""
+    s = {**DEFAULT_SELECTORS, **(selectors or {})}
+    t = html_tokens(pages.repartition("page_id"))
+    opens = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    same_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_lvl", F.sum(opens).over(same_tag) + F.when(F.col("kind") == "close", 1).otherwise(0))
+    for name in ("article", "title", "link", "description"):
+        t = _select(t, s[name], f"_{name}")
+    same = Window.partitionBy("page_id", "tag", "_lvl").orderBy("pos")
+    later = Window.partitionBy("page_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    end_tag = F.when(F.col("tag") == "p", F.first(F.when(_paragraph_event(), F.col("pos")), ignorenulls=True).over(later)) \
+               .when(F.lead("kind").over(same) == "close", F.lead("pos").over(same))
+    t = t.withColumn("_end", F.coalesce(end_tag, F.lit(1 << 62)))
+    spoken = (F.col("kind") == "text") & (F.col("text") != "")
+    href = H._value(F.col("tok"), "href")
+
+    def kept(cond: Column, head: str, value: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(cond & F.col(head).isNotNull(), F.struct("pos", F.col(head).alias("head"), value.alias("v")))))
+    page = t.groupBy("page_id", "url").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_article_own").isNotNull(), F.struct("pos", F.col("_end").alias("end"))))).alias("_arts"),
+        kept(spoken, "_title", F.col("text")).alias("_titles"), kept(spoken, "_description", F.col("text")).alias("_descs"),
+        kept(href.isNotNull(), "_link_own", href).alias("_links"))
+    item = page.select("page_id", "url", "_titles", "_descs", "_links", F.posexplode("_arts").alias("_no", "_a"))
+
+    def inside(found: str) -> Column:
+        return F.transform(F.filter(found, lambda x: (x["head"] >= F.col("_a.pos")) & (x["pos"] < F.col("_a.end"))), lambda x: x["v"])
+    item = item.select("page_id", "url", (F.col("_no") + 1).alias("item_no"), F.array_join(inside("_titles"), " ").alias("title"),
+                       F.array_join(inside("_descs"), " ").alias("description"), F.get(inside("_links"), F.lit(0)).alias("_href"))
+    item = item.withColumn("link", F.when(F.coalesce("_href", F.lit("")) != "", H.url_resolve(F.col("url"), F.col("_href"))))
+    return _items(item.where((F.col("title") != "") | (F.col("description") != "")), 1)
+
+
 def tier2(ann: DataFrame) -> DataFrame:
     """Per heading: its text, a link inside it or else under its parent, and the first
     paragraph after it.
@@ -204,7 +292,8 @@ def annotated_tokens(pages: DataFrame, selectors: dict | None = None) -> DataFra
 def news_items(pages: DataFrame, *, selectors: dict | None = None, tiers=(1, 2, 3)) -> DataFrame:
     """N4 + N5: per page the items of the first tier that found any."""
     ann = annotated_tokens(pages, selectors)
-    parts = {1: lambda: tier1(ann, selectors), 2: lambda: tier2(ann), 3: lambda: tier3(ann)}
+    plain = all(len(c) == 1 and c[0][0] and not c[0][1] and not c[0][2] for c in map(chain, (selectors or {}).values()))
+    parts = {1: lambda: tier1(ann, selectors) if plain else selected_items(pages, selectors), 2: lambda: tier2(ann), 3: lambda: tier3(ann)}
     out = None
     for t in tiers:
         part = parts[t]()

@@ -1057,6 +1057,55 @@ FROM t1g WHERE title <> '' OR description <> '')"""
 
 SQL["news_tier1"] = with_views(PAGES_NEWS_V, TOKENS, TIER1) + "SELECT * FROM tier1"
 
+# Selector chains by joins of element intervals: an element's end is the nearest end tag of its name and level.
+PAGES_POSTS_V = """pages_posts_v AS (
+SELECT page_id, url, CASE page_id % 3
+       WHEN 2 THEN replace(replace(html, '<article>', '<div class="post"><div class="entry-content">'), '</article>', '</div></div>')
+       ELSE '<div class="post hentry" id="p1"><h2 class=\'\'entry-title big\'\'><a href="/post/' || page_id || '">Post <b>' || page_id
+            || '</b></a></h2><a href="/no">other</a><div class="entry-content"><p>First of ' || page_id
+            || '<p class=x>Second <i>part</i><div>no paragraph</div></div>'
+            || CASE WHEN page_id % 3 = 1 THEN '<div class="post"><h2 class="entry-title"><a title="x>y" href="inner">Inner</a></h2></div>' ELSE '' END
+            || '<p>outside</p></div>' || html || '<p class="post">tail <a href="#z">z</a>' END AS html
+FROM pages)"""
+
+
+def _has(cls: str) -> str:
+    return f"list_contains(string_split_regex(coalesce({attr('tok', 'class')}, ''), '[ \\t\\n\\f\\r]+'), {q(cls)})"
+
+
+SELECTED = f"""lv AS (
+SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, tag ORDER BY pos)
+          + CASE WHEN kind = 'close' THEN 1 ELSE 0 END AS lvl FROM ann),
+el AS MATERIALIZED (
+SELECT o.page_id, o.url, o.pos AS s, o.tag, o.tok, coalesce(min(c.pos), 1::BIGINT << 62) AS e FROM lv o LEFT JOIN lv c
+  ON c.page_id = o.page_id AND c.pos > o.pos AND CASE WHEN o.tag = 'p' THEN c.kind <> 'text' AND (c.tag = 'p' OR c.tag IN {_blk})
+                                                      ELSE c.kind = 'close' AND c.tag = o.tag AND c.lvl = o.lvl END
+WHERE o.kind = 'open' AND (o.tag IN ('a', 'p', 'h2') OR {_has('post').replace('tok', 'o.tok')} OR {_has('entry-content').replace('tok', 'o.tok')})
+  AND o.tag NOT IN ('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr') GROUP BY 1, 2, 3, 4, 5),
+art AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY s) AS no FROM el WHERE {_has('post')}),
+head AS (SELECT * FROM el WHERE tag = 'h2' AND {_has('entry-title')}),
+body AS (SELECT * FROM el WHERE {_has('entry-content')}),
+words AS (SELECT page_id, pos, text FROM ann WHERE kind = 'text' AND text <> ''),
+said AS (
+SELECT DISTINCT a.page_id, a.no, 't' AS what, w.pos, w.text AS v FROM art a JOIN head h ON h.page_id = a.page_id AND h.s >= a.s AND h.s < a.e
+JOIN words w ON w.page_id = a.page_id AND w.pos > h.s AND w.pos < h.e AND w.pos < a.e
+UNION ALL
+SELECT DISTINCT a.page_id, a.no, 'd', w.pos, w.text FROM art a JOIN body b ON b.page_id = a.page_id AND b.s >= a.s AND b.s < a.e
+JOIN el p ON p.page_id = a.page_id AND p.tag = 'p' AND p.s > b.s AND p.s < b.e
+JOIN words w ON w.page_id = a.page_id AND w.pos > p.s AND w.pos < p.e AND w.pos < a.e
+UNION ALL
+SELECT DISTINCT a.page_id, a.no, 'l', l.s, {attr('l.tok', 'href')} FROM art a JOIN head h ON h.page_id = a.page_id AND h.s >= a.s AND h.s < a.e
+JOIN el l ON l.page_id = a.page_id AND l.tag = 'a' AND l.s > h.s AND l.s < h.e AND l.s < a.e WHERE {attr('l.tok', 'href')} IS NOT NULL),
+put AS (
+SELECT a.page_id, a.url, a.no, coalesce(string_agg(v, ' ' ORDER BY pos) FILTER (WHERE what = 't'), '') AS title,
+       coalesce(string_agg(v, ' ' ORDER BY pos) FILTER (WHERE what = 'd'), '') AS description, arg_min(v, CASE WHEN what = 'l' THEN pos END) AS h
+FROM art a LEFT JOIN said x ON x.page_id = a.page_id AND x.no = a.no GROUP BY 1, 2, 3)"""
+
+SQL["news_selected"] = with_views(PAGES_POSTS_V, TOKENS.replace("pages_news_v", "pages_posts_v"), SELECTED) + f"""
+SELECT page_id, 1 AS tier, CAST(no AS BIGINT) AS item_no, title, description,
+       coalesce(CASE WHEN h <> '' THEN {url_resolve('url', 'h')} END, '') AS link, url AS source, {NEWS_TAIL}
+FROM put WHERE title <> '' OR description <> ''"""
+
 TIER3 = f"""t3g AS (
 SELECT page_id, url, anchor_no AS item_no,
        coalesce(string_agg(CASE WHEN kind = 'text' AND text <> '' THEN text END, ' ' ORDER BY pos), '') AS title,

@@ -736,6 +736,12 @@ def q_news_tier3(spark, sf):
     return tier3(_annotated(spark, sf)).select(*NEWS_COLS)
 
 
+@register("news_selected")
+def q_news_selected(spark, sf):
+    from quire.operators.news import selected_items
+    return selected_items(fx.pages_posts_v(spark, sf), fx.SITE_SELECTORS).select(*NEWS_COLS)
+
+
 @register("news_items")
 def q_news_items(spark, sf):
     from quire.operators.news import news_items

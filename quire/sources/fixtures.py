@@ -154,6 +154,25 @@ def pages_news_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages=read_table(spark, sf_dir, "pages"))
 
 
+#: Selectors in the shape of a news site's config: class-only, tag with class, descendant steps.
+SITE_SELECTORS = {"article": ".post", "title": "h2.entry-title", "link": "h2.entry-title a", "description": ".entry-content p"}
+
+
+def pages_posts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with posts around their own text: page_id % 3: 0 a post before the page, 1 a post in a post, 2 the page's
+    articles as posts. Some paragraphs stay open, some attributes hold a '>'."""
+    return spark.sql(
+        """SELECT page_id, url, CASE page_id % 3
+                  WHEN 2 THEN replace(replace(html, '<article>', '<div class="post"><div class="entry-content">'), '</article>', '</div></div>')
+                  ELSE concat('<div class="post hentry" id="p1"><h2 class=\\'entry-title big\\'><a href="/post/', page_id, '">Post <b>', page_id,
+                              '</b></a></h2><a href="/no">other</a><div class="entry-content"><p>First of ', page_id,
+                              '<p class=x>Second <i>part</i><div>no paragraph</div></div>',
+                              CASE WHEN page_id % 3 = 1 THEN '<div class="post"><h2 class="entry-title"><a title="x>y" href="inner">Inner</a></h2></div>' ELSE '' END,
+                              '<p>outside</p></div>', html, '<p class="post">tail <a href="#z">z</a>') END AS html
+           FROM {pages}""",
+        pages=read_table(spark, sf_dir, "pages"))
+
+
 def headers_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw header lists (D4): From, Subject, Date as RFC 2822 text; every 7th message has a
     second subject header (the last one wins); every 13th has a date that is not a date."""
