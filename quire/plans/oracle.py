@@ -1243,3 +1243,15 @@ SQL["assign_issue_as_of"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED, FOLDED,
 SELECT mailbox_id, message_id, release_ts FROM (
   SELECT *, {next_release('date', 'days', 'release_time_str', 'active')} AS release_ts FROM as_of)
 WHERE release_ts IS NOT NULL AND CAST(date AS DATE) >= CAST(release_ts AS DATE) - 7 AND CAST(date AS DATE) <= CAST(release_ts AS DATE)"""
+
+
+# -- issues that a stream with a watermark a day behind the newest mail has closed -----------------------------------------
+_CARRIED, _PICKS = SQL["issue_carry_over"].rsplit("SELECT mailbox_id, r AS release_ts", 1)
+SQL["issue_documents"] = _CARRIED.rstrip() + """, picks AS (
+SELECT mailbox_id, r AS release_ts""" + _PICKS + """)
+SELECT p.mailbox_id, release_ts, count(*) AS n_messages, least(any_value(limit_newest), 100) AS limit_newest,
+       string_agg(message_id, ',' ORDER BY msg_rank) AS message_ids
+FROM picks p JOIN setup s ON s.mailbox_id = p.mailbox_id
+WHERE release_ts <= (SELECT max(r.date) FROM routed2 r WHERE list_contains(r.labels, 'INBOX') AND NOT list_contains(r.labels, 'ANALYZED')
+                     AND r.route NOT IN ('config', 'repost')) - INTERVAL 1 DAY
+GROUP BY p.mailbox_id, release_ts"""

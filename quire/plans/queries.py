@@ -780,3 +780,27 @@ def q_setup_as_of(spark, sf):
 def q_assign_issue_as_of(spark, sf):
     r = routed(spark, sf)
     return iss.assign_issue_as_of(r, _config_values(r)).select("mailbox_id", "message_id", "release_ts")
+
+
+@register("issue_documents")
+def q_issue_documents(spark, sf):
+    """The mail table read as a stream; each issue that the watermark has passed, read back as documents.
+    The setup is the folded one for the whole stream, so config mail is not applied."""
+    from uuid import uuid4
+
+    from quire.session import ensure_checkpoint_dir
+    from quire.sources.tables import table_path
+    from quire.streaming.issue_state import run_issue_documents
+    from quire.streaming.mail import stream_messages
+    st = setup(spark, sf)
+    path = table_path(sf, "events")
+    # as a pattern: a stream takes a plain path for a folder, and the table may be one file
+    events = stream_messages(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema)
+    mail = spark.sql(fx.MESSAGES_SQL, events=events)
+    out = f"{ensure_checkpoint_dir(spark)}/issue-documents-{uuid4().hex}"
+    run_issue_documents(mail, fx.whitelist_v(spark, sf), f"{out}/rows", checkpoint=f"{out}/stream", delay="1 day", setup=st,
+                        config_mail=False).awaitTermination()
+    schema = "mailbox_id int, release_ts timestamp, n_messages int, limit_newest int, message_ids array<string>"
+    docs = spark.read.schema(schema).parquet(f"{out}/rows")
+    return docs.select("mailbox_id", F.col("release_ts").cast("timestamp_ntz").alias("release_ts"), F.col("n_messages").cast("bigint").alias("n_messages"),
+                       "limit_newest", F.array_join("message_ids", ",").alias("message_ids"))

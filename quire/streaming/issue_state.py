@@ -231,14 +231,15 @@ def setup_entries(setup: DataFrame) -> DataFrame:
 
 
 def issue_documents(stream: DataFrame, whitelist: DataFrame, *, delay: str, setup: DataFrame | None = None, max_results: int = 100,
-                    lookback_days: int = iss.LOOKBACK_DAYS, carry_over: bool = True) -> DataFrame:
+                    lookback_days: int = iss.LOOKBACK_DAYS, carry_over: bool = True, config_mail: bool = True) -> DataFrame:
     """R4 + R5: ``(mailbox_id, release_ts, send_now, limit_newest, newsletter_email, n_messages, message_ids)`` per issue
     that the watermark (``delay`` behind the newest date) has passed.
 
     ``carry_over``: mail over an issue's limit waits for later issues inside the look-back (as ``issue_carry_over``);
     without it mail belongs to its first release alone (as ``issue_messages``). ``setup`` is the setup before the
-    stream's first config mail. An issue without members gives no row; equal message ids of a mailbox count once."""
-    events = issue_events(mb.route_messages(stream, whitelist)).withWatermark("date", delay)
+    stream's first config mail; with ``config_mail=False`` it holds throughout and no mail closes an issue early. An issue without members gives no row; equal message ids of a mailbox count once."""
+    events = issue_events(mb.route_messages(stream, whitelist))
+    events = (events if config_mail else events.where("kind = 'mail'")).withWatermark("date", delay)
     key = events.schema["mailbox_id"].dataType.simpleString()
     start = setup_entries(setup).groupBy("mailbox_id") if setup is not None else None
     closed = events.groupBy("mailbox_id").transformWithStateInPandas(
