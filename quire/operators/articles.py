@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.ordering import positions
+from quire.operators.ordering import heavy_keys, positions
 
 # ---- fixed values ---------------------------------------------------------------------
 FAILED_SCRAPE = "[Failed to scrape this link]"
@@ -31,17 +31,6 @@ def number_articles(links: DataFrame, *, by: Sequence[str] = ("issue_id",),
     return out.withColumn("article_id", F.concat(F.lit("ARTICLE_"), F.col(name).cast("string")))
 
 
-def heavy_keys(rows: DataFrame, on: str) -> DataFrame:
-    """``(on, _copies)`` of the keys that hold more than an even task's share of the rows, and over how many tasks such
-    a key is to be spread. Counted exactly (a partial count per map task comes before the shuffle); at most as many rows
-    as there are shuffle partitions, since every one holds more than its part of the total."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))                 # one row
-    return (counts.join(F.broadcast(total), F.col("_n") * tasks > F.col("_all"))
-            .select(on, F.ceil(F.col("_n") * tasks / F.col("_all")).cast("int").alias("_copies")))
-
-
 def attach_pages(links: DataFrame, pages: DataFrame, *, on: str = "link", text: str = "scraped",
                  how: str = "left", placeholder: str | None = FAILED_SCRAPE,
                  fetched: str | None = None, split_heavy: bool = True) -> DataFrame:

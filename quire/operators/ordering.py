@@ -88,3 +88,14 @@ def running_count(df: DataFrame, *, by: Sequence[str], order: Sequence[str | Col
     out = tagged.withColumn("_in", F.sum("_of").over(inside)).join(sums, cond)
     return (out.withColumn(name, F.col("_carry") + F.col("_in"))
                .drop("_chunk", "_row", "_of", "_in", "_kc", "_carry", *keys))
+
+
+def heavy_keys(rows: DataFrame, on: str) -> DataFrame:
+    """``(on, _copies)`` of the keys that hold more than an even task's share of the rows, and over how many tasks such
+    a key is to be spread. Counted exactly (a partial count per map task comes before the shuffle); at most as many rows
+    as there are shuffle partitions, since every one holds more than its part of the total."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return (counts.where(F.col("_n") * tasks > total)
+            .select(on, F.ceil(F.col("_n") * tasks / total).cast("int").alias("_copies")))

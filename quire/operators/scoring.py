@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ordering import heavy_keys, running_count
+
 # ---- fixed values ---------------------------------------------------------------------
 # The ten themes news must match. The keywords of each theme are our rule; a theme
 # matches when one of its keywords occurs in the lower-cased text.
@@ -203,21 +205,43 @@ def trailing_rate(events: DataFrame, *, ts: str = "ts", by: str = "user_id", win
                   limit: int = 30) -> DataFrame:
     """Requests of the same key in the trailing window ``(t - window, t]`` and whether the
     limit is passed. Rows are split into (key, time bucket of one window) groups; each row
-    is also copied into the next bucket as context, so a hot key is cut by time and every
-    window still sees all rows it needs."""
+    is also copied into the next bucket as context, so every window sees all rows it needs.
+
+    A key with more than a task's share of the rows may hold them all in one bucket. Its count is the difference of two
+    prefix counts instead, up to ``t`` and up to ``t - window`` (``running_count``: range partitions with boundary
+    carry), so it is spread however it lies in time. Rows without a time count among themselves."""
     w_us = window_s * 1_000_000
-    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
-    base = events.withColumn("_t", t_us).withColumn("_b", F.floor(F.col("_t") / w_us))
-    own = base.withColumn("_own", F.lit(True))
-    ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
-    both = own.unionByName(ctx)
-    frame = Window.partitionBy(by, "_b").orderBy("_t").rangeBetween(-(w_us - 1), 0)
-    counted = both.withColumn("n_in_window", F.count(F.lit(1)).over(frame))
-    return (counted.where("_own").drop("_own", "_b", "_t")
-            .withColumn("n_in_window", F.col("n_in_window").cast("bigint"))
+    heavy = heavy_keys(events, by)
+    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    if heavy.isEmpty():
+        counted = _rate_in_buckets(timed, by, w_us)
+    else:
+        flagged = timed.join(F.broadcast(heavy), by, "left").withColumn("_hot", F.col("_copies").isNotNull() & F.col("_t").isNotNull())
+        flagged = flagged.select(*timed.columns, "_hot")
+        counted = _rate_in_buckets(flagged.where(~F.col("_hot")).drop("_hot"), by, w_us).unionByName(
+            _rate_by_prefix(flagged.where("_hot").drop("_hot"), by, w_us))
+    return (counted.select(*events.columns, F.col("n_in_window").cast("bigint").alias("n_in_window"))
             .withColumn("over_limit", F.col("n_in_window") > limit))
 
 
+def _rate_in_buckets(base: DataFrame, by: str, w_us: int) -> DataFrame:
+    base = base.withColumn("_b", F.floor(F.col("_t") / w_us))
+    both = base.withColumn("_own", F.lit(True)).unionByName(
+        base.where(F.col("_t").isNotNull()).withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
+    frame = Window.partitionBy(by, "_b").orderBy("_t").rangeBetween(-(w_us - 1), 0)
+    return both.withColumn("n_in_window", F.count(F.lit(1)).over(frame)).where("_own").drop("_own", "_b")
+
+
+def _rate_by_prefix(base: DataFrame, by: str, w_us: int) -> DataFrame:
+    points = base.groupBy(by, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    line = points.select(by, "_t", F.explode(F.array(                              # the point, and the mark where its window begins
+        F.struct(F.col("_t").alias("at"), F.lit(0).alias("kind"), F.col("_n").alias("n")),
+        F.struct((F.col("_t") - w_us).alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("n")))).alias("_x")).select(by, "_t", "_x.*")
+    upto = running_count(line, by=[by], order=["at", "kind"], of=F.col("n"), name="_upto")
+    rate = upto.groupBy(by, "_t").agg(F.sum(F.when(F.col("kind") == 0, F.col("_upto")).otherwise(-F.col("_upto"))).alias("n_in_window"))
+    return base.join(rate, [by, "_t"])
+
+
 # ---- scorer hook (V1) -------------------------------------------------------------------------
 def score_with(df: DataFrame, fn: Callable, *, schema: str) -> DataFrame:
     """V1: run a user-given, offline scorer over Arrow batches of each partition.

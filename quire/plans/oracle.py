@@ -255,6 +255,12 @@ FROM messages_v"""
 SQL["whitelist_split"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
 SELECT message_id, address, is_whitelisted FROM routed"""
 
+SQL["whitelist_own"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
+SELECT mailbox_id, message_id, address, EXISTS (
+  SELECT 1 FROM customer c WHERE c.c_custkey % 3 < 2 AND c.c_custkey % 4 = r.mailbox_id
+  AND 'user' || CAST(c.c_custkey AS VARCHAR) || '@example.com' = r.address) AS is_whitelisted
+FROM routed r"""
+
 SQL["whitelist_semi"] = with_views(MESSAGES_V, WHITELIST_V, ROUTED) + """
 SELECT message_id FROM routed WHERE is_whitelisted"""
 

@@ -209,6 +209,13 @@ def q_whitelist_split(spark, sf):
              .select("message_id", "address", "is_whitelisted")
 
 
+@register("whitelist_own")
+def q_whitelist_own(spark, sf):
+    """Every mailbox trusts the senders of its own setup only."""
+    wl = mb.setup_whitelist(fx.sender_setup_v(spark, sf))
+    return mb.whitelist_split(fx.messages_v(spark, sf), wl).select("mailbox_id", "message_id", "address", "is_whitelisted")
+
+
 @register("whitelist_semi")
 def q_whitelist_semi(spark, sf):
     return mb.whitelist_semi(fx.messages_v(spark, sf), fx.whitelist_v(spark, sf)).select("message_id")

@@ -56,6 +56,16 @@ def whitelist_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         customer=read_table(spark, sf_dir, "customer"))
 
 
+def sender_setup_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Setup rows ``(mailbox_id, whitelisted_senders)``: a mailbox trusts a quarter of the customers, one named twice
+    or not at all in a row."""
+    return spark.sql(
+        """SELECT CAST(c_custkey % 4 AS INT) AS mailbox_id,
+                  CASE c_custkey % 3 WHEN 0 THEN array(a, a) WHEN 1 THEN array(a, CAST(NULL AS STRING)) ELSE array(concat('no', a)) END AS whitelisted_senders
+           FROM (SELECT c_custkey, concat('user', CAST(c_custkey AS STRING), '@example.com') AS a FROM {customer})""",
+        customer=read_table(spark, sf_dir, "customer"))
+
+
 def parts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flattened MIME leaves: one leaf per conversation turn; data is base64url."""
     return spark.sql(

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import issues as iss
-from quire.operators.articles import attach_pages, heavy_keys
-from quire.operators.ordering import running_count
+from quire.operators import scoring as S
+from quire.operators.articles import attach_pages
+from quire.operators.ordering import heavy_keys, running_count
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
@@ -72,3 +73,22 @@ def test_send_now_equals_a_walk(spark):
         want += [(b, t, k, i) for k, (_, i) in enumerate(own[:100 if n is None else n])]
     got = iss.send_now_issues(m, q, s)
     assert sorted((r["mailbox_id"], r["release_ts"], r["msg_rank"], r["message_id"]) for r in got.collect()) == sorted(want) and len(want) > 200
+
+
+def test_trailing_rate_of_a_hot_user(spark):
+    """One user holds most events inside one window, with ties; light users, null users and null times beside it."""
+    rng = random.Random(6)
+    start = dt.datetime(2024, 3, 1)
+    rows = [(i, "hot", start + dt.timedelta(seconds=rng.randrange(50), microseconds=rng.randrange(3))) for i in range(3000)]
+    rows += [(3000 + i, rng.choice(["a", "b", "c", None]), start + dt.timedelta(seconds=rng.randrange(400))) for i in range(600)]
+    rows += [(9000, "hot", None), (9001, "a", None)]
+    df = spark.createDataFrame(rows, "event_id int, user_id string, ts timestamp")
+    assert [r["user_id"] for r in heavy_keys(df, "user_id").collect()] == ["hot"]
+    span = dt.timedelta(seconds=20)
+    times = {}
+    for _, u, t in rows:
+        times.setdefault(u, []).append(t)
+    want = {i: sum((x is None) if t is None else (x is not None and t - span < x <= t) for x in times[u]) for i, u, t in rows}
+    got = S.trailing_rate(df, window_s=20, limit=5).collect()
+    assert {r["event_id"]: r["n_in_window"] for r in got} == want and len(got) == len(rows)
+    assert all(r["over_limit"] == (r["n_in_window"] > 5) for r in got)
