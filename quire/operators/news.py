@@ -33,6 +33,7 @@ BLOCK_TAGS = ("address", "article", "aside", "blockquote", "div", "dl", "fieldse
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 NEWS_CATEGORY = "News"
 MIN_LINK_TITLE = 10
+TASK_CHARS = 8_000_000                     # HTML that one task of selected_items takes
 # ---------------------------------------------------------------------------------------
 
 TOKEN_RE = rf"{H.TAG_RE}|[^<]+|<"
@@ -138,29 +139,60 @@ def _paragraph_event() -> Column:
     return (F.col("kind") != "text") & ((t == "p") | t.isin(*BLOCK_TAGS))
 
 
-def _select(tokens: DataFrame, selector: str, name: str) -> DataFrame:
-    """Follow a chain of steps through the tokens. Adds ``name``: where the outermost matched step of the innermost match
-    around a token opens (null: the token is in no match), and ``name_own``: the same for the open tag of a match itself."""
+def _follow(t: DataFrame, chains: dict, flag: dict, text: tuple[str, ...]) -> DataFrame:
+    """Follow all chains through the tokens, one step of every chain at a time; steps that chains begin with alike are
+    followed once. Adds ``_own_<name>`` for every chain: where the outermost matched step of a match opens, at the open tag
+    of the match, and for the names in ``text`` ``_head_<name>``: the same of the innermost match around a token (null: the
+    token is in no match). ``_end``: where the element that a tag opens ends (null: with the page).
+
+    Every window order costs a sort of the task's rows, so windows of one order stand together."""
     page = Window.partitionBy("page_id").orderBy("pos")
     so_far = page.rowsBetween(Window.unboundedPreceding, 0)
     same = Window.partitionBy("page_id", "tag", "_lvl").orderBy("pos")
-    is_p = F.col("tag") == "p"
-    opened, out = F.col("pos"), tokens
-    for step in chain(selector):
-        out = out.withColumn("_own", F.when(_matches(step), opened))
+    same_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    is_p, is_close = F.col("tag") == "p", F.col("kind") == "close"
+    opens = F.when(F.col("kind") == "open", 1).when(is_close, -1).otherwise(0)
+    t = t.withColumn("_lvl", F.sum(opens).over(same_tag) + F.when(is_close, 1).otherwise(0))
+    t = t.withColumn("_pp", F.when(_paragraph_event(), F.col("pos")))
+    paths = {name: [tuple(steps[:d]) for d in range(1, len(steps) + 1)] for name, steps in chains.items()}
+    number = {x: i for i, x in enumerate(dict.fromkeys(x for xs in paths.values() for x in xs))}
+    spread = {x for name, xs in paths.items() for x in (xs if name in text else xs[:-1])}      # what lies inside is asked for
+    for depth in range(1, max(map(len, chains.values())) + 1):
+        now = {x: i for x, i in number.items() if len(x) == depth}
+        boxes = [i for x, i in now.items() if x in spread and x[-1][0] != "p"]
+        pars = [i for x, i in now.items() if x in spread and x[-1][0] in (None, "p")]
+        t = t.withColumns({f"_own{i}": F.when(F.col(flag[x[-1]]), F.col("pos") if depth == 1 else F.col(f"_at{number[x[:-1]]}"))
+                           for x, i in now.items()})
+        # any match but a paragraph ends at the end tag whose partner, the event before it of the same tag and level, it is
+        cols = {f"_shut{i}": is_close & ~is_p & F.lag(f"_own{i}").over(same).isNotNull() for i in boxes}
+        if depth == 1:
+            cols["_end"] = F.when(F.lead("kind").over(same) == "close", F.lead("pos").over(same))
+        t = t.withColumns(cols) if cols else t
         # the open paragraph, of which there is one at most: each paragraph event ends it
-        out = out.withColumn("_par", F.last(F.when(_paragraph_event(), F.struct(F.when(is_p, F.col("_own")).alias("own"))), ignorenulls=True)
-                             .over(so_far)["own"])
-        # any other match ends at the end tag whose partner, the event before it of the same tag and level, it is;
+        cols = {f"_par{i}": F.last(F.when(_paragraph_event(), F.struct(F.when(is_p, F.col(f"_own{i}")).alias("own"))), ignorenulls=True)
+                .over(so_far)["own"] for i in pars}
+        cols |= {f"_in{i}": F.sum(F.when(~is_p & F.col(f"_own{i}").isNotNull(), 1).when(F.col(f"_shut{i}"), -1).otherwise(0)).over(so_far)
+                 for i in boxes}
+        if depth == 1:
+            cols["_end"] = F.when(is_p, F.expr("lead(_pp) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)")).otherwise(F.col("_end"))
+        t = t.withColumns(cols).drop("_pp", *[f"_shut{i}" for i in boxes]) if cols else t
         # rows of one nesting count lie in the match that last opened at that count
-        other = F.when(~is_p, F.col("_own"))
-        shut = (F.col("kind") == "close") & ~is_p & F.lag("_own").over(same).isNotNull()
-        out = out.withColumn("_shut", shut).withColumn("_in", F.sum(F.when(other.isNotNull(), 1).when(F.col("_shut"), -1).otherwise(0)).over(so_far))
-        level = Window.partitionBy("page_id", "_in").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("_box", F.when(F.col("_in") > 0, F.last(other, ignorenulls=True).over(level)))
+        for i in boxes:
+            level = Window.partitionBy("page_id", f"_in{i}").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+            inner = F.last(F.when(~is_p, F.col(f"_own{i}")), ignorenulls=True).over(level)
+            t = t.withColumn(f"_box{i}", F.when(F.col(f"_in{i}") > 0, inner)).drop(f"_in{i}")
+        none = F.lit(None).cast("bigint")
+        box = {i: F.col(f"_box{i}") if i in boxes else none for i in now.values()}
+        par = {i: F.col(f"_par{i}") if i in pars else none for i in now.values()}
         # strictly inside: the match that a tag itself opens does not count, nor a paragraph that it ends
-        opened = F.greatest(F.lag("_box").over(page), F.when(~is_p, F.col("_par")))
-    return (out.withColumn(name, F.greatest("_box", "_par")).withColumnRenamed("_own", f"{name}_own").drop("_par", "_shut", "_in", "_box"))
+        onward = {number[x[:depth]] for x in number if len(x) == depth + 1}
+        t = t.withColumns({f"_head_{name}": F.greatest(box[now[xs[-1]]], par[now[xs[-1]]]) for name, xs in paths.items()
+                           if name in text and len(xs) == depth}
+                          | {f"_own_{name}": F.col(f"_own{now[xs[-1]]}") for name, xs in paths.items() if len(xs) == depth}
+                          | {f"_at{i}": F.greatest(F.lag(box[i]).over(page) if i in boxes else none, F.when(~is_p, par[i])) for i in onward})
+        gone = [f"_at{number[x]}" for x in number if len(x) == depth - 1]
+        t = t.drop(*gone, *[f"{c}{i}" for i in now.values() for c in ("_own", "_box", "_par")])
+    return t.drop("_lvl")
 
 
 def selected_items(pages: DataFrame, selectors: dict | None = None) -> DataFrame:
@@ -169,30 +201,31 @@ def selected_items(pages: DataFrame, selectors: dict | None = None) -> DataFrame
     match inside it (or at it). Rows: the news columns, ``tier`` 1, ``item_no`` from 1 in page order.
 
     Pages are dealt by ``page_id`` before they are cut into tokens, so every window below runs where the page is; tokens
-    are not shuffled. An element spans from its tag to the end tag of the same name and level (to the page's end where
-    there is none), a paragraph to the next paragraph or block tag. Items are made in arrays of the page's row, which hold
-    the matched texts only. A null page has no items."""
+    are not shuffled. They are dealt to as many tasks as their length asks for (``TASK_CHARS`` of HTML each), since each
+    window order holds a task's tokens in memory: a task stays that size however many pages there are. An element spans
+    from its tag to the end tag of the same name and level (to the page's end where there is none), a paragraph to the
+    next paragraph or block tag. Items are made in arrays of the page's row, which hold the matched texts only. A null
+    page has no items."""
     s = {**DEFAULT_SELECTORS, **(selectors or {})}
-    t = html_tokens(pages.repartition("page_id"))
-    opens = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    same_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_lvl", F.sum(opens).over(same_tag) + F.when(F.col("kind") == "close", 1).otherwise(0))
-    for name in ("article", "title", "link", "description"):
-        t = _select(t, s[name], f"_{name}")
-    same = Window.partitionBy("page_id", "tag", "_lvl").orderBy("pos")
-    later = Window.partitionBy("page_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    end_tag = F.when(F.col("tag") == "p", F.first(F.when(_paragraph_event(), F.col("pos")), ignorenulls=True).over(later)) \
-               .when(F.lead("kind").over(same) == "close", F.lead("pos").over(same))
-    t = t.withColumn("_end", F.coalesce(end_tag, F.lit(1 << 62)))
-    spoken = (F.col("kind") == "text") & (F.col("text") != "")
-    href = H._value(F.col("tok"), "href")
-
-    def kept(cond: Column, head: str, value: Column) -> Column:
-        return F.array_sort(F.collect_list(F.when(cond & F.col(head).isNotNull(), F.struct("pos", F.col(head).alias("head"), value.alias("v")))))
-    page = t.groupBy("page_id", "url").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_article_own").isNotNull(), F.struct("pos", F.col("_end").alias("end"))))).alias("_arts"),
-        kept(spoken, "_title", F.col("text")).alias("_titles"), kept(spoken, "_description", F.col("text")).alias("_descs"),
-        kept(href.isNotNull(), "_link_own", href).alias("_links"))
+    chains = {name: chain(s[name]) for name in ("article", "title", "link", "description")}
+    chars = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+    t = html_tokens(pages.repartition(tasks, "page_id")).where((F.col("kind") != "text") | (F.col("text") != ""))
+    flag = {step: f"_m{i}" for i, step in enumerate(dict.fromkeys(step for steps in chains.values() for step in steps))}
+    t = t.select("page_id", "url", "pos", "kind", "tag", "text", *[_matches(step).alias(c) for step, c in flag.items()],
+                 F.when(_matches(chains["link"][-1]), H._value(F.col("tok"), "href")).alias("_link"))
+    t = _follow(t, chains, flag, ("title", "description"))
+    t = t.withColumn("_end", F.coalesce("_end", F.lit(1 << 62)))
+    spoken = F.col("kind") == "text"
+    linked = F.col("_own_link").isNotNull() & F.col("_link").isNotNull()
+
+    def kept(cond: Column, head: str, value: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(cond & F.col(head).isNotNull(), F.struct("pos", F.col(head).alias("head"), F.col(value).alias("v")))))
+    used = F.col("_own_article").isNotNull() | linked | (spoken & F.coalesce("_head_title", "_head_description").isNotNull())
+    page = t.where(used).groupBy("page_id", "url").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_own_article").isNotNull(), F.struct("pos", F.col("_end").alias("end"))))).alias("_arts"),
+        kept(spoken, "_head_title", "text").alias("_titles"), kept(spoken, "_head_description", "text").alias("_descs"),
+        kept(linked, "_own_link", "_link").alias("_links"))
     item = page.select("page_id", "url", "_titles", "_descs", "_links", F.posexplode("_arts").alias("_no", "_a"))
 
     def inside(found: str) -> Column:
