@@ -135,32 +135,60 @@ def penalise_copies(df: DataFrame, *, score: str = "score", is_copy: str = "is_c
     return df.withColumn(score, F.when(F.col(is_copy), (s / factor).cast("int")).otherwise(s.cast("int")))
 
 
+def _shingled(df: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``_s`` for ``text``: the sorted set of its ``shingle``-word shingles as 64-bit hashes; empty without words."""
+    words = df.withColumn("_w", F.array_remove(F.split(normalised(text), " "), "")).drop(text)
+    size = F.size("_w")
+    runs = F.arrays_zip(*[F.slice("_w", i + 1, F.greatest(size - shingle + 1, F.lit(0))).alias(f"w{i}") for i in range(shingle)])
+    return words.withColumn("_s", F.when(F.coalesce(size, F.lit(0)) <= 0, F.array().cast("array<bigint>"))
+                            .when(size < shingle, F.array(F.xxhash64(F.lit("short"), F.array_join("_w", " "))))
+                            .otherwise(F.array_sort(F.array_distinct(F.transform(
+                                runs, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(shingle)])))))).drop("_w")
+
+
 def near_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5,
                 percent: int = 80) -> DataFrame:
     """X3 near: documents whose sets of ``shingle``-word shingles have a Jaccard similarity of
     at least ``percent`` / 100 are linked; a cluster is a connected component of links.
 
-    Equal sets are one class from the start. Of every other set only the rarest shingles, as many as
-    two linked sets must share one of, are indexed. A bucket links its members to its smallest one first
-    (verified on the whole sets); after that only pairs of different components are compared.
-    No link is lost and no group is cut. Keys are only compared, so any orderable type works.
+    Equal sets are one class from the start. Of every class only a sketch is stored and shuffled, the shingles that are
+    smallest by hash, as many as any two linked sets must share a quota of: a class whose sketch shares fewer with the
+    other sketches has no partner, and most classes end there. Whole sets are made again, from the texts, for the rest.
+    Of these only the rarest shingles, as many as two linked sets must share one of, are indexed. A bucket links its
+    members to its smallest one first (verified on the whole sets); after that only pairs of different components are
+    compared. No link is lost and no group is cut. Keys are only compared, so any orderable type works.
 
     Returns ``(key, cluster, is_copy)``; ``cluster`` is the smallest key of the component. A text without
     words is its own cluster; a null key has a null cluster."""
     from quire.operators.components import connected_components
     from quire.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    words = df.select(key, F.array_remove(F.split(normalised(text), " "), "").alias("_w"))
-    size = F.size("_w")
-    runs = F.arrays_zip(*[F.slice("_w", i + 1, F.greatest(size - shingle + 1, F.lit(0))).alias(f"w{i}") for i in range(shingle)])
-    sets = words.select(key, F.when(F.coalesce(size, F.lit(0)) <= 0, F.array().cast("array<bigint>"))
-                        .when(size < shingle, F.array(F.xxhash64(F.lit("short"), F.array_join("_w", " "))))
-                        .otherwise(F.array_sort(F.array_distinct(F.transform(
-                            runs, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(shingle)]))))).alias("_s"))
-    sets = sets.withColumn("_f", F.when((F.size("_s") > 0) & F.col(key).isNotNull(), F.xxhash64("_s"))).checkpoint()
-    classes = sets.where("_f is not null").groupBy("_f").agg(F.min(key).alias("_rep"))
-    one = (sets.where("_f is not null").withColumnRenamed(key, "_rep").join(classes, ["_f", "_rep"], "left_semi")
-           .dropDuplicates(["_f"]).select(F.col("_rep").alias("c"), "_s", F.size("_s").alias("n")).checkpoint())
+
+    def least(n: Column) -> Column:
+        """Overlap of a set of n shingles with any set it links to, and size of that set, at least."""
+        return F.ceil(n * percent / 100)
+
+    def quota(n: Column) -> Column:
+        return F.least(least(n), F.greatest(F.lit(24), F.floor(n / 20)))
+    n = F.size("_s")
+    # linked sets differ in at most n - least(n) shingles of one, so the first quota of their common ones are in both
+    # sketches; a set that no set of one shingle more links to links to equal sets only
+    sketch = F.slice("_s", 1, F.when(100 * n >= percent * (n + 1), n - least(n) + quota(n)).otherwise(0).cast("int"))
+    docs = df.select(key, text)
+    rows = (_shingled(docs, text, shingle).select(key, n.alias("n"), F.when((n > 0) & F.col(key).isNotNull(), F.xxhash64("_s")).alias("_f"), sketch.alias("_k"))
+            .withColumn("_id", F.monotonically_increasing_id()).checkpoint())
+    classes = rows.where("_f is not null").groupBy("_f").agg(F.min(F.struct(F.col(key).alias("k"), "_id")).alias("_m")).select("_f", F.col("_m.k").alias("_rep"), F.col("_m._id").alias("_id"))
+    flat = (rows.where(F.size("_k") > 0).join(classes.select("_id"), "_id", "left_semi")
+            .select(F.col(key).alias("c"), "n", F.explode("_k").alias("h")))
+    left = (flat.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_df > 1")
+            .groupBy("c", "n").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= quota(least(F.col("n"))))
+            .select("c").distinct().checkpoint())
+    picked = classes.select(F.col("_rep").alias("c"), "_f").join(left, "c")
+    # where a key has several texts, only those of the class count; the test stands in the aggregate since the planner
+    # would make a filter part of the join and cut all texts into shingles for it
+    mine = F.max(F.when(F.xxhash64("_s") == F.col("_f"), F.col("_s")))
+    one = (_shingled(docs.withColumnRenamed(key, "c").join(picked, "c"), text, shingle).groupBy("c", "_f").agg(mine.alias("_s"))
+           .where("_s is not null").select("c", "_s", n.alias("n")).checkpoint())
 
     by_h, by_c = Window.partitionBy("h"), Window.partitionBy("c")
     need = F.ceil(F.col("n") * percent / 100)
@@ -186,14 +214,36 @@ def near_copies(df: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     mixed = left.groupBy("h").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi")).where("_lo <> _hi").select("h")
     left = left.join(mixed, "h", "left_semi")
     other = left.select("h", F.col("c").alias("b"), F.col("n").alias("pn"), F.col("k").alias("kb"))
-    more = linked(left.withColumnRenamed("c", "a").join(other, "h")
-                  .where((F.col("a") < F.col("b")) & (F.col("k") != F.col("kb")) & like).select("a", "b").distinct())
+    pairs = (left.withColumnRenamed("c", "a").join(other, "h")
+             .where((F.col("a") < F.col("b")) & (F.col("k") != F.col("kb")) & like).select("a", "b").distinct())
+    more = _linked_in_blocks(pairs, left, one, percent)
     part = connected_components(links.unionByName(more)).select(F.col("node").alias("_rep"), F.col("component").alias("_k"))
     named = classes.join(part, "_rep", "left").select("_f", F.coalesce("_k", "_rep").alias("cluster"))
-    return (sets.select(key, "_f").join(named, "_f", "left").withColumn("cluster", F.coalesce("cluster", F.col(key)))
+    return (rows.select(key, "_f").join(named, "_f", "left").withColumn("cluster", F.coalesce("cluster", F.col(key)))
             .select(key, "cluster", (F.col(key) != F.col("cluster")).alias("is_copy")))
 
 
+def _linked_in_blocks(pairs: DataFrame, members: DataFrame, one: DataFrame, percent: int, block: int = 32) -> DataFrame:
+    """Of the candidate ``pairs`` (a, b), those that link. Pairs travel as keys only. Classes are dealt into blocks of
+    about ``block`` by the smallest member of their buckets (h, c), so that the classes of one family stand together; two
+    blocks meet in one row, to which each set they ask for goes once, not once a pair. Where a class stands
+    changes what is moved, never which pairs are compared."""
+    near = (members.withColumn("_g", F.min("c").over(Window.partitionBy("h"))).groupBy("c").agg(F.min("_g").alias("g")))
+    blocks = near.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("_nb"))
+    at = near.join(blocks, "g").select("c", F.struct("g", F.pmod(F.xxhash64("c"), F.col("_nb")).alias("s")).alias("at")).checkpoint()
+    met = (pairs.join(at.select(F.col("c").alias("a"), F.col("at").alias("_x")), "a").join(at.select(F.col("c").alias("b"), F.col("at").alias("_y")), "b")
+           .select("a", "b", F.least("_x", "_y").alias("_lo"), F.greatest("_x", "_y").alias("_hi")).checkpoint())
+    asked = met.select("_lo", "_hi", F.col("a").alias("c")).unionByName(met.select("_lo", "_hi", F.col("b").alias("c"))).distinct()
+    sets = asked.join(one.select("c", "_s"), "c").groupBy("_lo", "_hi").agg(F.collect_list(F.struct("c", "_s")).alias("_m"))
+    cells = met.groupBy("_lo", "_hi").agg(F.collect_list(F.struct("a", "b")).alias("_p")).join(sets, ["_lo", "_hi"])
+
+    def linked(p: Column) -> Column:
+        # 100 * both >= percent * (size of a + size of b - both)
+        return F.exists("_m", lambda x: (x["c"] == p["a"]) & F.exists("_m", lambda y: (y["c"] == p["b"]) & (
+            (100 + percent) * F.size(F.array_intersect(x["_s"], y["_s"])) >= percent * (F.size(x["_s"]) + F.size(y["_s"])))))
+    return cells.select(F.explode(F.filter("_p", linked)).alias("_l")).select("_l.a", "_l.b").checkpoint()
+
+
 # ---- best image (W5), trailing rate (W4) -------------------------------------------------------
 def best_image(images: DataFrame, *, by: str = "page_id", score: str = "score", pos: str = "idx") -> DataFrame:
     """At most one image per article: highest score, then the earliest."""
